@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import events as E
-from ..functions.base import int_div, text
+from ..functions.base import fmt_ts, int_div, ntz, text
 from ..schema import Rules
 from ..vocab import DEFAULT, Vocabulary
 from .classify import classify_events
@@ -221,7 +221,6 @@ VERDICT_COLUMNS = ["verdict_id", "employee_id", "window_start", "window_end", "n
 
 
 def with_verdict_id(verdicts: DataFrame) -> DataFrame:
-    from ..functions.base import fmt_ts
     key = F.concat_ws("|", "employee_id", fmt_ts("window_start", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     return verdicts.withColumn("verdict_id", key)
 
@@ -258,10 +257,15 @@ def reconcile(primary: DataFrame, review: DataFrame) -> DataFrame:
 
 def valid_exemptions(exemptions: DataFrame, as_of: str) -> DataFrame:
     """Exemptions without expiry or expiring after `as_of`."""
-    from ..functions.base import ntz
     return exemptions.filter(F.col("expires_at").isNull() | (F.col("expires_at") > ntz(as_of)))
 
 
+def not_exempt_people(df: DataFrame, exemptions: DataFrame, signal_type: str, as_of: str) -> DataFrame:
+    """Rows of people without a valid exemption for the signal."""
+    ex = valid_exemptions(exemptions, as_of).filter(F.col("signal_type") == signal_type).select("employee_id").distinct()
+    return df.join(ex, "employee_id", "left_anti")
+
+
 def annotate_exempt(verdicts: DataFrame, exemptions: DataFrame, as_of: str) -> DataFrame:
     """Prefix `[exempt:reason]` to the text of exempt verdicts."""
     ex = (valid_exemptions(exemptions, as_of)
