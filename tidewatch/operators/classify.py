@@ -63,7 +63,7 @@ def classify_with_table(domains: DataFrame, entries: DataFrame) -> DataFrame:
     base = domains.select(F.lower("domain").alias("domain")).filter("domain <> ''").distinct()
     labels = F.size(F.split("domain", r"\."))
     by_suffix = base.select("domain", F.explode(F.transform(
-        F.sequence(F.lit(1), labels), lambda k: F.substring_index("domain", ".", -k))).alias("pattern"))
+        F.sequence(F.lit(1), labels), lambda k: F.call_function("substring_index", F.col("domain"), F.lit("."), -k))).alias("pattern"))
     hits = by_suffix.join(suffixes, "pattern").select("domain", "rank")
     for n in lengths:
         grams = (base.filter(F.length("domain") >= n)

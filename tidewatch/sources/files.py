@@ -15,7 +15,7 @@ from ..functions import parsing as P
 from ..functions.base import blank_to_null, text
 from ..schema import to_canonical
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def find_layout(spark: SparkSession, path, aliases: dict, required: tuple, scan_rows: int = 50):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def append_partitioned(df: DataFrame, path: str, ts: str = "occurred_at") -> None:
