@@ -57,10 +57,10 @@ def a13(spark, sf):
 
 @register("a14_efficiency_digest", with_("canon", "").rstrip() + ", " + CAT_SEGS + """, per as (select employee_id, cast(occurred_at as date) as day, leisure, sum("count")::bigint as v, count(*) as k from fun group by 1, 2, 3),
  dt as (select employee_id, day, sum(k) as k, string_agg(leisure || ' ' || v, ', ' order by v desc, leisure) as t from per group by 1, 2),
- pt as (select employee_id, sum(k)::bigint as n_rows, string_agg(strftime(day, '%m-%d') || ' ' || t, '; ' order by day) as days from dt group by 1 having sum(k) >= 3)
+ pt as (select employee_id, sum(k)::bigint as n_rows, string_agg(strftime(day, '%m-%d') || ' ' || t, '; ' order by day) as days from dt group by 1 having sum(k) >= 1)
  select employee_id, n_rows, (select floor(sum(seconds) / 60)::bigint from segs s where s.employee_id = pt.employee_id) as minutes, days from pt""")
 def a14(spark, sf):
-    return G.efficiency_digest(ev(spark, sf), AS_OF)
+    return G.efficiency_digest(ev(spark, sf), AS_OF, min_rows=1)
 
 
 @register("a22_night_board", with_("cls", f"""select p.employee_id, night_events, coalesce(t, '') as top_domains from (select employee_id, count(*) as night_events from cls where off and occurred_at >= timestamp '{AS_OF}' - interval 7 day group by 1 having count(*) >= 5 order by 2 desc, 1 limit 20) p

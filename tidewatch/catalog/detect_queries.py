@@ -166,12 +166,12 @@ def d17_top(spark, sf):
 
 
 TIMELINE = ALERTS_ALL + f""", t30 as (select timestamp '{AS_OF}' - interval 30 day as s),
- ent as (select employee_id, 'job_visit' as kind, window_start as at, strftime(window_start, '%m-%d %H') || ' score ' || risk_score as entry from verdicts, t30 where window_start >= s and intent = 'job_seeking' and risk_score >= 50
+ ent as (select employee_id, 'job_visit' as kind, window_start as seen, strftime(window_start, '%m-%d %H') || ' score ' || risk_score as entry from verdicts, t30 where window_start >= s and intent = 'job_seeking' and risk_score >= 50
   union all select employee_id, 'mass_delete', created_at, strftime(created_at, '%m-%d %H') from massa, t30 where created_at >= s
   union all select employee_id, 'exfil_alert', window_start, strftime(window_start, '%m-%d %H') || ' score ' || risk_score from alerts, t30 where created_at >= s and scenario = 'data_exfiltration'
   union all select employee_id, 'network_send', occurred_at, strftime(occurred_at, '%m-%d %H') || ' ' || left(coalesce(target_value, ''), 36) || '→' || left(lower(split_part(coalesce(dest_path, ''), '/', 1)), 30) from cls, t30 where source = 'endpoint' and occurred_at >= s and category = 'DOC' and action in ('SEND','UPLOAD') and away
   union all select employee_id, 'search', occurred_at, strftime(occurred_at, '%m-%d %H') || ' ' || left(target_value, 20) from cls, t30 where source = 'endpoint' and occurred_at >= s and category = 'SEARCH' and coalesce(target_value, '') <> ''),
- rk as (select *, row_number() over (partition by employee_id, kind order by at desc, entry) as rn from ent),
+ rk as (select *, row_number() over (partition by employee_id, kind order by seen desc, entry) as rn from ent),
  kt as (select employee_id, kind, string_agg(entry, '; ' order by rn desc) as entries from rk where rn <= 8 group by 1, 2),
  tl as (select employee_id, count(*) as n_kinds, bool_or(kind = 'job_visit') as j, bool_or(kind = 'mass_delete') as m, bool_or(kind = 'exfil_alert') as x, bool_or(kind = 'network_send') as ns, bool_or(kind = 'search') as s,
    string_agg('[' || kind || '] ' || entries, chr(10) order by kind) as story from kt group by 1)"""

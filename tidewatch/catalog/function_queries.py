@@ -114,7 +114,7 @@ def f14(spark, sf):
 
 
 # Model text is derived from events: reasoning block, code fence, broken JSON.
-MODEL = """case event_id % 4 when 0 then concat('<think>a {0}</think>```json', chr(10), '{"intent": "job_seeking", "risk_score": ', cast(user_id % 100 as string), ', "channels": ["usb", "web"], "explanation": "e', event_id, '"}', chr(10), '```')
+MODEL = """case event_id % 4 when 0 then concat('<think>a {x}</think>```json', chr(10), '{"intent": "job_seeking", "risk_score": ', cast(user_id % 100 as string), ', "channels": ["usb", "web"], "explanation": "e', event_id, '"}', chr(10), '```')
  when 1 then concat('thinking</think>result {"intent": "normal_work", "risk_score": "', cast(user_id % 100 as string), '", "deviation": "none"} done')
  when 2 then concat('broken "intent": "policy_violation", "deviation": "major" "risk_score": ', cast(user_id % 100 as string), ' "channels": ["a", ''b'']')
  else concat('no fields ', event_id) end"""
@@ -124,7 +124,7 @@ MODEL = """case event_id % 4 when 0 then concat('<think>a {0}</think>```json', c
  case event_id % 4 when 1 then 'none' when 2 then 'major' end as deviation, case event_id % 4 when 0 then 'e' || event_id end as explanation,
  case event_id % 4 when 0 then 'usb,web' when 2 then 'a,b' end as channels, case when event_id % 4 < 3 then (user_id % 100)::int end as risk_score from events""")
 def f36(spark, sf):
-    src = spark.sql(f"select event_id, {MODEL} as t from {{t}}", t=read_table(spark, sf, "events"))
+    src = spark.sql("select event_id, " + MODEL.replace("{", "{{").replace("}", "}}") + " as t from {t}", t=read_table(spark, sf, "events"))
     m = P.parse_model_output("t")
     return src.select("event_id", m.alias("m")).select("event_id", "m.intent", "m.deviation", "m.explanation",
                                                        F.array_join("m.channels", ",").alias("channels"), "m.risk_score")

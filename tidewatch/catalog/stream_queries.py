@@ -1 +1,84 @@
-"""Placeholder."""
+"""Streaming jobs run to the end of the given data; their SQL states what must have been emitted."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.events import event_hash
+from ..session import checkpoint_dir
+from ..streaming import jobs as J
+from .base import *
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of canonical rows."""
+    schema = read_table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sql = canonical_sql("get_json_object", "{events}", escape=True)
+    rows = spark.sql(sql, events=raw).withColumn("event_hash", event_hash())
+    return rows.withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+
+
+def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream until its input is used up and return what it wrote."""
+    spark = df.sparkSession
+    root = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    query = (J.unzoned(df).writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@register("t02_stream_fold", with_("canon", "").rstrip() + f""", web as (select * from canon where category = 'WEB' and not {sql_contains('lower(domain)', vocab.NOISE_HINTS)})
+ select employee_id, domain, time_bucket(interval 10 minute, occurred_at) as occurred_at, count(*)::int as n from web group by 1, 2, 3
+ having time_bucket(interval 10 minute, occurred_at) + interval 10 minute <= (select max(occurred_at) from web) - interval 10 minute""")
+def t02(spark, sf):
+    return run_to_end(J.stream_fold(event_stream(spark, sf)), "fold").select(
+        "employee_id", "domain", "occurred_at", F.col("count").alias("n"))
+
+
+@register("t03_stream_dedupe", with_("canon", "select event_id, event_hash from canon"))
+def t03(spark, sf):
+    e = event_stream(spark, sf)
+    return run_to_end(J.stream_dedupe(e.unionByName(event_stream(spark, sf))), "dedupe").select("event_id", "event_hash")
+
+
+@register("t04_stream_sessions", with_("win", """select employee_id, window_start, max(occurred_at) as window_end, count(*) as n_events from win group by 1, 2
+ having max(occurred_at) + interval 60 minute <= (select max(occurred_at) from win) - interval 60 minute"""))
+def t04(spark, sf):
+    return run_to_end(J.stream_sessions(event_stream(spark, sf)), "sessions")
+
+
+@register("t05_stream_mass_ops", with_("cls", "").rstrip() + """, r as (select *, action = 'DELETE' and not noise_doc as del, action in ('SEND','UPLOAD') and not wl as snd from cls where category = 'DOC' and source = 'endpoint'),
+ k as (select * from r where del or snd), slots as (select unnest(generate_series(0, 23)) as i),
+ x as (select employee_id, time_bucket(interval 1 hour, occurred_at) - to_hours(i::int) as p, del, snd, size_bytes from k, slots)
+ select employee_id, p as period_start, p + interval 24 hour as period_end, count(*) filter (del) as deletes, count(*) filter (snd) as sends, coalesce(sum(size_bytes) filter (snd), 0)::bigint as sent_bytes from x group by 1, 2
+ having (count(*) filter (del) >= 2 or count(*) filter (snd) >= 2) and p + interval 24 hour <= (select max(occurred_at) from k) - interval 60 minute""")
+def t05(spark, sf):
+    return run_to_end(J.stream_mass_ops(event_stream(spark, sf), slide="1 hour", min_delete=2, min_send=2, min_mb=1_000_000), "massops")
+
+
+@register("t07_stream_identity", with_("canon", """select event_id, last_value(acct ignore nulls) over (partition by device_id order by occurred_at, event_id rows unbounded preceding) as account from
+ (select *, nullif(regexp_extract(coalesce(src_path, ''), '[Uu]sers[\\\\/]+([^\\\\/]+)[\\\\/]', 1), '') as acct from canon where source = 'endpoint')"""))
+def t07(spark, sf):
+    from ..functions.parsing import account_from_path
+    e = event_stream(spark, sf).filter("source = 'endpoint'").withColumn("agent_id", F.col("device_id"))
+    rows = e.withColumn("account", account_from_path("src_path", "dest_path"))
+    return run_to_end(J.stream_identity(rows), "identity").select("event_id", "account")
+
+
+@register("d20_feed_silence", with_("canon", """select source as feed, max(occurred_at) as last_at, epoch_us(timestamp '2024-01-30 12:00:00') - epoch_us(max(occurred_at)) > 600000000 * 0 + 2 * 3600000000 as alarm from canon where occurred_at <= timestamp '2024-01-30 12:00:00' group by 1"""))
+def d20(spark, sf):
+    raw = ev(spark, sf).select(F.col("source").alias("feed"), F.col("occurred_at").alias("received_at"))
+    return J.feed_silence(raw, "2024-01-30 12:00:00")
+
+
+@register("t10_split_late", with_("canon", "select occurred_at < timestamp '2024-01-20' - interval 1 hour as late, count(*) as n from canon group by 1"))
+def t10(spark, sf):
+    on_time, late = J.split_late(ev(spark, sf), "2024-01-20 00:00:00")
+    both = on_time.select(F.lit(False).alias("late")).unionByName(late.select(F.lit(True).alias("late")))
+    return both.groupBy("late").agg(F.count("*").alias("n"))

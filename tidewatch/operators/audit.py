@@ -63,10 +63,10 @@ def audit(verdicts: DataFrame, alerts: DataFrame, sigs: DataFrame, exemptions: D
     unfounded = ((F.col("intent") == "job_seeking") & ~exempt & F.coalesce("has_events", F.lit(False))
                  & (F.coalesce("sig_recruitment", F.lit(0)) == 0))
     v = (v.withColumn("fix_i3", mark).withColumn("fix_i4", unfounded)
-         .withColumn("explanation", F.when(mark, F.concat(F.lit("[exempt:"), "ex_reason", F.lit("] "), text("explanation")))
+         .withColumn("explanation", F.when(F.col("fix_i3"), F.concat(F.lit("[exempt:"), "ex_reason", F.lit("] "), text("explanation")))
                      .otherwise(F.col("explanation")))
-         .withColumn("intent", F.when(unfounded, "baseline_deviation").otherwise(F.col("intent")))
-         .withColumn("risk_score", F.when(unfounded, F.least("risk_score", F.lit(45))).otherwise(F.col("risk_score"))))
+         .withColumn("intent", F.when(F.col("fix_i4"), "baseline_deviation").otherwise(F.col("intent")))
+         .withColumn("risk_score", F.when(F.col("fix_i4"), F.least("risk_score", F.lit(45))).otherwise(F.col("risk_score"))))
     snap = F.when(F.col("risk_score") >= 50, _legal_tier("intent", "risk_score")).otherwise(F.col("risk_score"))
     v = (v.withColumn("snapped", snap.cast("int")).withColumn("fix_i6", F.col("snapped") != F.col("risk_score"))
          .withColumn("risk_score", F.col("snapped")))
@@ -94,13 +94,14 @@ def audit(verdicts: DataFrame, alerts: DataFrame, sigs: DataFrame, exemptions: D
     counts = F.concat_ws(", ", *[F.when(F.coalesce(F.col(f"sig_{c}"), F.lit(0)) > 0,
                                         F.concat(F.lit(f"{c} "), F.col(f"sig_{c}").cast("string")))
                                  for c in ("netdisk", "personal_email", "file_helper")])
-    a = (a.withColumn("fix_i1", aligned).withColumn("fix_i5", restate | close).withColumn("closed", close)
-         .withColumn("summary", F.when(aligned, F.coalesce(F.col("best.explanation"), "summary"))
-                     .when(restate, F.concat(F.lit("[recheck] visits of the last 7 days: "), counts))
+    # Flags first: the columns they read are replaced below.
+    a = (a.withColumn("fix_i1", aligned).withColumn("restated", restate).withColumn("closed", close)
+         .withColumn("summary", F.when(F.col("fix_i1"), F.coalesce(F.col("best.explanation"), "summary"))
+                     .when(F.col("restated"), F.concat(F.lit("[recheck] visits of the last 7 days: "), counts))
                      .otherwise(F.col("summary")))
-         .withColumn("verdict_id", F.when(aligned, F.col("best.verdict_id")).otherwise(F.col("verdict_id")))
-         .withColumn("risk_score", F.when(aligned, F.col("best.risk_score")).otherwise(F.col("risk_score")))
-         .withColumn("status", F.when(close, "CLOSED").otherwise(F.col("status"))))
+         .withColumn("verdict_id", F.when(F.col("fix_i1"), F.col("best.verdict_id")).otherwise(F.col("verdict_id")))
+         .withColumn("risk_score", F.when(F.col("fix_i1"), F.col("best.risk_score")).otherwise(F.col("risk_score")))
+         .withColumn("status", F.when(F.col("closed"), "CLOSED").otherwise(F.col("status"))))
     snapped = F.when(F.col("status") == "NEW", _legal_tier("scenario", "risk_score")).otherwise(F.col("risk_score"))
     a = (a.withColumn("snapped", snapped.cast("int")).withColumn("fix_i6", F.col("snapped") != F.col("risk_score"))
          .withColumn("risk_score", F.col("snapped")).withColumn("severity", F.when(
@@ -114,7 +115,7 @@ def audit(verdicts: DataFrame, alerts: DataFrame, sigs: DataFrame, exemptions: D
              .unionByName(log(v, F.col("fix_i3"), "I3", "exempt verdict marked", "verdict_id"))
              .unionByName(log(v, F.col("fix_i4"), "I4", "job verdict without visit lowered", "verdict_id"))
              .unionByName(log(a, F.col("fix_i1"), "I1", "alert aligned with verdict", "dedup_key"))
-             .unionByName(log(a, F.col("fix_i5") & ~F.col("closed"), "I5", "alert restated", "dedup_key"))
+             .unionByName(log(a, F.col("restated"), "I5", "alert restated", "dedup_key"))
              .unionByName(log(a, F.col("closed"), "I5", "alert closed", "dedup_key"))
              .unionByName(log(v, F.col("fix_i6"), "I6", "verdict score on tier", "verdict_id"))
              .unionByName(log(a, F.col("fix_i6"), "I6", "alert score on tier", "dedup_key")))

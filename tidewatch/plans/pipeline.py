@@ -16,6 +16,7 @@ from ..operators import windows as W
 from ..operators.audit import audit, signatures
 from ..operators.profiles import profiles
 from ..schema import Rules
+from ..session import cut_lineage
 from ..sources import messages as M
 from ..sources.sinks import append_partitioned, append_verdicts, overwrite_snapshot
 from ..vocab import DEFAULT, Vocabulary
@@ -97,6 +98,8 @@ def message_batch(raw: DataFrame) -> DataFrame:
     from ..operators.identity import resolve_identity
     from ..schema import to_canonical
     agent, proxy = M.route_messages(raw)
-    people = resolve_identity(M.parse_agent_messages(agent)).withColumn("event_hash", E.event_hash())
+    # Identity reads the parsed rows four times: parse once.
+    parsed = cut_lineage(M.parse_agent_messages(agent))
+    people = resolve_identity(parsed).withColumn("event_hash", E.event_hash())
     both = to_canonical(people).unionByName(to_canonical(M.parse_proxy_messages(proxy)))
     return both.filter("occurred_at is not null")

@@ -36,7 +36,7 @@ def proxy_fields(msg: str = "msg") -> Column:
     positional = F.map_from_arrays(F.slice(names, F.lit(1), n), F.slice(cells, F.lit(1), n))
     bracketed = t.contains("[") & t.contains("]")
     assigned = t.contains("=") & (t.contains("record_time=") | t.contains("user="))
-    return (F.when(bracketed, pairs(r"\[(\w+):([^\]]*)\]", F.trim))
+    return (F.when(bracketed, pairs(r"\[(\w+):([^\]]*)\]", lambda x: F.trim(x)))
             .when(assigned, pairs(r"(\w+)=(.*?)(?=\s+\w+=|$)",
                                   lambda x: F.regexp_replace(F.trim(x), r'^"+|"+$', "")))
             .otherwise(positional))
@@ -84,13 +84,8 @@ def parse_agent_messages(raw: DataFrame, msg: str = "msg") -> DataFrame:
 
     probed = F.coalesce(*[F.when(field(f"{p}_TIME").isNotNull() | field(f"{p}_CLT_TIME").isNotNull(), F.lit(p))
                           for p in vocab.AGENT_PROBE_PREFIXES])
-    r = r.withColumn("p", F.coalesce(choose("kind", vocab.AGENT_KINDS), probed)).filter("p is not null")
+    r = r.withColumn("p", F.coalesce(choose("kind", vocab.AGENT_KINDS), probed))
     own = lambda name: field(F.concat("p", F.lit("_" + name)))
-    r = (r.withColumn("agent_id", text(own("AGT_ID"))).withColumn("user_no", text(own("USR_ID")))
-         .withColumn("occurred_at", F.try_to_timestamp(F.coalesce(own("TIME"), own("CLT_TIME")),
-                                                       F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
-         .filter("agent_id <> '' or user_no <> ''"))
-
     f = lambda name: text(field(name))
     web, search, doc = [F.col("kind") == k for k in ("url_log", "keyword_search_log", "doc_log")]
     action = P.doc_subtype_action(f("DOC_SUBTYPE"))
@@ -99,24 +94,30 @@ def parse_agent_messages(raw: DataFrame, msg: str = "msg") -> DataFrame:
     site = F.coalesce(blank_to_null(F.lower(f("URL_SITE"))), f("URL_URL"))
     null = F.lit(None).cast("string")
     others = [c for c in raw.columns if c != msg]
-    e = r.filter(web | search | doc).select(
-        *others, "occurred_at", "agent_id", "user_no", F.col("agent_id").alias("device_id"),
-        F.when(doc, P.account_from_path(f("DOC_SRC_PATH"), f("DOC_DEST_PATH"))).alias("account_hint"),
-        F.when(web, "WEB").when(search, "SEARCH").otherwise("DOC").alias("category"),
-        F.when(web, "VISIT").when(search, "SEARCH").otherwise(action).alias("action"),
-        F.when(web, "URL").when(search, "KEYWORD").otherwise("FILE").alias("target_type"),
-        F.when(web, F.coalesce(blank_to_null(f("URL_URL")), site)).when(search, f("KS_KEYWORD"))
-        .otherwise(F.coalesce(blank_to_null(f("DOC_SRC_NAME")), f("DOC_SRC_PATH"))).alias("target_value"),
-        F.when(doc, F.coalesce(f("DOC_FILE_SIZE").try_cast("bigint"), F.lit(0))).otherwise(F.lit(0)).alias("size_bytes"),
-        F.lit(1).alias("count"), F.lit("endpoint").alias("source"),
-        F.when(web, site).when(search, F.lower(f("KS_SITE"))).otherwise(null).alias("domain"),
-        F.when(web, f("URL_URL")).otherwise(null).alias("url"),
-        F.when(web, f("URL_APP_TITLE")).when(search, f("KS_APP_TITLE")).otherwise(null).alias("title"),
-        F.when(web, f("URL_APP_NAME")).when(search, f("KS_APP_NAME")).otherwise(f("DOC_APP_NAME")).alias("app"),
-        F.when(doc, channel).otherwise(null).alias("channel"),
-        F.when(doc, F.substring(f("DOC_SRC_PATH"), 1, 400)).otherwise(null).alias("src_path"),
-        F.when(doc, F.substring(f("DOC_DEST_PATH"), 1, 400)).otherwise(null).alias("dest_path"))
-    return e
+    event = F.struct(*[c.alias(name) for name, c in {
+        "occurred_at": F.try_to_timestamp(F.coalesce(own("TIME"), own("CLT_TIME")),
+                                          F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"),
+        "agent_id": text(own("AGT_ID")), "user_no": text(own("USR_ID")), "device_id": text(own("AGT_ID")),
+        "account_hint": F.when(doc, P.account_from_path(f("DOC_SRC_PATH"), f("DOC_DEST_PATH"))),
+        "category": F.when(web, "WEB").when(search, "SEARCH").otherwise("DOC"),
+        "action": F.when(web, "VISIT").when(search, "SEARCH").otherwise(action),
+        "target_type": F.when(web, "URL").when(search, "KEYWORD").otherwise("FILE"),
+        "target_value": F.when(web, F.coalesce(blank_to_null(f("URL_URL")), site)).when(search, f("KS_KEYWORD"))
+        .otherwise(F.coalesce(blank_to_null(f("DOC_SRC_NAME")), f("DOC_SRC_PATH"))),
+        "size_bytes": F.when(doc, F.coalesce(f("DOC_FILE_SIZE").try_cast("bigint"), F.lit(0))).otherwise(F.lit(0)),
+        "count": F.lit(1), "source": F.lit("endpoint"),
+        "domain": F.when(web, site).when(search, F.lower(f("KS_SITE"))).otherwise(null),
+        "url": F.when(web, f("URL_URL")).otherwise(null),
+        "title": F.when(web, f("URL_APP_TITLE")).when(search, f("KS_APP_TITLE")).otherwise(null),
+        "app": F.when(web, f("URL_APP_NAME")).when(search, f("KS_APP_NAME")).otherwise(f("DOC_APP_NAME")),
+        "channel": F.when(doc, channel).otherwise(null),
+        "src_path": F.when(doc, F.substring(f("DOC_SRC_PATH"), 1, 400)).otherwise(null),
+        "dest_path": F.when(doc, F.substring(f("DOC_DEST_PATH"), 1, 400)).otherwise(null),
+    }.items()])
+    known = (web | search | doc) & ((text(own("AGT_ID")) != "") | (text(own("USR_ID")) != ""))
+    # A message is zero or one event.  The explode also keeps later filters and join keys from being
+    # rewritten in terms of the JSON expressions.
+    return (r.select(*others, F.explode(F.when(known, F.array(event))).alias("e")).select(*others, "e.*"))
 
 
 def raw_log_rows(raw: DataFrame, aliases: DataFrame | None = None, agent_rows: DataFrame | None = None) -> DataFrame:
