@@ -27,7 +27,15 @@ def any_of(terms, prefix: str = "", suffix: str = "") -> str:
 
 
 def contains_any(c, terms) -> Column:
-    return col(c).rlike(any_of(terms)) if terms else F.lit(False)
+    """Whether any literal term occurs.
+
+    Plain byte searches: on short host and file names they take a fraction of
+    the time a regular expression over the same alternatives needs.
+    """
+    out = F.lit(False)
+    for t in terms:
+        out = out | col(c).contains(t)
+    return out
 
 
 def starts_with_any(c, terms) -> Column:

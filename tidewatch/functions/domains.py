@@ -64,7 +64,9 @@ def is_noise_web(domain, url) -> Column:
 def risk_class(domain, v: Vocabulary = DEFAULT) -> Column:
     """First matching risk class, null for whitelisted and unlisted domains."""
     d = F.lower(text(domain))
-    out = F.when((d == "") | suffix_in(d, v.get("risk_whitelist_domains")), F.lit(None).cast("string"))
+    listed = match_domain(d, [p for _, dictionary, _ in vocab.RISK_CLASSES for p in v.get(dictionary)])
+    # Most hosts are in no dictionary: one combined lookup settles them.
+    out = F.when((d == "") | ~listed | suffix_in(d, v.get("risk_whitelist_domains")), F.lit(None).cast("string"))
     for label, dictionary, _ in vocab.RISK_CLASSES:
         out = out.when(match_domain(d, v.get(dictionary)), F.lit(label))
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import domains as D
 from ..functions import events as E
 from ..functions import parsing as P
-from ..functions.base import blank_to_null, fmt_ts, int_div, text
+from ..functions.base import blank_to_null, int_div, text
 from ..schema import OUTBOUND_ACTIONS, Rules
 from ..vocab import DEFAULT, Vocabulary
 
@@ -33,46 +33,48 @@ def common_domains(events: DataFrame, min_ratio: float = 0.3, v: Vocabulary = DE
 
 
 def _observations(v: Vocabulary) -> Column:
-    """Array of (kind, key) facts one event contributes to its person's profile."""
+    """Array of (kind, key) facts one event contributes to its person's profile; unused places are null."""
     web, doc, search = [F.col("category") == c for c in ("WEB", "DOC", "SEARCH")]
     outbound = doc & F.col("action").isin(*OUTBOUND_ACTIONS)
     target = text("target_value")
 
     def one(kind: str, key: Column, cond: Column = F.lit(True)) -> Column:
-        keep = cond & key.isNotNull()
-        return F.when(keep, F.array(F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))))
-
-    def many(kind: str, keys: Column, cond: Column) -> Column:
-        return F.when(cond, F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))))
+        return F.when(cond & key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key")))
 
     root = blank_to_null(F.substring(F.substring_index(text("dest_path"), "/", 1), 1, 40))
     send = F.concat_ws(":", "action", F.coalesce(root, blank_to_null("channel"), F.lit("LOCAL")))
-    words = F.array(*[F.lit(k) for k in v.get("sensitive_keywords")])
-    parts = [
-        one("slot", fmt_ts("occurred_at", "yyyy-MM-dd HH")),
+    codes = P.project_codes(target)
+    single = F.array(
         one("channel", blank_to_null("channel")),
         one("action", F.col("action")),
-        many("keyword", F.filter(words, lambda w: F.contains(target, w)), E.is_sensitive(target, v)),
         one("domain", blank_to_null("domain"), web & D.risk_class("domain", v).isNull()),
-        one("web_class", F.nullif(D.domain_class("domain", v), F.lit("other")),
-            web & (F.col("source") == "endpoint")),
+        one("web_class", F.nullif(D.domain_class("domain", v), F.lit("other")), web & (F.col("source") == "endpoint")),
         one("ext", P.file_ext(target), doc),
-        many("code", P.project_codes(target), doc),
+        *[one("code", F.get(codes, F.lit(i)), doc) for i in range(3)],
         one("send", send, outbound),
         one("send_day", E.day("occurred_at"), outbound),
         one("topic", F.substring(F.trim(target), 1, 24), search & (target != "")),
-    ]
-    none = F.array().cast("array<struct<kind:string,key:string>>")
-    return F.flatten(F.array(*[F.coalesce(p, none) for p in parts]))
+    )
+    words = F.array(*[F.lit(k) for k in v.get("sensitive_keywords")])
+    named = F.transform(F.filter(words, lambda w: F.contains(target, w)),
+                        lambda w: F.struct(F.lit("keyword").alias("kind"), w.alias("key")))
+    return F.when(E.is_sensitive(target, v), F.concat(single, named)).otherwise(single)
 
 
 def observation_counts(events: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
-    """(employee_id, kind, key, n): the only shuffle of event rows in a profile run."""
-    return (events.select("employee_id", F.explode(_observations(v)).alias("o"))
+    """(employee_id, kind, key, n) of everything a profile lists except hours."""
+    return (events.select("employee_id", F.explode(_observations(v)).alias("o")).filter("o is not null")
             .groupBy("employee_id", F.col("o.kind").alias("kind"), F.col("o.key").alias("key"))
             .agg(F.count("*").alias("n")))
 
 
+def hour_slots(events: DataFrame) -> DataFrame:
+    """Rows per person and hour of the calendar."""
+    hour = int_div(F.unix_micros(F.col("occurred_at").cast("timestamp")), 3_600_000_000)
+    return (events.groupBy("employee_id", hour.alias("slot")).agg(F.count("*").alias("n"))
+            .withColumn("day", int_div("slot", 24)).withColumn("hour", F.pmod("slot", F.lit(24)).cast("int")))
+
+
 def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 30,
              v: Vocabulary = DEFAULT) -> DataFrame:
     """One row per person; without `as_of` the whole history counts.
@@ -85,11 +87,9 @@ def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 3
         events = events.filter(F.col("occurred_at") >= E.ago(as_of, days=lookback_days))
     counts = observation_counts(events, v)
 
-    slots = counts.filter("kind = 'slot'")
-    days = (slots.groupBy("employee_id", F.substring("key", 1, 10).alias("day"))
-            .agg(F.sum("n").alias("n"),
-                 F.min(F.substring("key", 12, 2).cast("int")).alias("first_hour"),
-                 F.max(F.substring("key", 12, 2).cast("int")).alias("last_hour")))
+    slots = hour_slots(events)
+    days = (slots.groupBy("employee_id", "day")
+            .agg(F.sum("n").alias("n"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour")))
 
     def upper_median(c: str) -> Column:
         ordered = F.array_sort(F.collect_list(c))
@@ -102,9 +102,9 @@ def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 3
         upper_median("first_hour").alias("start_median"), upper_median("last_hour").alias("end_median"),
         F.count_if(F.col("first_hour") < 7).alias("late_night_days"))
 
-    hours = (slots.groupBy("employee_id", F.lit("hour").alias("kind"), F.substring("key", 12, 2).alias("key"))
-             .agg(F.sum("n").alias("n")))
-    ranked = counts.filter("kind <> 'slot'").unionByName(hours)
+    hours = (slots.groupBy("employee_id", F.lit("hour").alias("kind"),
+                           F.lpad(F.col("hour").cast("string"), 2, "0").alias("key")).agg(F.sum("n").alias("n")))
+    ranked = counts.unionByName(hours)
     most = max(64, len(v.get("sensitive_keywords")))
     weight = F.when(F.col("kind") == "send_day", F.unix_date(F.col("key").try_cast("date")).cast("bigint")).otherwise(F.col("n"))
     order = Window.partitionBy("employee_id", "kind").orderBy(F.desc("weight"), "key")

@@ -295,22 +295,29 @@ def mask_names(mask, names: list[str], sep: str = ",") -> Column:
 def suppress_repeats(keys: DataFrame) -> DataFrame:
     """Windows kept by the greedy pass: drop a window that shares a key with an earlier kept one.
 
-    Input is one row per (employee_id, window_start, trigger_key).  Windows of a
-    person are at least one gap apart, so a group holds at most one window per
-    slice of the run; the keys were reduced to distinct rows before.
+    Input is one row per (employee_id, window_start, trigger_key).  Whether a
+    window falls depends on which earlier ones stayed, so the pass is sequential
+    per person; everything else is done before it.  A key seen in one window
+    cannot drop anything, so only keys shared by windows go into the pass, and
+    windows without one are kept straight away.
     """
     import pandas as pd
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, kept = set(), []
-        for start, group in pdf.sort_values("window_start").groupby("window_start", sort=True):
+        seen, dropped = set(), []
+        for start, group in pdf.groupby("window_start", sort=True):
             mine = set(group["trigger_key"])
-            if not mine & seen:
-                kept.append(start)
+            if mine & seen:
+                dropped.append(start)
+            else:
                 seen |= mine
         return pd.DataFrame({"employee_id": pdf["employee_id"].iloc[0],
-                             "window_start": pd.Series(kept, dtype="datetime64[ns]")})
-
-    return (keys.select("employee_id", "window_start", "trigger_key").distinct()
-            .groupBy("employee_id")
-            .applyInPandas(greedy, "employee_id string, window_start timestamp_ntz"))
+                             "window_start": pd.Series(dropped, dtype="datetime64[ns]")})
+
+    keys = keys.select("employee_id", "window_start", "trigger_key").distinct()
+    shared = (keys.groupBy("employee_id", "trigger_key").agg(F.count("*").alias("n")).filter("n > 1")
+              .select("employee_id", "trigger_key"))
+    dropped = (keys.join(shared, ["employee_id", "trigger_key"], "left_semi").groupBy("employee_id")
+               .applyInPandas(greedy, "employee_id string, window_start timestamp_ntz"))
+    return (keys.select("employee_id", "window_start").distinct()
+            .join(dropped, ["employee_id", "window_start"], "left_anti"))

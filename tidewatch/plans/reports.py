@@ -107,13 +107,16 @@ def timelines(events: DataFrame, as_of: str, days: int = 7, per_day: int = 80, p
 
     Newest `per_person` rows, then newest `per_day` of each day.
     """
-    recent = events.filter(F.col("occurred_at") >= E.ago(as_of, days=days))
+    recent = events.filter(F.col("occurred_at") >= E.ago(as_of, days=days)).withColumn("_day", E.day("occurred_at"))
     newest = [F.desc("occurred_at"), F.desc("event_hash")]
-    kept = (recent.withColumn("_p", F.row_number().over(Window.partitionBy("employee_id").orderBy(*newest)))
-            .filter(F.col("_p") <= per_person))
-    kept = (kept.withColumn("_day", E.day("occurred_at"))
-            .withColumn("_d", F.row_number().over(Window.partitionBy("employee_id", "_day").orderBy(*newest)))
-            .filter(F.col("_d") <= per_day))
+    # The rank over all rows of a person is the rank in the day plus the rows of newer days, so the only
+    # ranking is per day, cut before the shuffle, and no person's rows meet in one task.
+    counts = recent.groupBy("employee_id", "_day").agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy("employee_id").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("employee_id", "_day", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    kept = (recent.withColumn("_d", F.row_number().over(Window.partitionBy("employee_id", "_day").orderBy(*newest)))
+            .filter(F.col("_d") <= per_day).join(before, ["employee_id", "_day"])
+            .filter(F.col("_before") + F.col("_d") <= per_person))
     e = classify_events(kept, v)
     from ..functions.base import choose
     title = F.substring(F.trim(text("title")), 1, 40)

@@ -20,6 +20,10 @@ PLAN_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # HotSpot does not compile methods above 8000 bytes of bytecode.  Stages with
+    # the long classification expressions run about twice as fast when Spark
+    # splits them into small methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 STREAM_CONF = {
@@ -40,7 +44,8 @@ def build_session(app_name: str = "tidewatch", master: str | None = None, **conf
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable settings to a session somebody else built."""
-    for key, value in {**REQUIRED_CONF, **STREAM_CONF}.items():
+    tuning = {"spark.sql.codegen.hugeMethodLimit": PLAN_CONF["spark.sql.codegen.hugeMethodLimit"]}
+    for key, value in {**REQUIRED_CONF, **STREAM_CONF, **tuning}.items():
         spark.conf.set(key, value)
     return spark
 

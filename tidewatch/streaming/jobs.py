@@ -62,10 +62,13 @@ def stream_mass_ops(events: DataFrame, span: str = "24 hours", slide: str = "10
     doc = (F.col("category") == "DOC") & (text("source") == "endpoint")
     deleted = doc & (F.col("action") == "DELETE") & ~E.is_noise_doc()
     sent = doc & F.col("action").isin(*SEND_ACTIONS) & ~D.is_whitelisted_dest("dest_path", v)
-    counted = (events.filter(deleted | sent).withWatermark("occurred_at", late)
-               .groupBy("employee_id", F.window("occurred_at", span, slide).alias("w"))
-               .agg(F.count_if(deleted).alias("deletes"), F.count_if(sent).alias("sends"),
-                    F.sum(F.when(sent, F.coalesce("size_bytes", F.lit(0))).otherwise(F.lit(0))).alias("sent_bytes")))
+    # One row per person and slide first; only those are spread over the windows that overlap them.
+    steps = (events.filter(deleted | sent).withWatermark("occurred_at", late)
+             .groupBy("employee_id", F.window("occurred_at", slide).alias("s"))
+             .agg(F.count_if(deleted).alias("d"), F.count_if(sent).alias("k"),
+                  F.sum(F.when(sent, F.coalesce("size_bytes", F.lit(0))).otherwise(F.lit(0))).alias("b")))
+    counted = (steps.groupBy("employee_id", F.window(F.window_time("s"), span, slide).alias("w"))
+               .agg(F.sum("d").alias("deletes"), F.sum("k").alias("sends"), F.sum("b").alias("sent_bytes")))
     hit = ((F.col("deletes") >= min_delete) | (F.col("sends") >= min_send)
            | (F.col("sent_bytes") >= min_mb * 1_048_576))
     return counted.filter(hit).select("employee_id", F.col("w.start").alias("period_start"),
@@ -152,8 +155,17 @@ class FeedHeartbeat(StatefulProcessor):
 
 
 def stream_heartbeat(messages: DataFrame, silence_seconds: int = 7200) -> DataFrame:
-    """Silence alarms per feed.  One row per feed and task reaches the state: counts, not messages."""
-    return (messages.select("feed", "received_at").groupBy("feed")
+    """Silence alarms per feed.
+
+    There are only a few feeds, so each task first reduces its messages to one
+    row per feed and batch; a busy feed does not send its rows to one task.
+    """
+    def latest(batches):
+        for pdf in batches:
+            yield pdf.groupby("feed", as_index=False)["received_at"].max()
+
+    reduced = messages.select("feed", "received_at").mapInPandas(latest, "feed string, received_at timestamp")
+    return (reduced.groupBy("feed")
             .transformWithStateInPandas(FeedHeartbeat(silence_seconds * 1000),
                                         "feed string, last_at_ms bigint, alarm_at_ms bigint",
                                         "update", "processingTime"))
