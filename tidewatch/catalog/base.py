@@ -121,7 +121,7 @@ NOISE_DOC = (f"(category = 'DOC' and action not in {OUT} and "
 
 # Named building blocks in dependency order.
 CTES = {
-    "canon": f"select *, {sql_hash()} as event_hash from ({canonical_sql('json_extract_string', 'events', False)})",
+    "canon": f"select *, {sql_hash()} as event_hash from ({canonical_sql('duckdb', 'events')})",
     "domclass": f"""select d, {sql_risk('d')} as risk_class from (select distinct lower(domain) as d from canon where category = 'WEB')""",
     "cls": f"""select c.*, case when category = 'WEB' then lower(domain) end as site, k.risk_class, {TIER.format(c='k.risk_class')} as tier,
       {OFF.format(t='occurred_at')} as off,

@@ -18,7 +18,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of canonical rows."""
     schema = read_table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    sql = canonical_sql("get_json_object", "{events}", escape=True)
+    sql = canonical_sql("spark", "{events}")
     rows = spark.sql(sql, events=raw).withColumn("event_hash", event_hash())
     return rows.withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
 

@@ -47,7 +47,7 @@ def j01(spark, sf):
 
 @register("j01_classify_with_table", f"""select distinct domain, risk_class, {TIER.format(c='risk_class')} as tier from
  (select domain, {sql_risk('domain')} as risk_class from (select distinct regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^www\\.', '') as domain from pages
-  union select domain from ({canonical_sql('json_extract_string', 'events', False)}) where category = 'WEB') where domain <> '')""")
+  union select domain from ({canonical_sql('duckdb', 'events')}) where category = 'WEB') where domain <> '')""")
 def j01_table(spark, sf):
     pages = read_table(spark, sf, "pages").select(D.url_domain("url").alias("domain"))
     visited = ev(spark, sf).filter("category = 'WEB'").select("domain")

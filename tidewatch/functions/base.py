@@ -29,13 +29,10 @@ def any_of(terms, prefix: str = "", suffix: str = "") -> str:
 def contains_any(c, terms) -> Column:
     """Whether any literal term occurs.
 
-    Plain byte searches: on short host and file names they take a fraction of
-    the time a regular expression over the same alternatives needs.
+    One pattern rather than one test per term: as fast when measured, and the
+    plan stays small where the optimizer copies the expression.
     """
-    out = F.lit(False)
-    for t in terms:
-        out = out | col(c).contains(t)
-    return out
+    return col(c).rlike(any_of(terms)) if terms else F.lit(False)
 
 
 def starts_with_any(c, terms) -> Column:

@@ -61,7 +61,7 @@ def fold_report(events: DataFrame, bucket_seconds: int = 600, v: Vocabulary = DE
                      F.count_if(F.col("category") == "WEB").alias("raw_web_rows"))
     kept = fold_visits(drop_web_noise(events, v=v), bucket_seconds).agg(
         F.count("*").alias("folded_web_rows"), F.coalesce(F.sum("count"), F.lit(0)).alias("kept_web_rows"))
-    both = raw.withColumn("k", F.lit(1)).join(kept.withColumn("k", F.lit(1)), "k")
+    both = raw.withColumn("kept", kept.select(F.struct(*kept.columns)).scalar()).select("*", "kept.*")
     return both.select("raw_rows", "raw_web_rows",
                        (F.col("raw_web_rows") - F.col("kept_web_rows")).alias("noise_rows"),
                        "folded_web_rows",

@@ -21,15 +21,13 @@ def common_domains(events: DataFrame, min_ratio: float = 0.3, v: Vocabulary = DE
     Distinct pairs are reduced first, so a popular domain is counted from one
     row per person.
     """
-    people = events.select("employee_id").distinct().agg(F.count("*").alias("people"))
+    people = events.select("employee_id").distinct().agg(F.count("*").alias("people")).scalar()
     users = (events.filter((F.col("category") == "WEB") & (text("domain") != ""))
              .select("domain", "employee_id").distinct()
              .groupBy("domain").agg(F.count("*").alias("n_people"))
              .filter(D.risk_class("domain", v).isNull()))
-    need = F.greatest(F.lit(2), F.floor(F.col("people") * min_ratio).cast("int"))
-    return (users.withColumn("_k", F.lit(1)).join(people.withColumn("_k", F.lit(1)), "_k")
-            .filter((F.col("people") >= 3) & (F.col("n_people") >= need))
-            .select("domain", "n_people"))
+    need = F.greatest(F.lit(2), F.floor(people * min_ratio).cast("int"))
+    return users.filter((people >= 3) & (F.col("n_people") >= need)).select("domain", "n_people")
 
 
 def _observations(v: Vocabulary) -> Column:

@@ -168,11 +168,11 @@ def stats(events: DataFrame, verdicts: DataFrame, alerts: DataFrame, as_of: str)
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
-    """Join one-row tables side by side on a constant key."""
-    out = parts[0].withColumn("_k", F.lit(1))
+    """One-row tables side by side; all but the first are scalar subqueries, so nothing is joined."""
+    out = parts[0]
     for p in parts[1:]:
-        out = out.join(p.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
+        out = out.withColumn("_s", p.select(F.struct(*p.columns)).scalar()).select("*", "_s.*").drop("_s")
+    return out
 
 
 def _periods(ts: str, as_of: str) -> dict[str, Column]:
@@ -281,8 +281,8 @@ def latest_or_clues(alerts: DataFrame, verdicts: DataFrame, exemptions: DataFram
     pool = scoped.orderBy(F.desc("risk_score"), "verdict_id").limit(first)
     clues = (not_exempt_people(pool, exemptions, intent, as_of).orderBy(F.desc("risk_score"), "verdict_id").limit(most)
              .withColumn("text", F.col("explanation")).withColumn("kind", F.lit("clue")).select(*cols))
-    none = top.limit(1).select(F.lit(1).alias("_k"))
-    return top.unionByName(clues.withColumn("_k", F.lit(1)).join(none, "_k", "left_anti").select(*cols))
+    n_alerts = alerts.filter(F.col("scenario") == intent).agg(F.count("*")).scalar()
+    return top.unionByName(clues.filter(n_alerts == 0))
 
 
 def weekly_digest(events: DataFrame, verdicts: DataFrame, alerts: DataFrame, board: DataFrame, efficiency: DataFrame,

@@ -52,10 +52,12 @@ from (
 """
 
 
-def canonical_sql(json: str, events: str, escape: bool) -> str:
-    """The mapping for one engine; `escape` doubles backslashes in literals."""
-    sql = CANONICAL_SQL.format(json=json, events=events)
-    return sql.replace("\\", "\\\\") if escape else sql
+def canonical_sql(engine: str, events: str) -> str:
+    """The mapping in the dialect of `spark` or `duckdb`."""
+    if engine == "spark":
+        # Spark unescapes backslashes in literals.
+        return CANONICAL_SQL.format(json="get_json_object", events=events).replace("\\", "\\\\")
+    return CANONICAL_SQL.format(json="json_extract_string", events=events)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +66,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events of a data folder, with `event_hash` and arrival order `event_id`."""
-    sql = canonical_sql("get_json_object", "{events}", escape=True)
+    sql = canonical_sql("spark", "{events}")
     return spark.sql(sql, events=read_table(spark, sf_dir, "events")).withColumn("event_hash", event_hash())
