@@ -259,12 +259,13 @@ def with_(names: str, select: str) -> str:
 # ------------------------------------------------------------------ shared Spark inputs
 
 def verdict_frames(spark: SparkSession, sf_dir: str):
-    """(events, facts, verdicts): facts written once to the checkpoint folder."""
+    """(events, facts, verdicts); facts and verdicts are written once, as in a deployment."""
     from ..operators import scoring as S
     from ..operators.windows import shared_facts
+    from ..session import cut_lineage
     events = ev(spark, sf_dir)
     facts = shared_facts(events)
-    return events, facts, S.score_events(events, AS_OF, facts=facts)
+    return events, facts, cut_lineage(S.score_events(events, AS_OF, facts=facts))
 
 
 def statuses(alerts: DataFrame) -> DataFrame:

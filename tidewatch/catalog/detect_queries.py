@@ -152,7 +152,7 @@ BOARD = ALERTS_ALL + f""", t7 as (select timestamp '{AS_OF}' - interval 7 day as
 
 def board(spark, sf, most):
     events, _, v = verdict_frames(spark, sf)
-    return B.risk_board(events, v, all_alerts(spark, events, v), P.profiles(events, AS_OF), exemptions(spark), AS_OF, most=most)
+    return B.risk_board(events, v, all_alerts(spark, events, v), P.rhythms(events, AS_OF), exemptions(spark), AS_OF, most=most)
 
 
 @register("d17_risk_board", with_("verdicts alerts exempt cls", "").rstrip() + ", " + BOARD + " select * from staged")
@@ -160,6 +160,11 @@ def d17(spark, sf):
     return board(spark, sf, None)
 
 
+@register("o2_top_boards", with_("verdicts alerts exempt cls", "").rstrip() + ", " + BOARD + " select employee_id, score, stage from staged order by score desc, employee_id limit 10")
+def o2(spark, sf):
+    return board(spark, sf, 10).select("employee_id", "score", "stage")
+
+
 @register("d17_risk_board_top", with_("verdicts alerts exempt cls", "").rstrip() + ", " + BOARD + " select * from staged order by score desc, employee_id limit 30")
 def d17_top(spark, sf):
     return board(spark, sf, 30)

@@ -185,7 +185,7 @@ def a18(spark, sf):
  (select string_agg(employee_id || ':' || slack_avg, ', ' order by slack_avg desc, employee_id) from (select * from eff where slack_avg > 0 order by slack_avg desc, employee_id limit 3)) as leisure_top""")
 def a25(spark, sf):
     events, _, v, a = frames(spark, sf)
-    board = B.risk_board(events, v, all_alerts(spark, events, v), P.profiles(events, AS_OF), exemptions(spark), AS_OF)
+    board = B.risk_board(events, v, all_alerts(spark, events, v), P.rhythms(events, AS_OF), exemptions(spark), AS_OF)
     return R.weekly_digest(events, v, a, board, B.efficiency(events, AS_OF), AS_OF)
 
 

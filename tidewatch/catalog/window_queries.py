@@ -200,7 +200,7 @@ def a04(spark, sf):
  (select employee_id, cast(occurred_at as date) as d, min(hour(occurred_at)) as h0, max(hour(occurred_at)) as h1 from canon where {SINCE} group by 1, 2)
  group by 1 having count(*) filter (h0 < 7) >= 3"""))
 def a23(spark, sf):
-    return P.night_workers(P.profiles(ev(spark, sf), AS_OF))
+    return P.night_workers(P.rhythms(ev(spark, sf), AS_OF))
 
 
 @register("a30_people", with_("canon", "select count(distinct employee_id) as people from canon"))
@@ -278,8 +278,8 @@ def d10(spark, sf):
 
 @register("d11_verdicts", with_("verdicts", "select verdict_id, employee_id, window_start, window_end, n, visits, intent, deviation, risk_score, primary_score, anchored, explanation from verdicts"))
 def d11(spark, sf):
-    return verdict_frames(spark, sf)[2].select("verdict_id", "employee_id", "window_start", "window_end", "n", "visits", "intent",
-                                               "deviation", "risk_score", "primary_score", "anchored", "explanation")
+    return S.score_events(ev(spark, sf), AS_OF).select("verdict_id", "employee_id", "window_start", "window_end", "n", "visits",
+                                                       "intent", "deviation", "risk_score", "primary_score", "anchored", "explanation")
 
 
 @register("a05_day_totals", with_("daytot", "select * from daytot"))

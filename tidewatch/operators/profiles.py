@@ -73,6 +73,28 @@ def hour_slots(events: DataFrame) -> DataFrame:
             .withColumn("day", int_div("slot", 24)).withColumn("hour", F.pmod("slot", F.lit(24)).cast("int")))
 
 
+def _rhythm(slots: DataFrame) -> DataFrame:
+    """Day statistics per person; the lists hold one entry per day of the period."""
+    days = (slots.groupBy("employee_id", "day")
+            .agg(F.sum("n").alias("n"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour")))
+
+    def upper_median(c: str) -> Column:
+        ordered = F.array_sort(F.collect_list(c))
+        return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+
+    return days.groupBy("employee_id").agg(
+        F.count("*").alias("active_days"), F.sum("n").alias("sample_count"),
+        F.floor(F.percentile("n", F.lit(0.5))).cast("int").alias("daily_median"),
+        F.max("n").alias("daily_max"),
+        F.struct(upper_median("first_hour").alias("start_median"), upper_median("last_hour").alias("end_median"),
+                 F.count_if(F.col("first_hour") < 7).alias("late_night_days")).alias("rhythm"))
+
+
+def rhythms(events: DataFrame, as_of: str, lookback_days: int = 30) -> DataFrame:
+    """The day part of a profile alone: two columns of the events, no lists."""
+    return _rhythm(hour_slots(events.filter(F.col("occurred_at") >= E.ago(as_of, days=lookback_days))))
+
+
 def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 30,
              v: Vocabulary = DEFAULT) -> DataFrame:
     """One row per person; without `as_of` the whole history counts.
@@ -86,19 +108,7 @@ def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 3
     counts = observation_counts(events, v)
 
     slots = hour_slots(events)
-    days = (slots.groupBy("employee_id", "day")
-            .agg(F.sum("n").alias("n"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour")))
-
-    def upper_median(c: str) -> Column:
-        ordered = F.array_sort(F.collect_list(c))
-        return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-    base = days.groupBy("employee_id").agg(
-        F.count("*").alias("active_days"), F.sum("n").alias("sample_count"),
-        F.floor(F.percentile("n", F.lit(0.5))).cast("int").alias("daily_median"),
-        F.max("n").alias("daily_max"),
-        upper_median("first_hour").alias("start_median"), upper_median("last_hour").alias("end_median"),
-        F.count_if(F.col("first_hour") < 7).alias("late_night_days"))
+    base = _rhythm(slots)
 
     hours = (slots.groupBy("employee_id", F.lit("hour").alias("kind"),
                            F.lpad(F.col("hour").cast("string"), 2, "0").alias("key")).agg(F.sum("n").alias("n")))
@@ -139,7 +149,7 @@ def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 3
         pairs("ext").alias("doc_types"), pairs("code").alias("project_codes"),
         pairs("send").alias("send_channels"), pairs("send_day").alias("sends_by_day"),
         keys("topic").alias("search_topics"),
-        F.struct("start_median", "end_median", "late_night_days").alias("rhythm"))
+        "rhythm")
 
 
 def night_workers(profile: DataFrame, min_days: int = 3) -> DataFrame:

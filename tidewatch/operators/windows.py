@@ -214,7 +214,7 @@ def with_window_start(facts: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def shared_facts(events: DataFrame, v: Vocabulary = DEFAULT, rules: Rules = Rules()) -> DataFrame:
-    """Facts with `window_start`, written once to the shared checkpoint folder.
+    """Facts with `window_start`, written once to the shared folder.
 
     Six consumers read them.  Without the cut each would scan and classify the
     events again, because column pruning gives every branch its own shuffle.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,7 +65,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise `df` in the shared checkpoint folder and return the copy."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(os.path.join(checkpoint_dir(spark), "lineage"))
-    return df.checkpoint(eager=True)
+    """Write `df` once to the shared folder and return the written table.
+
+    A Parquet table rather than an RDD checkpoint: consumers read only their
+    columns, and the optimizer knows the real size when it chooses joins.  The
+    files survive the loss of executors; the folder's owner expires them.
+    """
+    path = os.path.join(checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
