@@ -10,7 +10,7 @@ from ..operators import fold as FO
 from ..operators import windows as W
 from ..plans import boards as B
 from .base import *
-from .window_queries import FOLDED, SEGS
+from .window_queries import FOLDED, PROFILE_SQL, SEGS
 
 
 @register("a15_who_visited", with_("cls", f"""select employee_id, count(*) as n_rows from cls where risk_class = 'netdisk' and occurred_at >= timestamp '{AS_OF}' - interval 30 day group by 1 order by 2 desc, 1 limit 20"""))
@@ -94,12 +94,39 @@ def a31(spark, sf):
     return B.judged_sites(v, W.window_sites(facts))
 
 
-@register("d15_window_digest")
+NL = "chr(10)"
+SITE_LINE = ("site || ' ×' || v || case when " + sql_prefix("site", vocab.TELEMETRY_PREFIXES)
+             + " then ' (background traffic)' else '' end || coalesce(' [' || label || ']', '')")
+DIGEST_SQL = with_("win", "").rstrip() + f""", ws as (select employee_id, window_start, site, risk_class, sum("count")::bigint as v, min(coalesce(nullif(app, ''), nullif(site_class, ''))) as label from win where category = 'WEB' group by 1, 2, 3, 4),
+ rk as (select *, row_number() over (partition by employee_id, window_start, risk_class is null order by v desc, site) as rn from ws),
+ strong as (select employee_id, window_start, string_agg('[!' || risk_class || '] ' || {SITE_LINE}, {NL} order by rn) as t from rk where risk_class is not null and rn <= 10 group by 1, 2),
+ plain as (select employee_id, window_start, string_agg('[web] ' || {SITE_LINE}, {NL} order by rn) filter (rn <= 15) as t, count(*) as n from rk where risk_class is null group by 1, 2),
+ oth as (select *, row_number() over (partition by employee_id, window_start order by occurred_at, event_hash) as rn from win where category <> 'WEB'),
+ other as (select employee_id, window_start, count(*) as n, string_agg(strftime(occurred_at, '%m-%d %H:%M') || ' [' || source || '] [' || action || '] ' || coalesce(target_value, '') || case when category = 'DOC' then ' (channel=' || coalesce(channel, '') || ')' else '' end
+   || case when action in ('SEND','UPLOAD','PRINT') and coalesce(dest_path, '') <> '' then ' → ' || left(dest_path, 60) else '' end, {NL} order by rn) filter (rn <= 12) as t from oth group by 1, 2),
+ h as (select employee_id, window_start, min(hour(occurred_at)) filter (category = 'WEB') as h0, max(hour(occurred_at)) filter (category = 'WEB') as h1 from win group by 1, 2),
+ body as (select h.employee_id, h.window_start, concat_ws({NL}, case when h0 < 7 or h1 >= 22 then '[night] visits between ' || h0 || ' and ' || h1 end, s.t, p.t, case when p.n > 15 then '... and ' || (p.n - 15) || ' more hosts' end, o.t,
+   case when o.n > 12 then '... and ' || (o.n - 12) || ' more rows' end) as b from h left join strong s using (employee_id, window_start) left join plain p using (employee_id, window_start) left join other o using (employee_id, window_start))
+ select employee_id, window_start, case when len(b) > 1500 then left(b, 1500) || {NL} || '... cut' else b end as digest from body"""
+
+
+@register("d15_window_digest", DIGEST_SQL)
 def d15(spark, sf):
     return G.window_digest(W.assign_windows(ev(spark, sf)))
 
 
-@register("d16_profile_digest")
+def listed(col: str, n: int, pattern: str = r":(\d+)$", to: str = r"×\1") -> str:
+    return f"array_to_string(list_transform(string_split({col}, ',')[1:{n}], lambda x: regexp_replace(x, '{pattern}', '{to}')), ', ')"
+
+
+PROFILE_TEXT = f"""select employee_id, sample_count, case when sample_count >= 15 then '[baseline ' || case when sample_count >= 50 then 'mature' else 'thin' end || ', ' || sample_count || ' rows] hours '
+ || list_min(list_transform(string_split(hours, ','), lambda x: x::int)) || '-' || list_max(list_transform(string_split(hours, ','), lambda x: x::int)) || '; per day ~' || daily_median || ' max ' || daily_max
+ || '; channels ' || replace(channels, ',', '/') || '; hosts ' || array_to_string(string_split(domains, ',')[1:8], ', ') || '; ' || concat_ws('; ', case when exts <> '' then 'file types ' || {listed('exts', 5)} end,
+ case when codes <> '' then 'codes ' || {listed('codes', 6, ':[0-9]+$', '')} end, case when sends <> '' then 'sends ' || {listed('sends', 4)} end,
+ 'rhythm ' || start_median || '-' || end_median || ', night days ' || late_night_days, case when topics <> '' then 'searches ' || array_to_string(string_split(topics, ',')[1:5], ', ') end) end as digest from ({PROFILE_SQL})"""
+
+
+@register("d16_profile_digest", PROFILE_TEXT)
 def d16(spark, sf):
     from ..operators.profiles import profiles
     return G.profile_digest(profiles(ev(spark, sf), AS_OF))

@@ -207,6 +207,18 @@ def l11a(spark, sf):
     return audited(spark, sf)[1].select("dedup_key", "verdict_id", "status", "risk_score")
 
 
-@register("l11_audit_log")
+FINAL = """case when status = 'NEW' and scenario = 'data_exfiltration' then case when rs <= 75 then 75 when rs <= 80 then 80 when rs <= 85 then 85 when rs <= 90 then 90 else rs end
+ when status = 'NEW' and scenario = 'job_seeking' and rs <= 55 then 55 else rs end"""
+AUDIT_LOG = with_("verdicts exempt win alerts due valid_ex", "").rstrip() + ", " + AUDIT + f""", lg as (
+ select 'I3' as rule, 'exempt alert removed' as fix from alerts a where exists (select 1 from exr x where x.employee_id = a.employee_id and x.intent = a.scenario)
+ union all select 'I3', 'exempt verdict marked' from v1 where reason is not null
+ union all select 'I4', 'job verdict without visit lowered' from v1 where pressed0
+ union all select 'I1', 'alert aligned with verdict' from ka a join best b using (employee_id) where a.scenario = 'data_exfiltration' and (a.verdict_id <> b.vid or a.risk_score <> b.bs)
+ union all select 'I5', case when coalesce(w.hits, 0) > 0 then 'alert restated' else 'alert closed' end from ka a left join best b using (employee_id) left join wk w using (employee_id) where a.scenario = 'data_exfiltration' and b.vid is null and a.status = 'NEW'
+ union all select 'I6', 'verdict score on tier' from v3 join v2 using (verdict_id) where v3.risk_score <> v2.sc
+ union all select 'I6', 'alert score on tier' from ra where rs <> {FINAL}) select rule, fix, count(*) as n from lg group by 1, 2"""
+
+
+@register("l11_audit_log", AUDIT_LOG)
 def l11f(spark, sf):
     return audited(spark, sf)[2].groupBy("rule", "fix").agg(F.count("*").alias("n"))

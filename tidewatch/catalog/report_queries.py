@@ -46,6 +46,13 @@ def j09(spark, sf):
     return R.evidence(v, W.assign_windows(events)).select("verdict_id", "pos", "event_hash")
 
 
+@register("j09_verdict_devices", with_("verdicts canon", "select verdict_id, arg_min(device_id, event_hash) as device_id from verdicts v join canon c on c.employee_id = v.employee_id and c.occurred_at = v.window_start group by 1"))
+def j09d(spark, sf):
+    from ..operators.scoring import with_devices
+    events, _, v, _ = frames(spark, sf)
+    return with_devices(v, events).select("verdict_id", "device_id")
+
+
 def raw_logs(events):
     return events.select(F.col("occurred_at").alias("received_at"), F.col("category").alias("log_type"), F.col("employee_id").alias("user"),
                          F.concat_ws(" ", "action", text("target_value"), "event_hash").alias("msg"))

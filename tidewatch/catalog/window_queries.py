@@ -190,6 +190,12 @@ def a03(spark, sf):
     return flat_profiles(P.profiles(ev(spark, sf), AS_OF))
 
 
+@register("k02_write_profiles", PROFILE_SQL)
+def k02(spark, sf):
+    from ..session import cut_lineage
+    return flat_profiles(cut_lineage(P.profiles(ev(spark, sf), AS_OF)))
+
+
 @register("a04_all_profiles", PROFILE_SQL.replace(f"where {SINCE}", "where true"))
 def a04(spark, sf):
     return flat_profiles(P.profiles(ev(spark, sf)))

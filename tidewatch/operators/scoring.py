@@ -91,7 +91,8 @@ def rule_verdict(features: DataFrame) -> DataFrame:
             .withColumn("intent", rule_intent("rule_score"))
             .withColumn("deviation", rule_deviation("rule_score"))
             .withColumn("channels", mask_names("score_channels", DOC_CHANNELS + WEB_CHANNELS))
-            .withColumn("explanation", F.concat(F.lit("[rules] "), reasons)))
+            .withColumn("explanation", F.concat(F.lit("[rules] "), reasons))
+            .withColumn("ai_participated", F.lit(0)))
 
 
 def work_hours_cap() -> Column:
@@ -217,7 +218,8 @@ def score_events(events: DataFrame, as_of: str, rules: Rules = Rules(), v: Vocab
 
 
 VERDICT_COLUMNS = ["verdict_id", "employee_id", "window_start", "window_end", "n", "visits", "intent", "deviation",
-                   "risk_score", "primary_score", "anchored", "channels", "deviation_flags", "explanation"]
+                   "risk_score", "primary_score", "anchored", "channels", "deviation_flags", "explanation",
+                   "ai_participated"]
 
 
 def with_verdict_id(verdicts: DataFrame) -> DataFrame:
@@ -225,6 +227,14 @@ def with_verdict_id(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("verdict_id", key)
 
 
+def with_devices(verdicts: DataFrame, events: DataFrame) -> DataFrame:
+    """Add the device of the first event of each window."""
+    first = (events.select("employee_id", F.col("occurred_at").alias("window_start"), "device_id", "event_hash")
+             .join(verdicts.select(*WINDOW_KEY), WINDOW_KEY, "left_semi")
+             .groupBy(*WINDOW_KEY).agg(F.min_by("device_id", "event_hash").alias("device_id")))
+    return verdicts.join(first, WINDOW_KEY, "left")
+
+
 def repeated_windows(keys: DataFrame, recent_keys: DataFrame, as_of: str, rules: Rules = Rules()) -> DataFrame:
     """Windows that share a trigger key with a verdict of the suppression period.
 
@@ -252,6 +262,7 @@ def reconcile(primary: DataFrame, review: DataFrame) -> DataFrame:
             .withColumn("intent", F.when(agree, F.coalesce("review_intent", "intent")).otherwise(F.col("intent")))
             .withColumn("explanation", F.when(agree, F.coalesce("review_text", "explanation"))
                         .otherwise(F.col("explanation")))
+            .withColumn("ai_participated", F.when(agree, F.lit(1)).otherwise(F.col("ai_participated")))
             .drop("review_score", "review_intent", "review_text"))
 
 

@@ -243,9 +243,11 @@ def person_cards(events: DataFrame, verdicts: DataFrame, alerts: DataFrame) -> D
         F.count_if(src == "endpoint").alias("n_endpoint"), F.count_if(src != "endpoint").alias("n_proxy"))
     vr = verdicts.groupBy("employee_id").agg(F.count("*").alias("verdict_count"), F.max("risk_score").alias("max_risk"))
     al = alerts.groupBy("employee_id").agg(F.count("*").alias("alert_count"))
-    listed = ranked_list(alerts, ["employee_id"], F.concat("scenario", F.lit(":"), F.col("risk_score").cast("string"),
-                                                          F.lit(":"), "status"),
-                         [F.desc("risk_score"), F.col("dedup_key")], 20, "alert_list", ",")
+    # Alert keys are unique, so a person has at most one row per scenario and day.
+    entry = F.struct((-F.col("risk_score")).alias("o"), "dedup_key",
+                     F.concat_ws(":", "scenario", F.col("risk_score").cast("string"), "status").alias("t"))
+    listed = alerts.groupBy("employee_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(entry)), lambda x: x["t"]), ",").alias("alert_list"))
     zero = F.lit(0).cast("bigint")
     return (ev.join(vr, "employee_id", "left").join(al, "employee_id", "left").join(listed, "employee_id", "left")
             .withColumn("verdict_count", F.coalesce("verdict_count", zero))
