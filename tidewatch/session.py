@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -59,11 +62,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir: executors do not share a temporary folder")
         configured = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python may start in another folder.
+
+    The archive's name is a digest of its content, so a second call adds nothing.
+    """
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                entry = zipfile.ZipInfo(os.path.relpath(path, os.path.dirname(root)))
+                with open(path, "rb") as f:
+                    archive.writestr(entry, f.read())
+    name = f"tidewatch-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip"
+    context = spark.sparkContext
+    if any(os.path.basename(str(p)) == name for p in context._python_includes):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewatch-package-"), name)
+    with open(path, "wb") as f:
+        f.write(packed.getvalue())
+    context.addPyFile(path)
+
+
 def cut_lineage(df):
     """Write `df` once to the shared folder and return the written table.
 
