@@ -81,10 +81,14 @@ class LineRuns:
                 self.levels[at] = []
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """Outer merge joins: runs are sorted and bucketed alike, so each step reads two runs side by side."""
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+            other = self.spark.table(name).select("h1", "h2", F.col("n_docs").alias("more"), F.col("keeper").alias("other"))
+            rows = rows.join(other, ["h1", "h2"], "full_outer").select(
+                "h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"),
+                F.greatest("keeper", "other").alias("keeper"))
+        return rows
 
     def view(self) -> DataFrame:
         """One row per line: in how many documents it is, and which of them keeps it."""
