@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, warc
+from . import bpe, language, line_dedup, token_files, warc
 from .common import ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +27,25 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(spark, warc.write_archive(table(spark, sf_dir, "pages")))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by rank-order profiles."""
+    ready(spark)
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of all documents."""
     ready(spark)
     return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    ready(spark)
+    files = token_files.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read(spark, files)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three documents or more, kept in the largest document only."""
     ready(spark)
@@ -68,6 +81,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Query] = {
-    "op1_warc": op1_warc, "op4_bpe": op4_bpe, "op6_line_dedup": op6_line_dedup,
+    "op1_warc": op1_warc, "op2_language": op2_language, "op4_bpe": op4_bpe, "op5_token_files": op5_token_files,
+    "op6_line_dedup": op6_line_dedup,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL}
