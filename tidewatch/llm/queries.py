@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, token_files, toxicity, warc
+from . import bpe, language, line_dedup, suffix_tree, token_files, toxicity, warc
 from .common import ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    ready(spark)
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def _base32(column: str) -> str:
     digits = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
     parts = [f"substr({digits}, 1 + (((('0x' || substr({column}, {5 * i // 4 + 1}, 2))::INTEGER) >> {3 - 5 * i % 4}) & 31), 1)" for i in range(31)]
@@ -89,5 +95,6 @@ FROM m GROUP BY doc_id"""
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language": op2_language, "op4_bpe": op4_bpe, "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup, "op9_toxicity": op9_toxicity,
+    "op10_lm": op10_lm,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL}
