@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, suffix_tree, token_files, toxicity, warc
+from . import bpe, language, line_dedup, ngram_join, suffix_tree, token_files, toxicity, warc
 from .common import ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their four-word shingles."""
+    ready(spark)
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     ready(spark)
@@ -94,7 +100,7 @@ FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language": op2_language, "op4_bpe": op4_bpe, "op5_token_files": op5_token_files,
-    "op6_line_dedup": op6_line_dedup, "op9_toxicity": op9_toxicity,
+    "op6_line_dedup": op6_line_dedup, "op7_ngram_join": op7_ngram_join, "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL}
