@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, line_dedup, ngram_join, suffix_tree, token_files, toxicity, warc
+from . import bpe, language, line_dedup, nearest, ngram_join, suffix_tree, token_files, toxicity, warc
 from .common import ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    ready(spark)
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     ready(spark)
@@ -100,7 +107,7 @@ FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language": op2_language, "op4_bpe": op4_bpe, "op5_token_files": op5_token_files,
-    "op6_line_dedup": op6_line_dedup, "op7_ngram_join": op7_ngram_join, "op9_toxicity": op9_toxicity,
+    "op6_line_dedup": op6_line_dedup, "op7_ngram_join": op7_ngram_join, "op8_nearest": op8_nearest, "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_line_dedup": OP6_SQL}
