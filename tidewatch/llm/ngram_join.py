@@ -44,8 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words end to end, borders between texts)."""
     from xxhash import xxh64_intdigest
     cut = words_of(texts)
     sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -54,13 +54,22 @@ def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(sizes)])]
     coded = words.filter(pa.array(held)).dictionary_encode()
     names = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    if not len(names):
-        return [np.zeros(0, np.uint64)] * len(texts)
-    h = names[coded.indices.to_numpy(zero_copy_only=False)]
+    return (names[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else names), ends
+
+
+def runs_of(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of `k` words."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    return mix(sum((h[j:j + n] * ODD[j] for j in range(k)), np.zeros(n, np.uint64)))
+
+
+def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text."""
+    h, ends = word_hashes(texts)
     with np.errstate(over="ignore"):
-        n = len(h) - k + 1
-        run = sum((h[j:j + n] * ODD[j] for j in range(k)), np.zeros(max(n, 0), np.uint64)) if n > 0 else np.zeros(0, np.uint64)
-        run = mix(run)
+        run = runs_of(h, k)
         out = []
         for a, b in zip(ends, ends[1:]):
             if b - a >= k:

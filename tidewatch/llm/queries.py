@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_dedup, nearest, ngram_join, suffix_tree, token_files, toxicity, warc
+from . import bpe, decontaminate, language, line_dedup, nearest, ngram_join, suffix_tree, token_files, toxicity, warc
 from .common import ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    ready(spark)
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of all documents."""
     ready(spark)
@@ -106,7 +112,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Query] = {
-    "op1_warc": op1_warc, "op2_language": op2_language, "op4_bpe": op4_bpe, "op5_token_files": op5_token_files,
+    "op1_warc": op1_warc, "op2_language": op2_language, "op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup, "op7_ngram_join": op7_ngram_join, "op8_nearest": op8_nearest, "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
 }
