@@ -1,14 +1,76 @@
-"""Training-data pipeline; its stages are added with their operators."""
+"""Training-data pipeline over `documents`.
+
+Toxic documents go; lines of three or more documents stay in one of them; of near-duplicates (five-word shingles, 80 %)
+the smallest id stays; documents that hold a benchmark item go; what is left is encoded, and decoded again.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
+documents.  No SQL can state the first stage (a fitted model), so ORACLE_SQL is None.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
+from tidewatch.llm.common import folder, ready, table
+from tidewatch.llm.queries import tokenizer_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model does not call toxic."""
+    ready(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, common lines kept in the largest id that holds them; n_chars follows the text."""
+    ready(spark)
+    out = line_dedup.drop_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    ready(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    ready(spark)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document left, with digests of ids and decoded text."""
+    ready(spark)
+    return bpe.token_digests(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_common_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("BPE encoding and decoding", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The result of the last stage."""
+    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{place}/{k}")
+            docs = spark.read.parquet(f"{place}/{k}")
+    return docs

@@ -335,19 +335,21 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return out.withColumnRenamed("key", key)
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document the number of tokens and digests of ids and decoded text."""
+def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Per document the number of tokens and digests of ids and decoded text (and the ids, 32 bits each)."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for part in joined(parts):
             ids, ends, decoded = own.texts(part.column(1).fill_null(""))
-            yield pa.RecordBatch.from_arrays([
+            columns = [
                 part.column(0), pa.array(np.diff(ends), pa.int64()),
                 pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string()),
-                pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in decoded], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in decoded], pa.string())]
+            if with_ids:
+                columns.append(pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(columns)])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, schema)

@@ -7,7 +7,7 @@ When a level holds `fanout` runs they are compacted into one run of the next lev
 
 Buckets are the same for all runs, so neither the anti-joins nor the compactions shuffle the runs.
 
-Defined cases: null or empty text is one empty line; a text that loses all lines becomes empty; rows that share a
+Defined cases: null or empty text is one empty line (and stays as it is); a text that loses all lines becomes empty; rows that share a
 document id count as one document; a row with null id keeps all its lines and counts for none; other columns pass
 through `drop_lines` untouched; repeated lines of one document count once.
 """
@@ -148,10 +148,10 @@ def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batche
     out = own.join(gone, "_id", "left").withColumn("_kept", kept)
     out = (out.withColumn("n_lines", F.size(all_lines).cast("long"))
            .withColumn("n_dropped", (F.size(all_lines) - F.size("_kept")).cast("long"))
-           .withColumn("text", F.array_join("_kept", "\n")))
+           .withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text").cast("string"))))
     return out.select(*docs.columns, "n_lines", "n_dropped")
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     out = drop_lines(pick(docs, doc_id="long", text="string"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

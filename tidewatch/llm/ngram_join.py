@@ -82,17 +82,21 @@ def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def key_sizes(n: int) -> list[int]:
-    """How many n-grams a key holds; sets near a border use both sizes, so similar sets always share one."""
-    return [g for g, low, high in ((1, 1, 18), (3, 13, 75), (8, 54, 2**62)) if low <= n <= high]
+def key_sizes(n: int, percent: int) -> list[int]:
+    """How many n-grams a key holds; sets near a border use both sizes, so similar sets always share one.
+
+    Long keys agree with a probability of about 0.27 at the threshold: eight n-grams at 85 %, six at 80 %.
+    """
+    long = round(np.log(0.27) / np.log(percent / 100))
+    return [g for g, low, high in ((1, 1, 18), (3, 13, 75), (long, 54, 2**62)) if low <= n <= high]
 
 
-def keys_of(own: np.ndarray, pivots: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def keys_of(own: np.ndarray, pivots: np.ndarray, seeds: np.ndarray, percent: int) -> np.ndarray:
     """Fragment keys of a set; the lowest two bits say which kind of hub the key's group uses."""
     n = len(own)
     orders = np.sort(mix(own[None, :] ^ seeds[:, None]), axis=1)
     found = []
-    for g in key_sizes(n):
+    for g in key_sizes(n, percent):
         at = np.arange(g)
         for r in range(len(seeds)):
             start = np.searchsorted(orders[r], pivots)
@@ -102,7 +106,7 @@ def keys_of(own: np.ndarray, pivots: np.ndarray, seeds: np.ndarray) -> np.ndarra
     return np.unique(np.concatenate(found))
 
 
-def profile(docs: DataFrame, k: int) -> DataFrame:
+def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, d1, d2, keys): set size, 128-bit digest of the set and fragment keys of each row."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +115,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
         for part in joined(parts):
             with np.errstate(over="ignore"):
                 sets = sets_of(part.column(1), k)
-                keys = [keys_of(s, pivots, seeds).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                keys = [keys_of(s, pivots, seeds, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
                 d1 = np.array([mix(s ^ ODD[1]).sum(dtype=np.uint64) for s in sets], np.uint64)
                 d2 = np.array([mix(s ^ ODD[2]).sum(dtype=np.uint64) for s in sets], np.uint64)
             borders = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
@@ -195,10 +199,18 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("component"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with only the smallest document of each component; rows without id stay."""
+    lost = join(docs, k, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(lost, docs["doc_id"] == lost["doc_id"], "left_anti")
+
+
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
+    if not 75 <= percent < 100:
+        raise ValueError("keys are laid out for thresholds of 75 % to 99 %")
     docs = pick(docs, doc_id="long", text="string")
-    rows = stored(profile(docs, k))
+    rows = stored(profile(docs, k, percent))
     # Equal sets: one of them, with the smallest id, stands for all.
     some = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     own = some.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n")).alias("set")).select("doc_id", "set.*")
