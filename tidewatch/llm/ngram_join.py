@@ -8,9 +8,11 @@ A global order of all n-grams (by hash) is cut at pivots into fragments.
   with `PIVOTS` pivots each give 80 such keys.  At a similarity of 0.85 a key of eight n-grams agrees with
   probability 0.27, so all 80 fail with probability 1e-11; short documents use shorter keys (see `key_sizes`).
 
-Groups of copies are never expanded into all pairs.  Equal sets meet by their digest.  In each key group a few documents
-chosen by hash are compared with all others; then only documents that are still in different components, and share a
-key, are compared with each other.  Two documents of one component need no comparison: the link cannot change it.
+Groups of copies are never expanded into all pairs.  Equal sets meet by their digest.  In each key group the member that
+shares most keys with others, and one chosen by hash, are compared with all others.  Then only documents that are still in
+different components, and share a key, are compared with each other: within a component a link changes nothing.  Of an
+overlap between components an n-gram that only one component has cannot be part; pairs whose other n-grams are too few
+for the threshold are left out.
 
 Defined cases: null or blank texts have no n-grams and link with nothing; shorter texts than `k` words are one n-gram;
 rows that share an id are one document whose set is that of the row with the smallest digest; a null id is in no
@@ -31,7 +33,7 @@ from .bpe import joined
 from .common import pick, stored
 from .suffix_tree import words_of
 
-FRAGMENTS, ORDERS, PIVOTS, HUBS = 8, 8, 10, 4
+FRAGMENTS, ORDERS, PIVOTS, PRUNES = 8, 8, 10, 3
 FILTER_BITS = 24
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -92,7 +94,7 @@ def key_sizes(n: int, percent: int) -> list[int]:
 
 
 def keys_of(own: np.ndarray, pivots: np.ndarray, seeds: np.ndarray, percent: int) -> np.ndarray:
-    """Fragment keys of a set; the lowest two bits say which kind of hub the key's group uses."""
+    """Fragment keys of a set."""
     n = len(own)
     orders = np.sort(mix(own[None, :] ^ seeds[:, None]), axis=1)
     found = []
@@ -101,8 +103,7 @@ def keys_of(own: np.ndarray, pivots: np.ndarray, seeds: np.ndarray, percent: int
         for r in range(len(seeds)):
             start = np.searchsorted(orders[r], pivots)
             grams = orders[r][(start[:, None] + at) % n]
-            key = mix((grams * ODD[at]).sum(axis=1) + np.uint64(r * 16 + g))
-            found.append((key & ~np.uint64(HUBS - 1)) | np.uint64(r % HUBS))
+            found.append(mix((grams * ODD[at]).sum(axis=1) + np.uint64(r * 16 + g)))
     return np.unique(np.concatenate(found))
 
 
@@ -138,7 +139,7 @@ def wanted(ids: DataFrame) -> np.ndarray:
 
 
 def segments(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fragment, n, grams): the n-grams of the documents in `ids`, cut at the fragments' borders."""
+    """(doc_id, grams): the n-grams of the documents in `ids`, cut at the fragments' borders: one binary per fragment."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted(ids))  # 2 MB
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,36 +152,52 @@ def segments(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 continue
             out = []
             for key, own in zip(part.column(0).to_pylist(), sets_of(part.column(1), k)):
-                for f, grams in enumerate(np.split(own, np.searchsorted(own, borders))):
-                    if len(grams):
-                        out.append((key, f, grams.tobytes()))
+                if len(own):
+                    out.append((key, [g.tobytes() for g in np.split(own, np.searchsorted(own, borders))]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()),
-                                                  pa.array([o[2] for o in out], pa.binary())], ["doc_id", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()),
+                                                  pa.array([o[1] for o in out], pa.list_(pa.binary()))], ["doc_id", "grams"])
 
     bit = F.xxhash64("doc_id").bitwiseAND(2**FILTER_BITS - 1)
-    return docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, fragment int, grams binary")
+    return docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, grams array<binary>")
 
 
-def links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b, na, nb) whose similarity is at least `percent`/100, with the overlap."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    parts = stored(segments(docs, ids, k))
+def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b, na, nb) whose similarity is at least `percent`/100, with the overlap; `parts` are segments."""
+
+    def overlap(left: list[bytes], right: list[bytes]) -> int:
+        """Partial overlaps, fragment by fragment, summed."""
+        return sum(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(left, right))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            left, right = part.column(4).to_pylist(), part.column(5).to_pylist()
-            both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(left, right)]
+            both = [overlap(x, y) for x, y in zip(part.column(4).to_pylist(), part.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
 
-    one = parts.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("left"))
-    two = parts.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("right"))
-    return (pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "left", "right")
+    one = parts.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
+    two = parts.select(F.col("doc_id").alias("b"), F.col("grams").alias("right"))
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "left", "right")
             .mapInArrow(run, "a long, b long, na long, nb long, both long")
-            .groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
             .where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))))
 
 
+def shared_grams(parts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, shared): how many n-grams of each document in `labels` (doc_id, component) other components have too."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            grams = [np.frombuffer(b"".join(g), np.int64) for g in part.column(2).to_pylist()]
+            sizes = [len(g) for g in grams]
+            if grams:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(1).to_numpy(), sizes)),
+                    pa.array(np.concatenate(grams))], ["doc_id", "component", "gram"])
+
+    rows = parts.join(labels, "doc_id").select("doc_id", "component", "grams").mapInArrow(run, "doc_id long, component long, gram long")
+    common = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
+    return rows.join(common.select("gram"), "gram").groupBy("doc_id").agg(F.count("*").alias("shared"))
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(doc_id, component): the smallest id reachable over `edges` (a, b).
 
@@ -217,30 +234,44 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     classes = stored(own.withColumn("_n", F.col("n")).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
     single = classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n")
     keyed = some.join(single, ["doc_id", "d1", "d2", "n"], "left_semi").select("doc_id", "n", F.explode("keys").alias("key")).distinct()
-    hub = F.min(F.struct(F.xxhash64("doc_id", F.col("key").bitwiseAND(HUBS - 1)).alias("turn"), "doc_id", "n"))
-    groups = keyed.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("size")).where(F.col("size") > 1)
-    members = stored(keyed.join(groups.select("key", "hub.doc_id", "hub.n").toDF("key", "hub", "hub_n"), "key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    members = stored(keyed.join(groups, "key"))
+    # The member with most company is likely the original of a group of edited copies.
+    company = members.groupBy("doc_id").agg(F.sum("size").alias("company"))
+    crowd = members.join(company, "doc_id")
+    hubs = crowd.groupBy("key").agg(F.array(F.max(F.struct("company", (-F.col("doc_id")).alias("turn"), "doc_id", "n")),
+                                            F.max(F.struct(F.xxhash64("doc_id").alias("company"), F.lit(0).cast("long").alias("turn"), "doc_id", "n"))).alias("hubs"))
+    hubs = hubs.select("key", F.explode("hubs").alias("hub")).select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
 
     def fits(n, m):
         return (100 * n >= percent * m) & (100 * m >= percent * n)
 
-    star = (members.where((F.col("hub") != F.col("doc_id")) & fits(F.col("n"), F.col("hub_n")))
-            .select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct())
-    star = stored(star)
-    linked = stored(links(star, docs, k, percent).select("a", "b"))
+    star = stored(members.join(hubs, "key").where((F.col("hub") != F.col("doc_id")) & fits(F.col("n"), F.col("hub_n")))
+                  .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"),
+                          F.when(F.col("hub") < F.col("doc_id"), F.col("hub_n")).otherwise(F.col("n")).alias("na"),
+                          F.when(F.col("hub") < F.col("doc_id"), F.col("n")).otherwise(F.col("hub_n")).alias("nb")).distinct())
+    parts = stored(segments(docs, members.select("doc_id").distinct(), k))
+    linked = stored(links(star, parts, percent).select("a", "b"))
     first = components(linked)
 
-    # What the hubs left apart: members of one key in different components, both sides of a size that could link.
+    # What the hubs left apart: members of one key in different components.
     label = members.select("key", "doc_id", "n").join(first, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = label.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
     label = stored(label.join(split.select("key"), "key", "left_semi"))
-    left = label.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = label.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    apart = (left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-             .select("a", "b", "na", "nb").distinct())
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    apart = stored(apart.join(tried, ["a", "b"], "left_anti"))
-    more = stored(links(apart, docs, k, percent).select("a", "b"))
+    for _ in range(PRUNES):  # documents that drop out leave fewer n-grams in common to the others
+        able = shared_grams(parts, label.select("doc_id", "component").distinct())
+        label = stored(label.drop("shared").join(able, "doc_id").where(100 * F.col("shared") >= percent * F.col("n")))
+    label = label.join(label.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")  # a document has 80 keys, or 160
+    left, right = (label.select("key", F.col("keys").alias("k" + x), F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x), F.col("shared").alias("s" + x))
+                   for x in "ab")
+    # A pair meets once: at the smallest key both have.
+    once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
+    # An overlap of at least percent / (100 + percent) of both sizes is needed.
+    enough = (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
+    apart = (left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+                       & fits(F.col("na"), F.col("nb")) & enough & once).select("a", "b", "na", "nb"))
+    apart = stored(apart.join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    more = stored(links(apart, parts, percent).select("a", "b"))
     final = components(linked.unionByName(more)) if not more.isEmpty() else first
 
     named = classes.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
