@@ -73,6 +73,32 @@ def test_reimport_adds_nothing_and_later_feeds_accumulate(spark, make, tmp_path)
     assert S.score_events(store.read("events", CANONICAL), NOW, judged=judged).count() == 0   # idle rerun
 
 
+def test_batches_may_cut_through_a_bucket(spark, make, tmp_path):
+    """Six visits of a bucket in two batches, and a proxy row that comes after the endpoint copy it covers."""
+    store = PL.Store(spark, str(tmp_path))
+    al, ign = no_aliases(spark)
+    visits = [{"at": f"2026-07-22 09:0{m}:00", "domain": "pan.baidu.com"} for m in range(6)]
+    copy = {"at": "2026-07-22 23:58:00", "domain": "d.org", "source": "endpoint"}
+    proxy = {"at": "2026-07-23 00:01:00", "domain": "d.org", "source": "proxy"}
+    for part in (visits[:3] + [copy], visits[3:] + [proxy], visits[:3]):
+        PL.ingest_batch(store, make(part), 0, al, ign)
+    got = sorted((r["domain"], r["count"], r["source"]) for r in store.read("events", CANONICAL).collect())
+    assert got == [("d.org", 1, "proxy"), ("pan.baidu.com", 6, "endpoint")]
+
+
+def test_latest_status_wins(spark):
+    alerts = A.merge_alerts(A.no_alerts(spark), verdict_rows(spark, [("p1", "2026-07-22 09:00:00", "job_seeking", 90)]), exemptions(spark), NOW)
+    changes = spark.createDataFrame([("p1|job_seeking", "TRIAGING", 1), ("p1|job_seeking", "CLOSED", 2), ("p1|job_seeking", "LOST", 3)],
+                                    "dedup_key string, new_status string, changed_at int")
+    assert A.set_status(alerts, changes).first()["status"] == "CLOSED"
+
+
+def test_profiles_keep_every_channel(make):
+    from tidewatch.operators.profiles import profiles
+    rows = [{"at": "2026-07-22 09:00:00", "category": "DOC", "action": "COPY", "channel": f"C{k}", "target": "a"} for k in range(100)]
+    assert len(profiles(make(rows)).first()["channels_used"]) == 100
+
+
 def test_append_skips_visitors_ignored_and_copies(spark, make):
     rows = [{"at": "2026-07-22 09:00:00", "who": w, "domain": "a.org"} for w in ("p1", "p1", "138", "p9")]
     kept = I.append_events(make(rows), make(rows[:1]).limit(0), spark.createDataFrame([("p9",)], "employee_id string"))

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import vocab
@@ -36,7 +37,17 @@ def test_proxy_export_tab_separated(spark, tmp_path):
     assert rows(S.read_proxy_export(spark, str(f)), "employee_id", "domain") == [("li", "a.org")]
     empty = tmp_path / "other.csv"
     empty.write_text("a,b\n1,2\n")
-    assert S.read_proxy_export(spark, str(empty)).count() == 0
+    with pytest.raises(Exception, match="no header line in"):
+        S.read_proxy_export(spark, str(empty)).collect()
+
+
+def test_proxy_exports_with_their_own_layouts(spark, tmp_path):
+    """Other column order, other delimiter, a header far down: every file is read by its own."""
+    (tmp_path / "a.csv").write_text("用户名,访问域名,时间\nli,a.org,2026-07-22 10:00:00\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("时间,用户名,序号,访问域名\n2026-07-22 11:00:00,wang,1,b.org\n", encoding="utf-8")
+    (tmp_path / "c.tsv").write_text("report\n" * 80 + "访问域名\t时间\t用户名\nc.org\t2026-07-22 12:00:00\tzhao\n", encoding="utf-8")
+    df = S.read_proxy_export(spark, str(tmp_path))
+    assert rows(df, "employee_id", "domain", F.hour("occurred_at")) == [("li", "a.org", 10), ("wang", "b.org", 11), ("zhao", "c.org", 12)]
 
 
 def test_endpoint_folder(spark, tmp_path):

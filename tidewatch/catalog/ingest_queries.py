@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions.base import fmt_ts
 from ..operators import classify as C
 from ..operators import fold as FO
@@ -167,6 +170,30 @@ def k01(spark, sf):
     return I.append_events(new.unionByName(new), e.filter("occurred_at < timestamp_ntz'2024-01-15'"), ignored(spark)).select("event_id", "employee_id")
 
 
+EMP = "case employee_id when 'u1' then '林一' when 'u2' then '林二' else employee_id end"
+ONE_BATCH = f"""uniq as (select * from canon qualify row_number() over (partition by event_hash order by event_id) = 1),
+ fold as (select employee_id, domain, time_bucket(interval 10 minute, occurred_at) as occurred_at, count(*)::int as n, arg_min(source, (occurred_at, event_hash)) as source
+  from uniq where category = 'WEB' and not {sql_contains('lower(domain)', vocab.NOISE_HINTS)} group by 1, 2, 3),
+ named as (select 'WEB' as category, {EMP} as emp, domain, occurred_at, n, source, 'VISIT' as action, domain as target_value from fold
+  union all select category, {EMP}, domain, occurred_at, "count", source, action, target_value from uniq where category <> 'WEB'),
+ kept as (select * from named c where not (category = 'WEB' and source = 'endpoint' and exists (select 1 from named p where p.category = 'WEB' and p.source <> 'endpoint'
+  and p.emp = c.emp and lower(p.domain) = lower(c.domain) and p.domain <> '' and abs(epoch_us(p.occurred_at) - epoch_us(c.occurred_at)) <= 600000000)))"""
+
+
+@register("t01_ingest_batches", with_("canon", "").rstrip() + ", " + ONE_BATCH + f""" select emp as employee_id, category, domain, occurred_at, n as n_visits, {sql_hash(emp='emp')} as event_hash
+ from kept where not regexp_matches(emp, '^[0-9]+$') and emp <> 'u9'""")
+def t01(spark, sf):
+    """Three batches that cut through buckets and days, the first one sent twice, give the result of one batch."""
+    from ..plans.pipeline import Store, ingest_batch
+    from ..schema import CANONICAL
+    from ..session import checkpoint_dir
+    store = Store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    e = ev(spark, sf)
+    for k in (0, 1, 2, 0):
+        ingest_batch(store, e.filter(F.col("event_id") % 3 == k), k, aliases(spark), ignored(spark))
+    return store.read("events", CANONICAL).select("employee_id", "category", "domain", "occurred_at", F.col("count").alias("n_visits"), "event_hash")
+
+
 @register("o4_message_union", with_("canon", "").rstrip() + """ select source, category, count(*) as n_rows from canon where source = 'endpoint' or event_id % 7 <> 0 group by 1, 2""")
 def o4(spark, sf):
     from ..plans.pipeline import message_batch

@@ -94,9 +94,15 @@ def apply_feedback(alerts: DataFrame, feedback: DataFrame, as_of: str) -> tuple[
 
 
 def set_status(alerts: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply (dedup_key, new_status) rows; statuses outside the five known ones are dropped."""
+    """Apply (dedup_key, new_status, changed_at) rows, of several for one alert the latest.
+
+    Statuses outside the five known ones are dropped.  Without `changed_at`, or at equal times, the last name counts.
+    """
+    if "changed_at" not in changes.columns:
+        changes = changes.withColumn("changed_at", F.lit(None).cast("timestamp_ntz"))
     valid = (changes.filter(F.col("new_status").isin(*ALERT_STATUSES))
-             .groupBy("dedup_key").agg(F.max("new_status").alias("new_status")))
+             .groupBy("dedup_key").agg(F.max(F.struct("changed_at", "new_status")).alias("last"))
+             .select("dedup_key", "last.new_status"))
     return (alerts.join(valid, "dedup_key", "left")
             .withColumn("status", F.coalesce("new_status", "status")).drop("new_status"))
 

@@ -113,15 +113,16 @@ def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 3
     hours = (slots.groupBy("employee_id", F.lit("hour").alias("kind"),
                            F.lpad(F.col("hour").cast("string"), 2, "0").alias("key")).agg(F.sum("n").alias("n")))
     ranked = counts.unionByName(hours)
-    most = max(64, len(v.get("sensitive_keywords")))
     weight = F.when(F.col("kind") == "send_day", F.unix_date(F.col("key").try_cast("date")).cast("bigint")).otherwise(F.col("n"))
     order = Window.partitionBy("employee_id", "kind").orderBy(F.desc("weight"), "key")
-    top = (ranked.withColumn("weight", weight).withColumn("rn", F.row_number().over(order))
-           .filter(F.col("rn") <= most))
-    limit = F.lit(most)
+    ranked = ranked.withColumn("weight", weight).withColumn("rn", F.row_number().over(order))
+    limit = F.lit(None).cast("int")
     for kind, k in TOP.items():
         limit = F.when(F.col("kind") == kind, F.lit(k)).otherwise(limit)
-    top = top.filter(F.col("rn") <= limit)
+    # Only top lists are cut; channels, actions, classes and keywords are kept whole.
+    listed = F.col("kind").isin(*TOP)
+    top = (ranked.filter(listed).filter(F.col("rn") <= max(TOP.values())).filter(F.col("rn") <= limit)
+           .unionByName(ranked.filter(~listed)))
 
     def entries(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rn", "key", "n"))))

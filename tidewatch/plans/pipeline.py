@@ -18,7 +18,7 @@ from ..operators.profiles import profiles
 from ..schema import Rules
 from ..session import cut_lineage
 from ..sources import messages as M
-from ..sources.sinks import append_partitioned, append_verdicts, overwrite_snapshot
+from ..sources.sinks import append_partitioned, append_verdicts, overwrite_snapshot, replace_partitions
 from ..vocab import DEFAULT, Vocabulary
 
 
@@ -32,22 +32,48 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def exists(self, table: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def read(self, table: str, schema) -> DataFrame:
         """Stored table, or an empty one before the first write."""
-        try:
-            return self.spark.read.parquet(self.path(table))
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(self.path(table)) if self.exists(table) else self.spark.createDataFrame([], schema)
 
 
 def ingest_batch(store: Store, batch: DataFrame, batch_id: int, aliases: DataFrame, ignored: DataFrame) -> None:
-    """Store one batch of canonical events; a replay of the same batch adds nothing."""
+    """Store one batch of canonical events; neither the cut between batches nor a replay changes the result.
+
+    Visits are kept unfolded in `visits`, once per hash.  A hash contains its time, so equal hashes lie on one day and
+    only the days of the batch are compared.  The days the batch touches are then folded again from all their visits.
+    """
+    from ..schema import CANONICAL, to_canonical
+    day = F.col("occurred_at").cast("date")
+    rows = to_canonical(batch).filter("occurred_at is not null").dropDuplicates(["event_hash"]).withColumn("event_date", day)
+    if store.exists("visits"):
+        days = [r[0] for r in rows.select("event_date").distinct().collect()]  # calendar days of one batch
+        stored = store.read("visits", CANONICAL).filter(F.col("event_date").isin(days)).select("event_date", "event_hash")
+        rows = rows.join(stored, ["event_date", "event_hash"], "left_anti")
+    rows = cut_lineage(to_canonical(rows))
+    append_partitioned(rows, store.path("visits"))
+    publish_days(store, [r[0] for r in rows.select(day.alias("d")).distinct().collect()], aliases, ignored)
+
+
+def publish_days(store: Store, days: list, aliases: DataFrame, ignored: DataFrame) -> None:
+    """Fold the given days, and the days beside them, from the stored visits and replace them in `events`.
+
+    A visit near midnight is covered by a proxy row of the next day, so one more day on either side is read.
+    """
+    from datetime import timedelta
+
     from ..schema import CANONICAL, to_canonical
-    existing = store.read("events", CANONICAL)
-    fresh = I.ingest(batch, existing.select("event_hash"), aliases, ignored)
-    append_partitioned(to_canonical(fresh), store.path("events"))
+    if not days:
+        return
+    touched = sorted({d + timedelta(n) for d in days for n in (-1, 0, 1)})
+    context = sorted({d + timedelta(n) for d in touched for n in (-1, 0, 1)})
+    visits = to_canonical(store.read("visits", CANONICAL).filter(F.col("event_date").isin(context)))
+    events = I.ingest(visits, visits.select("event_hash").limit(0), aliases, ignored)
+    replace_partitions(to_canonical(events).filter(F.col("occurred_at").cast("date").isin(touched)), store.path("events"))
 
 
 def score_range(events: DataFrame, as_of: str, days: int = 7, rules: Rules = Rules(),
@@ -77,9 +103,16 @@ def alert_snapshot(events: DataFrame, verdicts: DataFrame, alerts: DataFrame, ex
 
 def daily_job(store: Store, events: DataFrame, alerts: DataFrame, exemptions: DataFrame, as_of: str, version: str,
               rules: Rules = Rules(), v: Vocabulary = DEFAULT) -> None:
-    """Profiles, verdicts and the audited alert snapshot of a day, each written to its own folder."""
+    """Profiles, verdicts and the audited alert snapshot of a day, each written to its own folder.
+
+    Windows judged by an earlier run are not scored again: each verdict is appended once, and an alert that somebody
+    has handled reopens only by a window that no run has seen.
+    """
     facts = W.shared_facts(events, v, rules)
-    verdicts = S.score_events(events, as_of, rules, v, facts=facts).select(*S.VERDICT_COLUMNS)
+    judged = None
+    if store.exists("verdicts"):
+        judged = store.spark.read.parquet(store.path("verdicts")).select("employee_id", "window_start", "window_end")
+    verdicts = cut_lineage(S.score_events(events, as_of, rules, v, judged=judged, facts=facts).select(*S.VERDICT_COLUMNS))
     snapshot = alert_snapshot(events, verdicts, alerts, exemptions, as_of, rules, v)
     verdicts, snapshot, fixes = audit(verdicts, snapshot, signatures(facts), exemptions, events, as_of)
     append_verdicts(verdicts, store.path("verdicts"))

@@ -57,8 +57,9 @@ def evidence(verdicts: DataFrame, windowed: DataFrame, most: int = 50) -> DataFr
 
 
 def raw_log_search(raw: DataFrame, start: str | None = None, end: str | None = None, log_type: str | None = None,
-                   user: str | None = None, word: str | None = None, most: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(total, page) of raw messages, newest first; a page holds at most 5000 rows."""
+                   user: str | None = None, word: str | None = None, most: int = 500,
+                   page_cap: int | None = 5000) -> tuple[DataFrame, DataFrame]:
+    """(total, page) of raw messages, newest first; a page holds at most `page_cap` rows (None: no cap)."""
     out = raw
     if start:
         out = out.filter(F.col("received_at") >= F.lit(start).cast("timestamp_ntz"))
@@ -70,7 +71,7 @@ def raw_log_search(raw: DataFrame, start: str | None = None, end: str | None = N
         out = out.filter(F.col("user").contains(user))
     if word:
         out = out.filter(F.col("msg").contains(word))
-    page = out.orderBy(F.desc("received_at"), "msg").limit(min(most, 5000))
+    page = out.orderBy(F.desc("received_at"), "msg").limit(most if page_cap is None else min(most, page_cap))
     return out.agg(F.count("*").alias("total")), page
 
 

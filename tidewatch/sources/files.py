@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,42 +16,56 @@ from ..schema import to_canonical
 BOM = "\ufeff"
 
 
-def find_layout(spark: SparkSession, path, aliases: dict, required: tuple, scan_rows: int = 50):
-    """Delimiter and header cells of an export, from its first rows only; None without a header."""
-    lines = [r[0] for r in spark.read.text(path).limit(scan_rows).collect()]
-    if not lines:
-        return None
-    sep = "\t" if lines[0].count("\t") > lines[0].count(",") else ","
-    for cells in csv.reader([line.lstrip(BOM) for line in lines], delimiter=sep):
-        names = [aliases.get(c.strip()) for c in cells]
-        if all(r in names for r in required):
-            return sep, [c.strip() for c in cells], names
-    return None
+def read_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, line) of all text files of a path, without blank lines."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return (lines.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", BOM, "").alias("line"))
+            .filter(F.trim("line") != ""))
+
+
+def _cells(sep: str, most: int = 64) -> Column:
+    """Trimmed cells of a line, as text."""
+    row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(most)), {"sep": sep, "mode": "PERMISSIVE"})
+    return F.array(*[F.trim(F.coalesce(row[f"c{i}"], F.lit(""))) for i in range(most)])
+
+
+def _names(cells: Column, aliases: dict) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.transform(cells, lambda c: F.coalesce(F.element_at(known, c), F.lit("")))
 
 
-def read_export(spark: SparkSession, path, aliases: dict, required: tuple, scan_rows: int = 50) -> DataFrame | None:
-    """All cells as text under their alias names.
+def export_rows(lines: DataFrame, aliases: dict, required: tuple, strict: bool = True) -> DataFrame:
+    """All cells as text under their alias names; every file has its own layout.
 
-    Every file of `path` has the layout of the first one; header and title rows
-    of each file fall out because their required cells are header text or empty.
+    A file's header is the line, wherever it stands, that names all `required` columns (of several the one with most
+    names).  Header lines and lines with a single filled cell (titles) fall out.  A file without header raises an error, unless `strict` is off: then its lines are left out.
     """
-    layout = find_layout(spark, path, aliases, required, scan_rows)
-    if layout is None:
-        return None
-    sep, cells, names = layout
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(cells))])
-    rows = spark.read.schema(schema).option("sep", sep).option("header", False).option("multiLine", False).csv(path)
-    cols, seen = [], set()
-    for i, name in enumerate(names):
-        if name and name not in seen:
-            seen.add(name)
-            cols.append(F.trim(F.regexp_replace(text(f"c{i}"), BOM, "")).alias(name))
-    anchor = names.index(required[0])
-    is_header = F.regexp_replace(F.trim(text(f"c{anchor}")), BOM, "") == cells[anchor]
-    out = rows.filter(~is_header).select(*cols)
-    for name in set(aliases.values()) - seen:
-        out = out.withColumn(name, F.lit(""))
-    return out
+    heads = []
+    for sep in (",", "\t"):
+        names = _names(_cells(sep), aliases)
+        heads.append(lines.select("file", F.lit(sep).alias("sep"), names.alias("names"))
+                     .filter(F.forall(F.array(*map(F.lit, required)), lambda r: F.array_contains("names", r))))
+    count = F.size(F.array_distinct("names"))
+    layouts = (heads[0].unionByName(heads[1]).groupBy("file")
+               .agg(F.max(F.struct(count.alias("n"), "sep", "names")).alias("layout")).select("file", "layout.sep", "layout.names"))
+    rows = lines.join(layouts, "file", "left" if strict else "inner")
+    cells = F.when(F.col("sep") == "\t", _cells("\t")).otherwise(_cells(","))
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no header line in "), F.col("file"))).cast("array<string>")
+        cells = F.when(F.col("sep").isNull(), missing).otherwise(cells)
+    rows = rows.select("names", cells.alias("cells"))
+    is_header = F.forall(F.array(*map(F.lit, required)), lambda r: F.array_contains(_names(F.col("cells"), aliases), r))
+
+    def cell(name: str) -> Column:
+        at = F.array_position("names", name)
+        return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).otherwise("").alias(name)
+
+    is_title = F.size(F.filter("cells", lambda c: c != "")) < 2
+    return rows.filter(~is_header & ~is_title).select(*[cell(name) for name in dict.fromkeys(aliases.values())])
+
+
+def read_export(spark: SparkSession, path, aliases: dict, required: tuple) -> DataFrame:
+    return export_rows(read_lines(spark, path), aliases, required)
 
 
 def proxy_events(rows: DataFrame) -> DataFrame:
@@ -72,8 +84,7 @@ def proxy_events(rows: DataFrame) -> DataFrame:
 
 
 def read_proxy_export(spark: SparkSession, path) -> DataFrame:
-    rows = read_export(spark, path, vocab.PROXY_HEADERS, ("user", "time", "domain"))
-    return empty_events(spark) if rows is None else proxy_events(rows)
+    return proxy_events(read_export(spark, path, vocab.PROXY_HEADERS, ("user", "time", "domain")))
 
 
 def empty_events(spark: SparkSession) -> DataFrame:
@@ -121,10 +132,13 @@ ENDPOINT_KINDS = {
 }
 
 
-def _read_endpoint(spark: SparkSession, path, kind: str) -> DataFrame:
+def _endpoint_rows(lines: DataFrame, kind: str, strict: bool = True) -> DataFrame:
     required, build, _ = ENDPOINT_KINDS[kind]
-    rows = read_export(spark, path, vocab.ENDPOINT_HEADERS, required, scan_rows=6)
-    return empty_events(spark) if rows is None else build(rows)
+    return build(export_rows(lines, vocab.ENDPOINT_HEADERS, required, strict))
+
+
+def _read_endpoint(spark: SparkSession, path, kind: str) -> DataFrame:
+    return _endpoint_rows(read_lines(spark, path), kind)
 
 
 def read_doc_log(spark: SparkSession, path) -> DataFrame:
@@ -140,22 +154,17 @@ def read_search_log(spark: SparkSession, path) -> DataFrame:
 
 
 def read_endpoint_dir(spark: SparkSession, path: str) -> DataFrame:
-    """All endpoint exports of a folder, sorted by file name; unknown names are tried as each kind."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    files = [r[0] for r in listing.collect()]
-    groups: dict[str, list[str]] = {k: [] for k in ENDPOINT_KINDS}
+    """All endpoint exports of a folder; files of unknown name count as every kind whose header they have."""
+    lines = read_lines(spark, path)
+    name = F.lower(F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B"))))
+    kind = F.lit(None).cast("string")
+    for k, (_, _, words) in reversed(ENDPOINT_KINDS.items()):
+        kind = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w)), k).otherwise(kind)
+    lines = lines.withColumn("kind", kind)
     out = empty_events(spark)
-    for f in files:
-        from urllib.parse import unquote
-        name = unquote(f.rsplit("/", 1)[-1]).lower()
-        kind = next((k for k, (_, _, words) in ENDPOINT_KINDS.items() if any(w in name for w in words)), None)
-        for k in [kind] if kind else ENDPOINT_KINDS:
-            groups[k].append(f)
-    for kind, paths in groups.items():
-        # Files of unknown kind may have another layout, so they are read one by one.
-        known = [p for p in paths if any(w in unquote(p.rsplit("/", 1)[-1]).lower() for w in ENDPOINT_KINDS[kind][2])]
-        for part in ([known] if known else []) + [[p] for p in paths if p not in known]:
-            out = out.unionByName(_read_endpoint(spark, part, kind))
+    for k in ENDPOINT_KINDS:
+        out = out.unionByName(_endpoint_rows(lines.filter(F.col("kind") == k).drop("kind"), k))
+        out = out.unionByName(_endpoint_rows(lines.filter("kind is null").drop("kind"), k, strict=False))
     return out
 
 
