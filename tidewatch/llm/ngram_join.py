@@ -9,7 +9,7 @@ A global order of all n-grams (by hash) is cut at pivots into fragments.
   probability 0.27, so all 80 fail with probability 1e-11; short documents use shorter keys (see `key_sizes`).
 
 Groups of copies are never expanded into all pairs.  Equal sets meet by their digest.  In each key group the member that
-shares most keys with others, and one chosen by hash, are compared with all others.  Then only documents that are still in
+shares most keys with others is compared with all others.  Then only documents that are still in
 different components, and share a key, are compared with each other: within a component a link changes nothing.  Of an
 overlap between components an n-gram that only one component has cannot be part; pairs whose other n-grams are too few
 for the threshold are left out.
@@ -239,9 +239,8 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # The member with most company is likely the original of a group of edited copies.
     company = members.groupBy("doc_id").agg(F.sum("size").alias("company"))
     crowd = members.join(company, "doc_id")
-    hubs = crowd.groupBy("key").agg(F.array(F.max(F.struct("company", (-F.col("doc_id")).alias("turn"), "doc_id", "n")),
-                                            F.max(F.struct(F.xxhash64("doc_id").alias("company"), F.lit(0).cast("long").alias("turn"), "doc_id", "n"))).alias("hubs"))
-    hubs = hubs.select("key", F.explode("hubs").alias("hub")).select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hub = F.max(F.struct("company", (-F.col("doc_id")).alias("turn"), "doc_id", "n"))
+    hubs = crowd.groupBy("key").agg(hub.alias("hub")).select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
 
     def fits(n, m):
         return (100 * n >= percent * m) & (100 * m >= percent * n)
