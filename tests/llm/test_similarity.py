@@ -235,8 +235,10 @@ def test_pipeline(spark, data):
 
 
 def test_every_query_is_registered():
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11)) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
+    import __spark_entry__
+    assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
