@@ -209,10 +209,20 @@ def a19(spark, sf):
     return R.unclassified_domains(ev(spark, sf))
 
 
-@register("a20_transfer_domains", with_("cls", "").rstrip() + ", " + UNCL + ", " + TRANS.format(most=100000) + " select * from ftrans")
+# Hosts of at most ten people each, so that the rule "few people" decides at its default.
+RARE_SQL = "case when category = 'WEB' and len(employee_id) <= 3 then '1cdn-drop' || right(employee_id, 1) || '.example' else domain end"
+RARE_CLS = with_("cls", "").rstrip().replace(f"canon as ({CTES['canon']})", f"canon as (select * replace ({RARE_SQL} as domain) from ({CTES['canon']}))")
+
+
+def rare_hosts(spark, sf):
+    rare = F.concat(F.lit("1cdn-drop"), F.right("employee_id", F.lit(1)), F.lit(".example"))
+    return ev(spark, sf).withColumn("domain", F.when((F.col("category") == "WEB") & (F.length("employee_id") <= 3), rare).otherwise(F.col("domain")))
+
+
+@register("a20_transfer_domains", RARE_CLS + ", " + UNCL + ", " + TRANS.format(most=10) + " select * from ftrans")
 def a20(spark, sf):
-    e = ev(spark, sf)
-    return R.transfer_domains(e, AS_OF, max_people=100_000, listed=R.unclassified_domains(e))
+    e = rare_hosts(spark, sf)
+    return R.transfer_domains(e, AS_OF, listed=R.unclassified_domains(e))
 
 
 HEART_SQL = HEART.replace(" >= greatest(2, count(*) filter (n >= 1) // 2 * 0 + 2)", " >= greatest(2, count(*) filter (n >= 1) // 2)").replace("n >= 1", "n >= 2").replace("span >= n * 60000000", "span >= n * 15 * 60000000")
@@ -223,20 +233,20 @@ def a21(spark, sf):
     return R.heartbeat_domains(ev(spark, sf), AS_OF, min_rows=3, min_group=2)
 
 
-@register("d19_rule_suggestions", with_("cls", "").rstrip() + ", " + UNCL + ", " + TRANS.format(most=100000) + ", " + HEART_SQL + """
+@register("d19_rule_suggestions", RARE_CLS + ", " + UNCL + ", " + TRANS.format(most=10) + ", " + HEART_SQL + """
  select domain, 'suspect_new' as target, n_rows as hits, 'unclassified domain' as reason from uncl
  union all select domain, 'suspect_new', n_hits, 'upload-like requests by few people' from ftrans
  union all select domain, 'slack_sdk_domains', n_groups, 'regular sparse background traffic' from heart""")
 def d19(spark, sf):
-    e = ev(spark, sf)
+    e = rare_hosts(spark, sf)
     listed = R.unclassified_domains(e)
-    return R.rule_suggestions(listed, R.transfer_domains(e, AS_OF, max_people=100_000, listed=listed),
+    return R.rule_suggestions(listed, R.transfer_domains(e, AS_OF, listed=listed),
                               R.heartbeat_domains(e, AS_OF, min_rows=3, min_group=2))
 
 
-@register("l14_suggestion_triage", with_("cls", "").rstrip() + ", " + UNCL + ", " + HEART_SQL + """
- select domain, 'hot' as urgency from uncl union all select domain, 'risk' from heart""")
+@register("l14_suggestion_triage", RARE_CLS + ", " + UNCL + ", " + TRANS.format(most=10) + ", " + HEART_SQL + """
+ select domain, 'hot' as urgency from uncl union all select domain, 'hot' from ftrans union all select domain, 'risk' from heart""")
 def l14(spark, sf):
-    e = ev(spark, sf)
-    none = R.transfer_domains(e, AS_OF, min_hits=1_000_000_000)
-    return R.triage(R.rule_suggestions(R.unclassified_domains(e), none, R.heartbeat_domains(e, AS_OF, min_rows=3, min_group=2))).select("domain", "urgency")
+    e = rare_hosts(spark, sf)
+    listed = R.unclassified_domains(e)
+    return R.triage(R.rule_suggestions(listed, R.transfer_domains(e, AS_OF, listed=listed), R.heartbeat_domains(e, AS_OF, min_rows=3, min_group=2))).select("domain", "urgency")
