@@ -51,3 +51,18 @@ QUICK = ["a13_efficiency", "a15_who_visited", "d03_archive_then_send", "d06_mass
 def test_no_pairwise_joins(spark, data, name):
     plan = physical(load()[0][name](spark, data))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_time_bounds_prune_days(spark, make, tmp_path):
+    """Operators with a time bound read only the stored days they need."""
+    from tidewatch.operators import digest as G
+    from tidewatch.operators.profiles import profiles
+    from tidewatch.plans import boards as B
+    from tidewatch.sources.sinks import append_partitioned
+    append_partitioned(make([{"at": "2026-07-22 09:00:00", "domain": "a.org"}, {"at": "2026-01-01 09:00:00", "domain": "b.org"}]), str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    verdicts = spark.createDataFrame([], "employee_id string, window_start timestamp_ntz, risk_score int")
+    for df in (B.who_visited(stored, "2026-07-23 00:00:00", "netdisk"), profiles(stored, "2026-07-23 00:00:00"),
+               G.day_candidates(verdicts, stored, "2026-07-22")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert "event_date" in plan.split("PartitionFilters: ", 1)[1].split("]", 1)[0]

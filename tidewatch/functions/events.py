@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -109,3 +109,17 @@ def day_start(as_of: str, days_ago: int = 0) -> Column:
 
 def ago(as_of: str, days: int = 0, hours: int = 0, minutes: int = 0) -> Column:
     return ntz(as_of) - F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes), F.lit(0))
+
+
+def since(rows: DataFrame, as_of: str, days: int = 0, hours: int = 0) -> DataFrame:
+    """Rows from some time before `as_of` on; tables stored by `event_date` are read only from that day on."""
+    start = ago(as_of, days, hours)
+    out = rows.filter(F.col("occurred_at") >= start)
+    return out.filter(F.col("event_date") >= start.cast("date")) if "event_date" in rows.columns else out
+
+
+def on_day(rows: DataFrame, day_: str, ts: str = "occurred_at", stored_by: str = "event_date") -> DataFrame:
+    """Rows of a day, as a range that reaches the scan, and its partition where the table has one."""
+    first = F.lit(day_).cast("date")
+    out = rows.filter((F.col(ts) >= first.cast("timestamp_ntz")) & (F.col(ts) < F.date_add(first, 1).cast("timestamp_ntz")))
+    return out.filter(F.col(stored_by) == first) if stored_by in rows.columns else out

@@ -130,10 +130,9 @@ def document_digest(events: DataFrame, as_of: str, days: int = 7, most_people: i
 
 def day_candidates(verdicts: DataFrame, events: DataFrame, day: str, min_score: int = 50, most: int | None = 20) -> DataFrame:
     """People to review for a day: an alert-level verdict, or a send, upload or deletion."""
-    d0 = F.lit(day).cast("date")
-    judged = verdicts.filter((E.day("window_start") == d0) & (F.col("risk_score") >= min_score)).select("employee_id")
-    acted = events.filter((E.day("occurred_at") == d0) & (text("source") == "endpoint")
-                          & F.col("action").isin("SEND", "UPLOAD", "DELETE")).select("employee_id")
+    judged = E.on_day(verdicts, day, "window_start", "window_date").filter(F.col("risk_score") >= min_score).select("employee_id")
+    acted = (E.on_day(events, day).filter((text("source") == "endpoint") & F.col("action").isin("SEND", "UPLOAD", "DELETE"))
+             .select("employee_id"))
     people = judged.unionByName(acted).distinct()
     return people if most is None else people.orderBy("employee_id").limit(most)
 
@@ -142,8 +141,7 @@ def day_digest(events: DataFrame, verdicts: DataFrame, day: str, v: Vocabulary =
                most_people: int | None = 20) -> DataFrame:
     """What each candidate did on a day, one column per kind."""
     people = day_candidates(verdicts, events, day, most=most_people)
-    d0 = F.lit(day).cast("date")
-    e = classify_events(events.filter(E.day("occurred_at") == d0), v).join(people, "employee_id", "left_semi")
+    e = classify_events(E.on_day(events, day), v).join(people, "employee_id", "left_semi")
     key, order = ["employee_id"], [F.col("occurred_at"), F.col("event_hash")]
     doc = F.col("category") == "DOC"
     sent = doc & F.col("action").isin(*SEND_ACTIONS)
@@ -163,7 +161,7 @@ def day_digest(events: DataFrame, verdicts: DataFrame, day: str, v: Vocabulary =
         ranked_list(e.filter(deleted), key, F.substring(target, 1, 30), order, 8, "deletes"),
         ranked_list(e.filter(other), key, F.concat("action", F.lit(":"), F.substring(target, 1, 24)), order, 6, "docs"),
         ranked_list(e.filter(search), key, F.substring(target, 1, 24), order, 6, "searches"),
-        ranked_list(verdicts.filter(E.day("window_start") == d0), key,
+        ranked_list(E.on_day(verdicts, day, "window_start", "window_date"), key,
                     F.concat("intent", F.lit(" "), F.col("risk_score").cast("string")),
                     [F.col("window_start")], 6, "verdicts"),
     ]

@@ -55,7 +55,7 @@ def distinct_ids(*tables: DataFrame) -> DataFrame:
 
 
 def account_activity(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    return (events.filter(F.col("occurred_at") >= E.ago(as_of, days=days)).groupBy("employee_id")
+    return (E.since(events, as_of, days=days).groupBy("employee_id")
             .agg(F.count("*").alias("n_rows"), F.max("occurred_at").alias("last_seen")))
 
 

@@ -17,7 +17,7 @@ ALERT_COLUMNS = ["employee_id", "scenario", "risk_score", "severity", "dedup_key
 def recent_docs(events: DataFrame, as_of: str | None, hours: int = 24) -> DataFrame:
     """Endpoint document rows of the scan period; the whole table without `as_of`."""
     docs = events.filter((F.col("category") == "DOC") & (text("source") == "endpoint"))
-    return docs if as_of is None else docs.filter(F.col("occurred_at") >= E.ago(as_of, hours=hours))
+    return docs if as_of is None else E.since(docs, as_of, hours=hours)
 
 
 def sends(docs: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
@@ -166,7 +166,7 @@ def mass_exfil(events: DataFrame, as_of: str | None = None, hours: int = 24, min
     """People who sent many files or many bytes: 75, or 85 at twice the limits."""
     rows = events.filter(text("source") == "endpoint")
     if as_of is not None:
-        rows = rows.filter(F.col("occurred_at") >= E.ago(as_of, hours=hours))
+        rows = E.since(rows, as_of, hours=hours)
     rows, keys = _scan_groups(sends(rows, v), by_day)
     rows = rows.withColumn("label", F.concat(F.substring(text("target_value"), 1, 28), F.lit("→"),
                                              F.substring(D.dest_root("dest_path"), 1, 20)))

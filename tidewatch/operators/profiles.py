@@ -92,7 +92,7 @@ def _rhythm(slots: DataFrame) -> DataFrame:
 
 def rhythms(events: DataFrame, as_of: str, lookback_days: int = 30) -> DataFrame:
     """The day part of a profile alone: two columns of the events, no lists."""
-    return _rhythm(hour_slots(events.filter(F.col("occurred_at") >= E.ago(as_of, days=lookback_days))))
+    return _rhythm(hour_slots(E.since(events, as_of, days=lookback_days)))
 
 
 def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 30,
@@ -104,7 +104,7 @@ def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 3
     most the limit from each task.
     """
     if as_of is not None:
-        events = events.filter(F.col("occurred_at") >= E.ago(as_of, days=lookback_days))
+        events = E.since(events, as_of, days=lookback_days)
     counts = observation_counts(events, v)
 
     slots = hour_slots(events)

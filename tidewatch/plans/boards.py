@@ -20,7 +20,7 @@ from ..vocab import DEFAULT, Vocabulary
 def who_visited(events: DataFrame, as_of: str, risk_class: str, days: int = 30, most: int | None = 20,
                 v: Vocabulary = DEFAULT) -> DataFrame:
     """People by rows on sites of a risk class."""
-    web = events.filter((F.col("category") == "WEB") & (F.col("occurred_at") >= E.ago(as_of, days=days)))
+    web = E.since(events, as_of, days=days).filter((F.col("category") == "WEB"))
     hits = (web.filter(D.risk_class("domain", v) == risk_class).groupBy("employee_id")
             .agg(F.count("*").alias("n_rows")))
     return hits if most is None else hits.orderBy(F.desc("n_rows"), "employee_id").limit(most)
@@ -29,7 +29,7 @@ def who_visited(events: DataFrame, as_of: str, risk_class: str, days: int = 30,
 def attendance(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Per person: seen today, days seen, earliest hour, and why the pattern is unusual."""
     today = F.lit(as_of).cast("timestamp_ntz").cast("date")
-    per_day = (events.filter((F.col("occurred_at") >= E.ago(as_of, days=days)) & E.is_person("employee_id"))
+    per_day = (E.since(events, as_of, days=days).filter(E.is_person("employee_id"))
                .groupBy("employee_id", E.day("occurred_at").alias("day")).agg(F.min(F.hour("occurred_at")).alias("h")))
     return (per_day.groupBy("employee_id")
             .agg(F.bool_or(F.col("day") == today).alias("active_today"), F.count("*").alias("active_days"),
@@ -40,7 +40,7 @@ def attendance(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 def absent_people(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """People of the period without activity today."""
-    people = (events.filter((F.col("occurred_at") >= E.ago(as_of, days=days)) & E.is_person("employee_id"))
+    people = (E.since(events, as_of, days=days).filter(E.is_person("employee_id"))
               .select("employee_id").distinct())
     today = events.filter(F.col("occurred_at") >= E.day_start(as_of)).select("employee_id").distinct()
     return people.join(today, "employee_id", "left_anti")
@@ -91,7 +91,7 @@ def efficiency(events: DataFrame, as_of: str, days: int = 7, rules: Rules = Rule
 def leisure_sessions(events: DataFrame, as_of: str, days: int = 14, most: int = 20, rules: Rules = Rules(),
                      v: Vocabulary = DEFAULT) -> DataFrame:
     """Longest leisure segments per person with main category and hosts."""
-    visits = leisure_visits(events.filter(F.col("occurred_at") >= E.ago(as_of, days=days)), v)
+    visits = leisure_visits(E.since(events, as_of, days=days), v)
     segs = leisure_segments(visits, ["employee_id"], rules).filter("n > 0")
     longest = (segs.withColumn("minutes", F.floor(F.col("seconds") / 60))
                .withColumn("rn", F.row_number().over(Window.partitionBy("employee_id").orderBy(
@@ -118,7 +118,7 @@ def leisure_sessions(events: DataFrame, as_of: str, days: int = 14, most: int =
 def night_board(events: DataFrame, as_of: str, days: int = 7, min_rows: int = 20, most: int | None = 20,
                 v: Vocabulary = DEFAULT) -> DataFrame:
     """People by night rows with their three main hosts."""
-    night = events.filter((F.col("occurred_at") >= E.ago(as_of, days=days)) & E.is_off_hours("occurred_at"))
+    night = E.since(events, as_of, days=days).filter(E.is_off_hours("occurred_at"))
     people = night.groupBy("employee_id").agg(F.count("*").alias("night_events")).filter(F.col("night_events") >= min_rows)
     if most is not None:
         people = people.orderBy(F.desc("night_events"), "employee_id").limit(most)

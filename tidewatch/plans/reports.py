@@ -78,7 +78,7 @@ def raw_log_search(raw: DataFrame, start: str | None = None, end: str | None = N
 def global_search(events: DataFrame, query: str, as_of: str, most: int = 20, v: Vocabulary = DEFAULT) -> DataFrame:
     """People, domains and file names of the last week that contain the query."""
     q = query.strip().lower()
-    week = events.filter(F.col("occurred_at") >= E.ago(as_of, days=7))
+    week = E.since(events, as_of, days=7)
     people = events.filter(F.lower("employee_id").contains(q)).groupBy("employee_id").agg(
         F.count_if(F.col("occurred_at") >= E.ago(as_of, days=7)).alias("n"))
     out = people.select(F.lit("person").alias("kind"), F.col("employee_id").alias("value"),
@@ -108,7 +108,7 @@ def timelines(events: DataFrame, as_of: str, days: int = 7, per_day: int = 80, p
 
     Newest `per_person` rows, then newest `per_day` of each day.
     """
-    recent = events.filter(F.col("occurred_at") >= E.ago(as_of, days=days)).withColumn("_day", E.day("occurred_at"))
+    recent = E.since(events, as_of, days=days).withColumn("_day", E.day("occurred_at"))
     newest = [F.desc("occurred_at"), F.desc("event_hash")]
     # The rank over all rows of a person is the rank in the day plus the rows of newer days, so the only
     # ranking is per day, cut before the shuffle, and no person's rows meet in one task.

@@ -35,7 +35,7 @@ def unclassified_domains(events: DataFrame, top: int = 60, most: int = 20, v: Vo
 def transfer_domains(events: DataFrame, as_of: str, days: int = 30, min_hits: int = 3, max_people: int = 10,
                      most: int = 10, listed: DataFrame | None = None, url: str = "url") -> DataFrame:
     """Domains whose URLs look like uploads and that few people use, fewest people first."""
-    rows = events.filter((F.col("category") == "WEB") & (F.col("occurred_at") >= E.ago(as_of, days=days))
+    rows = E.since(events, as_of, days=days).filter((F.col("category") == "WEB")
                          & contains_any(text(url), vocab.TRANSFER_FRAGMENTS))
     pairs = (rows.withColumn("domain", F.lower(F.trim(text("domain")))).filter("domain <> ''")
              .groupBy("domain", "employee_id").agg(F.count("*").alias("k")))
@@ -49,7 +49,7 @@ def transfer_domains(events: DataFrame, as_of: str, days: int = 30, min_hits: in
 def heartbeat_domains(events: DataFrame, as_of: str, days: int = 7, min_rows: int = 15, min_group: int = 5,
                       min_groups: int = 2, gap_minutes: int = 15, most: int = 8, v: Vocabulary = DEFAULT) -> DataFrame:
     """Leisure domains visited at regular sparse intervals, i.e. by a background client."""
-    rows = labelled(events.filter(F.col("occurred_at") >= E.ago(as_of, days=days)))
+    rows = labelled(E.since(events, as_of, days=days))
     rows = rows.filter(D.leisure_class("dom", "label", v).isNotNull())
     groups = (rows.groupBy("dom", "employee_id", E.day("occurred_at").alias("day"))
               .agg(F.count("*").alias("n"), F.min("occurred_at").alias("t0"), F.max("occurred_at").alias("t1")))
