@@ -204,7 +204,8 @@ def write(docs: DataFrame, path: str, end_id: int = 2, sample_docs: int = 1000,
             yield flush()
 
     rows = docs.mapInArrow(encode, "bucket int, doc_id long, n_tokens int, frame binary")
-    (rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("frame"))
+    # A bucket is a partition of its own: hashing would put several into one task.
+    (rows.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", F.xxhash64("frame"))
      .mapInArrow(segments, SEGMENT).write.option("compression", "none").parquet(f"{out.path}/segments"))
     sizes = out.segments(spark).select("bucket", "segment", "n_tokens")
     # One row per segment: the running sum first over buckets, then inside each.
