@@ -56,7 +56,7 @@ class Model:
 class Terms:
     """Columns of texts, with a bounded memory of words seen."""
 
-    def __init__(self, bits: int, remember: int = 300_000):
+    def __init__(self, bits: int, remember: int = 60_000):
         self.mask, self.remember, self.seen = (1 << bits) - 1, remember, {}
 
     def of_word(self, word: str) -> bytes:
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, bits: int = 18
             v[own] -= 0.1 * rate * step / np.sqrt(gv[own])
             gb += slope.mean() ** 2
             bias -= rate * slope.mean() / np.sqrt(gb)
-    return Model(bias, w, v, bits)
+    return Model(bias, w.astype(np.float32), v.astype(np.float32), bits)
 
 
 def likelihood_ratio(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
@@ -183,6 +183,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = model.scores(*own.texts(part.column(at)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                              [*names, "score", "predicted"])
+        # Python workers outlive the task: hand back what the next stage's JVM needs.
+        del model
+        own.seen.clear()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema)
