@@ -201,7 +201,7 @@ class Encoder:
     The memory has two generations: a full one becomes the old one, from which pieces in use move back.
     """
 
-    def __init__(self, text: str, remember: int = 400_000):
+    def __init__(self, text: str, remember: int = 200_000):
         from tokenizers import Tokenizer
         self.merges, self.remember = Merges(text), remember
         self.library = Tokenizer.from_str(text)
