@@ -151,6 +151,14 @@ def test_tree_scores(spark, sf):
     assert deep > tree.logs[0, s].sum() * 0.85
 
 
+def test_every_retained_context_is_scored(spark, sf):
+    """How many contexts are sent to the tasks changes no score: the others are met in a join."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    few = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, max_states=20).collect()}
+    all_ = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, max_states=1_000_000).collect()}
+    assert few.keys() == all_.keys() and all(math.isclose(few[i], all_[i], rel_tol=1e-9) for i in all_)
+
+
 def test_nothing_to_score(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_tree.score(empty).collect() == []
