@@ -134,3 +134,17 @@ def test_heartbeat_stream_alarms_after_silence(spark, tmp_path):
         assert {r["feed"] for r in spark.table(name).collect()} == {"proxy", "endpoint"}
     finally:
         q.stop()
+
+
+def test_late_rows_reach_the_results(make):
+    """A row days behind the watermark is in the daily result of each job, in the right bucket, once."""
+    from tidewatch.catalog import stream_queries as Q
+    row = lambda at, **more: {"at": f"2024-03-01 {at}:00", "domain": "pan.baidu.com", **more}
+    first = make([row("09:01"), row("09:02", who="p2"), SENTINEL])
+    second = make([row("09:04"), row("08:50", who="p2"), row("09:06", domain="a.org")])
+
+    parts = [to_canonical(df) for df in (first, second)]
+    got = {(r["employee_id"], r["domain"], str(r["occurred_at"])[11:16]): r["n"] for r in Q.fold_whole(*Q.in_parts(parts)).collect()}
+    assert got == {("p1", "pan.baidu.com", "09:00"): 2, ("p1", "a.org", "09:00"): 1, ("p2", "pan.baidu.com", "09:00"): 1, ("p2", "pan.baidu.com", "08:50"): 1}
+    sessions = {(r["employee_id"], str(r["window_start"])[11:16], str(r["window_end"])[11:16]): r["n_events"] for r in Q.sessions_whole(*Q.in_parts(parts)).collect()}
+    assert sessions == {("p1", "09:01", "09:06"): 3, ("p2", "08:50", "09:02"): 2}

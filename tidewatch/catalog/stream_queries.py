@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.events import event_hash
+from ..schema import Rules
 from ..session import checkpoint_dir
 from ..streaming import jobs as J
 from .base import *
@@ -33,11 +34,53 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+def run_whole(source, deliveries: list, name: str, select, job, late_seconds: int, ends) -> DataFrame:
+    """Run a job after each delivery to its source, then the daily run over late rows: nothing of the input is lost.
+
+    `source` gives the stream, `select` the rows of it that the job counts.
+    """
+    root = ""
+    for deliver in deliveries:
+        deliver()
+        rows = select(source())
+        spark = rows.sparkSession
+        root = root or os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+        J.start_split(rows, root, late_seconds, once=True).awaitTermination()
+        query = (J.unzoned(job(J.read_on_time(spark, root, rows.schema))).writeStream.outputMode("append").format("parquet")
+                 .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
+    return J.with_late(spark.read.parquet(f"{root}/out"), job, root, late_seconds, ends)
+
+
+def at_once(spark: SparkSession, sf: str) -> tuple:
+    """(source, deliveries) of the events table as it stands."""
+    return lambda: event_stream(spark, sf), [lambda: None]
+
+
+def in_parts(parts: list[DataFrame]) -> tuple:
+    """(source, deliveries) of canonical rows that arrive part by part."""
+    spark = parts[0].sparkSession
+    inbox = os.path.join(checkpoint_dir(spark), "streams", f"inbox-{uuid.uuid4().hex}")
+    return (lambda: J.read_event_stream(spark, inbox, parts[0].schema),
+            [lambda p=p: p.write.mode("append").parquet(inbox) for p in parts])
+
+
+def newest_first(spark: SparkSession, sf: str) -> tuple:
+    """The later events, then, behind every watermark, the earlier ones."""
+    e = ev(spark, sf)
+    return in_parts([e.filter("occurred_at >= timestamp_ntz '2024-01-15'"), e.filter("occurred_at < timestamp_ntz '2024-01-15'")])
+
+
 @register("t02_stream_fold", with_("canon", "").rstrip() + f""", web as (select * from canon where category = 'WEB' and not {sql_contains('lower(domain)', vocab.NOISE_HINTS)})
  select employee_id, domain, time_bucket(interval 10 minute, occurred_at) as occurred_at, count(*)::int as n from web group by 1, 2, 3
  having time_bucket(interval 10 minute, occurred_at) + interval 10 minute <= (select max(occurred_at) from web) - interval 10 minute""")
 def t02(spark, sf):
-    return run_to_end(J.stream_fold(event_stream(spark, sf)), "fold").select(
+    return fold_whole(*at_once(spark, sf))
+
+
+def fold_whole(source, deliveries: list) -> DataFrame:
+    ends = F.col("occurred_at") + F.expr("interval 10 minutes")
+    return run_whole(source, deliveries, "fold", J.fold_input, J.stream_fold, 600, ends).select(
         "employee_id", "domain", "occurred_at", F.col("count").alias("n"))
 
 
@@ -50,7 +93,12 @@ def t03(spark, sf):
 @register("t04_stream_sessions", with_("win", """select employee_id, window_start, max(occurred_at) as window_end, count(*) as n_events from win group by 1, 2
  having max(occurred_at) + interval 60 minute <= (select max(occurred_at) from win) - interval 60 minute"""))
 def t04(spark, sf):
-    return run_to_end(J.stream_sessions(event_stream(spark, sf)), "sessions")
+    return sessions_whole(*at_once(spark, sf))
+
+
+def sessions_whole(source, deliveries: list) -> DataFrame:
+    ends = F.col("window_end") + F.make_dt_interval(secs=F.lit(Rules().session_gap_seconds))
+    return run_whole(source, deliveries, "sessions", lambda e: e, J.stream_sessions, 3600, ends)
 
 
 @register("t05_stream_mass_ops", with_("cls", "").rstrip() + """, r as (select *, action = 'DELETE' and not noise_doc as del, action in ('SEND','UPLOAD') and not wl as snd from cls where category = 'DOC' and source = 'endpoint'),
@@ -59,7 +107,27 @@ def t04(spark, sf):
  select employee_id, p as period_start, p + interval 24 hour as period_end, count(*) filter (del) as deletes, count(*) filter (snd) as sends, coalesce(sum(size_bytes) filter (snd), 0)::bigint as sent_bytes from x group by 1, 2
  having (count(*) filter (del) >= 2 or count(*) filter (snd) >= 2) and p + interval 24 hour <= (select max(occurred_at) from k) - interval 60 minute""")
 def t05(spark, sf):
-    return run_to_end(J.stream_mass_ops(event_stream(spark, sf), slide="1 hour", min_delete=2, min_send=2, min_mb=1_000_000), "massops")
+    return mass_ops_whole(*at_once(spark, sf))
+
+
+def mass_ops_whole(source, deliveries: list) -> DataFrame:
+    job = lambda e: J.stream_mass_ops(e, slide="1 hour", min_delete=2, min_send=2, min_mb=1_000_000)
+    return run_whole(source, deliveries, "massops", J.mass_input, job, 3600, F.col("period_end"))
+
+
+@register("t11_late_fold", ORACLES["t02_stream_fold"])
+def t11(spark, sf):
+    return fold_whole(*newest_first(spark, sf))
+
+
+@register("t12_late_sessions", ORACLES["t04_stream_sessions"])
+def t12(spark, sf):
+    return sessions_whole(*newest_first(spark, sf))
+
+
+@register("t13_late_mass_ops", ORACLES["t05_stream_mass_ops"])
+def t13(spark, sf):
+    return mass_ops_whole(*newest_first(spark, sf))
 
 
 @register("t07_stream_identity", with_("canon", """select event_id, last_value(acct ignore nulls) over (partition by device_id order by occurred_at, event_id rows unbounded preceding) as account from

@@ -31,11 +31,15 @@ def unzoned(df: DataFrame) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+def fold_input(events: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
+    noise = D.is_noise_web("domain", F.coalesce("url", "target_value")) & D.risk_class("domain", v).isNull()
+    return events.filter((F.col("category") == "WEB") & ~noise)
+
+
 def stream_fold(events: DataFrame, bucket: str = "10 minutes", late: str = "10 minutes",
                 v: Vocabulary = DEFAULT) -> DataFrame:
     """Fold visits by event time: a bucket is emitted once, complete, when the watermark passes it."""
-    noise = D.is_noise_web("domain", F.coalesce("url", "target_value")) & D.risk_class("domain", v).isNull()
-    web = events.filter((F.col("category") == "WEB") & ~noise).withWatermark("occurred_at", late)
+    web = fold_input(events, v).withWatermark("occurred_at", late)
     folded = (web.groupBy("employee_id", text("domain").alias("domain"), F.window("occurred_at", bucket).alias("w"))
               .agg(F.count("*").cast("int").alias("count"), F.min("occurred_at").alias("first_at"),
                    F.max("occurred_at").alias("last_at")))
@@ -56,12 +60,22 @@ def stream_sessions(events: DataFrame, rules: Rules = Rules(), late: str = LATE)
             .select("employee_id", "window_start", "window_end", "n_events"))
 
 
+def mass_kinds(v: Vocabulary = DEFAULT) -> tuple:
+    """(deleted, sent) conditions."""
+    doc = (F.col("category") == "DOC") & (text("source") == "endpoint")
+    return (doc & (F.col("action") == "DELETE") & ~E.is_noise_doc(),
+            doc & F.col("action").isin(*SEND_ACTIONS) & ~D.is_whitelisted_dest("dest_path", v))
+
+
+def mass_input(events: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
+    deleted, sent = mass_kinds(v)
+    return events.filter(deleted | sent)
+
+
 def stream_mass_ops(events: DataFrame, span: str = "24 hours", slide: str = "10 minutes", min_delete: int = 15,
                     min_send: int = 15, min_mb: int = 50, late: str = LATE, v: Vocabulary = DEFAULT) -> DataFrame:
     """Deletions and sends per person over a sliding day."""
-    doc = (F.col("category") == "DOC") & (text("source") == "endpoint")
-    deleted = doc & (F.col("action") == "DELETE") & ~E.is_noise_doc()
-    sent = doc & F.col("action").isin(*SEND_ACTIONS) & ~D.is_whitelisted_dest("dest_path", v)
+    deleted, sent = mass_kinds(v)
     # One row per person and slide first; only those are spread over the windows that overlap them.
     steps = (events.filter(deleted | sent).withWatermark("occurred_at", late)
              .groupBy("employee_id", F.window("occurred_at", slide).alias("s"))
@@ -86,6 +100,59 @@ def split_late(batch: DataFrame, high_mark, late_seconds: int = 3600) -> tuple[D
     return batch.filter(F.col("occurred_at") >= limit), batch.filter(F.col("occurred_at") < limit)
 
 
+# ------------------------------------------------------------------ late rows
+
+def start_split(rows: DataFrame, root: str, late_seconds: int, interval: str = "30 seconds", once: bool = False):
+    """Divide a job's input by batch into `root`/ontime, which the job reads, and `root`/late, which `with_late` reads.
+
+    A batch's on-time rows appear by one rename, so the job sees a batch as a whole and its watermark (of the same
+    delay, and without a limit of files per trigger) drops none of them.  A replayed batch gives the same files.
+    """
+    spark = rows.sparkSession
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        there = Path(f"{root}/ontime/batch={batch_id}")
+        fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        mark = None
+        if fs.exists(Path(f"{root}/marks")):
+            mark = own.read.parquet(f"{root}/marks").filter(F.col("batch") < batch_id).agg(F.max("mark")).first()[0]
+        batch = batch.persist()
+        on_time, late = split_late(batch, mark, late_seconds)
+        late.write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+        batch.agg(F.max("occurred_at").alias("mark")).write.mode("overwrite").parquet(f"{root}/marks/batch={batch_id}")
+        if not fs.exists(there):
+            staged = f"{root}/staged/batch={batch_id}"
+            on_time.write.mode("overwrite").parquet(staged)
+            fs.mkdirs(there.getParent())
+            if not fs.rename(Path(staged), there):
+                raise OSError(f"cannot publish {there}")
+        batch.unpersist()
+
+    return start_ingest(rows, split, f"{root}/split-checkpoint", interval, once)
+
+
+def read_on_time(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The on-time rows of `start_split` as a stream."""
+    return spark.readStream.schema(schema).parquet(f"{root}/ontime/batch=*")
+
+
+def with_late(emitted: DataFrame, job, root: str, late_seconds: int, ends) -> DataFrame:
+    """The daily run: what a job emitted, with all rows of people who have late rows computed again from all their input.
+
+    `job` is the stream's function, `ends` the time at which a result row is closed; open ones are left to the stream.
+    """
+    spark = emitted.sparkSession
+    on_time, late = (spark.read.parquet(f"{root}/{part}").drop("batch") for part in ("ontime", "late"))
+    people = late.select(F.col("employee_id").alias("_who")).distinct()
+    same = F.col("employee_id").eqNullSafe(F.col("_who"))
+    mark = on_time.agg(F.max("occurred_at")).first()[0]
+    limit = F.lit(mark).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(late_seconds))
+    again = unzoned(job(on_time.unionByName(late).join(people, same, "left_semi")).filter(ends <= limit))
+    return emitted.join(people, same, "left_anti").unionByName(again.select(*emitted.columns))
+
+
 # ------------------------------------------------------------------ keyed state
 
 class AccountState(StatefulProcessor):
