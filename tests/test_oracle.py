@@ -24,6 +24,12 @@ def test_matches_sql(spark, data, con, name):
     assert diff == ""
 
 
+def test_profile_export_has_stories(spark, data, con):
+    name = "k05_profile_export_story"
+    got = QUERIES[name](spark, data)
+    assert compare(got, con, ORACLES[name])[0] == "" and got.filter("kind = 'story'").count() > 0
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 

@@ -13,7 +13,7 @@ from ..plans import boards as B
 from ..plans import reports as R
 from .base import *
 from .board_queries import EFF
-from .detect_queries import BOARD, all_alerts
+from .detect_queries import BOARD, TIMELINE, all_alerts
 
 ALERTS = "alerts verdicts due valid_ex"
 
@@ -241,3 +241,15 @@ def k05(spark, sf):
     events, _, v, a = frames(spark, sf)
     stages = B.signal_timeline(events, v, a, AS_OF, min_kinds=99)
     return R.profile_export(a, v, stages).withColumnRenamed("at", "at_time")
+
+
+K05_STORY = with_(ALERTS + " cls", "").rstrip() + ", " + TIMELINE + """ select employee_id, 'alert' as kind, strftime(window_start, '%Y-%m-%d %H:%M') as at_time, scenario as what, risk_score as score, status, left(summary, 80) as text from alerts
+ union all select employee_id, 'verdict', strftime(window_start, '%Y-%m-%d %H:%M'), intent, risk_score, '', left(explanation, 80) from (select *, row_number() over (partition by employee_id order by window_start desc, verdict_id) as rn from verdicts) where rn <= 50
+ union all select employee_id, 'story', '', case when j and s and m and (ns or x) then 'high' when j and (ns or s) and (m or x) then 'warn' when j and (ns or s) then 'watch' else 'observe' end, null, '', left(story, 120) from tl where n_kinds >= 2"""
+
+
+@register("k05_profile_export_story", K05_STORY)
+def k05_story(spark, sf):
+    """The whole export: alerts, verdicts and the stage of the signal timeline."""
+    events, _, v, a = frames(spark, sf)
+    return R.profile_export(a, v, B.signal_timeline(events, v, all_alerts(spark, events, v), AS_OF)).withColumnRenamed("at", "at_time")
