@@ -118,3 +118,10 @@ def test_runs_are_compacted(spark):
     state = {(r["h1"], r["h2"]): (r["n_docs"], r["keeper"]) for r in runs.view().collect()}
     runs.forget()
     assert state == {(1, 1): (12, 92), (2, 90): (1, 90), (2, 60): (1, 60), (2, 30): (1, 30), (2, 0): (1, 0)}
+
+
+def test_halves_of_a_line_hash_are_independent(spark):
+    from pyspark.sql import functions as F
+    row = spark.createDataFrame([("some line of text",)], "key string").select(
+        line_dedup.hashes(F.col("key"))[1].alias("h2"), F.xxhash64("key", F.lit("line")).alias("follows_from_h1")).first()
+    assert row["h2"] != row["follows_from_h1"]

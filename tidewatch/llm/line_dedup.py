@@ -35,8 +35,8 @@ def lines_of(text: Column) -> Column:
 
 
 def hashes(key: Column) -> tuple[Column, Column]:
-    """128 bits of a line key."""
-    return F.xxhash64(key), F.xxhash64(key, F.lit("line"))
+    """128 bits of a line key; the second half is seeded by the literal, so it does not follow from the first."""
+    return F.xxhash64(key), F.xxhash64(F.lit("line"), key)
 
 
 class LineRuns:
