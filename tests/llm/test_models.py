@@ -104,6 +104,15 @@ def test_toxicity_cases(spark):
     assert kept.columns == ["text", "doc_id", "score", "predicted"]
 
 
+def test_toxicity_prior_does_not_depend_on_the_sample(spark):
+    """Texts that tell nothing get the share of toxic labels, however few of each class are fitted."""
+    ready(spark)
+    docs = spark.range(1200).selectExpr("id AS doc_id", "'the same text' AS text")
+    labels = spark.range(1200).selectExpr("id AS doc_id", "int(id % 10 = 0) AS toxic")
+    got = toxicity.score(docs.limit(1), toxicity.fit(docs, labels, max_rows=50)).first()
+    assert abs(got["score"] - 0.1) < 0.05
+
+
 def brute_base(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [None]) for i, t in rows]

@@ -88,11 +88,16 @@ def terms(bits: int) -> Terms:
     return _TERMS.setdefault(bits, Terms(bits))
 
 
+def marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of all labels that may be learned from."""
+    return (pick(labels, doc_id="long", toxic="int").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
+                                                           & ~held_out(F.col("doc_id"), 5, 0))
+            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+
+
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """(text, toxic) of at most `max_rows` labelled documents per class, in order of the hash of their id."""
-    marks = (pick(labels, doc_id="long", toxic="int").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
-                                                            & ~held_out(F.col("doc_id"), 5, 0))
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    marks = marked(labels)
     some = [marks.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for value in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * max_rows rows of two numbers
     return pick(docs, doc_id="long", text="string").join(chosen, "doc_id").groupBy("doc_id").agg(
@@ -151,6 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, bits: int = 18
             v[own] -= 0.1 * rate * step / np.sqrt(gv[own])
             gb += slope.mean() ** 2
             bias -= rate * slope.mean() / np.sqrt(gb)
+    # The classes are sampled at rates of their own; the bias goes back to the shares of all labels.
+    found = {r["toxic"]: r["count"] for r in marked(labels).groupBy("toxic").count().collect()}
+    rates = [min(1.0, max_rows / found[c]) for c in (0, 1)]
+    bias -= float(np.log(rates[1] / rates[0]))
     return Model(bias, w.astype(np.float32), v.astype(np.float32), bits)
 
 
