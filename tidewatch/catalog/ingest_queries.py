@@ -184,6 +184,10 @@ ONE_BATCH = f"""uniq as (select * from canon qualify row_number() over (partitio
  from kept where not regexp_matches(emp, '^[0-9]+$') and emp <> 'u9'""")
 def t01(spark, sf):
     """Three batches that cut through buckets and days, the first one sent twice, give the result of one batch."""
+    return in_batches(spark, sf, lambda store: None)
+
+
+def in_batches(spark, sf, between) -> DataFrame:
     from ..plans.pipeline import Store, ingest_batch
     from ..schema import CANONICAL
     from ..session import checkpoint_dir
@@ -191,9 +195,22 @@ def t01(spark, sf):
     e = ev(spark, sf)
     for k in (0, 1, 2, 0):
         ingest_batch(store, e.filter(F.col("event_id") % 3 == k), k, aliases(spark), ignored(spark))
+        between(store)
     return store.read("events", CANONICAL).select("employee_id", "category", "domain", "occurred_at", F.col("count").alias("n_visits"), "event_hash")
 
 
+@register("t01_ingest_compacted", ORACLES["t01_ingest_batches"])
+def t01_compacted(spark, sf):
+    """The same with all days compacted after every batch, and the folders of replaced writes deleted."""
+    from ..plans import live
+
+    def tidy(store):
+        live.compact_days(store.ledger())
+        store.ledger().expire(live.TABLES)
+
+    return in_batches(spark, sf, tidy)
+
+
 @register("o4_message_union", with_("canon", "").rstrip() + """ select source, category, count(*) as n_rows from canon where source = 'endpoint' or event_id % 7 <> 0 group by 1, 2""")
 def o4(spark, sf):
     from ..plans.pipeline import message_batch

@@ -104,6 +104,37 @@ def l06(spark, sf):
     return score_range(ev(spark, sf), AS_OF).select("verdict_id", "intent", "risk_score")
 
 
+# A window is scored by the run in whose days it ends; that run's last day ends the 7-day history.
+BY_RUN = "greatest(least(cast(t.window_end + interval 60 minute as date), date '2024-01-30'), date '2024-01-27')"
+
+
+@register("l05_incremental_scoring", with_("verdicts", "select verdict_id, employee_id, window_start, window_end, n, visits, intent, deviation, risk_score, primary_score, anchored, explanation from verdicts")
+          .replace("exists (select 1 from hist h where h.employee_id = t.employee_id and h.n_days >= 4)", f"""coalesce((select max(k) from (select count(distinct cast(c.occurred_at as date)) as k from cls c
+            where c.employee_id = t.employee_id and c.risk_class is not null and cast(c.occurred_at as date) between {BY_RUN} - 6 and {BY_RUN} group by c.risk_class)), 0) >= 4"""))
+def l05(spark, sf):
+    """All days up to the 27th in one run, then three runs that read one new day each."""
+    verdicts = [score for _, score in daily_runs(spark, ev(spark, sf))]
+    out = verdicts[0]
+    for more in verdicts[1:]:
+        out = out.unionByName(more)
+    return out.select("verdict_id", "employee_id", "window_start", "window_end", "n", "visits", "intent", "deviation", "risk_score", "primary_score", "anchored", "explanation")
+
+
+def daily_runs(spark, events, **options):
+    """(state, verdicts) after each run."""
+    import datetime as dt
+    import uuid
+
+    from ..plans.daily import ScoreState, score_days
+    from ..session import checkpoint_dir
+    state = ScoreState(spark, f"{checkpoint_dir(spark)}/score-{uuid.uuid4().hex}")
+    first = events.agg(F.min("occurred_at")).first()[0]
+    first = first.date() if first is not None else dt.date(2024, 1, 1)
+    days = [(min(first, dt.date(2024, 1, 27)), dt.date(2024, 1, 27)), *[(dt.date(2024, 1, d), dt.date(2024, 1, d)) for d in (28, 29, 30)]]
+    for a, b in days:
+        yield state, score_days(events, state, a, b, close_all=b == days[-1][1], **options)
+
+
 def feedback_rows(alerts):
     """Labels derived from the alert score: high ones false, low ones true."""
     label = F.when(F.col("risk_score") >= 85, "FP").when(F.col("risk_score") < 70, "TP").otherwise("X")

@@ -162,7 +162,76 @@ def night_workers(profile: DataFrame, min_days: int = 3) -> DataFrame:
             .orderBy(F.desc("late_night_days"), "employee_id"))
 
 
-def baseline_asof(facts: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def daily_parts(facts: DataFrame) -> DataFrame:
+    """Per person and day on which windows start: rows, channels and rows by hour of those windows."""
+    f = facts.withColumn("day", F.col("window_start").cast("date")).withColumn("hour", F.pmod(int_div("lo", 3_600_000_000), F.lit(24)))
+    return f.groupBy("employee_id", "day").agg(
+        F.sum("n").alias("n"), F.bit_or("row_channels").alias("channels"),
+        *[F.sum(F.when(F.col("hour") == h, F.col("n")).otherwise(0)).alias(f"h{h}") for h in range(24)])
+
+
+def day_rows(facts: DataFrame) -> DataFrame:
+    """Per person and calendar day: its rows, and those of windows that started earlier."""
+    on_day = F.date_from_unix_date(int_div("lo", 86_400_000_000).cast("int"))
+    before = F.col("window_start").cast("date") < on_day
+    return facts.groupBy("employee_id", on_day.alias("day")).agg(
+        F.sum("n").alias("rows"), F.sum(F.when(before, F.col("n")).otherwise(0)).alias("spill"))
+
+
+HISTOGRAM = "array<struct<rows: long, days: long>>"
+
+
+def running_median(days: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(employee_id, day, daily_median, daily_max) over the days before each day, and its own spill.
+
+    State is a person's histogram of daily row counts: it grows by one entry a day, and histograms of disjoint days can
+    be added.  `start` holds (employee_id, histogram) of days before all of `days`.  A person has one row a day here,
+    so a task passes over its people's days once, holding one histogram at a time.
+    """
+    import pandas as pd
+
+    def scan(parts):
+        from bisect import bisect_left, insort
+        who, counts = None, []
+        for pdf in parts:
+            out = []
+            for person, day, rows, spill, known in zip(pdf["employee_id"], pdf["day"], pdf["rows"], pdf["spill"], pdf["known"]):
+                person = None if pd.isna(person) else person
+                if who != (person,):
+                    who, counts = (person,), []
+                    if known is not None:
+                        counts = sorted(x["rows"] for x in known for _ in range(x["days"]))
+                n = len(counts) + (spill > 0)
+                at = bisect_left(counts, spill)
+
+                def nth(k):
+                    if not spill > 0:
+                        return counts[k]
+                    return counts[k] if k < at else spill if k == at else counts[k - 1]
+
+                out.append((person, day, (nth((n - 1) // 2) + nth(n // 2)) // 2 if n else 0, nth(n - 1) if n else 0))
+                insort(counts, rows)
+            yield pd.DataFrame(out, columns=["employee_id", "day", "daily_median", "daily_max"])
+
+    known = F.lit(None).cast(HISTOGRAM)
+    if start is not None:
+        days = days.join(start.select("employee_id", F.col("histogram").alias("known")), "employee_id", "left")
+    else:
+        days = days.withColumn("known", known)
+    rows = days.select("employee_id", "day", "rows", "spill", "known").repartition("employee_id").sortWithinPartitions("employee_id", "day")
+    return rows.mapInPandas(scan, "employee_id string, day date, daily_median int, daily_max long")
+
+
+def hours_mask(rules: Rules = Rules()) -> Column:
+    """Bits of the hours with most rows (columns h0..h23), ties to the earlier hour."""
+    by_count = F.array_sort(F.filter(
+        F.array(*[F.struct((-F.col(f"h{h}")).alias("n"), F.lit(h).alias("h")) for h in range(24)]),
+        lambda x: x["n"] < 0))
+    return F.aggregate(F.slice(by_count, 1, rules.baseline_hours_top), F.lit(0),
+                       lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["h"])))
+
+
+def baseline_asof(facts: DataFrame, rules: Rules = Rules(), start: DataFrame | None = None) -> DataFrame:
     """Baseline of everything before the first window of each person-day.
 
     Windows do not overlap, so "before the first window of day D" is the same as
@@ -170,47 +239,45 @@ def baseline_asof(facts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     sum over daily partial aggregates.  Only the per-day row counts need the part
     of D that belongs to a window from the day before.
 
-    `facts` carry `window_start` (see operators.windows).
+    `facts` carry `window_start` (see operators.windows).  `start` (see `baseline_state`) stands for all windows and days
+    before those of `facts`.
     """
-    hour_no = int_div("lo", 3_600_000_000)
-    f = (facts.withColumn("day", F.col("window_start").cast("date"))
-         .withColumn("hour", F.pmod(hour_no, F.lit(24)))
-         .withColumn("on_day", F.date_from_unix_date(int_div("lo", 86_400_000_000).cast("int"))))
-
-    daily = f.groupBy("employee_id", "day").agg(
-        F.sum("n").alias("n"), F.bit_or("row_channels").alias("channels"),
-        *[F.sum(F.when(F.col("hour") == h, F.col("n")).otherwise(0)).alias(f"h{h}") for h in range(24)])
+    sums = ["n", *[f"h{h}" for h in range(24)]]
+    daily = daily_parts(facts)
     earlier = Window.partitionBy("employee_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    running = daily.select(
-        "employee_id", "day",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("sample_count"),
-        F.coalesce(F.bit_or("channels").over(earlier), F.lit(0)).alias("channels_mask"),
-        *[F.coalesce(F.sum(f"h{h}").over(earlier), F.lit(0)).alias(f"h{h}") for h in range(24)])
-    by_count = F.array_sort(F.filter(
-        F.array(*[F.struct((-F.col(f"h{h}")).alias("n"), F.lit(h).alias("h")) for h in range(24)]),
-        lambda x: x["n"] < 0))
-    top_mask = F.aggregate(F.slice(by_count, 1, rules.baseline_hours_top), F.lit(0),
-                           lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["h"])))
-
-    dates = f.groupBy("employee_id", F.col("on_day").alias("day")).agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("day") < F.col("on_day"), F.col("n")).otherwise(0)).alias("spill"))
-    # One entry per day of history, bounded by retention.
-    history = dates.select(
-        "employee_id", "day",
-        F.concat(F.coalesce(F.collect_list("rows").over(earlier), F.array().cast("array<bigint>")),
-                 F.when(F.col("spill") > 0, F.array("spill")).otherwise(F.array().cast("array<bigint>"))).alias("rows"))
-    ordered, size = F.array_sort("rows"), F.size("rows")
-    low = F.get(ordered, F.floor((size - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(size / 2).cast("int"))
-    median = F.when(size == 0, F.lit(0)).otherwise(F.floor((low + high) / 2)).cast("int")
-    return (running.withColumn("hours_mask", top_mask)
-            .join(history.select("employee_id", "day", median.alias("daily_median"),
-                                 F.coalesce(F.array_max("rows"), F.lit(0)).alias("daily_max")),
-                  ["employee_id", "day"])
-            .select("employee_id", "day", "sample_count", "hours_mask", "channels_mask",
+    running = daily.select("employee_id", "day", F.coalesce(F.bit_or("channels").over(earlier), F.lit(0)).alias("channels"),
+                           *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums])
+    days = day_rows(facts)
+    if start is not None:
+        past = start.select("employee_id", F.col("channels").alias("_channels"), *[F.col(c).alias(f"_{c}") for c in sums])
+        joined = running.join(past, "employee_id", "left")
+        running = joined.select("employee_id", "day", F.col("channels").bitwiseOR(F.coalesce("_channels", F.lit(0))).alias("channels"),
+                                *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums])
+    return (running.withColumn("hours_mask", hours_mask(rules)).join(running_median(days, start), ["employee_id", "day"])
+            .select("employee_id", "day", F.col("n").alias("sample_count"), "hours_mask", F.col("channels").alias("channels_mask"),
                     "daily_median", "daily_max"))
 
 
+def baseline_state(closed: DataFrame, days: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """What the baselines of later days need: (employee_id, n, channels, h0..h23, histogram), `start` carried on.
+
+    `closed` are facts of finished windows, `days` the row counts (`day_rows`) of finished calendar days.
+    """
+    sums = ["n", *[f"h{h}" for h in range(24)]]
+    parts = daily_parts(closed).drop("day")
+    entries = F.struct("rows", "days")
+    counted = days.groupBy("employee_id", "rows").agg(F.count("*").alias("days"))
+    if start is not None:
+        parts = parts.unionByName(start.select(*parts.columns))
+        before = start.select("employee_id", F.explode("histogram").alias("x")).select("employee_id", "x.rows", "x.days")
+        counted = counted.unionByName(before).groupBy("employee_id", "rows").agg(F.sum("days").alias("days"))
+    # One entry per distinct daily count of a person.
+    histogram = counted.groupBy("employee_id").agg(F.sort_array(F.collect_list(entries)).alias("histogram"))
+    totals = parts.groupBy("employee_id").agg(F.bit_or("channels").alias("channels"), *[F.sum(c).alias(c) for c in sums])
+    both = totals.join(histogram, "employee_id", "full")
+    return both.select("employee_id", F.coalesce("channels", F.lit(0)).alias("channels"), *[F.coalesce(c, F.lit(0)).alias(c) for c in sums],
+                       F.coalesce("histogram", F.array().cast(HISTOGRAM)).alias("histogram"))
+
+
 def people_count(events: DataFrame) -> DataFrame:
     return events.select("employee_id").distinct().agg(F.count("*").alias("people"))

@@ -18,8 +18,10 @@ from ..operators.profiles import profiles
 from ..schema import Rules
 from ..session import cut_lineage
 from ..sources import messages as M
-from ..sources.sinks import append_partitioned, append_verdicts, overwrite_snapshot, replace_partitions
+from ..sources.ledger import Ledger
+from ..sources.sinks import append_verdicts, overwrite_snapshot
 from ..vocab import DEFAULT, Vocabulary
+from . import live
 
 
 @dataclass
@@ -36,44 +38,26 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def ledger(self) -> Ledger:
+        """The tables of the ingest (see plans.live)."""
+        return Ledger(self.spark, self.path("ingest"))
+
     def read(self, table: str, schema) -> DataFrame:
         """Stored table, or an empty one before the first write."""
+        if table == "events":
+            return live.read_events(self.ledger())
         return self.spark.read.parquet(self.path(table)) if self.exists(table) else self.spark.createDataFrame([], schema)
 
 
 def ingest_batch(store: Store, batch: DataFrame, batch_id: int, aliases: DataFrame, ignored: DataFrame) -> None:
-    """Store one batch of canonical events; neither the cut between batches nor a replay changes the result.
-
-    Visits are kept unfolded in `visits`, once per hash.  A hash contains its time, so equal hashes lie on one day and
-    only the days of the batch are compared.  The days the batch touches are then folded again from all their visits.
-    """
-    from ..schema import CANONICAL, to_canonical
-    day = F.col("occurred_at").cast("date")
-    rows = to_canonical(batch).filter("occurred_at is not null").dropDuplicates(["event_hash"]).withColumn("event_date", day)
-    if store.exists("visits"):
-        days = [r[0] for r in rows.select("event_date").distinct().collect()]  # calendar days of one batch
-        stored = store.read("visits", CANONICAL).filter(F.col("event_date").isin(days)).select("event_date", "event_hash")
-        rows = rows.join(stored, ["event_date", "event_hash"], "left_anti")
-    rows = cut_lineage(to_canonical(rows))
-    append_partitioned(rows, store.path("visits"))
-    publish_days(store, [r[0] for r in rows.select(day.alias("d")).distinct().collect()], aliases, ignored)
+    """Store one batch of canonical events; neither the cut between batches nor a replay changes the result."""
+    live.ingest(store.ledger(), batch, aliases, ignored)
 
 
 def publish_days(store: Store, days: list, aliases: DataFrame, ignored: DataFrame) -> None:
-    """Fold the given days, and the days beside them, from the stored visits and replace them in `events`.
-
-    A visit near midnight is covered by a proxy row of the next day, so one more day on either side is read.
-    """
-    from datetime import timedelta
-
-    from ..schema import CANONICAL, to_canonical
-    if not days:
-        return
-    touched = sorted({d + timedelta(n) for d in days for n in (-1, 0, 1)})
-    context = sorted({d + timedelta(n) for d in touched for n in (-1, 0, 1)})
-    visits = to_canonical(store.read("visits", CANONICAL).filter(F.col("event_date").isin(context)))
-    events = I.ingest(visits, visits.select("event_hash").limit(0), aliases, ignored)
-    replace_partitions(to_canonical(events).filter(F.col("occurred_at").cast("date").isin(touched)), store.path("events"))
+    """Publish the given days again from all their visits, after names or ignored people have changed."""
+    if days:
+        live.refold_days(store.ledger(), set(days), aliases, ignored)
 
 
 def score_range(events: DataFrame, as_of: str, days: int = 7, rules: Rules = Rules(),

@@ -18,13 +18,6 @@ def append_partitioned(df: DataFrame, path: str, ts: str = "occurred_at") -> Non
      .write.mode("append").partitionBy("event_date", "category").parquet(path))
 
 
-def replace_partitions(df: DataFrame, path: str, ts: str = "occurred_at") -> None:
-    """Replace the days and categories that `df` holds, leaving all others as they are."""
-    (df.withColumn("event_date", F.col(ts).cast("date"))
-     .hint("rebalance", "event_date", "category")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "category").parquet(path))
-
-
 def overwrite_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
