@@ -118,6 +118,11 @@ def pack(buckets: np.ndarray, kind: int, doc: np.ndarray, pos: np.ndarray, docs:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], KINDS[i]) for i in range(len(FIELDS))], FIELDS)
 
 
+def home(docs: np.ndarray, doc: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Settled places need no bucket of their hash; those of one text travel in one row."""
+    return (docs[doc] % n_buckets).astype(np.int32)
+
+
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(class digest, id, number of the text in this row, position) of each run of a packed row."""
     counts, step = unplanes(row["counts"]), unplanes(row["pos"])
@@ -177,7 +182,7 @@ def probes(block: int, n_buckets: int):
             sent = np.sort(order[~here | first])
             bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
             none = np.zeros(0, np.int64)
-            yield from pack(bucket[hit], 1, own.doc[hit], own.pos[hit], docs, none, None)
+            yield from pack(home(docs, own.doc[hit], n_buckets), 1, own.doc[hit], own.pos[hit], docs, none, None)
             yield from pack(bucket[sent], 0, own.doc[sent], 2 * own.pos[sent] + is_block[sent], docs, none, key[sent].astype("<u4"))
 
     return run
@@ -239,7 +244,7 @@ def windows(window: int, block: int, n_buckets: int):
             bucket = ((h1 >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
             keys = np.empty(len(h1), np.dtype([("h1", "<u8"), ("h2", "<u4")]))
             keys["h1"], keys["h2"] = h1, h2
-            yield from pack(bucket[found], 1, doc[found], pos[found], docs, ids, None)
+            yield from pack(home(docs, doc[found], n_buckets), 1, doc[found], pos[found], docs, ids, None)
             yield from pack(bucket[sent], 0, doc[sent], pos[sent], docs, ids, keys[sent])
 
     return run
