@@ -119,11 +119,11 @@ class Tree:
                 self.long[node][c] = max(self.long[node][c], long)
                 at += k
 
-    def ranges_of(self, cell: int, rows: np.ndarray) -> tuple[float, float, list[float], list[float]]:
+    def ranges_of(self, cell: int, rows: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         square = (rows.astype(np.float64)**2).sum(axis=1)
         far = [distances(rows, self.points[node]) for node, _ in self.path[cell]]
         far = np.concatenate(far, axis=1) if far else np.zeros((len(rows), 0))
-        return float(square.min()), float(square.max()), far.min(axis=0).tolist(), far.max(axis=0).tolist()
+        return float(square.min()), float(square.max()), far.min(axis=0), far.max(axis=0)
 
     def reached(self, anchors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(anchor, cell) of all cells that may hold a score in one of the anchor's windows; low, high: anchors x windows."""
@@ -275,14 +275,26 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
             cells = plan.value[0].cell_of(matrix(part.column(2), dim))
             yield pa.RecordBatch.from_arrays([pa.array(cells), *part.columns], ["cell", "vec_id", "label", "q"])
 
-    cells = stored(distinct.select("vec_id", "label", "q").mapInArrow(place, "cell long, vec_id long, label int, q binary"))
+    cells = distinct.select("vec_id", "label", "q").mapInArrow(place, "cell long, vec_id long, label int, q binary")
+    # Rows of a cell lie together; a cell of very many rows spreads over several tasks.
+    cells = stored(cells.repartitionByRange(tasks, "cell", F.xxhash64("vec_id")).sortWithinPartitions("cell"))
     sizes = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
     blocks = np.array([-(-sizes.get(c, 0) // block) for c in range(tree.cells)], np.int64)
 
     def ranges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per cell and task."""
+        held: dict[int, tuple] = {}
         for part in parts:
             own, vectors = part.column(0).to_numpy(), matrix(part.column(1), dim)
-            out = [(int(c), *plan.value[0].ranges_of(int(c), vectors[own == c])) for c in np.unique(own)]
+            for c in np.unique(own).tolist():
+                short, long, near, far = plan.value[0].ranges_of(c, vectors[own == c])
+                if c in held:
+                    before = held[c]
+                    short, long = min(short, before[0]), max(long, before[1])
+                    near, far = np.minimum(near, before[2]), np.maximum(far, before[3])
+                held[c] = short, long, near, far
+        out = [(c, *x) for c, x in held.items()]
+        if out:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(
                 (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], ["cell", "short", "long", "near", "far"])
 
