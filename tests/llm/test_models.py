@@ -1,6 +1,7 @@
 """Language profiles, toxicity and suffix tree: small cases, brute force and held-out accuracy."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -133,39 +134,91 @@ def test_base_scores(spark, sf, head):
     assert all(math.isclose(g[5], w[5], rel_tol=1e-9) for g, w in zip(got, want))
 
 
-def test_points_and_contexts():
-    texts = ["  Ab\t c ", None, "", "x"]
-    raw, borders = suffix_tree.points(texts)
-    assert "".join(chr(c) if c < suffix_tree.END else "$" for c in raw) == "ab c$$$x$" and borders.tolist() == [0, 5, 6, 7, 9]
-    symbols = suffix_tree.symbol_table([ord("a"), ord("b")])[raw].astype(np.int64)
-    a = suffix_tree.ALPHABET
-    got = suffix_tree.contexts(symbols, borders)
-    assert got[:3].tolist() == [0, 3, 4 + 3 * a] and got[5:8].tolist() == [0, 0, 0]
-
-
-def test_tree_scores(spark, sf):
-    """Distributions sum to one, long contexts are retained, and the tree beats the order-0 model on held-out text."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("coalesce(text, '') AS text")
-    counts = suffix_tree.word_counts(docs)
-    chars = [ord(r["token"]) for r in counts.where("kind = 1").orderBy("n", ascending=False).limit(suffix_tree.ALPHABET - 3).collect()]
-    tree = suffix_tree.grow(suffix_tree.context_counts(docs, chars), chars, 30.0, 50, 5000, 10.0)
-    p = 10 ** tree.logs
-    p[:, suffix_tree.OTHER] *= suffix_tree.END - len(chars)
-    assert np.allclose(p[:, 1:].sum(axis=1), 1) and len(tree.states) > 100 and tree.depths.max() >= 3
-    bounded = suffix_tree.grow(suffix_tree.context_counts(docs, chars), chars, 30.0, 50, 20, 10.0)
-    assert 1 < len(bounded.states) <= 21
-    raw, borders = suffix_tree.points(docs.limit(20).toPandas().text.tolist())
-    s = suffix_tree.symbol_table(chars)[raw].astype(np.int64)
-    deep = tree.logs[tree.lookup()[suffix_tree.contexts(s, borders)], s].sum()
-    assert deep > tree.logs[0, s].sum() * 0.85
-
-
-def test_every_retained_context_is_scored(spark, sf):
-    """How many contexts are sent to the tasks changes no score: the others are met in a join."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    few = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, max_states=20).collect()}
-    all_ = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, max_states=1_000_000).collect()}
-    assert few.keys() == all_.keys() and all(math.isclose(few[i], all_[i], rel_tol=1e-9) for i in all_)
+def brute_tree(rows, gain, min_count, min_pair):
+    """Scores from dictionaries of word tuples, and the states."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]) for i, t in rows]
+    train = [w for i, w in cut if not (i is not None and crc(i) % 7 == 2)]
+    c = Counter(x for w in train for x in w)
+    size = sum(c.values()) + len(c) + 1
+    states, depth = {(): None}, 0
+
+    def chance(context, x):
+        if context == ():
+            return (c[x] + 1) / size
+        n, total, a, mass = states[context]
+        return (n.get(x, 0) + mass * chance(context[1:], x)) / (total + a)
+
+    while True:
+        depth += 1
+        counts = {}
+        for w in train:
+            for k in range(depth, len(w)):
+                context = tuple(w[k - depth:k])
+                if context[1:] in states:
+                    counts.setdefault(context, Counter())[w[k]] += 1
+        new = {}
+        for context, n in counts.items():
+            total, kept = sum(n.values()), {x: k for x, k in n.items() if k >= min_pair}
+            rest = total - sum(kept.values())
+            if total < min_count or not kept:
+                continue
+            best = (-math.inf, 0)
+            for a in suffix_tree.GRID:
+                g = sum(k * math.log(((k - 1) / chance(context[1:], x) + a + rest) / (total - 1 + a) if k > min_pair else (a + rest + min_pair - 1) / (total - 1 + a))
+                        for x, k in kept.items())
+                best = max(best, (g + (rest * math.log((a + rest - 1) / (total - 1 + a)) if rest else 0), a))
+            if best[0] >= gain:
+                new[context] = (kept, total, best[1], best[1] + rest)
+        if not new:
+            break
+        states.update(new)
+    out = {}
+    for i, w in cut:
+        total = 0.0
+        for k, x in enumerate(w):
+            context = ()
+            while len(context) < k and tuple(w[k - len(context) - 1:k]) in states:
+                context = tuple(w[k - len(context) - 1:k])
+            total += math.log10(chance(context, x))
+        out[i] = total
+    return out, states
+
+
+@pytest.mark.parametrize("max_pairs, head", [(1_500_000, 500_000), (40, 10)])
+def test_tree_against_brute_force(spark, sf, max_pairs, head):
+    """30 documents, with states in arrays or met in joins; repeats make contexts of several words."""
+    import random
+    ready(spark)
+    rnd = random.Random(8)
+    rows = [(r["doc_id"], (r["text"] or "")[:6000]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(24).collect()]
+    song = "to be or not to be that is the question or to be is that a question".split()
+    rows += [(900 + k, " ".join(" ".join(song[a:a + 9]) for a in (rnd.randrange(8) for _ in range(60)))) for k in range(6)] + [(990, None), (991, "")]
+    want, states = brute_tree(rows, 3.0, 8, 2)
+    assert max(map(len, states)) >= 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, 3.0, 8, 2, max_pairs, head, 3000).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_states_are_distributions(spark, sf):
+    """The probabilities of all words after a state, unseen ones included, add up to one."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    _, states = brute_tree(rows[:40], 5.0, 20, 3)
+    for context, told in list(states.items())[1:50]:
+        kept, total, a, mass = told
+        assert math.isclose((sum(kept.values()) + mass) / (total + a), 1.0)
+
+
+def test_tree_beats_its_base_line(spark):
+    """Held-out texts of the larger table: the tree's score is above the base line, for most documents and in sum."""
+    place = "/root/testdata/sf0.01"
+    if not os.path.isdir(place):
+        pytest.skip("test tables are not here")
+    ready(spark)
+    got = [r for r in suffix_tree.score(spark.read.parquet(f"{place}/documents.parquet")).collect() if r["held_out"]]
+    better = sum(r["score"] > r["base_score"] for r in got)
+    assert better > 0.8 * len(got) and sum(r["score"] for r in got) > 0.97 * sum(r["base_score"] for r in got)
 
 
 def test_nothing_to_score(spark):

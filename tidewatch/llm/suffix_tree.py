@@ -1,22 +1,24 @@
-"""Language-model scores from a probabilistic suffix tree, with a word base line.
+"""Language-model scores from a probabilistic suffix tree over words, with a word base line.
 
-Symbols are the characters of a text's words (A-Z lower-cased) joined by single spaces, and one end mark.  The tree holds
-the contexts of up to `depth` symbols whose next-symbol distribution diverges from that of the context one symbol
-shorter (likelihood ratio at least `gain`, seen at least `min_count` times).  A symbol is scored in the longest retained
-suffix of its history; each distribution is smoothed towards that of the longest retained shorter suffix.
+Symbols are words (A-Z lower-cased) and one end mark.  The root is the add-one word model of the base line.  A context of
+d words is a state of the tree if it was seen `min_count` times, the context without its farthest word is a state (or the
+root), and its next words diverge from what that shorter context predicts: leaving out one occurrence at a time, its own
+distribution must make the training text likelier by `gain` (natural log).  So contexts grow word by word until the test
+stops them; no length is fixed.
 
-The base line is an add-one word model.  Counts of all words are kept by Spark: the `head` most frequent words go to
-every task, a document's other words meet their counts in a join.
+A state s predicts  P(w | s) = (n(s, w) + m(s) P(w | shorter s)) / (n(s) + a),  m(s) = a + the count of its rare next words.
+Pairs seen fewer than `min_pair` times count as unseen, a is the value of `GRID` that does best in the test.  A word is
+scored in its longest state: its score is that of the base line plus one ratio log P(w|s)/P(w|shorter s) for every state
+on the way.  A word that training never saw has the base line's probability; all such words are one symbol.
 
-Every context that passes the test is used.  Those seen most often (`max_states`) go to every task with their
-distributions; the distributions of all others stay in a table, and symbols after such a context meet them in a join.
-
-Bounded parts: the alphabet (`ALPHABET` symbols, rarer characters share one symbol and are told apart by an even spread
-over the remaining code points), the window (`DEPTH` symbols) and `head`.  Counts of words grow with the corpus and stay
-distributed.
+Counts stay distributed and grow with the corpus.  Runs of words travel packed to buckets of pair hashes, so no context
+owns a bucket.  For scoring, the base counts of the `head` most frequent words and the states seen most often (up to
+`max_pairs` pairs) go to every task as sorted arrays; all other words and states are met in joins.  Two bit sets of fixed
+size say where a join may find something.  Words and contexts are identified by 64-bit hashes.
 
 Defined cases: null text is empty and consists of its end alone; a null id is not held out; without training rows every
-base probability is one and symbols are even; repeated rows are scored each; other columns are ignored.
+base probability is one; repeated rows are scored each; very long texts are cut for counting at no place; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,17 +29,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import joined
 from .common import held_out, pick, stored
 
-ALPHABET, DEPTH = 48, 4
-START, STOP, OTHER, FIRST = 0, 1, 2, 3      # symbols; characters follow from FIRST
-END = 0x110000                              # the end mark among code points
-BATCH_BYTES = 1_500_000                     # texts worked on at once: several 64-bit numbers per character
-BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+BATCH_BYTES = 3_000_000          # texts worked on at once
+BASE = 0x9E3779B97F4A7C15        # of the polynomial that names contexts; the nearest word has power 0
+END = np.uint64(0x5851F42D4C957F2D)
+MARK_BITS = 25
+GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
+BLOCK = 4                        # depths counted in one pass over the texts
+ROWS = 65_536
 
 
 def words_of(texts: pa.Array) -> pa.ListArray:
@@ -45,298 +49,358 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
 
 
-def points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of words joined by single spaces, END after each text; borders)."""
-    raw = np.frombuffer("\U0010ffff".join([*[t or "" for t in texts], ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    ends = np.cumsum([len(t or "") + 1 for t in texts]) - 1 if texts else np.zeros(0, np.int64)
-    raw[ends] = END
-    raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
-    blank = np.isin(raw, BLANKS)
-    before = np.concatenate([[True], blank[:-1] | (raw[:-1] == END)])
-    keep = ~(blank & before)
-    raw, blank = np.where(blank, 32, raw)[keep], blank[keep]
-    keep = ~(blank & np.concatenate([raw[1:] == END, [False]])) if len(raw) else keep[:0]
-    raw = raw[keep]
-    return raw, np.concatenate([[0], np.flatnonzero(raw == END) + 1])
-
-
-def contexts(symbols: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """The last DEPTH symbols before each one as a number, the nearest in the lowest digit; START before a text."""
-    n, sizes = len(symbols), np.diff(borders)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(n) + DEPTH * (owner + 1)
-    padded = np.zeros(n + DEPTH * len(sizes), np.int64)
-    padded[at] = symbols
-    out = np.zeros(n, np.int64)
-    for k in range(DEPTH):
-        out += padded[at - 1 - k] * ALPHABET ** k
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of each text and its end mark, end to end; borders between texts)."""
+    from xxhash import xxh64_intdigest
+    cut = words_of(texts)
+    sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = cut.flatten()
+    held = pc.not_equal(words, "").to_numpy(zero_copy_only=False).astype(bool)
+    before = np.concatenate([[0], np.cumsum(held)])
+    n = np.diff(before[np.concatenate([[0], np.cumsum(sizes)])])
+    coded = words.filter(pa.array(held)).dictionary_encode()
+    names = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    borders = np.concatenate([[0], np.cumsum(n + 1)])
+    out = np.full(borders[-1], END)
+    real = np.ones(len(out), bool)
+    real[borders[1:] - 1] = False
+    if len(names):
+        out[real] = names[coded.indices.to_numpy(zero_copy_only=False)]
+    return out, borders
+
+
+def places(borders: np.ndarray) -> np.ndarray:
+    """Position of each symbol in its text."""
+    return np.arange(borders[-1]) - np.repeat(borders[:-1], np.diff(borders))
+
+
+def longer(context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
+    """Names of contexts with a farther word in front, now `depth` words long."""
+    return context + word * np.uint64(pow(BASE, depth - 1, 2**64))
+
+
+def pair_name(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (context ^ (context >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def marked(names: DataFrame) -> np.ndarray:
+    """A set of 2**25 bits that holds all names of a one-column table (and, by chance, others)."""
+    bit = F.shiftrightunsigned(F.col(names.columns[0]), 64 - MARK_BITS)
+    words = names.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({names.columns[0]}, {64 - MARK_BITS}) & 63 as int))").alias("mask"))
+    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2**19 rows
+    out = np.zeros(2**(MARK_BITS - 6), np.int64)
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy()
     return out
 
 
-def symbol_table(chars: list[int]) -> np.ndarray:
-    table = np.full(END + 1, OTHER, np.uint8)
-    table[END] = STOP
-    table[np.array(chars, np.int64)] = np.arange(FIRST, FIRST + len(chars))
-    return table
+def has(marks: np.ndarray, names: np.ndarray) -> np.ndarray:
+    bit = (names >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    return (marks[bit >> 6] >> (bit & 63)) & 1 == 1
+
 
+def add_up(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct combinations of `keys`, sorted, with the sums of their counts."""
+    order = np.lexsort(keys[::-1])
+    keys, n = [k[order] for k in keys], n[order]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], np.add.reduceat(n, first) if len(first) else n
 
-def sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Numbers as record batches of bounded size; hashes as signed ones."""
+    size = len(next(iter(columns.values())))
+    for at in range(0, size, ROWS):
+        part = {k: v[at:at + ROWS] for k, v in columns.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in part.values()], list(part))
 
-def word_counts(texts: DataFrame, flush: int = 600_000) -> DataFrame:
-    """(kind, token, n): words (kind 0) and characters (kind 1) of `texts` (text)."""
+
+def word_counts(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
+    """(word, n): hashes of all words and the end mark of `texts` (text)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        chars = np.zeros(END + 1, np.int64)
-        size = 0
+        word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for part in joined(parts, BATCH_BYTES):
+            own, times = np.unique(symbols(part.column(0))[0], return_counts=True)
+            (word,), n = add_up([np.concatenate([word, own])], np.concatenate([n, times]))
+            if len(word) > flush:
+                yield from rows({"word": word, "n": n})
+                word, n = word[:0], n[:0]
+        yield from rows({"word": word, "n": n})
 
-        def merged() -> pa.Table:
-            all_ = pa.concat_tables(held)
-            return all_.group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-        def out(t: pa.Table, kind: int) -> Iterator[pa.RecordBatch]:
-            t = t.add_column(0, "kind", pa.array(np.full(len(t), kind, np.int32)))
-            yield from t.select(["kind", "token", "n"]).combine_chunks().to_batches(max_chunksize=50_000)
 
-        for part in joined(parts, BATCH_BYTES):
-            texts = part.column(0)
-            words = words_of(texts).flatten()
-            found = words.filter(pc.not_equal(words, "")).value_counts()
-            held.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
-            size += len(found)
-            raw, _ = points(texts.to_pylist())
-            chars += np.bincount(raw, minlength=END + 1)
-            if size > flush:
-                held = [merged()]
-                size = len(held[0])
-                if size > flush:
-                    yield from out(held[0], 0)
-                    held, size = [], 0
-        if held:
-            yield from out(merged(), 0)
-        seen = np.flatnonzero(chars[:END])
-        seen = seen[(seen < 0xD800) | (seen > 0xDFFF)]
-        yield from out(pa.table({"token": pa.array([chr(c) for c in seen], pa.string()), "n": pa.array(chars[seen])}), 1)
+PACKED = "bucket int, depth int, contexts binary, parents binary, sizes binary, nexts binary, times binary"
+PAIRS = "depth int, context long, parent long, next long, grown long, n long"
+
+
+def small(x: np.ndarray) -> bytes:
+    """Bytes of small numbers, the mostly empty high bytes together."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    return texts.mapInArrow(run, "kind int, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
 
+def unsmall(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
-def context_counts(texts: DataFrame, chars: list[int], flush: int = 2_000_000) -> DataFrame:
-    """(context, next, n) at full depth."""
-    shared = texts.sparkSession.sparkContext.broadcast(chars)
+
+def pair_counts(texts: DataFrame, first: int, last: int, frequent: np.ndarray, bigrams: np.ndarray | None, states: np.ndarray | None,
+                n_buckets: int, min_pair: int) -> DataFrame:
+    """Contexts of `first`..`last` words and the words after them, seen `min_pair` times or more.
+
+    Contexts with a rare word (not in `frequent`) or pair of neighbours (`bigrams`), and those that do not grow out of
+    `states` of `first` - 1 words, cannot become states and are left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, bigrams, states))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = symbol_table(shared.value)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        often, pairs, grown_from = shared.value
         for part in joined(parts, BATCH_BYTES):
-            raw, borders = points(part.column(0).to_pylist())
-            symbols = table[raw].astype(np.int64)
-            own = np.sort(contexts(symbols, borders) * ALPHABET + symbols)
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
-            keys, counts = sum_by(np.concatenate([keys, own[first]]), np.concatenate([counts, np.diff(np.append(first, len(own)))]))
-            if len(keys) > flush:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-                keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-
-    rows = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return rows.select(F.expr(f"key div {ALPHABET}").alias("context"), (F.col("key") % ALPHABET).cast("int").alias("next"), "n")
-
-
-def largest(rows: DataFrame, value: str, limit: int) -> DataFrame:
-    """At most `limit` rows, those with the largest positive `value`, cut where a histogram step fits."""
+            s, borders = symbols(part.column(0))
+            at = np.flatnonzero(places(borders) >= 1)
+            at = at[has(often, s[at - 1])]
+            place, context = places(borders)[at], s[at - 1]
+            out = []
+            for d in range(1, last + 1):
+                if d > 1:
+                    keep = place >= d
+                    at, place, context = at[keep], place[keep], context[keep]
+                    keep = has(pairs, s[at - d + 1] + s[at - d] * np.uint64(BASE))
+                    if d == first:
+                        keep &= has(grown_from, context)
+                    at, place, parent = at[keep], place[keep], context[keep]
+                    context = longer(parent, s[at - d], d)
+                else:
+                    parent = np.zeros(len(context), np.uint64)
+                if d < first or not len(at):
+                    continue
+                (own, after, up), n = add_up([context, s[at], parent], np.ones(len(at), np.int64))
+                bucket = (pair_name(own, after) % np.uint64(n_buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                for one in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    c = own[one]
+                    head = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
+                    out.append((int(bucket[one[0]]), d, c[head].tobytes(), up[one][head].tobytes(), small(np.diff(np.append(head, len(one)))), after[one].tobytes(), small(n[one])))
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in PACKED.split(", ")])
+
+    def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition is a bucket; counts of its rows are added up now and then."""
+        held, size = [], 0
+
+        def merged():
+            keys, n = add_up([np.concatenate([h[i] for h in held]) for i in range(4)], np.concatenate([h[4] for h in held]))
+            return [(*keys, n)]
+
+        for part in parts:
+            for row in part.to_pylist():
+                sizes = unsmall(row["sizes"])
+                own, up = (np.repeat(np.frombuffer(row[c], np.uint64), sizes) for c in ("contexts", "parents"))
+                held.append((own, np.frombuffer(row["nexts"], np.uint64), up, np.full(len(own), row["depth"], np.int32), unsmall(row["times"])))
+                size += len(own)
+            if size > 4_000_000:
+                held = merged()
+                size = len(held[0][0]) // 2  # what cannot be merged further waits for twice as much
+        if held:
+            (own, after, up, depth, n), = merged()
+            keep = n >= min_pair
+            own, after, up, depth, n = own[keep], after[keep], up[keep], depth[keep], n[keep]
+            yield from rows({"depth": depth, "context": own, "parent": up, "next": after, "grown": after + own * np.uint64(BASE), "n": n})
+
+    return texts.mapInArrow(run, PACKED).repartitionById(n_buckets, F.col("bucket")).mapInArrow(total, PAIRS)
+
+
+def tested(pairs: DataFrame, gain: float, min_pair: int) -> tuple[DataFrame, DataFrame]:
+    """(states: context, total, back; pairs: context, next, p, ratio) of `pairs` (context, next, n, total, above).
+
+    `above` is the probability after the shorter context.  `back` is the log10 ratio of words a state has not seen.
+    """
+    pairs = stored(pairs)
+    sums = pairs.groupBy("context").agg(F.sum("n").alias("known"), F.first("total").alias("total"))
+    low = F.col("total") - F.col("known")  # occurrences of next words seen too seldom to be kept
+    both = pairs.drop("total").join(sums, "context")
+
+    def left_out(a: float):
+        rest = F.col("total") - 1 + a
+        kept = F.log(((F.col("n") - 1) / F.col("above") + a + low) / rest)
+        dropped = F.log((a + low + min_pair - 1) / rest)
+        return F.col("n") * F.when(F.col("n") > min_pair, kept).otherwise(dropped)
+
+    gains = both.groupBy("context").agg(F.first("total").alias("total"), F.first("known").alias("known"), *[F.sum(left_out(a)).alias(f"g{i}") for i, a in enumerate(GRID)])
+    best = F.greatest(*[F.struct((F.col(f"g{i}") + F.when(low > 0, low * F.log((a + low - 1) / (F.col("total") - 1 + a))).otherwise(0)).alias("gain"), F.lit(a).alias("a")) for i, a in enumerate(GRID)])
+    states = gains.select("context", "total", "known", best.alias("best")).where(F.col("best.gain") >= gain)
+    mass = F.col("best.a") + low
+    states = stored(states.select("context", "total", F.col("best.a").alias("a"), mass.alias("mass"), F.log10(mass / (F.col("total") + F.col("best.a"))).alias("back")))
+    p = (F.col("n") + F.col("mass") * F.col("above")) / (F.col("total") + F.col("a"))
+    probs = pairs.drop("total").join(states, "context").select("context", "next", "total", p.alias("p"), F.log10(p / F.col("above")).alias("ratio"))
+    return states.select("context", "total", "back"), stored(probs)
+
+
+def learn(texts: DataFrame, words: DataFrame, n_all: int, v_all: int, gain: float, min_count: int, min_pair: int, n_buckets: int) -> tuple[DataFrame, DataFrame, int]:
+    """(states, pairs, depth of the tree) from the training texts and their word counts."""
+    frequent = marked(words.where(F.col("n") >= min_count).select("word"))
+    counts = stored(pair_counts(texts, 1, 1, frequent, None, None, n_buckets, min_pair))
+    bigrams = marked(counts.where(F.col("n") >= min_count).select("grown"))
+    seen = words.where(F.col("n") >= min_count).select(F.col("word").alias("context"), F.col("n").alias("total"))
+    above = words.select(F.col("word").alias("next"), ((F.col("n") + 1) / F.lit(float(n_all + v_all + 1))).alias("above"))
+    candidates = counts.select("context", "next", "n").join(above, "next").join(seen, "context")
+    all_states, all_pairs, depth, counted = [], [], 0, 1
+    while True:
+        states, pairs = tested(candidates, gain, min_pair)
+        if states.isEmpty():
+            break
+        depth += 1
+        all_states.append(states)
+        all_pairs.append(pairs)
+        before = counts.where(F.col("depth") == depth)
+        if depth == counted:
+            counts = stored(pair_counts(texts, depth + 1, depth + BLOCK, frequent, bigrams, marked(states.select("context")), n_buckets, min_pair))
+            counted = depth + BLOCK
+        seen = before.where(F.col("n") >= min_count).select(F.col("grown").alias("context"), F.col("n").alias("total"))
+        above = pairs.select(F.col("context").alias("parent"), "next", F.col("p").alias("above"))
+        candidates = (counts.where(F.col("depth") == depth + 1).select("context", "parent", "next", "n").join(above, ["parent", "next"]).drop("parent")
+                      .join(seen, "context"))
+    if not depth:
+        return states, pairs, 0
+    for more in all_states[1:]:
+        all_states[0] = all_states[0].unionByName(more)
+    for more in all_pairs[1:]:
+        all_pairs[0] = all_pairs[0].unionByName(more)
+    return all_states[0], all_pairs[0].select("context", "next", "total", "ratio"), depth
+
+
+def cut_at(table: DataFrame, value: str, limit: int) -> float:
+    """The least `value` such that at most `limit` rows have it or more, on a scale of 64 steps an octave."""
     step = F.floor(F.log2(F.col(value)) * 64)
-    bars = rows.where(F.col(value) > 0).groupBy(step.alias("step")).count().collect()  # one row per 1/64 octave
-    cut, total = None, 0
+    bars = table.where(F.col(value) > 0).groupBy(step.alias("step")).count().collect()  # one row per 1/64 octave
+    cut, total = float("inf"), 0
     for bar in sorted(bars, key=lambda r: -r["step"]):
         total += bar["count"]
         if total > limit:
             break
         cut = bar["step"]
-    return rows.where(F.lit(False)) if cut is None else rows.where((F.col(value) > 0) & (step >= cut))
+    return cut
+
+
+def above_cut(value: str, cut: float):
+    return F.floor(F.log2(F.col(value)) * 64) >= F.lit(cut)
 
 
 @dataclass
-class Tree:
-    chars: list[int]
-    states: np.ndarray        # retained contexts, by depth and number; the first is the empty context
-    depths: np.ndarray
-    logs: np.ndarray          # log10 of each symbol after each state
-    rest: np.ndarray          # codes (see `code`) of the retained contexts that are not among `states`
-
-    def lookup(self) -> np.ndarray:
-        """The longest retained suffix of every full context."""
-        table = np.zeros(ALPHABET ** DEPTH, np.int32)
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(self.depths == d)
-            table.reshape(-1, ALPHABET ** d)[:, self.states[at]] = at
-        return table
-
-
-    def rest_depths(self) -> np.ndarray:
-        """Of every full context the depth of its longest retained suffix, or 0 where that is among `states`."""
-        table = np.zeros(ALPHABET ** DEPTH, np.int8)
-        for d in range(1, DEPTH + 1):
-            at = self.rest[self.rest // ALPHABET ** DEPTH == d] % ALPHABET ** DEPTH
-            table.reshape(-1, ALPHABET ** d)[:, at] = d
-        return table
-
-
-def code(depth, context):
-    """One number for a context of a depth."""
-    return depth * ALPHABET ** DEPTH + context
-
-
-def distributions(depth: np.ndarray, context: np.ndarray, after: np.ndarray, n: np.ndarray, smooth: float,
-                  root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(depths, contexts, probabilities) of all contexts in count rows, the empty one first (`root`: its probabilities)."""
-    names = np.unique(np.append(code(depth.astype(np.int64), context.astype(np.int64)), 0))
-    depths, states = names // ALPHABET ** DEPTH, names % ALPHABET ** DEPTH
-    seen = np.zeros((len(names), ALPHABET))
-    np.add.at(seen, (np.searchsorted(names, code(depth.astype(np.int64), context.astype(np.int64))), after), n)
-    p = np.zeros_like(seen)
-    usable = np.arange(ALPHABET) != START
-    p[0] = (seen[0] + usable) / (seen[0].sum() + usable.sum()) if root is None else root
-    index = {int(c): k for k, c in enumerate(names)}
-    for k in range(1, len(names)):
-        shorter = (index.get(code(e, int(states[k] % ALPHABET ** e))) for e in range(int(depths[k]) - 1, -1, -1))
-        p[k] = (seen[k] + smooth * p[next(up for up in shorter if up is not None)]) / (seen[k].sum() + smooth)
-    return depths, states, p
-
-
-def as_logs(p: np.ndarray, n_chars: int) -> np.ndarray:
-    p = p.copy()
-    p[:, START] = 1
-    logs = np.log10(p)
-    logs[:, OTHER] -= np.log10(END - n_chars)
-    return logs
-
-
-def learn(counts: DataFrame, chars: list[int], gain: float, min_count: int, max_states: int,
-          smooth: float) -> tuple[Tree, DataFrame]:
-    """Retain contexts by the divergence test and smooth their distributions: (the most frequent, (state, logs) of the rest)."""
-    powers = [ALPHABET ** d for d in range(DEPTH + 1)]
-    every = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), (F.col("context") % powers[d]).alias("context")) for d in range(DEPTH + 1)]))
-    table = stored(counts.select(every.alias("c"), "next", "n").groupBy("c.depth", "c.context", "next").agg(F.sum("n").alias("n"))
-                   .withColumn("total", F.sum("n").over(Window.partitionBy("depth", "context"))))
-    shorter = table.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("parent"), "next",
-                           F.log(F.col("n") / F.col("total")).alias("above"))
-    power = F.element_at(F.array(*map(F.lit, powers)), F.col("depth"))
-    tested = stored(table.where((F.col("depth") > 0) & (F.col("total") >= min_count)).withColumn("parent", F.col("context") % power)
-                    .join(shorter, ["depth", "parent", "next"])
-                    .groupBy("depth", "context").agg(
-                        F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("above"))).alias("gain"), F.max("total").alias("total"))
-                    .where(F.col("gain") >= gain))
-    # A context is seen at least as often as any longer one, so with a state all its retained suffixes are among the frequent ones.
-    often = largest(tested, "total", max_states).select("depth", "context", F.lit(True).alias("often"))
-    kept = stored(tested.join(often, ["depth", "context"], "left").select("depth", "context", F.coalesce("often", F.lit(False)).alias("often")))
-    rows = table.join(kept, ["depth", "context"]).select("depth", "context", "next", "n", "often")
-    own = rows.where("often").drop("often").unionByName(table.where(F.col("depth") == 0).select("depth", "context", "next", "n"))
-    depths, states, p = distributions(*(own.toArrow().column(c).to_numpy() for c in ("depth", "context", "next", "n")), smooth)  # bounded by max_states
-    root, n_chars = p[0], len(chars)
-
-    def run(part: pa.Table) -> pa.Table:
-        """All contexts that end with one symbol: the retained suffixes of each are here too, or empty."""
-        depth, context, after, n = (part.column(c).to_numpy() for c in ("depth", "context", "next", "n"))
-        depths, states, p = distributions(depth, context, after, n, smooth, root)
-        names = code(depths, states)
-        mine = np.isin(names, code(depth.astype(np.int64), context)[~part.column("often").to_numpy(zero_copy_only=False).astype(bool)])
-        logs = as_logs(p, n_chars)[mine]
-        return pa.table({"state": names[mine], "logs": pa.ListArray.from_arrays(np.arange(len(logs) + 1, dtype=np.int32) * ALPHABET, logs.ravel())})
-
-    rest = stored(rows.withColumn("last", F.col("context") % ALPHABET).groupBy("last").applyInArrow(run, "state long, logs array<double>"))
-    # One number for each retained context: at most ALPHABET ** DEPTH of each depth.
-    names = kept.where(~F.col("often")).select(code(F.col("depth").cast("long"), F.col("context")).alias("state")).toArrow().column("state").to_numpy()
-    return Tree(chars, states, depths, as_logs(p, n_chars), names), rest
-
-
-def grow(counts: DataFrame, chars: list[int], gain: float, min_count: int, max_states: int, smooth: float) -> Tree:
-    """The most frequent part of the tree."""
-    return learn(counts, chars, gain, min_count, max_states, smooth)[0]
-
-
-def score(docs: DataFrame, depth_gain: float = 30.0, min_count: int = 50, max_states: int = 20_000, smooth: float = 10.0,
-          head: int = 300_000) -> DataFrame:
+class Tables:
+    """What every task gets: sorted hashes with their numbers, and the marks of all other states."""
+    words: np.ndarray
+    word_logs: np.ndarray
+    states: np.ndarray
+    backs: np.ndarray
+    pairs: np.ndarray
+    ratios: np.ndarray
+    others: np.ndarray | None
+    depth: int
+
+
+def sorted_by(names: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(names)
+    return names[order], *[v[order] for v in values]
+
+
+def find(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in the sorted `names`, whether it is there)."""
+    if not len(names):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return at, names[at] == asked
+
+
+def walk(s: np.ndarray, borders: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of log ratios of each symbol's states that are here; symbol and context of states that may be elsewhere)."""
+    gained = np.zeros(len(s))
+    at = np.flatnonzero(places(borders) >= 1)
+    place, context = places(borders)[at], np.zeros(len(at), np.uint64)
+    far_at, far = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    here = np.ones(len(at), bool)
+    for d in range(1, t.depth + 1):
+        keep = place >= d
+        at, place, here = at[keep], place[keep], here[keep]
+        context = longer(context[keep], s[at - d], d)
+        k, is_state = find(t.states, context)
+        here = here & is_state
+        j, seen = find(t.pairs, pair_name(context[here], s[at[here]]))
+        gained[at[here]] += np.where(seen, t.ratios[j] if len(t.ratios) else 0.0, t.backs[k[here]] if len(t.backs) else 0.0)
+        maybe = ~here & has(t.others, context) if t.others is not None else np.zeros(len(at), bool)
+        far_at.append(at[maybe])
+        far.append(context[maybe])
+        keep = here | maybe
+        at, place, context, here = at[keep], place[keep], context[keep], here[keep]
+    return gained, np.concatenate(far_at), np.concatenate(far)
+
+
+def score(docs: DataFrame, gain: float = 5.0, min_count: int = 30, min_pair: int = 3, max_pairs: int = 1_500_000, head: int = 500_000,
+          words_per_bucket: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
-    train = docs.where(~F.col("held_out"))
-    texts = train.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = stored(word_counts(texts))
-    words = counts.where(F.col("kind") == 0).select("token", "n")
+    texts = docs.where(~F.col("held_out")).select(F.coalesce("text", F.lit("")).alias("text"))
+    words = stored(word_counts(texts))
     told = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_ends = train.count()
-    n_all, v_all = int(told["n"]) + n_ends, int(told["v"]) + (n_ends > 0)
+    n_all, v_all = int(told["n"]), int(told["v"])
     floor = float(np.log10(1 / (n_all + v_all + 1)))
-    chars = [ord(r["token"]) for r in counts.where(F.col("kind") == 1).orderBy(F.desc("n"), "token").limit(ALPHABET - FIRST).collect()]
-    tree, others = learn(context_counts(texts, chars), chars, depth_gain, min_count, max_states, smooth)
-    often = largest(words, "n", head)
-    top = often.toArrow()  # bounded by head
-    shared = spark.sparkContext.broadcast((tree, top.column("token").to_pylist(), np.log10(top.column("n").to_numpy() + 1.0) + floor))
-    known_end, base_end = int(n_ends > 0), float(np.log10(n_ends + 1) + floor)
+    states, pairs, depth = learn(texts, words, n_all, v_all, gain, min_count, min_pair, max(1, -(-n_all // words_per_bucket)))
+
+    often, cut = cut_at(words, "n", head), cut_at(pairs, "total", max_pairs)
+    top = words.where(above_cut("n", often)).toArrow()                                     # bounded by head
+    near = pairs.where(above_cut("total", cut)).select("context", "next", "ratio").toArrow()  # bounded by max_pairs
+    near_states = states.where(above_cut("total", cut)).select("context", "back").toArrow()   # each has a pair
+    other_states, other_pairs = states.where(~above_cut("total", cut)), pairs.where(~above_cut("total", cut))
+    column = lambda t, c: t.column(c).to_numpy()
+    hashes = lambda t, c: column(t, c).view(np.uint64)
+    with np.errstate(over="ignore"):
+        names = pair_name(hashes(near, "context"), hashes(near, "next"))
+    shared = spark.sparkContext.broadcast(Tables(
+        *sorted_by(hashes(top, "word"), np.log10(column(top, "n") + 1.0)), *sorted_by(hashes(near_states, "context"), column(near_states, "back")),
+        *sorted_by(names, column(near, "ratio")), None if other_states.isEmpty() else marked(other_states.select("context")), depth))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, names, values = shared.value
-        table, lookup, logs = symbol_table(tree.chars), tree.lookup(), tree.logs.ravel()
-        beyond = tree.rest_depths() if len(tree.rest) else None
-        powers, codes_in_all = ALPHABET ** np.arange(DEPTH + 1), code(DEPTH + 1, 0) * ALPHABET
-        rank = dict(zip(names, range(len(names))))
-        values = np.append(values, 0.0)
+        t = shared.value
         for part in joined(parts, BATCH_BYTES):
-            texts = part.column(2)
-            raw, borders = points(texts.to_pylist())
-            symbols = table[raw].astype(np.int64)
-            before = contexts(symbols, borders)
-            step = logs[lookup[before].astype(np.int64) * ALPHABET + symbols]
-            keys, met = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if beyond is not None:
-                depth = beyond[before]
-                at = np.flatnonzero(depth)
-                step[at] = 0
-                depth = depth[at].astype(np.int64)
-                of_text = np.searchsorted(borders, at, "right") - 1
-                keys, met = np.unique(of_text * codes_in_all + code(depth, before[at] % powers[depth]) * ALPHABET + symbols[at], return_counts=True)
-            deep = pa.StructArray.from_arrays([pa.array(keys % codes_in_all // ALPHABET), pa.array((keys % ALPHABET).astype(np.int32)), pa.array(met.astype(np.int64))],
-                                              ["state", "next", "times"])
-            deep = pa.ListArray.from_arrays(pa.array(np.searchsorted(keys // codes_in_all, np.arange(len(texts) + 1)).astype(np.int32)), deep)
-            scores = np.add.reduceat(step, borders[:-1])
-            cut = words_of(texts)
-            sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            coded = cut.flatten().dictionary_encode()
-            own = coded.dictionary.to_pylist()
-            at = np.array([rank.get(w, -1) if w else -2 for w in own], np.int64)
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            of = at[codes]
-            real, known = of != -2, of >= 0
-            n = np.bincount(owner, real, len(texts)).astype(np.int64)
-            n_known = np.bincount(owner, known, len(texts)).astype(np.int64)
-            base = np.bincount(owner, values[np.where(known, of, -1)], len(texts))
-            rest, times = np.unique(owner[of == -1].astype(np.int64) * max(1, len(own)) + codes[of == -1], return_counts=True)
-            rest_of = rest // max(1, len(own))
-            rare = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(rest % max(1, len(own)))), pa.array(times.astype(np.int64))], ["token", "times"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest_of, np.arange(len(texts) + 1)).astype(np.int32)), rare)
+            with np.errstate(over="ignore"):
+                s, borders = symbols(part.column(2))
+                gained, far_at, far = walk(s, borders, t)
+            n = len(borders) - 1
+            owner = np.repeat(np.arange(n), np.diff(borders))
+            k, known = find(t.words, s)
+            logs = np.where(known, t.word_logs[k] if len(t.word_logs) else 0.0, 0.0)
+            rare = np.flatnonzero(~known)
+            (of, word), times = add_up([owner[rare], s[rare]], np.ones(len(rare), np.int64))
+            (far_of, context, after), far_times = add_up([owner[far_at], far, s[far_at]], np.ones(len(far_at), np.int64))
+
+            def lists(owners: np.ndarray, **fields: np.ndarray) -> pa.Array:
+                values = pa.StructArray.from_arrays([pa.array(v.view(np.int64)) for v in fields.values()], list(fields))
+                return pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(n + 1)).astype(np.int32)), values)
+
             yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array(n + 1), pa.array(n_known + known_end), pa.array(base + base_end), pa.array(scores), lists, deep],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "deep"])
-
-    schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-              "rare array<struct<token: string, times: long>>, deep array<struct<state: long, next: int, times: long>>")
-    # The row number is fixed by writing: both readers below see the same one.
-    rows = stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("rare").alias("w")).select("row", "w.token", "w.times")
-    seen = words.join(often.select("token"), "token", "left_anti")
-    extra = (rare.join(seen, "token", "left").groupBy("row").agg(
-        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) + F.lit(floor))).alias("more"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also")))
-    far = rows.select("row", F.explode("deep").alias("d")).select("row", "d.state", "d.next", "d.times")
-    deeper = far.join(others, "state").groupBy("row").agg(F.sum(F.col("times") * F.element_at("logs", F.col("next") + 1)).alias("deeper"))
-    return (rows.drop("rare", "deep").join(extra, "row", "left").join(deeper, "row", "left").select(
+                part.column(0), part.column(1), pa.array(np.diff(borders)), pa.array(np.bincount(owner, known, n).astype(np.int64)),
+                pa.array(np.bincount(owner, logs, n) + np.diff(borders) * floor), pa.array(np.bincount(owner, gained, n)),
+                lists(of, word=word, times=times), lists(far_of, context=context, next=after, times=far_times)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base", "gained", "rare", "far"])
+
+    schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, gained double, rare array<struct<word: long, times: long>>, "
+              "far array<struct<context: long, next: long, times: long>>")
+    # The row number is fixed by writing: all readers below see the same one.
+    scored = stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.times")
+    extra = rare.join(words.where(~above_cut("n", often)), "word").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("also"))
+    far = scored.select("row", F.explode("far").alias("c")).select("row", "c.context", "c.next", "c.times")
+    far = far.join(other_states.select("context", "back"), "context").join(other_pairs.select("context", "next", "ratio"), ["context", "next"], "left")
+    deeper = far.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("ratio", "back")).alias("deeper"))
+    base = F.col("base") + F.coalesce("more", F.lit(0.0))
+    return (scored.drop("rare", "far").join(extra, "row", "left").join(deeper, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("deeper", F.lit(0.0))).alias("score")))
+        F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gained") + F.coalesce("deeper", F.lit(0.0))).alias("score")))
