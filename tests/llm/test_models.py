@@ -218,7 +218,7 @@ def test_tree_beats_its_base_line(spark):
     ready(spark)
     got = [r for r in suffix_tree.score(spark.read.parquet(f"{place}/documents.parquet")).collect() if r["held_out"]]
     better = sum(r["score"] > r["base_score"] for r in got)
-    assert better > 0.8 * len(got) and sum(r["score"] for r in got) > 0.97 * sum(r["base_score"] for r in got)
+    assert better > 0.8 * len(got) and sum(r["score"] for r in got) > 0.99 * sum(r["base_score"] for r in got)
 
 
 def test_nothing_to_score(spark):

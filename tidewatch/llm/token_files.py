@@ -14,7 +14,7 @@ Ids come from the tokenizers library, applied to distinct pieces: the pre-tokeni
 between two other characters, so pieces cut there are encoded alone; texts with runs of white space are cut by runs.
 
 Defined cases: null text is empty (its only id is the end id); a null document id sorts first; rows that share an id
-follow each other in the order of their frames; an empty table gives an empty file set; other columns are ignored.
+follow each other in the order of a hash of their texts, and may spread over several buckets; an empty table gives an empty file set; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import SPACE, gather, joined, tokenizer_text
+from .bpe import SPACE, joined, tokenizer_text
 from .common import folder, pick
 
 MAGIC = b"TWTOK1"
@@ -43,57 +43,104 @@ RUN = "[\\t-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{2
 BY_RUN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
+def runs_at(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id runs number `at` end to end, and the length of each; run k lies in `flat` from `first[k]` on."""
+    own = sizes[at]
+    shift = np.repeat(first[at] - (np.cumsum(own) - own), own)
+    return flat[shift + np.arange(len(shift))], own
+
+
 class PieceIds:
-    """The library's ids of pieces, with a memory of two bounded generations."""
+    """The library's ids of pieces, with a memory of about `remember` bytes.
 
-    def __init__(self, text: str, remember: int = 400_000):
+    Words are encoded many at a time, joined by spaces: a token that starts with a space starts a word there.
+    """
+
+    def __init__(self, text: str, remember: int = 16_000_000, together: int = 500):
         from tokenizers import Tokenizer
-        self.library, self.remember = Tokenizer.from_str(text), remember
+        self.library, self.remember, self.together = Tokenizer.from_str(text), remember, together
         self.library.no_padding()
         self.library.no_truncation()
-        self.seen: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def entries(self, pieces: list[str]) -> list[bytes]:
-        if len(self.seen) > self.remember:
-            self.old, self.seen = self.seen, {}
-        seen, old = self.seen, self.old
-        new = [p for p in pieces if p not in seen]
-        if new:
-            seen.update((p, old[p]) for p in new if p in old)
-            if (new := [p for p in new if p not in seen]):
-                found = self.library.encode_batch_fast(new, add_special_tokens=False)
-                seen.update((p, np.array(f.ids, "<u4").tobytes()) for p, f in zip(new, found))
-        return [seen[p] for p in pieces]
+        vocab = self.library.get_vocab()
+        self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.starts[[k for word, k in vocab.items() if word.startswith("\u0120")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces end to end, how many each has)."""
+        found = [np.array(f.ids, "<u4") for f in self.library.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        return (np.concatenate(found) if found else np.zeros(0, "<u4")), np.fromiter(map(len, found), np.int64, len(found))
+
+    def new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each."""
+        trimmed = pc.utf8_trim_whitespace(words)
+        odd = pc.or_(pc.equal(words, ""), pc.not_equal(trimmed, words)).to_numpy(zero_copy_only=False).astype(bool)
+        plain = words.filter(pa.array(~odd)).to_pylist()
+        groups = [plain[k:k + self.together] for k in range(0, len(plain), self.together)]
+        ids, sizes = self.alone([" " + " ".join(g) for g in groups])
+        heads = np.flatnonzero(self.starts[ids])
+        count = np.add.reduceat(self.starts[ids], np.cumsum(sizes) - sizes) if len(sizes) else sizes
+        if len(heads) != len(plain) or any(c != len(g) for c, g in zip(count, groups)):
+            return self.alone([" " + w for w in words.to_pylist()])  # some word holds a space of its own
+        lengths = np.diff(np.append(heads, len(ids)))
+        if not odd.any():
+            return ids, lengths
+        more, more_lengths = self.alone([" " + w for w in words.filter(pa.array(odd)).to_pylist()])
+        order = np.argsort(np.argsort(odd, kind="stable"), kind="stable")  # of each word among plain ones, then odd ones
+        flat, all_lengths = np.concatenate([ids, more]), np.concatenate([lengths, more_lengths])
+        return runs_at(flat, np.cumsum(all_lengths) - all_lengths, all_lengths, order)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words with a space before each, from memory where they are known."""
+        at = pc.index_in(words, value_set=self.known) if len(self.known) else pa.nulls(len(words), pa.int32())
+        missing = words.filter(pc.is_null(at))
+        ids, sizes = self.new_words(missing)
+        known = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = pc.is_null(at).to_numpy(zero_copy_only=False).astype(bool)
+        known[new] = len(self.known) + np.arange(len(missing))
+        self.known = pa.concat_arrays([self.known, missing])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        out = runs_at(self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, known)
+        if self.known.nbytes + self.ids.nbytes + self.sizes.nbytes > self.remember:
+            self.forget()
+            if words.nbytes + out[0].nbytes + out[1].nbytes <= self.remember:
+                self.known, (self.ids, self.sizes) = words, out
+        return out
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, borders between texts)."""
-        hard = pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False).astype(bool)
         n = len(texts)
-        cut = pc.split_pattern(texts, " ")
-        pieces = cut.flatten()
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        hard = pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False).astype(bool)
+        easy = texts.filter(pa.array(~hard))
+        cut = pc.split_pattern(easy, " ")
         sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
+        pieces = cut.flatten()
         coded = pieces.dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        values = self.entries([" " + w for w in words])
+        ids, lengths = self.words(coded.dictionary)
         # The first piece of a text has no space before it.
-        values += self.entries([words[k] for k in at[starts]] if n else [])
-        at[starts] = len(words) + np.arange(n)
-        if hard.any():
-            runs = [BY_RUN.findall(t) for t in texts.filter(pa.array(hard)).to_pylist()]
-            own = {p: k for k, p in enumerate(dict.fromkeys(p for r in runs for p in r))}
-            base = len(values)
-            values += self.entries(list(own))
-            parts = np.split(at, starts[1:]) if n else []
-            for k, r in zip(np.flatnonzero(hard), runs):
-                parts[k] = np.array([base + own[p] for p in r], np.int64)
-            at = np.concatenate(parts)
-            sizes = np.array([len(p) for p in parts], np.int64)
-        ids, lengths = gather(values, at)
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, total[np.concatenate([[0], np.cumsum(sizes)])]
+        first, first_lengths = self.alone(pieces.take(pa.array(starts)).to_pylist())
+        at[starts] = len(lengths) + np.arange(len(starts))
+        runs = [BY_RUN.findall(t) for t in texts.filter(pa.array(hard)).to_pylist()]
+        own = {p: k for k, p in enumerate(dict.fromkeys(p for r in runs for p in r))}
+        more, more_lengths = self.alone(list(own))
+        base = len(lengths) + len(first_lengths)
+        parts = [None] * n
+        for k, p in zip(np.flatnonzero(~hard), np.split(at, starts[1:]) if len(starts) else []):
+            parts[k] = p
+        for k, r in zip(np.flatnonzero(hard), runs):
+            parts[k] = np.array([base + own[p] for p in r], np.int64)
+        flat, all_lengths = np.concatenate([ids, first, more]), np.concatenate([lengths, first_lengths, more_lengths])
+        out, counts = runs_at(flat, np.cumsum(all_lengths) - all_lengths, all_lengths, np.concatenate(parts))
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return out, total[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
 
 
 _IDS: dict[str, PieceIds] = {}
@@ -127,46 +174,84 @@ class TokenFiles:
 SEGMENT = "bucket int, segment int, n_docs int, n_tokens long, data binary"
 
 
-def train_dictionary(docs: DataFrame, text: str, end_id: int, width: int, sample_docs: int, dict_bytes: int) -> bytes:
-    """A dictionary from at most `sample_docs` documents, chosen by the hash of their id.
+def hash_share(column: Column, share: float) -> Column:
+    """Whether a hash lies in the lowest `share` of its range."""
+    return F.shiftrightunsigned(column, 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))
+
+
+def train_dictionary(docs: DataFrame, n_docs: int, text: str, end_id: int, width: int, sample_docs: int, dict_bytes: int, sample_bytes: int) -> bytes:
+    """A dictionary from about `sample_docs` documents, chosen by the hash of their id, and `sample_bytes` of their ids.
 
-    Only the fit is bounded; every document is then written.  Of each sample the first 16 kB are looked at.
+    Tasks encode the sample and cut a document's share out of a place that its hash chooses, so only these bytes travel.
     """
     import zstandard
-    some = (docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-            .select(F.coalesce("text", F.lit("")).alias("text")).toArrow().column("text").combine_chunks())
-    if not len(some):
-        return b""
-    own = piece_ids(text)
-    ids, ends = own.texts(some)
-    samples = [np.append(ids[a:b], end_id).astype(f"<u{width}").tobytes()[:16384] for a, b in zip(ends, ends[1:])]
+    each = max(1024, sample_bytes // (2 * sample_docs))
+    shared = docs.sparkSession.sparkContext.broadcast(text)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = piece_ids(shared.value)
+        for part in joined(parts, 2_000_000):
+            ids, ends = own.texts(part.column(1))
+            out = []
+            for h, a, b in zip(part.column(0).to_pylist(), ends, ends[1:]):
+                data = np.append(ids[a:b], end_id).astype(f"<u{width}").tobytes()
+                at = h % max(1, len(data) // width - each // width) * width
+                out.append(data[at:at + each])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["h", "sample"])
+
+    h = F.xxhash64(F.lit("sample"), F.col("doc_id"), F.xxhash64("text"))
+    some = docs.select(h.alias("h"), F.coalesce("text", F.lit("")).alias("text")).where(hash_share(F.col("h"), sample_docs / max(1, n_docs)))
+    samples = [r["sample"] for r in sorted(some.mapInArrow(run, "h long, sample binary").toLocalIterator())][:2 * sample_docs]
     try:
-        return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
+        return zstandard.train_dictionary(dict_bytes, [bytes(x) for x in samples]).as_bytes() if samples else b""
     except zstandard.ZstdError:  # too little to learn from
         return b""
 
 
+def range_borders(docs: DataFrame, n_docs: int, n_buckets: int, sample_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of `n_buckets` ranges of (doc_id, hash) from a sorted sample; rows of one id may lie in several ranges."""
+    if n_buckets < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = F.xxhash64(F.lit("border"), "doc_id", "hash")
+    some = docs.where(hash_share(own, sample_ids / max(1, n_docs))).select("doc_id", "hash").toArrow()
+    ids, hashes = some.column("doc_id").fill_null(-2**63).to_numpy(), some.column("hash").to_numpy()
+    order = np.lexsort((hashes, ids))
+    at = order[np.unique(np.arange(1, n_buckets) * len(order) // n_buckets)] if len(order) else order
+    return ids[at], hashes[at]
+
+
+def bucket_of(ids: np.ndarray, hashes: np.ndarray, borders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many borders lie before (id, hash)."""
+    low, high = np.searchsorted(borders[0], ids, "left"), np.searchsorted(borders[0], ids, "right")
+    for k in np.flatnonzero(low < high):  # ids that are borders themselves
+        low[k] += np.searchsorted(borders[1][low[k]:high[k]], hashes[k], "left")
+    return low
+
+
 def write(docs: DataFrame, path: str, end_id: int = 2, sample_docs: int = 1000, dict_bytes: int = 65536,
-          docs_per_segment: int = 512, docs_per_bucket: int = 4096, level: int = 3) -> TokenFiles:
-    """Encode `docs` (doc_id, text) and write the files; `path` names the tokenizer."""
+          docs_per_segment: int = 512, docs_per_bucket: int = 65_536, level: int = 3, bucket_bytes: int = 16_000_000,
+          max_buckets: int = 20_000, sample_bytes: int = 8_000_000) -> TokenFiles:
+    """Encode `docs` (doc_id, text) and write the files; `path` names the tokenizer.
+
+    A bucket holds about `bucket_bytes` of text; beyond `max_buckets` of them they grow (a bucket is sorted by Spark,
+    which spills, and written segment by segment, so its size bounds no memory).
+    """
     import json
     spark = docs.sparkSession
     text = tokenizer_text(path)
     spec = json.loads(text)
     top = max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]], end_id])
     width = 2 if top < 65536 else 4
-    docs = pick(docs, doc_id="long", text="string")
-    words = train_dictionary(docs, text, end_id, width, sample_docs, dict_bytes)
+    docs = pick(docs, doc_id="long", text="string").withColumn("hash", F.xxhash64("text"))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    words = train_dictionary(docs, size["n"], text, end_id, width, sample_docs, dict_bytes, sample_bytes)
     words_hash = hashlib.sha256(words).digest()
     out = TokenFiles(folder(spark, "tokens"))
     spark.createDataFrame([(bytearray(words_hash), bytearray(words))], "hash binary, data binary").coalesce(1).write.parquet(f"{out.path}/dictionary")
 
-    # Range borders from the id column alone; a pass over the texts only to sample them would encode twice.
-    n_docs = docs.count()
-    n_buckets = max(1, -(-n_docs // docs_per_bucket))
-    cuts = [i / n_buckets for i in range(1, n_buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), 100 * n_buckets)).first()[0] if cuts else []
-    borders = np.unique(np.array(found or [], np.int64))
+    n_buckets = min(max_buckets, max(1, -(-size["bytes"] // bucket_bytes), -(-size["n"] // docs_per_bucket)))
+    borders = range_borders(docs, size["n"], n_buckets, 20 * n_buckets)
+    n_buckets = len(borders[0]) + 1
     shared = spark.sparkContext.broadcast((text, words, borders))
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +262,10 @@ def write(docs: DataFrame, path: str, end_id: int = 2, sample_docs: int = 1000,
         for part in joined(parts):
             ids, ends = own.texts(part.column(1).fill_null(""))
             frames = [pack.compress(np.append(ids[a:b], end_id).astype(f"<u{width}").tobytes()) for a, b in zip(ends, ends[1:])]
-            keys = part.column(0)
-            bucket = np.searchsorted(limits, keys.fill_null(-2**63).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, pa.array(np.diff(ends) + 1, pa.int32()),
-                                              pa.array(frames, pa.binary())], ["bucket", "doc_id", "n_tokens", "frame"])
+            keys, hashes = part.column(0), part.column(2)
+            bucket = bucket_of(keys.fill_null(-2**63).to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False), limits)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, hashes, pa.array(np.diff(ends) + 1, pa.int32()),
+                                              pa.array(frames, pa.binary())], ["bucket", "doc_id", "hash", "n_tokens", "frame"])
 
     def segments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (bucket, doc_id)."""
@@ -203,9 +288,9 @@ def write(docs: DataFrame, path: str, end_id: int = 2, sample_docs: int = 1000,
         if held:
             yield flush()
 
-    rows = docs.mapInArrow(encode, "bucket int, doc_id long, n_tokens int, frame binary")
+    rows = docs.mapInArrow(encode, "bucket int, doc_id long, hash long, n_tokens int, frame binary")
     # A bucket is a partition of its own: hashing would put several into one task.
-    (rows.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", F.xxhash64("frame"))
+    (rows.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "hash").drop("hash")
      .mapInArrow(segments, SEGMENT).write.option("compression", "none").parquet(f"{out.path}/segments"))
     sizes = out.segments(spark).select("bucket", "segment", "n_tokens")
     # One row per segment: the running sum first over buckets, then inside each.
