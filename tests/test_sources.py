@@ -141,3 +141,54 @@ def test_profile_export_is_one_folder_per_person(spark, tmp_path):
     rep = spark.createDataFrame([("a", "alert", "t"), ("b", "verdict", "u")], "employee_id string, kind string, text string")
     K.export_profiles(rep, str(tmp_path / "r"))
     assert sorted(p.name for p in (tmp_path / "r").glob("employee_id=*")) == ["employee_id=a", "employee_id=b"]
+
+
+def records_of(spark, path, max_bytes):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = S.physical_lines(spark, path)
+        scan = S.scan_blocks(lines, vocab.PROXY_HEADERS, {"all": ("user", "time", "domain")})
+        layouts = S.file_layouts(scan)
+        found = S.read_records(lines, layouts, S.block_starts(scan)).select("cells")
+        return lines.select("block").distinct().count(), sorted(tuple(r[0]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [37, 200, 1000, 10**8])
+def test_records_across_split_borders(spark, tmp_path, size):
+    """Quoted line ends, separators, doubled quotes and blank lines, cut into splits anywhere; some records span several."""
+    import csv
+    import io
+    import random
+    rnd = random.Random(size)
+    table = [["访问域名", "用户名", "时间"]]
+    for k in range(60):
+        piece = lambda: "".join(rnd.choice(['a', '"', ",", "\n", "\n\n", '",', "b c"]) for _ in range(rnd.randint(0, 12)))
+        table.append([f"d{k}.org", piece() + "x", "y" + piece() + "z" * rnd.choice([1, 90])])
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(table)
+    (tmp_path / "a.csv").write_text(out.getvalue(), encoding="utf-8")
+    blocks, got = records_of(spark, str(tmp_path / "a.csv"), size)
+    assert got == sorted(tuple(c.strip() for c in r) for r in table)
+    assert (blocks > 1) == (size < 10**8)
+
+
+def test_a_stray_quote_inside_a_cell_is_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('用户名,访问域名,时间\nli,5" disk.org,2026-07-22 10:00:00\nwang,"b"x.org,2026-07-22 10:00:00\n', encoding="utf-8")
+    assert rows(S.read_proxy_export(spark, str(tmp_path / "a.csv")), "employee_id", "domain") == [("li", '5" disk.org'), ("wang", "bx.org")]
+
+
+def test_unread_files_are_listed(spark, tmp_path):
+    (tmp_path / "misc.csv").write_text("a,b\n1,2\n\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("\n", encoding="utf-8")
+    (tmp_path / "other.csv").write_text("时间,计算机,搜索关键字\n45000.7,pc-9,网盘\n", encoding="utf-8")
+    found = S.read_endpoint_folder(spark, str(tmp_path))
+    assert [(r["file"].rsplit("/", 1)[1], r["n_lines"]) for r in found.unread.collect()] == [("misc.csv", 2)]
+    assert found.rows.count() == 1
+    (tmp_path / "网页.csv").write_text("x,y\n1,2\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="no header line in"):
+        S.read_endpoint_dir(spark, str(tmp_path))

@@ -6,6 +6,6 @@ from __future__ import annotations
 def load() -> tuple[dict, dict]:
     """(queries, oracle SQL) of all modules."""
     from . import board_queries, detect_queries, function_queries, ingest_queries, lifecycle_queries  # noqa: F401
-    from . import report_queries, stream_queries, window_queries  # noqa: F401
+    from . import report_queries, source_queries, stream_queries, window_queries  # noqa: F401
     from .base import ORACLES, QUERIES
     return dict(QUERIES), dict(ORACLES)

@@ -54,6 +54,24 @@ def j01_table(spark, sf):
     return C.classify_with_table(pages.unionByName(visited), C.dictionary_table(spark))
 
 
+FILLER = 20_000
+
+
+@register("j01_classes_from_rules", with_("cls", "").rstrip() + f""", p as (select lower(domain) as domain, trim(coalesce(site_class, '')) as label, count(*) as n_rows from cls where category = 'WEB' group by 1, 2)
+ select domain, label, n_rows, {sql_risk('domain')} as risk_class, {sql_leisure('domain', 'label')} as leisure, {sql_suffix('domain', V.get('work_domains'))} as is_work from p""")
+def j01_rules(spark, sf):
+    """Risk, leisure and work classes from a rule table with 20,000 entries besides the default ones."""
+    from ..operators import matching as M
+    number = F.col("id").cast("string")
+    more = spark.range(FILLER).select(F.element_at(F.array(*map(F.lit, ("netdisk_domains", "work_domains", "recruitment_sites", "slack_whitelist_domains"))), (F.col("id") % 4 + 1).cast("int")).alias("dict_name"),
+                                      F.lit("").alias("category"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("h"), number, F.lit(".filler.invalid"))).otherwise(F.concat(F.lit("~filler~"), number)).alias("pattern"))
+    rules = M.dictionary_rules(C.dictionary_table(spark).select("dict_name", "category", "pattern").unionByName(more)).unionByName(M.label_rules(spark))
+    web = ev(spark, sf).filter("category = 'WEB'")
+    rows = M.with_classes(web, rules, F.col("domain"), F.col("site_class"))
+    return (rows.groupBy(F.lower("domain").alias("domain"), F.trim(F.coalesce("site_class", F.lit(""))).alias("label"), "risk_class", "leisure", "is_work")
+            .agg(F.count("*").alias("n_rows")).select("domain", "label", "n_rows", "risk_class", "leisure", "is_work"))
+
+
 @register("w1_windows", with_("win", """select employee_id, window_start, max(occurred_at) as window_end, count(*) as n_events from win group by 1, 2"""))
 def w1(spark, sf):
     return W.build_windows(ev(spark, sf))

@@ -101,8 +101,11 @@ def merge_dictionary(defaults: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def vocabulary_from(table: DataFrame, limit: int = 5_000) -> Vocabulary:
-    """Configuration object of a dictionary table; refuses more than `limit` entries."""
+    """Configuration object of a dictionary table that rules can hold as literals.
+
+    Its bound is on the plan, not on dictionaries: larger ones classify by `matching.with_classes`, which joins.
+    """
     rows = table.select("dict_name", "category", "pattern").limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} dictionary entries: use classify_with_table")
+        raise ValueError(f"more than {limit} dictionary entries: use matching.with_classes")
     return DEFAULT.with_overrides([tuple(r) for r in rows])

@@ -292,32 +292,72 @@ def mask_names(mask, names: list[str], sep: str = ",") -> Column:
     return F.concat_ws(sep, *[F.when(m.bitwiseAND(CHANNEL_BITS[n]) != 0, F.lit(n)) for n in names])
 
 
+def key_components(links: DataFrame) -> DataFrame:
+    """(employee_id, window_start, group): windows joined by common keys, directly or over others, share a group.
+
+    `links` is (employee_id, window_start, trigger_key).  Each round a window takes the least group of its keys and a key
+    the least group of its windows, and then the group's own group, so rounds grow with the logarithm of a chain.
+    """
+    links = cut_lineage(links.select("employee_id", "window_start", "trigger_key").distinct())
+    who, node = ["employee_id"], ["employee_id", "window_start"]
+    groups = cut_lineage(links.select(*node).distinct().withColumn("group", F.col("window_start")))
+    while True:
+        keys = links.join(groups, node).groupBy(*who, "trigger_key").agg(F.min("group").alias("low"))
+        near = links.join(keys, [*who, "trigger_key"]).groupBy(*node).agg(F.min("low").alias("low"))
+        jump = groups.select("employee_id", F.col("window_start").alias("low"), F.col("group").alias("far"))
+        new = cut_lineage(groups.join(near, node).join(jump, [*who, "low"])
+                          .select(*node, F.least("low", "far").alias("group"), (F.least("low", "far") != F.col("group")).alias("moved")))
+        groups = new.select(*node, "group")
+        if new.filter("moved").isEmpty():
+            return groups
+
+
 def suppress_repeats(keys: DataFrame) -> DataFrame:
     """Windows kept by the greedy pass: drop a window that shares a key with an earlier kept one.
 
-    Input is one row per (employee_id, window_start, trigger_key).  Whether a
-    window falls depends on which earlier ones stayed, so the pass is sequential
-    per person; everything else is done before it.  A key seen in one window
-    cannot drop anything, so only keys shared by windows go into the pass, and
-    windows without one are kept straight away.
+    Input is one row per (employee_id, window_start, trigger_key).  Whether a window falls depends on which earlier ones
+    stayed, but only along common keys: windows are grouped by components of shared keys, and each group is passed over
+    in order of time by itself.  A person with a third of all rows is as many groups as their keys have components.  A
+    key seen in one window cannot drop anything, so only keys shared by windows count; windows without one are kept.
+    The pass reads a group row by row and holds its kept keys, not its rows.
     """
     import pandas as pd
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, dropped = set(), []
-        for start, group in pdf.groupby("window_start", sort=True):
-            mine = set(group["trigger_key"])
-            if mine & seen:
-                dropped.append(start)
-            else:
-                seen |= mine
-        return pd.DataFrame({"employee_id": pdf["employee_id"].iloc[0],
-                             "window_start": pd.Series(dropped, dtype="datetime64[ns]")})
+    def greedy(parts):
+        at = start = None
+        seen, mine = set(), []
+        out = []
+
+        def close():
+            """Decide on the window whose keys have been read."""
+            if start is not None:
+                if seen.isdisjoint(mine):
+                    seen.update(mine)
+                else:
+                    out.append((at[0], start))
+
+        for pdf in parts:
+            for who, group, when, key in zip(pdf["employee_id"], pdf["group"], pdf["window_start"], pdf["trigger_key"]):
+                who = None if pd.isna(who) else who
+                if (who, group) != at or when != start:
+                    close()
+                    mine, start = [], when
+                    if (who, group) != at:
+                        at, seen = (who, group), set()
+                mine.append(key)
+            if out:
+                yield pd.DataFrame(out, columns=["employee_id", "window_start"])
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=["employee_id", "window_start"])
 
     keys = keys.select("employee_id", "window_start", "trigger_key").distinct()
     shared = (keys.groupBy("employee_id", "trigger_key").agg(F.count("*").alias("n")).filter("n > 1")
               .select("employee_id", "trigger_key"))
-    dropped = (keys.join(shared, ["employee_id", "trigger_key"], "left_semi").groupBy("employee_id")
-               .applyInPandas(greedy, "employee_id string, window_start timestamp_ntz"))
+    linked = cut_lineage(keys.join(shared, ["employee_id", "trigger_key"], "left_semi"))
+    grouped = linked.join(key_components(linked), ["employee_id", "window_start"]).select("employee_id", "group", "window_start", "trigger_key")
+    dropped = (grouped.repartition("employee_id", "group").sortWithinPartitions("employee_id", "group", "window_start")
+               .mapInPandas(greedy, "employee_id string, window_start timestamp_ntz"))
     return (keys.select("employee_id", "window_start").distinct()
             .join(dropped, ["employee_id", "window_start"], "left_anti"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,61 +13,247 @@ from ..functions import domains as D
 from ..functions import events as E
 from ..functions import parsing as P
 from ..functions.base import blank_to_null, text
-from ..schema import to_canonical
-
-BOM = "\ufeff"
+from ..schema import CANONICAL, to_canonical
+from ..session import cut_lineage
 
+# ------------------------------------------------------------------ records
+#
+# A record may hold quoted line ends, so it can begin in one input split and end in the next.  Both passes below read
+# the physical lines of a split in order.  The first notes, for either separator, how a split ends if it begins outside
+# or inside a quoted cell, and the header lines it sees.  From that the start of every split follows, and the second pass
+# cuts records and cells.  Only records that cross a split border are put together in a shuffle.
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, line) of all text files of a path, without blank lines."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return (lines.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", BOM, "").alias("line"))
-            .filter(F.trim("line") != ""))
-
+SEPARATORS = (",", "\t")
+FILES = 100_000
 
-def _cells(sep: str, most: int = 64) -> Column:
-    """Trimmed cells of a line, as text."""
-    row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(most)), {"sep": sep, "mode": "PERMISSIVE"})
-    return F.array(*[F.trim(F.coalesce(row[f"c{i}"], F.lit(""))) for i in range(most)])
 
-
-def _names(cells: Column, aliases: dict) -> Column:
+def physical_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, block, value): lines of all text files of a path; a task reads a block in order."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _record_tools():
+    """Helpers of both passes; made in a function so that they travel by value."""
+    import re
+    # A quote opens a cell at its start only; the first quote that is not doubled closes it.
+    opens = {s: re.compile(rf'(?:^|{s})"') for s in (",", "\t")}
+    whole = {s: re.compile(rf'(^|{s})"(?:[^"]|"")*"(?!")[^{s}]*(?={s}|$)') for s in (",", "\t")}
+    closes = {s: re.compile(rf'^(?:[^"]|"")*"(?!")[^{s}]*') for s in (",", "\t")}
+
+    def after(line: str, sep: str, inside: bool) -> bool:
+        """Whether a quoted cell is still open at the end of a line."""
+        if '"' not in line:
+            return inside
+        if inside:
+            met = closes[sep].match(line)
+            if not met:
+                return True
+            line = line[met.end():]
+            if not line:
+                return False
+        return bool(opens[sep].search(whole[sep].sub(r"\1", line)))
+
+    def cells(record: str, sep: str) -> list[str]:
+        import csv
+        csv.field_size_limit(2**31 - 1)
+        rows = list(csv.reader([x + "\n" for x in record.split("\n")], delimiter=sep))
+        return [c.strip() for c in rows[0]] if rows else []
+
+    def by_block(parts):
+        """(file, block, lines) of batches; a block may go on in the next item."""
+        for part in parts:
+            files, blocks, values = (part.column(c).to_pylist() for c in range(3))
+            start = 0
+            for k in range(1, len(files) + 1):
+                if k == len(files) or (files[k], blocks[k]) != (files[start], blocks[start]):
+                    yield files[start], blocks[start], [(v or "").replace("\ufeff", "") for v in values[start:k]]
+                    start = k
+
+    return after, cells, by_block
+
+
+SCAN = "file string, block long, sep string, open0 boolean, open1 boolean, names array<string>, n_lines long"
+
+
+def scan_blocks(lines: DataFrame, aliases: dict, required: dict[str, tuple]) -> DataFrame:
+    """Per block and separator its ends (`open0` from outside, `open1` from inside a cell); per header line its names."""
+    after, cells, by_block = _record_tools()
+
+    def run(parts):
+        import pyarrow as pa
+        hints = [set(v for v in aliases if aliases[v] in need) for need in required.values()]
+        state, ends, count = None, {}, 0
+
+        def close():
+            return [(*state, s, *e, None, count) for s, e in ends.items()] if state else []
+
+        for file, block, values in by_block(parts):
+            out = []
+            if (file, block) != state:
+                out += close()
+                state, ends, count = (file, block), {s: (False, True) for s in (",", "\t")}, 0
+            for line in values:
+                count += line.strip() != ""
+                for sep in (",", "\t"):
+                    if '"' in line:
+                        ends[sep] = tuple(after(line, sep, x) for x in ends[sep])
+                    # A header names all columns of some kind; most lines fail the first look.
+                    if any(any(h in line for h in hint) for hint in hints):
+                        names = [aliases.get(c, "") for c in cells(line, sep)]
+                        if any(all(n in names for n in need) for need in required.values()):
+                            out.append((file, block, sep, None, None, names, 0))
+            if out:
+                yield record_batch(pa, out)
+        if (out := close()):
+            yield record_batch(pa, out)
+
+    def record_batch(pa, rows):
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["file", "block", "sep", "open0", "open1", "names", "n_lines"])
+
+    return lines.mapInArrow(run, SCAN)
+
+
+def file_layouts(scan: DataFrame) -> DataFrame:
+    """(file, sep, names) of files with a header: of several header lines the one with most names."""
+    heads = scan.filter("names is not null")
+    count = F.size(F.array_distinct(F.filter("names", lambda n: n != "")))
+    return heads.groupBy("file").agg(F.max(F.struct(count.alias("n"), "sep", "names")).alias("l")).select("file", "l.sep", "l.names")
+
+
+def block_starts(scan: DataFrame) -> DataFrame:
+    """(file, sep, block) of blocks that begin inside a quoted cell.
+
+    A block maps its start to its end; those that end alike whatever their start fix the state, the others keep or swap it.
+    """
+    from pyspark.sql import Window
+    ends = scan.filter("names is null")
+    order = Window.partitionBy("file", "sep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    swaps = F.coalesce(F.sum(F.when(F.col("open0") & ~F.col("open1"), 1).otherwise(0)).over(order), F.lit(0))
+    upto = F.sum(F.when(F.col("open0") & ~F.col("open1"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fixed = F.when(F.col("open0") == F.col("open1"), F.struct(F.col("open0").cast("int").alias("value"), "upto"))
+    marked = ends.withColumn("swaps", swaps).withColumn("upto", upto).withColumn("fixed", fixed)
+    last = F.last("fixed", ignorenulls=True).over(order)
+    state = F.pmod(F.coalesce(last["value"], F.lit(0)) + F.col("swaps") - F.coalesce(last["upto"], F.lit(0)), F.lit(2))
+    return marked.withColumn("state", state).filter("state = 1").select("file", "sep", "block")
+
+
+RECORDS = "file string, block long, place int, cells array<string>, piece string"
+
+
+def read_records(lines: DataFrame, layouts: DataFrame, starts: DataFrame) -> DataFrame:
+    """(file, cells): records of the files that have a layout."""
+    known = cut_lineage(layouts.join(starts.groupBy("file", "sep").agg(F.collect_set("block").alias("inside")), ["file", "sep"], "left").select("file", "sep", "inside"))
+    # Lines must stay in order, so what is known about their file comes to them: a hundred bytes a file, FILES at a time.
+    groups = max(1, -(-known.count() // FILES))
+    keyed = None
+    for g in range(groups):
+        mine = (lambda df: df) if groups == 1 else (lambda df, g=g: df.filter(F.pmod(F.xxhash64("file"), F.lit(groups)) == g))
+        part = mine(lines).join(F.broadcast(mine(known)), "file").select("file", "block", "value", "sep", F.coalesce(F.array_contains("inside", F.col("block")), F.lit(False)).alias("inside"))
+        keyed = part if keyed is None else keyed.unionByName(part)
+    after, cells, by_block = _record_tools()
+
+    def run(parts):
+        import pyarrow as pa
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string()]
+        state, sep, inside, held, at_start = None, None, False, [], False
+
+        def flush(out):
+            """What is open at the end of a block goes on in the next one."""
+            if state and (held or inside):
+                out.append((*state, 0 if at_start else 1, None, "\n".join(held)))
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["file", "block", "place", "cells", "piece"])
+
+        for part in parts:
+            seps, insides = part.column(3).to_pylist(), part.column(4).to_pylist()
+            done, out = 0, []
+            for file, block, values in by_block([part.select([0, 1, 2])]):
+                if (file, block) != state:
+                    flush(out)
+                    state, sep, inside, held = (file, block), seps[done], insides[done], []
+                    at_start = inside
+                done += len(values)
+                for line in values:
+                    if not inside and not held and not line.strip():
+                        continue
+                    held.append(line)
+                    inside = after(line, sep, inside)
+                    if not inside:
+                        record = "\n".join(held)
+                        out.append((*state, 0, None, record) if at_start else (*state, None, cells(record, sep), None))
+                        held, at_start = [], False
+            if out:
+                yield batch(out)
+        out = []
+        flush(out)
+        if out:
+            yield batch(out)
+
+    found = keyed.mapInArrow(run, RECORDS)
+    whole = found.filter("cells is not null").select("file", "cells")
+    # Pieces of records that cross a border: in a file, each run of pieces from one that begins outside a cell.
+    from pyspark.sql import Window
+    pieces = found.filter("piece is not null")
+    order = Window.partitionBy("file").orderBy("block", "place")
+    runs = pieces.withColumn("run", F.sum("place").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = runs.groupBy("file", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "place", "piece"))), lambda x: x["piece"]), "\n").alias("record"))
+    joined = joined.join(layouts.select("file", "sep"), "file").select("file", "sep", "record")
+
+    def cut(parts):
+        import pyarrow as pa
+        for part in parts:
+            seps, records = part.column(1).to_pylist(), part.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([cells(r, s) for r, s in zip(records, seps)], pa.list_(pa.string()))], ["file", "cells"])
+
+    return whole.unionByName(joined.mapInArrow(cut, "file string, cells array<string>"))
+
+
+def named_rows(records: DataFrame, layouts: DataFrame, aliases: dict, required: dict[str, tuple]) -> DataFrame:
+    """(file, kinds, one column per alias name): records without headers and titles (a single filled cell).
+
+    `kinds` are those of `required` whose columns the file has.
+    """
+    has = [F.when(F.forall(F.array(*map(F.lit, need)), lambda r: F.array_contains("names", r)), F.lit(kind)) for kind, need in required.items()]
+    layouts = layouts.withColumn("kinds", F.array_compact(F.array(*has)))
+    rows = records.join(layouts.select("file", "names", "kinds"), "file")
     known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.transform(cells, lambda c: F.coalesce(F.element_at(known, c), F.lit("")))
+    own = F.transform("cells", lambda c: F.coalesce(F.try_element_at(known, c), F.lit("")))
+    is_header = F.exists(F.array(*[F.array(*map(F.lit, need)) for need in required.values()]), lambda need: F.forall(need, lambda r: F.array_contains(own, r)))
+    is_title = F.size(F.filter("cells", lambda c: c != "")) < 2
 
+    def cell(name: str) -> Column:
+        at = F.array_position("names", name)
+        return F.coalesce(F.when(at > 0, F.get("cells", (at - 1).cast("int"))), F.lit("")).alias(name)
 
-def export_rows(lines: DataFrame, aliases: dict, required: tuple, strict: bool = True) -> DataFrame:
-    """All cells as text under their alias names; every file has its own layout.
+    return rows.filter(~is_header & ~is_title).select("file", "kinds", *[cell(name) for name in dict.fromkeys(aliases.values())])
 
-    A file's header is the line, wherever it stands, that names all `required` columns (of several the one with most
-    names).  Header lines and lines with a single filled cell (titles) fall out.  A file without header raises an error, unless `strict` is off: then its lines are left out.
-    """
-    heads = []
-    for sep in (",", "\t"):
-        names = _names(_cells(sep), aliases)
-        heads.append(lines.select("file", F.lit(sep).alias("sep"), names.alias("names"))
-                     .filter(F.forall(F.array(*map(F.lit, required)), lambda r: F.array_contains("names", r))))
-    count = F.size(F.array_distinct("names"))
-    layouts = (heads[0].unionByName(heads[1]).groupBy("file")
-               .agg(F.max(F.struct(count.alias("n"), "sep", "names")).alias("layout")).select("file", "layout.sep", "layout.names"))
-    rows = lines.join(layouts, "file", "left" if strict else "inner")
-    cells = F.when(F.col("sep") == "\t", _cells("\t")).otherwise(_cells(","))
-    if strict:
-        missing = F.raise_error(F.concat(F.lit("no header line in "), F.col("file"))).cast("array<string>")
-        cells = F.when(F.col("sep").isNull(), missing).otherwise(cells)
-    rows = rows.select("names", cells.alias("cells"))
-    is_header = F.forall(F.array(*map(F.lit, required)), lambda r: F.array_contains(_names(F.col("cells"), aliases), r))
 
-    def cell(name: str) -> Column:
-        at = F.array_position("names", name)
-        return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).otherwise("").alias(name)
+@dataclass
+class Export:
+    """Rows of a set of export files, and the files that gave none."""
+    rows: DataFrame
+    unread: DataFrame   # (file, n_lines) of files without a known header
 
-    is_title = F.size(F.filter("cells", lambda c: c != "")) < 2
-    return rows.filter(~is_header & ~is_title).select(*[cell(name) for name in dict.fromkeys(aliases.values())])
+
+def read_exports(spark: SparkSession, path, aliases: dict, required: dict[str, tuple]) -> Export:
+    lines = physical_lines(spark, path)
+    scan = cut_lineage(scan_blocks(lines, aliases, required))  # two rows a split and the header lines
+    layouts = file_layouts(scan)
+    records = read_records(lines, layouts, block_starts(scan))
+    counts = scan.filter("names is null and sep = ','").groupBy("file").agg(F.sum("n_lines").alias("n_lines")).filter("n_lines > 0")
+    return Export(named_rows(records, layouts, aliases, required), counts.join(layouts.select("file"), "file", "left_anti"))
 
 
 def read_export(spark: SparkSession, path, aliases: dict, required: tuple) -> DataFrame:
-    return export_rows(read_lines(spark, path), aliases, required)
+    """All cells as text under their alias names; a file without a header line is an error."""
+    found = read_exports(spark, path, aliases, {"all": required})
+    lost = found.unread.orderBy("file").limit(5).collect()
+    if lost:
+        raise ValueError("no header line in " + ", ".join(r["file"] for r in lost))
+    return found.rows.drop("file", "kinds")
 
 
 def proxy_events(rows: DataFrame) -> DataFrame:
@@ -87,58 +275,54 @@ def read_proxy_export(spark: SparkSession, path) -> DataFrame:
     return proxy_events(read_export(spark, path, vocab.PROXY_HEADERS, ("user", "time", "domain")))
 
 
-def empty_events(spark: SparkSession) -> DataFrame:
-    from ..schema import CANONICAL
-    return spark.createDataFrame([], CANONICAL)
+def _endpoint(category: str, action, target_type: str, target, **more) -> Column:
+    """A canonical event as a struct over the columns of an endpoint export."""
+    raw = F.create_map(*[x for k, c in more.pop("raw").items() for x in (F.lit(k), c if isinstance(c, Column) else F.col(c))])
+    own = {"occurred_at": P.excel_serial_ts("time"), "employee_id": P.person_from_host("computer"), "device_id": F.col("computer"), "category": F.lit(category),
+           "action": action, "target_type": F.lit(target_type), "target_value": target, "size_bytes": F.lit(0), "count": F.lit(1), "source": F.lit("endpoint"), "raw": raw, **more}
+    own["event_hash"] = E.event_hash(*[own[k] for k in ("occurred_at", "employee_id", "category", "action", "target_value")])
+    return F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CANONICAL.fields])
 
 
-def _endpoint(rows: DataFrame, category: str, action, target_type: str, target, **more) -> DataFrame:
-    raw = F.create_map(*[x for k in more.pop("raw") for x in (F.lit(k), F.col(k))])
-    e = rows.select(
-        P.excel_serial_ts("time").alias("occurred_at"), P.person_from_host("computer").alias("employee_id"),
-        F.col("computer").alias("device_id"), F.lit(category).alias("category"), action.alias("action"),
-        F.lit(target_type).alias("target_type"), target.alias("target_value"),
-        more.pop("size_bytes", F.lit(0)).alias("size_bytes"), F.lit(1).alias("count"),
-        F.lit("endpoint").alias("source"), raw.alias("raw"), *[c.alias(k) for k, c in more.items()])
-    return to_canonical(e.withColumn("event_hash", E.event_hash()))
+def _same(*names: str) -> dict:
+    return {n: n for n in names}
 
 
-def document_events(rows: DataFrame) -> DataFrame:
-    rows = rows.filter("type <> '' and type <> 'None'")
-    return _endpoint(rows.withColumnRenamed("type", "op_type").withColumnRenamed("user", "user_raw"), "DOC",
-                     P.doc_action("op_type"), "FILE", F.col("source_file"), size_bytes=P.parse_size("size"),
-                     channel=P.disk_channel("disk_type"), app=F.col("application"), title=F.col("title"),
-                     src_path=F.col("path"),
-                     raw=["op_type", "computer_group", "user_group", "user_raw", "path", "disk_type", "application"])
+def document_event() -> Column:
+    raw = {"op_type": "type", **_same("computer_group", "user_group"), "user_raw": "user", **_same("path", "disk_type", "application")}
+    event = _endpoint("DOC", P.doc_action("type"), "FILE", F.col("source_file"), size_bytes=P.parse_size("size"), channel=P.disk_channel("disk_type"),
+                      app=F.col("application"), title=F.col("title"), src_path=F.col("path"), raw=raw)
+    return F.when(~F.col("type").isin("", "None"), event)
 
 
-def web_events(rows: DataFrame) -> DataFrame:
-    rows = (rows.filter("url <> '' and url <> 'None'").withColumnRenamed("user", "user_raw")
-            .withColumn("domain", D.url_domain("url")).withColumn("domain_class", D.domain_class("domain")))
-    return _endpoint(rows, "WEB", F.lit("VISIT"), "URL", F.col("url"), domain=F.col("domain"), url=F.col("url"),
-                     title=F.col("title"), raw=["domain_class", "computer_group", "user_group", "user_raw"])
+def web_event() -> Column:
+    domain = D.url_domain("url")
+    raw = {"domain_class": D.domain_class(domain), **_same("computer_group", "user_group"), "user_raw": "user"}
+    event = _endpoint("WEB", F.lit("VISIT"), "URL", F.col("url"), domain=domain, url=F.col("url"), title=F.col("title"), raw=raw)
+    return F.when(~F.col("url").isin("", "None"), event)
 
 
-def search_events(rows: DataFrame) -> DataFrame:
-    rows = rows.filter("keyword <> '' and keyword <> 'None'").withColumnRenamed("user", "user_raw")
-    return _endpoint(rows, "SEARCH", F.lit("SEARCH"), "KEYWORD", F.col("keyword"), app=F.col("application"),
-                     raw=["keyword", "search_engine", "application", "computer_group", "user_group", "user_raw"])
+def search_event() -> Column:
+    raw = {**_same("keyword", "search_engine", "application", "computer_group", "user_group"), "user_raw": "user"}
+    event = _endpoint("SEARCH", F.lit("SEARCH"), "KEYWORD", F.col("keyword"), app=F.col("application"), raw=raw)
+    return F.when(~F.col("keyword").isin("", "None"), event)
 
 
 ENDPOINT_KINDS = {
-    "doc": (("type", "time"), document_events, ("文档", "doc")),
-    "web": (("time", "url"), web_events, ("网页", "上网", "web")),
-    "search": (("time", "keyword"), search_events, ("搜索", "关键字", "search")),
+    "doc": (("type", "time"), document_event, ("文档", "doc")),
+    "web": (("time", "url"), web_event, ("网页", "上网", "web")),
+    "search": (("time", "keyword"), search_event, ("搜索", "关键字", "search")),
 }
 
 
-def _endpoint_rows(lines: DataFrame, kind: str, strict: bool = True) -> DataFrame:
-    required, build, _ = ENDPOINT_KINDS[kind]
-    return build(export_rows(lines, vocab.ENDPOINT_HEADERS, required, strict))
+def _events(rows: DataFrame, kinds: Column) -> DataFrame:
+    """Canonical events of endpoint rows for each of their kinds: one pass over the rows."""
+    each = [F.when(F.array_contains(kinds, kind), build()) for kind, (_, build, _) in ENDPOINT_KINDS.items()]
+    return rows.select(F.explode(F.array_compact(F.array(*each))).alias("e")).select("e.*")
 
 
 def _read_endpoint(spark: SparkSession, path, kind: str) -> DataFrame:
-    return _endpoint_rows(read_lines(spark, path), kind)
+    return _events(read_export(spark, path, vocab.ENDPOINT_HEADERS, ENDPOINT_KINDS[kind][0]), F.array(F.lit(kind)))
 
 
 def read_doc_log(spark: SparkSession, path) -> DataFrame:
@@ -153,19 +337,38 @@ def read_search_log(spark: SparkSession, path) -> DataFrame:
     return _read_endpoint(spark, path, "search")
 
 
-def read_endpoint_dir(spark: SparkSession, path: str) -> DataFrame:
-    """All endpoint exports of a folder; files of unknown name count as every kind whose header they have."""
-    lines = read_lines(spark, path)
-    name = F.lower(F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B"))))
+def _kind_by_name(file: Column) -> Column:
+    """The kind a file's name tells, or null."""
+    name = F.lower(F.url_decode(F.replace(F.element_at(F.split(file, "/"), -1), F.lit("+"), F.lit("%2B"))))
     kind = F.lit(None).cast("string")
     for k, (_, _, words) in reversed(ENDPOINT_KINDS.items()):
         kind = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w)), k).otherwise(kind)
-    lines = lines.withColumn("kind", kind)
-    out = empty_events(spark)
-    for k in ENDPOINT_KINDS:
-        out = out.unionByName(_endpoint_rows(lines.filter(F.col("kind") == k).drop("kind"), k))
-        out = out.unionByName(_endpoint_rows(lines.filter("kind is null").drop("kind"), k, strict=False))
-    return out
+    return kind
+
+
+def read_endpoint_folder(spark: SparkSession, path: str) -> Export:
+    """Canonical events of all endpoint exports of a folder, and the files that could not be read.
+
+    A file whose name tells its kind counts as that kind if its header has the columns; others count as every kind whose
+    header they have.  What is left is listed, never dropped in silence.
+    """
+    required = {k: need for k, (need, _, _) in ENDPOINT_KINDS.items()}
+    found = read_exports(spark, path, vocab.ENDPOINT_HEADERS, required)
+    told = _kind_by_name(F.col("file"))
+    kinds = F.when(told.isNull(), F.col("kinds")).otherwise(F.array_intersect("kinds", F.array(told)))
+    # A named file whose header is one of another kind gives no row: it is unread, too.
+    rows = found.rows.withColumn("kinds", kinds)
+    wrong = rows.groupBy("file").agg(F.count("*").alias("n_lines"), F.max(F.size("kinds")).alias("k")).filter("k = 0").select("file", "n_lines")
+    return Export(_events(rows, F.col("kinds")), found.unread.unionByName(wrong))
+
+
+def read_endpoint_dir(spark: SparkSession, path: str) -> DataFrame:
+    """Events of `read_endpoint_folder`; a file whose name tells its kind but has no header of it is an error."""
+    found = read_endpoint_folder(spark, path)
+    lost = found.unread.filter(_kind_by_name(F.col("file")).isNotNull()).orderBy("file").limit(5).collect()
+    if lost:
+        raise ValueError("no header line in " + ", ".join(r["file"] for r in lost))
+    return found.rows
 
 
 REPLAY_COLUMNS = ["occurred_at", "employee_id", "device_id", "category", "action", "target_type", "target_value",

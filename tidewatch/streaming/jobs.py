@@ -1,4 +1,4 @@
-"""Streaming versions of fold, de-duplication, sessions, detectors and alerts.
+"""Streaming versions of fold, de-duplication, sessions, detectors and pairs (keyed state is in `keyed`).
 
 Watermarks need zoned timestamps, so readers cast `occurred_at` to `timestamp`
 (session zone UTC) and sinks cast back.
@@ -6,9 +6,8 @@ Watermarks need zoned timestamps, so readers cast `occurred_at` to `timestamp`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import domains as D
 from ..functions import events as E
@@ -119,16 +118,18 @@ def start_split(rows: DataFrame, root: str, late_seconds: int, interval: str = "
         if fs.exists(Path(f"{root}/marks")):
             mark = own.read.parquet(f"{root}/marks").filter(F.col("batch") < batch_id).agg(F.max("mark")).first()[0]
         batch = batch.persist()
-        on_time, late = split_late(batch, mark, late_seconds)
-        late.write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
-        batch.agg(F.max("occurred_at").alias("mark")).write.mode("overwrite").parquet(f"{root}/marks/batch={batch_id}")
-        if not fs.exists(there):
-            staged = f"{root}/staged/batch={batch_id}"
-            on_time.write.mode("overwrite").parquet(staged)
-            fs.mkdirs(there.getParent())
-            if not fs.rename(Path(staged), there):
-                raise OSError(f"cannot publish {there}")
-        batch.unpersist()
+        try:
+            on_time, late = split_late(batch, mark, late_seconds)
+            late.write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+            batch.agg(F.max("occurred_at").alias("mark")).write.mode("overwrite").parquet(f"{root}/marks/batch={batch_id}")
+            if not fs.exists(there):
+                staged = f"{root}/staged/batch={batch_id}"
+                on_time.write.mode("overwrite").parquet(staged)
+                fs.mkdirs(there.getParent())
+                if not fs.rename(Path(staged), there):
+                    raise OSError(f"cannot publish {there}")
+        finally:
+            batch.unpersist()
 
     return start_ingest(rows, split, f"{root}/split-checkpoint", interval, once)
 
@@ -153,79 +154,149 @@ def with_late(emitted: DataFrame, job, root: str, late_seconds: int, ends) -> Da
     return emitted.join(people, same, "left_anti").unionByName(again.select(*emitted.columns))
 
 
-# ------------------------------------------------------------------ keyed state
+# ------------------------------------------------------------------ de-duplication without a horizon
 
-class AccountState(StatefulProcessor):
-    """Remembers the latest login account of a machine and stamps it on rows without one."""
+def dedupe_batch(ledger, batch: DataFrame) -> DataFrame:
+    """Rows of a batch whose hash was never seen, and a write that remembers their hashes by day.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._account = handle.getValueState("account", "account string, seen_at timestamp")
+    A hash holds its time, so only hashes of the batch's own days and time span are compared, however old they are.
+    """
+    import uuid
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-        account, seen = None, None
-        if self._account.exists():
-            account, seen = self._account.get()
-        for pdf in rows:
-            pdf = pdf.sort_values("occurred_at", kind="stable")
-            known = []
-            for hint, at in zip(pdf["account"], pdf["occurred_at"]):
-                if isinstance(hint, str) and hint:
-                    account, seen = hint, at
-                known.append(account)
-            out = pd.DataFrame({"agent_id": pdf["agent_id"], "event_id": pdf["event_id"],
-                                "occurred_at": pdf["occurred_at"], "account": known})
-            yield out
-        if account is not None:
-            self._account.update((account, pd.Timestamp(seen).to_pydatetime()))
+    from ..session import cut_lineage
+    state = ledger.snapshot()
+    rows = cut_lineage(batch.dropDuplicates(["event_hash"]))
+    span = rows.agg(F.min("occurred_at").alias("low"), F.max("occurred_at").alias("high")).first()
+    if span["low"] is None:
+        return rows
+    days = {r[0] for r in rows.select(F.col("occurred_at").cast("date")).distinct().collect()}  # calendar days of a batch
+    seen = ledger.read("hashes", "event_hash string, occurred_at timestamp_ntz", state, days)
+    seen = seen.filter(F.col("occurred_at").between(F.lit(span["low"]), F.lit(span["high"]))).select("event_hash")
+    fresh = cut_lineage(rows.join(seen, "event_hash", "left_anti"))
+    days = {r[0] for r in fresh.select(F.col("occurred_at").cast("date")).distinct().collect()}
+    if days:
+        tx = uuid.uuid4().hex
+        ledger.write(fresh.select("event_hash", "occurred_at"), "hashes", tx, state.version + 1)
+        ledger.publish(state, tx, days)
+    return fresh
 
-    def close(self) -> None:
-        pass
 
+def compact_hashes(ledger) -> None:
+    """One write for days that several batches hold."""
+    import uuid
+    state = ledger.snapshot()
+    held = [d for _, own in state.writes.values() for d in own]
+    several = {d for d in held if held.count(d) > 1}
+    if several:
+        tx = uuid.uuid4().hex
+        ledger.write(ledger.read("hashes", "event_hash string, occurred_at timestamp_ntz", state, several).drop("seq", "event_date"), "hashes", tx, state.version + 1)
+        ledger.publish(state, tx, several, rewritten=True)
 
-def stream_identity(rows: DataFrame) -> DataFrame:
-    """Account per agent row; `rows` has agent_id, event_id, occurred_at, account (nullable)."""
-    return (rows.select("agent_id", "event_id", "occurred_at", "account").groupBy("agent_id")
-            .transformWithStateInPandas(AccountState(),
-                                        "agent_id string, event_id bigint, occurred_at timestamp, account string",
-                                        "append", "none"))
 
+# ------------------------------------------------------------------ pairs of events
 
-class FeedHeartbeat(StatefulProcessor):
-    """Emits an alarm row when a feed has been silent longer than the limit."""
+GRAM = 3
 
-    def __init__(self, silence_ms: int):
-        self._silence_ms = silence_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._last = handle.getValueState("last", "at_ms bigint")
+def _grams(name: Column) -> Column:
+    """Distinct substrings of one to GRAM characters."""
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, n))
 
-    def handleInputRows(self, key, rows, timerValues):
-        now = timerValues.getCurrentProcessingTimeInMs()
-        for _ in rows:
-            pass
-        for timer in self._handle.listTimers():
-            self._handle.deleteTimer(timer)
-        self._last.update((now,))
-        self._handle.registerTimer(now + self._silence_ms)
-        return iter([])
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+
+
+def _tagged(tag: str, names: Column) -> Column:
+    return F.transform(names, lambda x: F.concat(F.lit(tag), x))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
-        last = self._last.get()[0]
-        yield pd.DataFrame({"feed": [key[0]], "last_at_ms": [last],
-                            "alarm_at_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
 
-    def close(self) -> None:
-        pass
+def stream_pairs(events: DataFrame, hours: int = 24, late: str = LATE, v: Vocabulary = DEFAULT) -> DataFrame:
+    """Archives and renames with the sends of the same person that they may have prepared, within `hours` of each other.
+
+    Both sides are streams.  A name that lies inside another one shares its first GRAM characters with it, so the sides
+    meet in an equi join on person and gram, and the names are compared there.  A pair may come several times, once per
+    gram it shares; `archive_pairs` and `rename_pairs` reduce that.
+    """
+    from ..operators import patterns as X
+    head = lambda c: F.substring(c, 1, GRAM)
+    docs = X.recent_docs(events, None).withWatermark("occurred_at", late)
+    name = F.lower(text("target_value"))
+    leaf = lambda c: F.lower(F.substring_index(c, "\\", -1))
+    old = leaf(F.coalesce(F.nullif(F.col("src_path"), F.lit("")), text("target_value")))
+    short = leaf(text("dest_path"))
+    disguise = (F.col("action") == "RENAME") & (old != "") & (short != "") & (F.length(short) * 2 < F.length(old)) & ~short.rlike("[一-鿿]")
+    archive = (F.col("action") == "ARCHIVE") & (name != "")
+    made = docs.filter(archive | disguise).select(
+        F.col("employee_id").alias("who"), F.col("event_hash").alias("made_id"), F.col("occurred_at").alias("made_at"), F.when(archive, "archive").otherwise("rename").alias("kind"),
+        F.when(archive, name).otherwise(short).alias("made_name"), F.when(archive, F.lit(None).cast("string")).otherwise(old).alias("old"))
+    inside = F.array(F.concat(F.lit(">"), head("made_name")))
+    made = made.withColumn("gram", F.explode(F.when(F.col("kind") == "archive", F.concat(inside, _tagged("<", _grams(F.col("made_name"))))).otherwise(inside)))
+
+    base = F.regexp_replace("name", r"\.(zip|rar|7z|tar|gz)$", "")
+    sent = X.sends(docs, v).withColumn("name", name).filter("name <> ''").select(
+        "employee_id", F.col("event_hash").alias("sent_id"), F.col("occurred_at").alias("sent_at"), "name", "dest_path", base.alias("base"))
+    sent = sent.withColumn("sent_gram", F.explode(F.array_distinct(F.concat(
+        _tagged(">", _grams(F.col("name"))), F.array(F.concat(F.lit("<"), head("name")), F.concat(F.lit("<"), head("base")))))))
+    span = F.make_dt_interval(hours=F.lit(hours))
+    related = F.contains("name", "made_name") | ((F.col("kind") == "archive") & (F.contains("made_name", "name") | ((F.col("base") != "") & F.contains("made_name", "base"))))
+    joined = made.join(sent, (F.col("who") == F.col("employee_id")) & (F.col("gram") == F.col("sent_gram"))
+                       & (F.col("sent_at") >= F.col("made_at") - span) & (F.col("sent_at") <= F.col("made_at") + span) & related)
+    return joined.select("employee_id", "kind", "made_id", "made_at", "made_name", "old", "sent_id", "sent_at", F.col("name").alias("sent_name"), "dest_path")
+
+
+def archive_pairs(pairs: DataFrame) -> DataFrame:
+    """Person-days with sends of archived names (see `patterns.archive_then_send`)."""
+    sends = pairs.filter("kind = 'archive'").groupBy("employee_id", "sent_id").agg(F.min(F.struct("sent_at", "sent_name", "dest_path")).alias("s"))
+    return (sends.groupBy("employee_id", F.col("s.sent_at").cast("date").alias("day"))
+            .agg(F.min("s.sent_at").alias("window_start"), F.count("*").alias("n_sends"))
+            .withColumn("dedup_key", F.concat_ws("|", "employee_id", F.lit("archive_send"), F.col("day").cast("string"))))
+
+
+def rename_pairs(pairs: DataFrame) -> DataFrame:
+    """Person-days with renames that a sent file carries (see `patterns.rename_disguise`)."""
+    renames = pairs.filter("kind = 'rename'").groupBy("employee_id", "made_id", "made_at", "made_name", "old").agg(F.min("sent_at").alias("sent_at"))
+    first = F.min(F.struct("made_at", F.col("made_name").alias("new"), "old", "sent_at")).alias("r")
+    return (renames.groupBy("employee_id", F.col("made_at").cast("date").alias("day")).agg(first)
+            .select("employee_id", F.concat_ws("|", "employee_id", F.lit("rename_exfil"), F.col("day").cast("string")).alias("dedup_key"),
+                    F.col("r.sent_at").alias("window_start"), F.col("r.old").alias("old"), F.col("r.new").alias("new")))
+
+
+# ------------------------------------------------------------------ silence of feeds by the clock
+
+def heartbeat_processor(silence_ms: int):
+    """Emits an alarm row when a feed has been silent longer than the limit, by the clock of the job."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class FeedHeartbeat(StatefulProcessor):
+        def init(self, handle):
+            self._handle = handle
+            self._last = handle.getValueState("last", "at_ms bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            now = timerValues.getCurrentProcessingTimeInMs()
+            for _ in rows:
+                pass
+            for timer in self._handle.listTimers():
+                self._handle.deleteTimer(timer)
+            self._last.update((now,))
+            self._handle.registerTimer(now + silence_ms)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+            yield pd.DataFrame({"feed": [key[0]], "last_at_ms": [self._last.get()[0]], "alarm_at_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+        def close(self):
+            pass
+
+    return FeedHeartbeat()
 
 
 def stream_heartbeat(messages: DataFrame, silence_seconds: int = 7200) -> DataFrame:
-    """Silence alarms per feed.
+    """Silence alarms per feed by the job's clock, which also runs when all feeds are silent (see `keyed.stream_silence`).
 
-    There are only a few feeds, so each task first reduces its messages to one
-    row per feed and batch; a busy feed does not send its rows to one task.
+    There are only a few feeds, so each task first reduces its messages to one row per feed and batch; a busy feed does
+    not send its rows to one task.
     """
     def latest(batches):
         for pdf in batches:
@@ -233,9 +304,7 @@ def stream_heartbeat(messages: DataFrame, silence_seconds: int = 7200) -> DataFr
 
     reduced = messages.select("feed", "received_at").mapInPandas(latest, "feed string, received_at timestamp")
     return (reduced.groupBy("feed")
-            .transformWithStateInPandas(FeedHeartbeat(silence_seconds * 1000),
-                                        "feed string, last_at_ms bigint, alarm_at_ms bigint",
-                                        "update", "processingTime"))
+            .transformWithStateInPandas(heartbeat_processor(silence_seconds * 1000), "feed string, last_at_ms bigint, alarm_at_ms bigint", "update", "processingTime"))
 
 
 def feed_silence(raw: DataFrame, as_of: str, hours: int = 2, from_hour: int = 9, until_hour: int = 20) -> DataFrame:
