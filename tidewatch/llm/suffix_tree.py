@@ -39,7 +39,7 @@ BATCH_BYTES = 3_000_000          # texts worked on at once
 BASE = 0x9E3779B97F4A7C15        # of the polynomial that names contexts; the nearest word has power 0
 END = np.uint64(0x5851F42D4C957F2D)
 MARK_BITS = 25
-GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
+GRID = (1.0, 8.0, 64.0, 512.0, 4096.0)
 BLOCK = 4                        # depths counted in one pass over the texts
 ROWS = 65_536
 
@@ -100,16 +100,12 @@ def has(marks: np.ndarray, names: np.ndarray) -> np.ndarray:
     return (marks[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
-def add_up(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct combinations of `keys`, sorted, with the sums of their counts."""
-    order = np.lexsort(keys[::-1])
-    keys, n = [k[order] for k in keys], n[order]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.add.reduceat(n, first) if len(first) else n
+def add_up(names: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct name, the sum of its counts), in order of the names."""
+    order = np.argsort(names)
+    names = names[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    return order[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -120,24 +116,36 @@ def rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in part.values()], list(part))
 
 
-def word_counts(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
+def word_counts(texts: DataFrame, flush: int = 2_000_000) -> DataFrame:
     """(word, n): hashes of all words and the end mark of `texts` (text)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            word, n = (np.concatenate(x) for x in zip(*held))
+            at, n = add_up(word, n)
+            return word[at], n
+
         for part in joined(parts, BATCH_BYTES):
-            own, times = np.unique(symbols(part.column(0))[0], return_counts=True)
-            (word,), n = add_up([np.concatenate([word, own])], np.concatenate([n, times]))
-            if len(word) > flush:
-                yield from rows({"word": word, "n": n})
-                word, n = word[:0], n[:0]
-        yield from rows({"word": word, "n": n})
+            held.append(np.unique(symbols(part.column(0))[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > flush:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > flush // 2:
+                    yield from rows({"word": held[0][0], "n": held[0][1]})
+                    held, size = [], 0
+        if held:
+            word, n = merged()
+            yield from rows({"word": word, "n": n})
 
     return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-PACKED = "bucket int, depth int, contexts binary, parents binary, sizes binary, nexts binary, times binary"
-PAIRS = "depth int, context long, parent long, next long, grown long, n long"
+PACKED = "bucket int, depth int, contexts binary, sizes binary, nexts binary, times binary"
+PAIRS = "depth int, context long, next long, n long"
 
 
 def small(x: np.ndarray) -> bytes:
@@ -149,73 +157,95 @@ def unsmall(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def pair_counts(texts: DataFrame, first: int, last: int, frequent: np.ndarray, bigrams: np.ndarray | None, states: np.ndarray | None,
+def pair_counts(texts: DataFrame, first: int, last: int, frequent: np.ndarray, followers: np.ndarray, bigrams: np.ndarray | None, states: np.ndarray | None,
                 n_buckets: int, min_pair: int) -> DataFrame:
     """Contexts of `first`..`last` words and the words after them, seen `min_pair` times or more.
 
     Contexts with a rare word (not in `frequent`) or pair of neighbours (`bigrams`), and those that do not grow out of
-    `states` of `first` - 1 words, cannot become states and are left out.
+    `states` of `first` - 1 words, cannot become states and are left out, as are next words too rare for a pair.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, bigrams, states))
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, followers, bigrams, states))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, pairs, grown_from = shared.value
+        often, after_any, pairs, grown_from = shared.value
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
         for part in joined(parts, BATCH_BYTES):
-            s, borders = symbols(part.column(0))
-            at = np.flatnonzero(places(borders) >= 1)
-            at = at[has(often, s[at - 1])]
-            place, context = places(borders)[at], s[at - 1]
-            out = []
-            for d in range(1, last + 1):
-                if d > 1:
-                    keep = place >= d
-                    at, place, context = at[keep], place[keep], context[keep]
-                    keep = has(pairs, s[at - d + 1] + s[at - d] * np.uint64(BASE))
-                    if d == first:
-                        keep &= has(grown_from, context)
-                    at, place, parent = at[keep], place[keep], context[keep]
-                    context = longer(parent, s[at - d], d)
-                else:
-                    parent = np.zeros(len(context), np.uint64)
-                if d < first or not len(at):
-                    continue
-                (own, after, up), n = add_up([context, s[at], parent], np.ones(len(at), np.int64))
-                bucket = (pair_name(own, after) % np.uint64(n_buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                for one in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    c = own[one]
-                    head = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
-                    out.append((int(bucket[one[0]]), d, c[head].tobytes(), up[one][head].tobytes(), small(np.diff(np.append(head, len(one)))), after[one].tobytes(), small(n[one])))
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+            with np.errstate(over="ignore"):
+                s, borders = symbols(part.column(0))
+                place = places(borders)
+                at = np.flatnonzero(place >= 1)
+                at = at[has(often, s[at - 1]) & has(after_any, s[at])]
+                place, context = place[at], s[at - 1]
+                out = []
+                for d in range(1, last + 1):
+                    if d > 1:
+                        keep = place >= d
+                        at, place, context = at[keep], place[keep], context[keep]
+                        keep = has(pairs, s[at - d + 1] + s[at - d] * np.uint64(BASE))
+                        if d == first:
+                            keep &= has(grown_from, context)
+                        at, place = at[keep], place[keep]
+                        context = longer(context[keep], s[at - d], d)
+                    if d < first or not len(at):
+                        continue
+                    name = pair_name(context, s[at])
+                    one, n = add_up(name, np.ones(len(at), np.int64))
+                    own, after, name = context[one], s[at[one]], name[one]
+                    # Names are in order, so each bucket is a stretch of them.
+                    bucket = ((name >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                    cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                    for b in np.flatnonzero(np.diff(cuts)):
+                        order = cuts[b] + np.argsort(own[cuts[b]:cuts[b + 1]])
+                        c = own[order]
+                        head = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
+                        out.append((int(b), d, c[head].tobytes(), small(np.diff(np.append(head, len(c)))), after[order].tobytes(), small(n[order])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in PACKED.split(", ")])
 
     def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition is a bucket; counts of its rows are added up now and then."""
-        held, size = [], 0
+        held: list[tuple] = []
+        size = 0
 
-        def merged():
-            keys, n = add_up([np.concatenate([h[i] for h in held]) for i in range(4)], np.concatenate([h[4] for h in held]))
-            return [(*keys, n)]
+        def merged() -> tuple:
+            own, after, depth, n = (np.concatenate(x) for x in zip(*held))
+            with np.errstate(over="ignore"):
+                one, n = add_up(pair_name(own + depth.astype(np.uint64), after), n)
+            return own[one], after[one], depth[one], n
 
+        limit = 4_000_000
         for part in parts:
             for row in part.to_pylist():
-                sizes = unsmall(row["sizes"])
-                own, up = (np.repeat(np.frombuffer(row[c], np.uint64), sizes) for c in ("contexts", "parents"))
-                held.append((own, np.frombuffer(row["nexts"], np.uint64), up, np.full(len(own), row["depth"], np.int32), unsmall(row["times"])))
+                own = np.repeat(np.frombuffer(row["contexts"], np.uint64), unsmall(row["sizes"]))
+                held.append((own, np.frombuffer(row["nexts"], np.uint64), np.full(len(own), row["depth"], np.int32), unsmall(row["times"])))
                 size += len(own)
-            if size > 4_000_000:
-                held = merged()
-                size = len(held[0][0]) // 2  # what cannot be merged further waits for twice as much
+            if size > limit:
+                held = [merged()]
+                size = len(held[0][0])
+                limit = max(limit, 2 * size)
         if held:
-            (own, after, up, depth, n), = merged()
+            own, after, depth, n = merged()
             keep = n >= min_pair
-            own, after, up, depth, n = own[keep], after[keep], up[keep], depth[keep], n[keep]
-            yield from rows({"depth": depth, "context": own, "parent": up, "next": after, "grown": after + own * np.uint64(BASE), "n": n})
+            yield from rows({"depth": depth[keep], "context": own[keep], "next": after[keep], "n": n[keep]})
 
     return texts.mapInArrow(run, PACKED).repartitionById(n_buckets, F.col("bucket")).mapInArrow(total, PAIRS)
 
 
+GROWN = "context long, parent long, total long"
+
+
+def grown(pairs: DataFrame) -> DataFrame:
+    """(context, parent, total) of the contexts that `pairs` (context, parent, next, n) are when read as one."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            own, up, word = (part.column(k).to_numpy().view(np.uint64) for k in range(3))
+            with np.errstate(over="ignore"):
+                yield pa.RecordBatch.from_arrays([pa.array((word + x * np.uint64(BASE)).view(np.int64)) for x in (own, up)] + [part.column(3)], ["context", "parent", "total"])
+
+    return pairs.select("context", "parent", "next", "n").mapInArrow(run, GROWN)
+
+
 def tested(pairs: DataFrame, gain: float, min_pair: int) -> tuple[DataFrame, DataFrame]:
     """(states: context, total, back; pairs: context, next, p, ratio) of `pairs` (context, next, n, total, above).
 
@@ -244,12 +274,14 @@ def tested(pairs: DataFrame, gain: float, min_pair: int) -> tuple[DataFrame, Dat
 
 def learn(texts: DataFrame, words: DataFrame, n_all: int, v_all: int, gain: float, min_count: int, min_pair: int, n_buckets: int) -> tuple[DataFrame, DataFrame, int]:
     """(states, pairs, depth of the tree) from the training texts and their word counts."""
-    frequent = marked(words.where(F.col("n") >= min_count).select("word"))
-    counts = stored(pair_counts(texts, 1, 1, frequent, None, None, n_buckets, min_pair))
-    bigrams = marked(counts.where(F.col("n") >= min_count).select("grown"))
-    seen = words.where(F.col("n") >= min_count).select(F.col("word").alias("context"), F.col("n").alias("total"))
-    above = words.select(F.col("word").alias("next"), ((F.col("n") + 1) / F.lit(float(n_all + v_all + 1))).alias("above"))
-    candidates = counts.select("context", "next", "n").join(above, "next").join(seen, "context")
+    common = stored(words.where(F.col("n") >= min(min_pair, min_count)))
+    frequent, followers = marked(common.where(F.col("n") >= min_count).select("word")), marked(common.where(F.col("n") >= min_pair).select("word"))
+    counts = stored(pair_counts(texts, 1, 1, frequent, followers, None, None, n_buckets, min_pair))
+    seen = common.where(F.col("n") >= min_count).select(F.col("word").alias("context"), F.lit(0).cast("long").alias("parent"), F.col("n").alias("total"))
+    above = common.select(F.col("word").alias("next"), ((F.col("n") + 1) / F.lit(float(n_all + v_all + 1))).alias("above"))
+    before = counts.join(seen.select("context", "parent", "total"), "context")
+    candidates = before.join(above, "next").select("context", "next", "n", "total", "above")
+    bigrams = None
     all_states, all_pairs, depth, counted = [], [], 0, 1
     while True:
         states, pairs = tested(candidates, gain, min_pair)
@@ -258,14 +290,15 @@ def learn(texts: DataFrame, words: DataFrame, n_all: int, v_all: int, gain: floa
         depth += 1
         all_states.append(states)
         all_pairs.append(pairs)
-        before = counts.where(F.col("depth") == depth)
+        seen = stored(grown(before.where(F.col("n") >= min_count)))
+        if depth == 1:
+            bigrams = marked(seen.select("context"))
         if depth == counted:
-            counts = stored(pair_counts(texts, depth + 1, depth + BLOCK, frequent, bigrams, marked(states.select("context")), n_buckets, min_pair))
+            counts = stored(pair_counts(texts, depth + 1, depth + BLOCK, frequent, followers, bigrams, marked(states.select("context")), n_buckets, min_pair))
             counted = depth + BLOCK
-        seen = before.where(F.col("n") >= min_count).select(F.col("grown").alias("context"), F.col("n").alias("total"))
         above = pairs.select(F.col("context").alias("parent"), "next", F.col("p").alias("above"))
-        candidates = (counts.where(F.col("depth") == depth + 1).select("context", "parent", "next", "n").join(above, ["parent", "next"]).drop("parent")
-                      .join(seen, "context"))
+        before = stored(counts.where(F.col("depth") == depth + 1).select("context", "next", "n").join(seen, "context"))
+        candidates = before.join(above, ["parent", "next"]).select("context", "next", "n", "total", "above")
     if not depth:
         return states, pairs, 0
     for more in all_states[1:]:
@@ -341,7 +374,7 @@ def walk(s: np.ndarray, borders: np.ndarray, t: Tables) -> tuple[np.ndarray, np.
     return gained, np.concatenate(far_at), np.concatenate(far)
 
 
-def score(docs: DataFrame, gain: float = 5.0, min_count: int = 30, min_pair: int = 3, max_pairs: int = 1_500_000, head: int = 500_000,
+def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: int = 3, max_pairs: int = 1_500_000, head: int = 1_000_000,
           words_per_bucket: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`."""
     spark = docs.sparkSession
@@ -374,11 +407,15 @@ def score(docs: DataFrame, gain: float = 5.0, min_count: int = 30, min_pair: int
                 gained, far_at, far = walk(s, borders, t)
             n = len(borders) - 1
             owner = np.repeat(np.arange(n), np.diff(borders))
-            k, known = find(t.words, s)
-            logs = np.where(known, t.word_logs[k] if len(t.word_logs) else 0.0, 0.0)
+            own, codes = np.unique(s, return_inverse=True)
+            k, known = find(t.words, own)
+            logs = np.where(known, t.word_logs[k] if len(t.word_logs) else 0.0, 0.0)[codes]
+            known = known[codes]
             rare = np.flatnonzero(~known)
-            (of, word), times = add_up([owner[rare], s[rare]], np.ones(len(rare), np.int64))
-            (far_of, context, after), far_times = add_up([owner[far_at], far, s[far_at]], np.ones(len(far_at), np.int64))
+            of, word, times = owner[rare], s[rare], np.ones(len(rare), np.int64)
+            far_of, context, after, far_times = owner[far_at], far, s[far_at], np.ones(len(far_at), np.int64)
+            order = np.argsort(far_of, kind="stable")
+            far_of, context, after = far_of[order], context[order], after[order]
 
             def lists(owners: np.ndarray, **fields: np.ndarray) -> pa.Array:
                 values = pa.StructArray.from_arrays([pa.array(v.view(np.int64)) for v in fields.values()], list(fields))
