@@ -253,3 +253,111 @@ def k05_story(spark, sf):
     """The whole export: alerts, verdicts and the stage of the signal timeline."""
     events, _, v, a = frames(spark, sf)
     return R.profile_export(a, v, B.signal_timeline(events, v, all_alerts(spark, events, v), AS_OF)).withColumnRenamed("at", "at_time")
+
+
+# ------------------------------------------------------------------ exports and histories in full
+
+LABEL_SQL = "case scenario " + " ".join(f"when {q(k)} then {q(x)}" for k, x in R.SCENARIO_LABELS.items()) + " else coalesce(scenario, '') end"
+
+
+@register("k04_alert_report", with_(ALERTS, f"select employee_id, {LABEL_SQL} as scenario, severity, risk_score, status, window_start, summary, row_number() over (order by risk_score desc, dedup_key)::int as place from alerts"))
+def k04_report(spark, sf):
+    """The report with scenario names, read back from its files in their order."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    out = os.path.join(checkpoint_dir(spark), "reports", uuid.uuid4().hex)
+    R.write_alert_report(frames(spark, sf)[3], out)
+    rows = spark.read.option("header", True).csv(out).select(F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"), "*")
+    named = rows.withColumnRenamed([c for c in rows.columns if c.endswith("employee_id")][0], "employee_id")
+    from pyspark.sql import Window
+    return named.select("employee_id", "scenario", "severity", F.col("risk_score").cast("int").alias("risk_score"), "status", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "summary",
+                        F.row_number().over(Window.orderBy("f", "i")).alias("place"))
+
+
+@register("k06_parsed_export", with_("canon", "select occurred_at, employee_id, device_id, category, action, target_value, size_bytes, coalesce(channel, 'c' || event_id % 3) as channel, app as application, src_path as path, 'op' || event_id % 5 as op_type from canon"))
+def k06_parsed(spark, sf):
+    raw = F.create_map(F.lit("op_type"), F.concat(F.lit("op"), (F.col("event_id") % 5).cast("string")), F.lit("channel"), F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")))
+    return R.parsed_export(ev(spark, sf).withColumn("raw", raw))
+
+
+@register("a09_people_stats", with_("canon", """select count(distinct employee_id) filter (occurred_at >= timestamp '2024-01-30') as people_today,
+ count(distinct employee_id) filter (occurred_at >= timestamp '2024-01-29' and occurred_at < timestamp '2024-01-30') as people_yesterday, count(distinct employee_id) as people_total,
+ max(occurred_at) as latest_profile, count(distinct employee_id) as profiles from canon"""))
+def a09_people(spark, sf):
+    e = ev(spark, sf)
+    return R.people_stats(e, e.groupBy("employee_id").agg(F.max("occurred_at").alias("built_at")), TODAY)
+
+
+@register("a06_person_history", with_("verdicts cls", f"""select employee_id, 'verdict' as kind, intent as what, null::date as day, count(*) as n, max(risk_score)::int as top, null::int as days, false as lasting
+  from verdicts where window_start >= timestamp '{AS_OF}' - interval 7 day group by 1, 3
+ union all select employee_id, 'class', risk_class, day, n, null, count(*) over (partition by employee_id, risk_class)::int, count(*) over (partition by employee_id, risk_class) >= 4
+  from (select employee_id, risk_class, cast(occurred_at as date) as day, count(*) as n from cls where risk_class is not null and occurred_at >= timestamp '{AS_OF}' - interval 7 day group by 1, 2, 3)
+ union all select employee_id, 'document', left(target_value, 40), cast(occurred_at as date), 1, null, null, false
+  from (select *, row_number() over (partition by employee_id order by occurred_at, event_hash) as rn from cls where category = 'DOC' and occurred_at >= timestamp '{AS_OF}' - interval 7 day
+   and {sql_contains("coalesce(target_value, '')", V.get('sensitive_keywords'))}) where rn <= 5""").replace("select employee_id, 'verdict'", "select employee_id, 'verdict'", 1))
+def a06_person(spark, sf):
+    from ..operators import scoring as S
+    events, _, v, _ = frames(spark, sf)
+    return S.person_history(events, v, AS_OF)
+
+
+@register("k03_stored_verdicts", with_("verdicts", "select verdict_id, employee_id, window_start, risk_score, cast(window_start as date) as window_date from verdicts"))
+def k03(spark, sf):
+    """Verdicts appended by day in two batches and read back."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.sinks import append_verdicts
+    out = os.path.join(checkpoint_dir(spark), "verdicts", uuid.uuid4().hex)
+    v = frames(spark, sf)[2]
+    half = F.col("window_start") < F.lit("2024-01-15").cast("timestamp_ntz")
+    for part in (v.filter(half), v.filter(~half)):
+        append_verdicts(part, out)
+    return spark.read.parquet(out).select("verdict_id", "employee_id", "window_start", "risk_score", "window_date")
+
+
+# ------------------------------------------------------------------ jobs by the hour, day and week
+
+def job_store(spark):
+    import os
+    import uuid
+
+    from ..plans.pipeline import Store
+    from ..session import checkpoint_dir
+    return Store(spark, os.path.join(checkpoint_dir(spark), "jobs", uuid.uuid4().hex))
+
+
+@register("t06_weekly_job", ORACLES["a25_weekly_digest"])
+def t06_weekly(spark, sf):
+    from ..plans.pipeline import weekly_job
+    store = job_store(spark)
+    events, _, v, a = frames(spark, sf)
+    weekly_job(store, events, v, a, exemptions(spark), AS_OF, "1", all_alerts(spark, events, v))
+    return spark.read.parquet(store.path("digest/version=1"))
+
+
+@register("t06_nightly_job", with_("verdicts", "select verdict_id, employee_id, window_start, window_end, n, visits from verdicts where window_end + interval 60 minute < timestamp '2024-01-31 00:00:00'"))
+def t06_nightly(spark, sf):
+    """All days up to the 29th in one night, then a night that reads one day."""
+    import datetime as dt
+
+    from ..operators.alerts import no_alerts
+    from ..plans.pipeline import nightly_job
+    store, events, alerts = job_store(spark), ev(spark, sf), no_alerts(spark)
+    for day in (29, 30):
+        nightly_job(store, events, alerts, exemptions(spark), dt.date(2024, 1, day), str(day), suppress=False)
+        alerts = spark.read.parquet(store.path(f"alerts/version={day}"))
+    return spark.read.parquet(store.path("verdicts")).select("verdict_id", "employee_id", "window_start", "window_end", "n", "visits")
+
+
+@register("t06_hourly_job", with_("canon", """select employee_id as feed, max(occurred_at) as last_at from canon where occurred_at <= timestamp '2024-01-30 12:00:00'
+ group by 1 having epoch_us(timestamp '2024-01-30 12:00:00') - epoch_us(max(occurred_at)) > 2 * 3600000000"""))
+def t06_hourly(spark, sf):
+    from ..plans.pipeline import hourly_job
+    store = job_store(spark)
+    events, _, _, a = frames(spark, sf)
+    raw = events.select(F.col("employee_id").alias("feed"), F.col("occurred_at").alias("received_at"))
+    return hourly_job(store, raw, a, "2024-01-30 12:00:00", "1").select("feed", "last_at")

@@ -136,6 +136,31 @@ def history(events: DataFrame, as_of: str, days: int = 7, rules: Rules = Rules()
             .withColumn("cross_day", F.col("n_days") >= rules.cross_day_days))
 
 
+def person_history(events: DataFrame, verdicts: DataFrame, as_of: str, days: int = 7, most_docs: int = 5, rules: Rules = Rules(),
+                   v: Vocabulary = DEFAULT) -> DataFrame:
+    """What a reviewer sees of a person's last `days`, one row per fact.
+
+    kind `verdict`: verdicts and highest score per intent; `class`: rows per risk class and day, with the number of days
+    and whether that is a lasting pattern; `document`: the first operations on sensitive documents.
+    """
+    since = E.ago(as_of, days=days)
+    judged = (verdicts.filter(F.col("window_start") >= since).groupBy("employee_id", F.col("intent").alias("what"))
+              .agg(F.count("*").alias("n"), F.max("risk_score").alias("top")))
+    recent = events.filter(F.col("occurred_at") >= since)
+    web = classify_events(recent.filter(F.col("category") == "WEB"), v, rules).filter("risk_class is not null")
+    by_day = web.groupBy("employee_id", F.col("risk_class").alias("what"), E.day("occurred_at").alias("day")).agg(F.count("*").alias("n"))
+    spans = by_day.groupBy("employee_id", "what").agg(F.count("*").alias("days"))
+    order = Window.partitionBy("employee_id").orderBy("occurred_at", "event_hash")
+    docs = (recent.filter((F.col("category") == "DOC") & E.is_sensitive("target_value", v)).withColumn("rn", F.row_number().over(order))
+            .filter(F.col("rn") <= most_docs))
+    none, false = F.lit(None).cast("int"), F.lit(False)
+    rows = judged.select("employee_id", F.lit("verdict").alias("kind"), "what", F.lit(None).cast("date").alias("day"), "n", F.col("top").cast("int").alias("top"), none.alias("days"), false.alias("lasting"))
+    rows = rows.unionByName(by_day.join(spans, ["employee_id", "what"]).select(
+        "employee_id", F.lit("class").alias("kind"), "what", "day", "n", none.alias("top"), F.col("days").cast("int").alias("days"), (F.col("days") >= rules.cross_day_days).alias("lasting")))
+    return rows.unionByName(docs.select("employee_id", F.lit("document").alias("kind"), F.substring("target_value", 1, 40).alias("what"), E.day("occurred_at").alias("day"),
+                                        F.lit(1).cast("long").alias("n"), none.alias("top"), none.alias("days"), false.alias("lasting")))
+
+
 def anchor_score(intent, day_visits) -> Column:
     """Fixed score of policy violations and exfiltration; null when the window has no evidence.
 

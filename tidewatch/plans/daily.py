@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import events as E
+from ..functions import parsing as P
 from ..functions.base import int_div
 from ..operators import scoring as S
 from ..operators import windows as W
@@ -87,18 +88,28 @@ def history_of(days: DataFrame, last: dt.date, rules: Rules = Rules()) -> DataFr
             .withColumn("cross_day", F.col("n_days") >= rules.cross_day_days))
 
 
-def finish(verdicts: DataFrame, sites: DataFrame, exemptions: DataFrame | None, as_of: str) -> DataFrame:
-    """Last touches before a verdict is stored: cap of work-hours windows, sites in the text, exemption notes."""
+def finish(verdicts: DataFrame, sites: DataFrame, exemptions: DataFrame | None, as_of: str, review: DataFrame | None = None) -> DataFrame:
+    """Last touches before a verdict is stored.
+
+    Cap of work-hours windows, second opinion (`review`, see `scoring.reconcile`) with its counts put right, sites in the
+    text, exemption notes.
+    """
     cap = S.work_hours_cap()
     # An anchored score is evidence; only free scores are capped.
     capped = F.when(F.col("anchored").isNull() & cap.isNotNull(), F.least("risk_score", cap)).otherwise(F.col("risk_score"))
     out = verdicts.withColumn("risk_score", capped.cast("int"))
+    if review is not None:
+        out = S.reconcile(out, review)
+        # Hosts of a window and their visits; a window has few.
+        counts = sites.groupBy(*S.WINDOW_KEY).agg(F.map_from_entries(F.collect_list(F.struct("site", "visits"))).alias("_counts"))
+        claimed = P.correct_counts("explanation", F.col("_counts"))
+        out = out.join(counts, S.WINDOW_KEY, "left").withColumn("explanation", F.when(F.col("_counts").isNotNull(), claimed).otherwise(F.col("explanation"))).drop("_counts")
     out = S.prefix_facts(out, sites)
     return out if exemptions is None else S.annotate_exempt(out, exemptions, as_of)
 
 
 def score_days(events: DataFrame, state: ScoreState, first: dt.date, last: dt.date, rules: Rules = Rules(), v: Vocabulary = DEFAULT,
-               close_all: bool = False, suppress: bool = False, exemptions: DataFrame | None = None, finished: bool = False) -> DataFrame:
+               close_all: bool = False, suppress: bool = False, exemptions: DataFrame | None = None, finished: bool = False, review: DataFrame | None = None) -> DataFrame:
     """Score the windows that end in `first`..`last` and store what the next run needs; `events` must cover these days.
 
     `close_all` also scores windows that are still open, as at the end of the data.  With `suppress`, windows that share a
@@ -152,7 +163,7 @@ def score_days(events: DataFrame, state: ScoreState, first: dt.date, last: dt.da
     due = cut_lineage(due)
     verdicts = S.with_verdict_id(S.anchored_verdicts(S.rule_verdict(due), S.day_totals(sites, day_sites), history_of(classes, last, rules)))
     if finished:
-        verdicts = finish(verdicts, sites, exemptions, f"{last + dt.timedelta(1)} 00:00:00")
+        verdicts = finish(verdicts, sites, exemptions, f"{last + dt.timedelta(1)} 00:00:00", review)
 
     state.write(keys.join(due.select(*S.WINDOW_KEY), S.WINDOW_KEY, "left_semi"), "keys", last)
     state.write(base.join(still.select("employee_id", F.col("window_start").cast("date").alias("day")).distinct(), ["employee_id", "day"], "left_semi"), "open_baseline", last)

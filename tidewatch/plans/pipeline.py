@@ -105,6 +105,56 @@ def daily_job(store: Store, events: DataFrame, alerts: DataFrame, exemptions: Da
     overwrite_snapshot(profiles(events, as_of, v=v), store.path(f"profiles/version={version}"))
 
 
+def nightly_job(store: Store, events: DataFrame, alerts: DataFrame, exemptions: DataFrame, day, version: str, rules: Rules = Rules(), v: Vocabulary = DEFAULT,
+                review: DataFrame | None = None, suppress: bool = True) -> None:
+    """`daily_job` that scores the days since the last run up to `day` and reads no earlier events for it.
+
+    Verdicts are finished (caps, second opinion, facts, exemptions); repeats of the last hours are left out; patterns and
+    the audit look at the days they need.
+    """
+    from datetime import timedelta
+
+    from .daily import ScoreState, score_days
+    state = ScoreState(store.spark, store.path("score"))
+    done = [d for d in state.runs("baseline") if d < day]
+    if done:
+        first = done[-1] + timedelta(1)
+    else:
+        oldest = events.agg(F.min(F.col("occurred_at").cast("date"))).first()[0]
+        first = min(oldest or day, day)
+    as_of = f"{day + timedelta(1)} 00:00:00"
+    verdicts = score_days(events, state, first, day, rules, v, suppress=suppress, exemptions=exemptions, finished=True, review=review).select(*S.VERDICT_COLUMNS)
+    week = events.filter(F.col("occurred_at") >= E.ago(as_of, days=15))
+    snapshot = alert_snapshot(week, verdicts, alerts, exemptions, as_of, rules, v)
+    verdicts, snapshot, fixes = audit(verdicts, snapshot, signatures(W.shared_facts(events.filter(F.col("occurred_at").cast("date").between(F.lit(first), F.lit(day))), v, rules)), exemptions, week, as_of)
+    append_verdicts(verdicts, store.path("verdicts"))
+    overwrite_snapshot(snapshot, store.path(f"alerts/version={version}"))
+    overwrite_snapshot(fixes, store.path(f"audit/version={version}"))
+    overwrite_snapshot(profiles(events, as_of, v=v), store.path(f"profiles/version={version}"))
+
+
+def hourly_job(store: Store, raw: DataFrame, alerts: DataFrame, as_of: str, version: str, silent_hours: int = 2) -> DataFrame:
+    """Upkeep between scoring runs: stale alerts are closed, days with several writes compacted, silent feeds returned."""
+    from ..streaming.jobs import feed_silence
+    overwrite_snapshot(A.auto_close(alerts, as_of), store.path(f"alerts/version={version}"))
+    live.compact_days(store.ledger())
+    store.ledger().expire(live.TABLES)
+    return feed_silence(raw, as_of, silent_hours).filter("alarm")
+
+
+def weekly_job(store: Store, events: DataFrame, verdicts: DataFrame, alerts: DataFrame, exemptions: DataFrame, as_of: str, version: str,
+               board_alerts: DataFrame | None = None) -> None:
+    """The week's digest, the stories of people with several kinds of signals, and a report per person."""
+    from ..operators.profiles import rhythms
+    from . import boards as B
+    from . import reports as R
+    board = B.risk_board(events, verdicts, alerts if board_alerts is None else board_alerts, rhythms(events, as_of), exemptions, as_of)
+    overwrite_snapshot(R.weekly_digest(events, verdicts, alerts, board, B.efficiency(events, as_of), as_of), store.path(f"digest/version={version}"))
+    stories = cut_lineage(B.signal_timeline(events, verdicts, alerts, as_of))
+    overwrite_snapshot(stories, store.path(f"stories/version={version}"))
+    overwrite_snapshot(R.profile_export(alerts, verdicts, stories), store.path(f"people/version={version}"))
+
+
 def retention_job(events: DataFrame, raw: DataFrame, as_of: str, event_days: int = 90,
                   raw_days: int = 7) -> tuple[DataFrame, DataFrame]:
     return I.retain(events, as_of, event_days), I.retain(raw, as_of, raw_days, "received_at")

@@ -316,6 +316,26 @@ def alert_export(alerts: DataFrame) -> DataFrame:
     return alerts.select("employee_id", "scenario", "severity", "risk_score", "status", "window_start", "summary")
 
 
+# Scenario names in the alert report.
+SCENARIO_LABELS = {
+    "job_seeking": "求职离职", "data_exfiltration": "数据外发", "baseline_deviation": "行为偏离", "policy_violation": "违规",
+}
+
+
+def alert_report(alerts: DataFrame) -> DataFrame:
+    """The alert report with scenario names, and the place of each row (highest score first, then key)."""
+    known = F.create_map(*[F.lit(x) for pair in SCENARIO_LABELS.items() for x in pair])
+    label = F.coalesce(F.try_element_at(known, F.col("scenario")), F.col("scenario"), F.lit(""))
+    return alerts.select("dedup_key", "employee_id", label.alias("scenario"), "severity", "risk_score", "status", "window_start", "summary")
+
+
+def write_alert_report(alerts: DataFrame, path: str) -> None:
+    """Report files in order: sorted by ranges, so file names follow the order of rows."""
+    from ..sources.sinks import write_csv_report
+    rows = alert_report(alerts).withColumn("window_start", fmt_ts("window_start", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    write_csv_report(rows.orderBy(F.desc("risk_score"), "dedup_key").drop("dedup_key"), path)
+
+
 def profile_export(alerts: DataFrame, verdicts: DataFrame, stages: DataFrame, per_person: int = 50) -> DataFrame:
     """Report rows of all people: alerts, latest verdicts, stage of the signal timeline."""
     order = Window.partitionBy("employee_id").orderBy(F.desc("window_start"), "verdict_id")
@@ -331,6 +351,21 @@ def profile_export(alerts: DataFrame, verdicts: DataFrame, stages: DataFrame, pe
                                        F.substring("story", 1, 120).alias("text"))))
 
 
+def parsed_export(events: DataFrame) -> DataFrame:
+    """The eleven columns of the parsed-event export, with what only the raw record says."""
+    raw = lambda name: F.try_element_at("raw", F.lit(name))
+    return events.select("occurred_at", "employee_id", "device_id", "category", "action", "target_value", "size_bytes", F.coalesce("channel", raw("channel")).alias("channel"),
+                         F.coalesce("app", raw("application")).alias("application"), F.coalesce("src_path", raw("path")).alias("path"), raw("op_type").alias("op_type"))
+
+
+def people_stats(events: DataFrame, profiles: DataFrame, as_of: str) -> DataFrame:
+    """People seen today, yesterday and ever, and when the latest profile was built; `profiles` has built_at."""
+    periods = _periods("occurred_at", as_of)
+    seen = events.groupBy("employee_id").agg(*[F.max(F.coalesce(periods[k], F.lit(False))).alias(k) for k in ("today", "yesterday")])
+    people = seen.agg(F.count_if("today").alias("people_today"), F.count_if("yesterday").alias("people_yesterday"), F.count("*").alias("people_total"))
+    return one_row(people, profiles.agg(F.max("built_at").alias("latest_profile"), F.count("*").alias("profiles")))
+
+
 def event_export(events: DataFrame) -> DataFrame:
     return events.select("occurred_at", "employee_id", "device_id", "category", "action", "target_value", "size_bytes",
                          "channel", F.col("app").alias("application"), F.col("src_path").alias("path"))
