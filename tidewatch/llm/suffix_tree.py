@@ -40,7 +40,7 @@ BASE = 0x9E3779B97F4A7C15        # of the polynomial that names contexts; the ne
 END = np.uint64(0x5851F42D4C957F2D)
 MARK_BITS = 25
 GRID = (1.0, 8.0, 64.0, 512.0, 4096.0)
-BLOCK = 4                        # depths counted in one pass over the texts
+BLOCK = 8                        # depths counted in one pass over the texts
 ROWS = 65_536
 
 
@@ -213,7 +213,7 @@ def pair_counts(texts: DataFrame, first: int, last: int, frequent: np.ndarray, f
                 one, n = add_up(pair_name(own + depth.astype(np.uint64), after), n)
             return own[one], after[one], depth[one], n
 
-        limit = 4_000_000
+        limit = 2_000_000
         for part in parts:
             for row in part.to_pylist():
                 own = np.repeat(np.frombuffer(row["contexts"], np.uint64), unsmall(row["sizes"]))
@@ -374,8 +374,137 @@ def walk(s: np.ndarray, borders: np.ndarray, t: Tables) -> tuple[np.ndarray, np.
     return gained, np.concatenate(far_at), np.concatenate(far)
 
 
+ASKED = ("kind int, what int, bucket int, batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gained double, "
+         "places binary, first binary, second binary")
+STATE, PAIR, WORD = 0, 1, 2
+
+
+def bucket_of(names: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def packed_by_bucket(what: int, owner: np.ndarray, first: np.ndarray, second: np.ndarray, n_buckets: int) -> list[tuple]:
+    """(what, bucket, places, first, second): questions about hashes, one entry per bucket of `first`."""
+    bucket = bucket_of(first, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[b]:cuts[b + 1]]
+        out.append((what, int(b), small(owner[own]), first[own].tobytes(), second[own].tobytes() if len(second) else b""))
+    return out
+
+
+def answered(asked: DataFrame, states: DataFrame, pairs: DataFrame, words: DataFrame, n_buckets: int) -> DataFrame:
+    """(batch, places, base, known, gained) of the packed questions, summed per place.
+
+    A bucket's part of the tables comes first and is held as sorted arrays; questions stream past.
+    """
+    number = F.floor(F.shiftrightunsigned("a", 32) * n_buckets / F.lit(2.0**32)).cast("int")
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("batch", "long"), ("places", "binary"), ("first", "binary"), ("second", "binary"))]
+
+    def table(df: DataFrame, what: int, a: str, b, x) -> DataFrame:
+        return df.select(F.col(a).alias("a"), b.alias("b"), x.cast("double").alias("x")).select(number.alias("bucket"), F.lit(0).alias("kind"), F.lit(what).alias("what"), "a", "b", "x", *none)
+
+    zero = F.lit(0).cast("long")
+    rows_ = (table(states, STATE, "context", zero, F.col("back")).unionByName(table(pairs, PAIR, "context", F.col("next"), F.col("ratio")))
+             .unionByName(table(words, WORD, "word", zero, F.log10(F.col("n") + 1.0))))
+    own = [F.lit(None).cast(k).alias(n) for n, k in (("a", "long"), ("b", "long"), ("x", "double"))]
+    rows_ = rows_.unionByName(asked.select("bucket", F.lit(1).alias("kind"), "what", *own, "batch", "places", "first", "second"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found = None
+
+        def tables() -> dict:
+            what, a, b, x = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0))
+            with np.errstate(over="ignore"):
+                name = np.where(what == PAIR, pair_name(a, b), a)
+            return {k: sorted_by(name[what == k], x[what == k]) for k in (STATE, PAIR, WORD)}
+
+        for part in parts:
+            kind = part.column(1).to_numpy()
+            n = int((kind == 0).sum())
+            if n:
+                t = part.slice(0, n)
+                held.append((t.column(2).to_numpy(), t.column(3).to_numpy().view(np.uint64), t.column(4).to_numpy().view(np.uint64), t.column(5).to_numpy()))
+            if n == part.num_rows:
+                continue
+            if found is None:
+                found = tables()
+                held = []
+            out = []
+            for what, batch, places_, first, second in zip(*[part.column(c).slice(n).to_pylist() for c in (2, 6, 7, 8, 9)]):
+                owner, key = unsmall(places_), np.frombuffer(first, np.uint64)
+                if what == WORD:
+                    at, there = find(found[WORD][0], key)
+                    base, known, gained = np.where(there, found[WORD][1][at] if len(found[WORD][1]) else 0.0, 0.0), there, np.zeros(len(key))
+                else:
+                    at, there = find(found[STATE][0], key)
+                    owner, key, after, back = owner[there], key[there], np.frombuffer(second, np.uint64)[there], found[STATE][1][at[there]]
+                    with np.errstate(over="ignore"):
+                        at, seen = find(found[PAIR][0], pair_name(key, after))
+                    gained = np.where(seen, found[PAIR][1][at] if len(found[PAIR][1]) else 0.0, back)
+                    base, known = np.zeros(len(key)), np.zeros(len(key), bool)
+                if len(owner):
+                    own, codes = np.unique(owner, return_inverse=True)
+                    out.append((batch, small(own), np.bincount(codes, base).tobytes(), small(np.bincount(codes, known).astype(np.int64)), np.bincount(codes, gained).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i == 0 else pa.binary()) for i in range(5)], ["batch", "places", "base", "known", "gained"])
+
+    return (rows_.select("bucket", "kind", "what", "a", "b", "x", "batch", "places", "first", "second").repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("kind")
+            .mapInArrow(run, "batch long, places binary, base binary, known binary, gained binary"))
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gained double"
+
+
+def put_together(scored: DataFrame, more: DataFrame) -> DataFrame:
+    """Documents of each batch with the answers to their batch's questions added."""
+    docs = scored.where(F.col("kind") == 0).select("batch", "kind", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "gained",
+                                                   *[F.lit(None).cast("binary").alias(n) for n in ("places", "m_base", "m_known", "m_gained")])
+    extra = more.select("batch", F.lit(1).alias("kind"), *[F.lit(None).cast(k).alias(n) for n, k in (("place", "int"), ("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"),
+                                                                                                  ("n_known", "long"), ("base", "double"), ("gained", "double"))],
+                        "places", F.col("base").alias("m_base"), F.col("known").alias("m_known"), F.col("gained").alias("m_gained"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, add = None, [], None
+        names = [f.split()[0] for f in RESULT.split(", ")]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                place = t.column("place").to_numpy()
+                base, known, gained = (x[place] for x in add)
+                yield from pa.table([t.column("doc_id"), t.column("held_out"), t.column("n_tokens"), pa.array(t.column("n_known").to_numpy() + known.astype(np.int64)),
+                                     pa.array(t.column("base").to_numpy() + base), pa.array(t.column("gained").to_numpy() + gained)], names).combine_chunks().to_batches()
+
+        for part in parts:
+            keys = part.column(0).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if keys[a] != at:
+                    yield from flush()
+                    at, held, add = keys[a], [], None
+                piece = part.slice(a, b - a)
+                kind = piece.column(1).to_numpy()
+                n = int((kind == 0).sum())
+                if n:
+                    held.append(piece.slice(0, n).select(["place", "doc_id", "held_out", "n_tokens", "n_known", "base", "gained"]))
+                    top = int(piece.column("place").slice(0, n).to_numpy().max()) + 1
+                    size = max(top, len(add[0]) if add else 0)
+                    add = tuple(np.concatenate([x, np.zeros(size - len(x))]) for x in (add or (np.zeros(0),) * 3))
+                for places_, base, known, gained in zip(*[piece.column(c).slice(n).to_pylist() for c in ("places", "m_base", "m_known", "m_gained")]):
+                    own = unsmall(places_)
+                    for x, value in zip(add, (np.frombuffer(base), unsmall(known), np.frombuffer(gained))):
+                        x[own] += value
+        yield from flush()
+
+    return docs.unionByName(extra).repartition("batch").sortWithinPartitions("batch", "kind", "place").mapInArrow(run, RESULT)
+
+
 def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: int = 3, max_pairs: int = 1_500_000, head: int = 1_000_000,
-          words_per_bucket: int = 2_000_000) -> DataFrame:
+          words_per_bucket: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
@@ -384,7 +513,8 @@ def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: in
     told = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(told["n"]), int(told["v"])
     floor = float(np.log10(1 / (n_all + v_all + 1)))
-    states, pairs, depth = learn(texts, words, n_all, v_all, gain, min_count, min_pair, max(1, -(-n_all // words_per_bucket)))
+    n_buckets = max(1, -(-n_all // words_per_bucket))
+    states, pairs, depth = learn(texts, words, n_all, v_all, gain, min_count, min_pair, n_buckets)
 
     often, cut = cut_at(words, "n", head), cut_at(pairs, "total", max_pairs)
     top = words.where(above_cut("n", often)).toArrow()                                     # bounded by head
@@ -400,44 +530,36 @@ def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: in
         *sorted_by(names, column(near, "ratio")), None if other_states.isEmpty() else marked(other_states.select("context")), depth))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
         t = shared.value
+        empty = np.zeros(0, np.uint64)
+        fields = [f.split() for f in ASKED.split(", ")]
+        kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
         for part in joined(parts, BATCH_BYTES):
             with np.errstate(over="ignore"):
                 s, borders = symbols(part.column(2))
                 gained, far_at, far = walk(s, borders, t)
             n = len(borders) - 1
+            if not n:
+                continue
             owner = np.repeat(np.arange(n), np.diff(borders))
             own, codes = np.unique(s, return_inverse=True)
             k, known = find(t.words, own)
             logs = np.where(known, t.word_logs[k] if len(t.word_logs) else 0.0, 0.0)[codes]
             known = known[codes]
-            rare = np.flatnonzero(~known)
-            of, word, times = owner[rare], s[rare], np.ones(len(rare), np.int64)
-            far_of, context, after, far_times = owner[far_at], far, s[far_at], np.ones(len(far_at), np.int64)
-            order = np.argsort(far_of, kind="stable")
-            far_of, context, after = far_of[order], context[order], after[order]
-
-            def lists(owners: np.ndarray, **fields: np.ndarray) -> pa.Array:
-                values = pa.StructArray.from_arrays([pa.array(v.view(np.int64)) for v in fields.values()], list(fields))
-                return pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(n + 1)).astype(np.int32)), values)
-
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array(np.diff(borders)), pa.array(np.bincount(owner, known, n).astype(np.int64)),
-                pa.array(np.bincount(owner, logs, n) + np.diff(borders) * floor), pa.array(np.bincount(owner, gained, n)),
-                lists(of, word=word, times=times), lists(far_of, context=context, next=after, times=far_times)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "gained", "rare", "far"])
-
-    schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, gained double, rare array<struct<word: long, times: long>>, "
-              "far array<struct<context: long, next: long, times: long>>")
-    # The row number is fixed by writing: all readers below see the same one.
-    scored = stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.times")
-    extra = rare.join(words.where(~above_cut("n", often)), "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("also"))
-    far = scored.select("row", F.explode("far").alias("c")).select("row", "c.context", "c.next", "c.times")
-    far = far.join(other_states.select("context", "back"), "context").join(other_pairs.select("context", "next", "ratio"), ["context", "next"], "left")
-    deeper = far.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("ratio", "back")).alias("deeper"))
-    base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return (scored.drop("rare", "far").join(extra, "row", "left").join(deeper, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gained") + F.coalesce("deeper", F.lit(0.0))).alias("score")))
+            batch, rare = uuid.uuid4().int >> 65, np.flatnonzero(~known)
+            columns = {"kind": np.zeros(n, np.int32), "batch": np.full(n, batch), "place": np.arange(n, dtype=np.int32), "doc_id": part.column(0), "held_out": part.column(1), "n_tokens": np.diff(borders),
+                       "n_known": np.bincount(owner, known, n).astype(np.int64), "base": np.bincount(owner, logs, n) + np.diff(borders) * floor, "gained": np.bincount(owner, gained, n)}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f]) if f in columns else pa.nulls(n, kinds[kind]) for f, kind in fields], [f for f, _ in fields])
+            asked = packed_by_bucket(WORD, owner[rare], s[rare], empty, n_buckets) + packed_by_bucket(STATE, owner[far_at], far, s[far_at], n_buckets)
+            if asked:
+                m = len(asked)
+                columns = {"kind": pa.array(np.ones(m, np.int32)), "batch": pa.array(np.full(m, batch))}
+                columns |= {f: pa.array([q[i] for q in asked], kinds[kind]) for i, (f, kind) in enumerate((("what", "int"), ("bucket", "int"), ("places", "binary"), ("first", "binary"), ("second", "binary")))}
+                yield pa.RecordBatch.from_arrays([columns[f] if f in columns else pa.nulls(m, kinds[kind]) for f, kind in fields], [f for f, _ in fields])
+
+    # Written once: the batches' names are the same for both readers below.
+    scored = stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, ASKED))
+    more = answered(scored.where(F.col("kind") == 1), other_states, other_pairs, words.where(~above_cut("n", often)), n_buckets)
+    return put_together(scored, more).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score",
+                                             (F.col("base_score") + F.col("gained")).alias("score"))
