@@ -503,7 +503,7 @@ def put_together(scored: DataFrame, more: DataFrame) -> DataFrame:
     return docs.unionByName(extra).repartition("batch").sortWithinPartitions("batch", "kind", "place").mapInArrow(run, RESULT)
 
 
-def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: int = 3, max_pairs: int = 1_500_000, head: int = 1_000_000,
+def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: int = 4, max_pairs: int = 4_000_000, head: int = 1_000_000,
           words_per_bucket: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`."""
     spark = docs.sparkSession
