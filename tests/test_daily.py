@@ -45,7 +45,7 @@ def table(df):
     return sorted((tuple(r[c] for c in COLUMNS) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_day_by_day_equals_one_run(spark, make, tmp_path, seed):
     events = make(rows_of(random.Random(seed), 6, ["p1", "p2", "p3"])).cache()
     rules = S.Rules(cross_day_days=99)  # the 7-day history ends with the run
