@@ -35,7 +35,10 @@ def place(spark) -> str:
     return os.path.join(checkpoint_dir(spark), "exports", uuid.uuid4().hex)
 
 
-TITLE = F.concat(F.lit('first line\nsaid "yes", number '), F.col("event_id").cast("string"), F.lit("\n"))
+def title() -> Column:
+    return F.concat(F.lit('first line\nsaid "yes", number '), F.col("event_id").cast("string"), F.lit("\n"))
+
+
 TITLE_SQL = "trim('first line' || chr(10) || 'said \"yes\", number ' || event_id || chr(10), ' ' || chr(10))"
 
 
@@ -43,7 +46,7 @@ def proxy_export(spark, sf, sep: str = ",") -> str:
     e = ev(spark, sf).filter("category = 'WEB'")
     return render(e, vocab.PROXY_HEADERS, {
         "user": F.concat("employee_id", F.lit("("), "employee_id", F.lit(")")), "time": fmt_ts("occurred_at"), "src_ip": text("device_id"), "category": text("site_class"),
-        "title": TITLE, "domain": text("domain"), "url": F.concat(F.lit("http://"), text("domain"), F.lit("/"), F.col("event_id").cast("string"))}, place(spark), sep)
+        "title": title(), "domain": text("domain"), "url": F.concat(F.lit("http://"), text("domain"), F.lit("/"), F.col("event_id").cast("string"))}, place(spark), sep)
 
 
 PROXY_SQL = with_("canon", f"""select employee_id, date_trunc('second', occurred_at) as occurred_at, domain, 'http://' || domain || '/' || event_id as url, {TITLE_SQL} as title,
@@ -70,13 +73,13 @@ def doc_export(spark, sf, folder: str) -> str:
     e = ev(spark, sf).filter("category = 'DOC'")
     return render(e, vocab.ENDPOINT_HEADERS, {
         "type": F.when(F.col("event_id") % 9 == 0, "").otherwise("复制"), "time": serial_day(), "computer": F.concat(F.lit("HQ-BJ-"), "employee_id"), "source_file": text("target_value"),
-        "size": F.concat(F.col("event_id").cast("string"), F.lit(" KB")), "title": TITLE, "path": F.lit("C:\\a\\b")}, folder)
+        "size": F.concat(F.col("event_id").cast("string"), F.lit(" KB")), "title": title(), "path": F.lit("C:\\a\\b")}, folder)
 
 
 def web_export(spark, sf, folder: str) -> str:
     e = ev(spark, sf).filter("category = 'WEB'")
     return render(e, vocab.ENDPOINT_HEADERS, {"time": serial_day(), "url": F.concat(F.lit("https://www."), text("domain"), F.lit("/"), F.col("event_id").cast("string")),
-                                              "computer": F.concat(F.lit("HQ-BJ-"), "employee_id"), "title": TITLE}, folder)
+                                              "computer": F.concat(F.lit("HQ-BJ-"), "employee_id"), "title": title()}, folder)
 
 
 def search_export(spark, sf, folder: str) -> str:
