@@ -343,6 +343,23 @@ def sorted_by(names: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return names[order], *[v[order] for v in values]
 
 
+def collected(table: DataFrame, of_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted names, their numbers) of (name, next, x) rows, named and packed in the tasks: 16 bytes a row come to the driver."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in joined(parts, 1_000_000):
+            first, second = (part.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            with np.errstate(over="ignore"):
+                names = pair_name(first, second) if of_pairs else first
+            yield pa.RecordBatch.from_arrays([pa.array([names.tobytes()]), pa.array([part.column(2).to_numpy().tobytes()])], ["names", "x"])
+
+    got = table.mapInArrow(run, "names binary, x binary").toArrow()
+    names, x = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(v.as_buffer(), kind) for v in got.column(c)]]) for c, kind in (("names", np.uint64), ("x", np.float64)))
+    del got
+    order = np.argsort(names).astype(np.uint32)
+    return names[order], x[order]
+
+
 def find(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in the sorted `names`, whether it is there)."""
     if not len(names):
@@ -503,7 +520,7 @@ def put_together(scored: DataFrame, more: DataFrame) -> DataFrame:
     return docs.unionByName(extra).repartition("batch").sortWithinPartitions("batch", "kind", "place").mapInArrow(run, RESULT)
 
 
-def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: int = 4, max_pairs: int = 4_000_000, head: int = 1_000_000,
+def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: int = 4, max_pairs: int = 2_500_000, head: int = 1_000_000,
           words_per_bucket: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`."""
     spark = docs.sparkSession
@@ -517,17 +534,12 @@ def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: in
     states, pairs, depth = learn(texts, words, n_all, v_all, gain, min_count, min_pair, n_buckets)
 
     often, cut = cut_at(words, "n", head), cut_at(pairs, "total", max_pairs)
-    top = words.where(above_cut("n", often)).toArrow()                                     # bounded by head
-    near = pairs.where(above_cut("total", cut)).select("context", "next", "ratio").toArrow()  # bounded by max_pairs
-    near_states = states.where(above_cut("total", cut)).select("context", "back").toArrow()   # each has a pair
     other_states, other_pairs = states.where(~above_cut("total", cut)), pairs.where(~above_cut("total", cut))
-    column = lambda t, c: t.column(c).to_numpy()
-    hashes = lambda t, c: column(t, c).view(np.uint64)
-    with np.errstate(over="ignore"):
-        names = pair_name(hashes(near, "context"), hashes(near, "next"))
     shared = spark.sparkContext.broadcast(Tables(
-        *sorted_by(hashes(top, "word"), np.log10(column(top, "n") + 1.0)), *sorted_by(hashes(near_states, "context"), column(near_states, "back")),
-        *sorted_by(names, column(near, "ratio")), None if other_states.isEmpty() else marked(other_states.select("context")), depth))
+        *collected(words.where(above_cut("n", often)).select("word", F.lit(0).cast("long").alias("next"), F.log10(F.col("n") + 1.0).alias("x"))),   # bounded by head
+        *collected(states.where(above_cut("total", cut)).select("context", F.lit(0).cast("long").alias("next"), F.col("back").alias("x"))),         # each has a pair
+        *collected(pairs.where(above_cut("total", cut)).select("context", "next", F.col("ratio").alias("x")), True),                                # bounded by max_pairs
+        None if other_states.isEmpty() else marked(other_states.select("context")), depth))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
