@@ -14,6 +14,7 @@ from ..session import checkpoint_dir
 from ..streaming import jobs as J
 from ..streaming import keyed as K
 from ..streaming.jobs import unzoned
+from . import detect_queries  # noqa: F401  (its SQL is read below)
 from .base import *
 
 
