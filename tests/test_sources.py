@@ -174,7 +174,7 @@ def test_records_across_split_borders(spark, tmp_path, size):
     (tmp_path / "a.csv").write_text(out.getvalue(), encoding="utf-8")
     blocks, got = records_of(spark, str(tmp_path / "a.csv"), size)
     assert got == sorted(tuple(c.strip() for c in r) for r in table)
-    assert (blocks > 1) == (size < 10**8)
+    assert blocks > (60 if size < 100 else 1)  # Spark cuts a small file by its cores, too
 
 
 def test_a_stray_quote_inside_a_cell_is_text(spark, tmp_path):
