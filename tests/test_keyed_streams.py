@@ -44,6 +44,23 @@ def test_identity_carries_over_batches(spark):
     assert {r["id"]: r["account"] for r in got} == {1: "li", 2: "li", 3: "li"}
 
 
+def test_rows_without_a_key_keep_no_state(spark):
+    """They know their own hint at once; rows of a key wait packed, and a hint reaches later rows over them."""
+    rows = [(k, at(1, k // 60, k % 60), None if k % 2 else "n1", "li" if k == 100 else "wu" if k % 50 == 1 else None) for k in range(400)]
+    named = spark.createDataFrame(rows, "event_id long, occurred_at timestamp_ntz, user_no string, account_hint string").withColumn("agent_id", F.lit(""))
+    source, (deliver_all,) = Q.in_parts([K.hinted(named)])
+    deliver_all()
+    root = Q.os.path.join(Q.checkpoint_dir(spark), "streams", Q.uuid.uuid4().hex)
+    query = (K.stream_mapped(source(), "user_key", "hint", "0 seconds").writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    # The processor keeps 200 rows of one key in a handful of state rows, and none for the 200 without a key.
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) < 20
+    got = {r["id"]: r["account"] for r in spark.read.parquet(f"{root}/out").collect()}
+    assert {k: a for k, a in got.items() if k % 2} == {k: "wu" if k % 50 == 1 else None for k in range(1, 400, 2)}
+    assert {k: a for k, a in got.items() if k % 2 == 0} == {k: "li" if k >= 100 else None for k in range(0, 398, 2)}  # 398 is at the watermark
+
+
 def test_state_runs_where_the_package_is_not(spark, tmp_path):
     """From another folder, with nothing of the package on the workers' path."""
     script = f"""

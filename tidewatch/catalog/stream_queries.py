@@ -190,7 +190,7 @@ def t07_person(spark, sf):
                  F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("acc"), number.cast("string"))).alias("account_hint"))
     rows = K.hinted(e)
     end = last_row(rows, event_id=-1, agent_key="end", user_key="end")
-    maps = [run_deliveries(*shuffled(rows, "event_id", end), name, lambda r, name=name: K.stream_asof(r, name, "hint", LATE_ALL)) for name in ("agent_key", "user_key")]
+    maps = [run_deliveries(*shuffled(rows, "event_id", end), name, lambda r, name=name: K.stream_mapped(r, name, "hint", LATE_ALL)) for name in ("agent_key", "user_key")]
     return K.resolved(rows, *maps).select("event_id", "employee_id")
 
 

@@ -26,45 +26,64 @@ def account_processor():
     class Accounts(StatefulProcessor):
         def init(self, handle):
             self._handle = handle
-            self._waiting = handle.getListState("waiting", "id bigint, at bigint, hint string")
+            # One state row for each batch of rows: times and ids packed, hints with their places.
+            self._waiting = handle.getListState("waiting", "at binary, id binary, place binary, hints array<string>")
             self._known = handle.getValueState("known", "account string")
 
+        def wait(self, at, ids, place, hints):
+            """Keep rows; `place` are the rows that have a hint."""
+            self._waiting.appendValue((at.tobytes(), ids.tobytes(), place.tobytes(), hints))
+            self._handle.registerTimer(int(at.min()) // 1000 + 1)
+
         def handleInputRows(self, key, rows, timerValues):
-            earliest = None
+            import numpy as np
+            parts = []
             for pdf in rows:
-                new = [(int(i), int(a), h if isinstance(h, str) and h else None) for i, a, h in zip(pdf["id"], pdf["at"], pdf["hint"])]
-                self._waiting.appendList(new)
-                low = min(n[1] for n in new)
-                earliest = low if earliest is None else min(earliest, low)
-            if earliest is not None:
-                self._handle.registerTimer(earliest // 1000 + 1)
+                if len(pdf):
+                    place = [k for k, h in enumerate(pdf["hint"]) if isinstance(h, str) and h]
+                    parts.append((pdf["at"].to_numpy("int64"), pdf["id"].to_numpy("int64"), np.array(place, "int64"), list(pdf["hint"].iloc[place])))
+            if parts:
+                self.wait(*joined(parts))
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import numpy as np
             import pandas as pd
             limit = timerValues.getCurrentWatermarkInMs() * 1000
-            waiting = [tuple(r) for r in self._waiting.get()]
-            ready = sorted((r for r in waiting if r[1] < limit), key=lambda r: (r[1], r[0]))
-            if not ready:
+            parts = [(*(np.frombuffer(bytes(r[k]), "int64") for k in range(3)), list(r[3])) for r in self._waiting.get()]
+            if not parts:
                 return
-            rest = [r for r in waiting if r[1] >= limit]
-            if rest:
-                self._waiting.put(rest)
-                self._handle.registerTimer(min(r[1] for r in rest) // 1000 + 1)
-            else:
-                self._waiting.clear()
-            account = self._known.get()[0] if self._known.exists() else None
-            found = []
-            for _, _, hint in ready:
-                account = hint or account
-                found.append(account)
-            if account is not None:
-                self._known.update((account,))
-            yield pd.DataFrame({"id": [r[0] for r in ready], "at": [r[1] for r in ready], "key": key[0], "account": pd.Series(found, dtype=object)})
+            at, ids, place, hints = joined(parts)
+            hinted = np.full(len(at), -1)
+            hinted[place] = np.arange(len(place))
+            order = np.lexsort((ids, at))
+            order = order[at[order] < limit]
+            if not len(order):
+                return
+            late = np.flatnonzero(at >= limit)
+            self._waiting.clear()
+            if len(late):
+                own = hinted[late]
+                self.wait(at[late], ids[late], np.flatnonzero(own >= 0), [hints[k] for k in own[own >= 0]])
+            # Place 0 is what is known from before; a row takes the last hint up to it.
+            accounts = np.array([self._known.get()[0] if self._known.exists() else None, *hints], dtype=object)
+            ready = hinted[order] + 1
+            last = np.maximum.accumulate(np.where(ready > 0, np.arange(len(ready)), -1))
+            found = accounts[np.where(last >= 0, ready[last], 0)]
+            if found[-1] is not None:
+                self._known.update((found[-1],))
+            yield pd.DataFrame({"id": ids[order], "at": at[order], "key": key[0], "account": pd.Series(found, dtype=object)})
 
         def close(self):
             pass
 
+    def joined(parts):
+        """(at, ids, place, hints) of several such parts."""
+        import numpy as np
+        at, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        starts = np.cumsum([0, *[len(p[0]) for p in parts]])
+        return at, ids, np.concatenate([p[2] + s for p, s in zip(parts, starts)]), [h for p in parts for h in p[3]]
+
     return Accounts()
 
 
@@ -78,10 +97,16 @@ def stream_asof(rows: DataFrame, key: str, hint: str, late: str = "1 hour") -> D
     return keyed.groupBy("key").transformWithStateInPandas(account_processor(), "id bigint, at bigint, key string, account string", "append", "EventTime")
 
 
+def stream_mapped(rows: DataFrame, key: str, hint: str, late: str = "1 hour") -> DataFrame:
+    """`stream_asof` for rows some of which lack the key: those know no hint but their own, at once and without state."""
+    alone = rows.filter(F.col(key).isNull()).select(
+        F.col("event_id").alias("id"), F.unix_micros("occurred_at").alias("at"), F.lit(None).cast("string").alias("key"), F.nullif(F.col(hint), F.lit("")).alias("account"))
+    return stream_asof(rows.filter(F.col(key).isNotNull()), key, hint, late).unionByName(alone)
+
+
 def hinted(rows: DataFrame, suffixes=("corp", "example", "local")) -> DataFrame:
-    """Account of the path as `hint`, and the two keys under which later rows find it."""
-    own = F.concat(F.lit("row:"), F.col("event_id").cast("string"))
-    key = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), own)
+    """Account of the path as `hint`, and the two keys (null: none) under which later rows find it."""
+    key = lambda c: F.nullif(F.col(c), F.lit(""))
     return (rows.withColumn("hint", F.nullif(clean_account("account_hint", suffixes), F.lit("")))
             .withColumn("agent_key", key("agent_id")).withColumn("user_key", key("user_no")))
 
