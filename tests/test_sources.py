@@ -177,6 +177,15 @@ def test_records_across_split_borders(spark, tmp_path, size):
     assert blocks > (60 if size < 100 else 1)  # Spark cuts a small file by its cores, too
 
 
+def test_lines_are_cut_once(spark, tmp_path):
+    """What is read of an export comes from one written table of named cells: its plan reads no text again."""
+    (tmp_path / "a.csv").write_text('report,,\n用户名,x,访问域名,时间\nli,,a.org,1\n用户名,x,访问域名,时间\n"wa\nng","","b,org","2"\nshort,\nwu,3\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('时间\t访问域名\t用户名\n4\tc.org\tlu\n', encoding="utf-8")
+    found = S.read_exports(spark, str(tmp_path), vocab.PROXY_HEADERS, {"all": ("user", "time", "domain")}).rows
+    assert rows(found, "user", "domain", "time") == [("li", "a.org", "1"), ("lu", "c.org", "4"), ("wa\nng", "b,org", "2"), ("wu", "", "")]
+    assert "FileScan text" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_stray_quote_inside_a_cell_is_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text('用户名,访问域名,时间\nli,5" disk.org,2026-07-22 10:00:00\nwang,"b"x.org,2026-07-22 10:00:00\n', encoding="utf-8")
     assert rows(S.read_proxy_export(spark, str(tmp_path / "a.csv")), "employee_id", "domain") == [("li", '5" disk.org'), ("wang", "bx.org")]

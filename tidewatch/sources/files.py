@@ -36,23 +36,19 @@ def physical_lines(spark: SparkSession, path) -> DataFrame:
 def _record_tools():
     """Helpers of both passes; made in a function so that they travel by value."""
     import re
-    # A quote opens a cell at its start only; the first quote that is not doubled closes it.
-    opens = {s: re.compile(rf'(?:^|{s})"') for s in (",", "\t")}
-    whole = {s: re.compile(rf'(^|{s})"(?:[^"]|"")*"(?!")[^{s}]*(?={s}|$)') for s in (",", "\t")}
-    closes = {s: re.compile(rf'^(?:[^"]|"")*"(?!")[^{s}]*') for s in (",", "\t")}
+    # A quote opens a cell at its start only; the first quote that is not doubled closes it.  Both patterns take as many
+    # cells as end on the line and never go back; what they leave begins with the cell that stays open.
+    rest = r'[^"]*+(?:""[^"]*+)*+"[^{s}]*+'
+    cell = rf'(?:"{rest}|[^"{{s}}][^{{s}}]*+)?+'
+    outside = {s: re.compile(rf"{cell}(?:{{s}}{cell})*+".format(s=s)) for s in (",", "\t")}
+    within = {s: re.compile(rf"{rest}(?:{{s}}{cell})*+".format(s=s)) for s in (",", "\t")}
 
     def after(line: str, sep: str, inside: bool) -> bool:
         """Whether a quoted cell is still open at the end of a line."""
         if '"' not in line:
             return inside
-        if inside:
-            met = closes[sep].match(line)
-            if not met:
-                return True
-            line = line[met.end():]
-            if not line:
-                return False
-        return bool(opens[sep].search(whole[sep].sub(r"\1", line)))
+        met = (within if inside else outside)[sep].match(line)
+        return met is None or met.end() < len(line)
 
     def cells(record: str, sep: str) -> list[str]:
         import csv
@@ -62,13 +58,17 @@ def _record_tools():
 
     def by_block(parts):
         """(file, block, lines) of batches; a block may go on in the next item."""
+        import pyarrow.compute as pc
         for part in parts:
-            files, blocks, values = (part.column(c).to_pylist() for c in range(3))
+            if not part.num_rows:
+                continue
+            files, blocks = (pc.run_end_encode(part.column(c)) for c in (0, 1))
+            ends = sorted({*files.run_ends.to_pylist(), *blocks.run_ends.to_pylist()})
+            values = [(v or "").replace("\ufeff", "") for v in part.column(2).to_pylist()]
             start = 0
-            for k in range(1, len(files) + 1):
-                if k == len(files) or (files[k], blocks[k]) != (files[start], blocks[start]):
-                    yield files[start], blocks[start], [(v or "").replace("\ufeff", "") for v in values[start:k]]
-                    start = k
+            for k in ends:
+                yield part.column(0)[start].as_py(), part.column(1)[start].as_py(), values[start:k]
+                start = k
 
     return after, cells, by_block
 
@@ -82,7 +82,7 @@ def scan_blocks(lines: DataFrame, aliases: dict, required: dict[str, tuple]) ->
 
     def run(parts):
         import pyarrow as pa
-        hints = [set(v for v in aliases if aliases[v] in need) for need in required.values()]
+        hints = [[[v for v in aliases if aliases[v] == n] for n in need] for need in required.values()]
         state, ends, count = None, {}, 0
 
         def close():
@@ -97,9 +97,12 @@ def scan_blocks(lines: DataFrame, aliases: dict, required: dict[str, tuple]) ->
                 count += line.strip() != ""
                 for sep in (",", "\t"):
                     if '"' in line:
-                        ends[sep] = tuple(after(line, sep, x) for x in ends[sep])
-                    # A header names all columns of some kind; most lines fail the first look.
-                    if any(any(h in line for h in hint) for hint in hints):
+                        zero, one = ends[sep]
+                        end = after(line, sep, zero)
+                        ends[sep] = end, end if zero == one else after(line, sep, one)  # once alike, alike to the end
+                # A header names all columns of some kind; most lines fail the first look.
+                if any(all(any(h in line for h in hint) for hint in need) for need in hints):
+                    for sep in (",", "\t"):
                         names = [aliases.get(c, "") for c in cells(line, sep)]
                         if any(all(n in names for n in need) for need in required.values()):
                             out.append((file, block, sep, None, None, names, 0))
@@ -142,22 +145,49 @@ def block_starts(scan: DataFrame) -> DataFrame:
 RECORDS = "file string, block long, place int, cells array<string>, piece string"
 
 
-def read_records(lines: DataFrame, layouts: DataFrame, starts: DataFrame) -> DataFrame:
-    """(file, cells): records of the files that have a layout."""
-    known = cut_lineage(layouts.join(starts.groupBy("file", "sep").agg(F.collect_set("block").alias("inside")), ["file", "sep"], "left").select("file", "sep", "inside"))
+def _placed(layouts: DataFrame, aliases: dict) -> DataFrame:
+    """Layouts with `at`: for every alias name the place of its column from 1 on, 0 if the file lacks it."""
+    return layouts.withColumn("at", F.array(*[F.array_position("names", n).cast("int") for n in dict.fromkeys(aliases.values())]))
+
+
+def _named_cells(aliases: dict, required: dict[str, tuple]):
+    """A function of a record's cells and its file's `at`: the cells of the alias names, or None for headers and titles."""
+    kinds = [set(need) for need in required.values()]
+
+    def named(cells: list[str], at: list[int]) -> list[str] | None:
+        if sum(map(bool, cells)) < 2:  # a title fills a single cell
+            return None
+        if not aliases.keys().isdisjoint(cells):
+            own = {aliases[c] for c in cells if c in aliases}
+            if any(need <= own for need in kinds):
+                return None
+        return [cells[k - 1] if 0 < k <= len(cells) else "" for k in at]
+
+    return named
+
+
+def read_records(lines: DataFrame, layouts: DataFrame, starts: DataFrame, aliases: dict | None = None, required: dict[str, tuple] | None = None) -> DataFrame:
+    """(file, cells): records of the files that have a layout.
+
+    With `aliases`, `cells` are those of the alias names in their order, and headers and titles (a single filled cell) are
+    left out.
+    """
+    layouts = layouts.withColumn("at", F.array().cast("array<int>")) if aliases is None else _placed(layouts, aliases)
+    named = (lambda row, at: row) if aliases is None else _named_cells(aliases, required)
+    known = cut_lineage(layouts.join(starts.groupBy("file", "sep").agg(F.collect_set("block").alias("inside")), ["file", "sep"], "left").select("file", "sep", "inside", "at"))
     # Lines must stay in order, so what is known about their file comes to them: a hundred bytes a file, FILES at a time.
     groups = max(1, -(-known.count() // FILES))
     keyed = None
     for g in range(groups):
         mine = (lambda df: df) if groups == 1 else (lambda df, g=g: df.filter(F.pmod(F.xxhash64("file"), F.lit(groups)) == g))
-        part = mine(lines).join(F.broadcast(mine(known)), "file").select("file", "block", "value", "sep", F.coalesce(F.array_contains("inside", F.col("block")), F.lit(False)).alias("inside"))
+        part = mine(lines).join(F.broadcast(mine(known)), "file").select("file", "block", "value", "sep", F.coalesce(F.array_contains("inside", F.col("block")), F.lit(False)).alias("inside"), "at")
         keyed = part if keyed is None else keyed.unionByName(part)
     after, cells, by_block = _record_tools()
 
     def run(parts):
         import pyarrow as pa
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string()]
-        state, sep, inside, held, at_start = None, None, False, [], False
+        state, sep, at, inside, held, at_start = None, None, [], False, [], False
 
         def flush(out):
             """What is open at the end of a block goes on in the next one."""
@@ -168,12 +198,12 @@ def read_records(lines: DataFrame, layouts: DataFrame, starts: DataFrame) -> Dat
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["file", "block", "place", "cells", "piece"])
 
         for part in parts:
-            seps, insides = part.column(3).to_pylist(), part.column(4).to_pylist()
             done, out = 0, []
             for file, block, values in by_block([part.select([0, 1, 2])]):
                 if (file, block) != state:
                     flush(out)
-                    state, sep, inside, held = (file, block), seps[done], insides[done], []
+                    state, held = (file, block), []
+                    sep, inside, at = (part.column(c)[done].as_py() for c in (3, 4, 5))
                     at_start = inside
                 done += len(values)
                 for line in values:
@@ -183,7 +213,10 @@ def read_records(lines: DataFrame, layouts: DataFrame, starts: DataFrame) -> Dat
                     inside = after(line, sep, inside)
                     if not inside:
                         record = "\n".join(held)
-                        out.append((*state, 0, None, record) if at_start else (*state, None, cells(record, sep), None))
+                        if at_start:
+                            out.append((*state, 0, None, record))
+                        elif (row := named(cells(record, sep), at)) is not None:
+                            out.append((*state, None, row, None))
                         held, at_start = [], False
             if out:
                 yield batch(out)
@@ -192,7 +225,8 @@ def read_records(lines: DataFrame, layouts: DataFrame, starts: DataFrame) -> Dat
         if out:
             yield batch(out)
 
-    found = keyed.mapInArrow(run, RECORDS)
+    # Lines are cut once: whole records and pieces come from the same written table, which holds the named cells only.
+    found = cut_lineage(keyed.mapInArrow(run, RECORDS))
     whole = found.filter("cells is not null").select("file", "cells")
     # Pieces of records that cross a border: in a file, each run of pieces from one that begins outside a cell.
     from pyspark.sql import Window
@@ -200,35 +234,26 @@ def read_records(lines: DataFrame, layouts: DataFrame, starts: DataFrame) -> Dat
     order = Window.partitionBy("file").orderBy("block", "place")
     runs = pieces.withColumn("run", F.sum("place").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joined = runs.groupBy("file", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "place", "piece"))), lambda x: x["piece"]), "\n").alias("record"))
-    joined = joined.join(layouts.select("file", "sep"), "file").select("file", "sep", "record")
+    joined = joined.join(layouts.select("file", "sep", "at"), "file").select("file", "sep", "record", "at")
 
     def cut(parts):
         import pyarrow as pa
         for part in parts:
-            seps, records = part.column(1).to_pylist(), part.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([cells(r, s) for r, s in zip(records, seps)], pa.list_(pa.string()))], ["file", "cells"])
+            files, seps, records, places = (part.column(c).to_pylist() for c in range(4))
+            rows = [(f, row) for f, s, r, at in zip(files, seps, records, places) if (row := named(cells(r, s), at)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([row for _, row in rows], pa.list_(pa.string()))], ["file", "cells"])
 
     return whole.unionByName(joined.mapInArrow(cut, "file string, cells array<string>"))
 
 
 def named_rows(records: DataFrame, layouts: DataFrame, aliases: dict, required: dict[str, tuple]) -> DataFrame:
-    """(file, kinds, one column per alias name): records without headers and titles (a single filled cell).
+    """(file, kinds, one column per alias name) of records read with `aliases`.
 
     `kinds` are those of `required` whose columns the file has.
     """
     has = [F.when(F.forall(F.array(*map(F.lit, need)), lambda r: F.array_contains("names", r)), F.lit(kind)) for kind, need in required.items()]
-    layouts = layouts.withColumn("kinds", F.array_compact(F.array(*has)))
-    rows = records.join(layouts.select("file", "names", "kinds"), "file")
-    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    own = F.transform("cells", lambda c: F.coalesce(F.try_element_at(known, c), F.lit("")))
-    is_header = F.exists(F.array(*[F.array(*map(F.lit, need)) for need in required.values()]), lambda need: F.forall(need, lambda r: F.array_contains(own, r)))
-    is_title = F.size(F.filter("cells", lambda c: c != "")) < 2
-
-    def cell(name: str) -> Column:
-        at = F.array_position("names", name)
-        return F.coalesce(F.when(at > 0, F.get("cells", (at - 1).cast("int"))), F.lit("")).alias(name)
-
-    return rows.filter(~is_header & ~is_title).select("file", "kinds", *[cell(name) for name in dict.fromkeys(aliases.values())])
+    kinds = layouts.select("file", F.array_compact(F.array(*has)).alias("kinds"))
+    return records.join(kinds, "file").select("file", "kinds", *[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(dict.fromkeys(aliases.values()))])
 
 
 @dataclass
@@ -242,7 +267,7 @@ def read_exports(spark: SparkSession, path, aliases: dict, required: dict[str, t
     lines = physical_lines(spark, path)
     scan = cut_lineage(scan_blocks(lines, aliases, required))  # two rows a split and the header lines
     layouts = file_layouts(scan)
-    records = read_records(lines, layouts, block_starts(scan))
+    records = read_records(lines, layouts, block_starts(scan), aliases, required)
     counts = scan.filter("names is null and sep = ','").groupBy("file").agg(F.sum("n_lines").alias("n_lines")).filter("n_lines > 0")
     return Export(named_rows(records, layouts, aliases, required), counts.join(layouts.select("file"), "file", "left_anti"))
 
