@@ -39,6 +39,15 @@ def test_words_match_the_library():
     assert 0 < own.exact < own.total
 
 
+def test_the_library_holds_no_model():
+    """It normalises and pre-tokenises as the whole tokenizer does, without vocabulary and merges in every worker."""
+    library, own = tokenizers.Tokenizer.from_file(WORD), bpe.Encoder(bpe.tokenizer_text(WORD))
+    assert own.library.get_vocab_size(with_added_tokens=True) == 0
+    split = lambda t, x: [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(x))]
+    for text in CASES + random_texts(300):
+        assert split(own.library, text) == split(library, text)
+
+
 def test_compatibility_is_exact():
     """Every sound pair's verdict equals merging both tokens' symbols."""
     own = bpe.Merges(bpe.tokenizer_text(WORD))
