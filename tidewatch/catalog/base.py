@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import vocab
-from ..session import prepare
+from ..session import cut_lineage, prepare
 from ..sources.adapter import canonical_events, canonical_sql, read_table
 
 QUERIES: dict = {}
@@ -40,6 +40,11 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_events(spark, sf_dir)
 
 
+def stored_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical events written once, for queries that read them many times."""
+    return cut_lineage(ev(spark, sf_dir))
+
+
 def exemptions(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame(EXEMPTIONS, "employee_id string, signal_type string, reason string, expires_at string")
     return df.withColumn("expires_at", df.expires_at.cast("timestamp_ntz"))
@@ -262,8 +267,7 @@ def verdict_frames(spark: SparkSession, sf_dir: str):
     """(events, facts, verdicts); facts and verdicts are written once, as in a deployment."""
     from ..operators import scoring as S
     from ..operators.windows import shared_facts
-    from ..session import cut_lineage
-    events = ev(spark, sf_dir)
+    events = stored_ev(spark, sf_dir)
     facts = shared_facts(events)
     return events, facts, cut_lineage(S.score_events(events, AS_OF, facts=facts))
 
