@@ -113,7 +113,7 @@ BY_RUN = "greatest(least(cast(t.window_end + interval 60 minute as date), date '
             where c.employee_id = t.employee_id and c.risk_class is not null and cast(c.occurred_at as date) between {BY_RUN} - 6 and {BY_RUN} group by c.risk_class)), 0) >= 4"""))
 def l05(spark, sf):
     """All days up to the 27th in one run, then three runs that read one new day each."""
-    verdicts = [score for _, score in daily_runs(spark, ev(spark, sf))]
+    verdicts = [score for _, score in daily_runs(spark, stored_ev(spark, sf))]
     out = verdicts[0]
     for more in verdicts[1:]:
         out = out.unionByName(more)
