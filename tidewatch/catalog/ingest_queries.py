@@ -192,7 +192,7 @@ def in_batches(spark, sf, between) -> DataFrame:
     from ..schema import CANONICAL
     from ..session import checkpoint_dir
     store = Store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
-    e = ev(spark, sf)
+    e = stored_ev(spark, sf)
     for k in (0, 1, 2, 0):
         ingest_batch(store, e.filter(F.col("event_id") % 3 == k), k, aliases(spark), ignored(spark))
         between(store)

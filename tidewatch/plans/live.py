@@ -111,13 +111,13 @@ def _with_person(folds: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def published(folds: DataFrame, aliases: DataFrame, ignored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to show, all rows) of merged folds, named."""
-    rows = named(visits_of(folds), aliases)
+    rows = cut_lineage(named(visits_of(folds), aliases))
     kept = I.drop_cross_source(rows, minutes=COVER_MINUTES)
     # Accounts of one name may fold into the same hash: the row with most visits stands for it.
     fields = [c for c in kept.columns if c != "event_hash"]
     kept = kept.groupBy("event_hash").agg(F.max(F.struct("count", "source", *[c for c in fields if c not in ("count", "source")])).alias("r")).select("event_hash", "r.*")
     kept = kept.filter(~E.is_visitor("employee_id")).join(ignored.select("employee_id").distinct(), "employee_id", "left_anti")
-    return kept, rows
+    return cut_lineage(kept), rows  # both are read several times
 
 
 def _delta(kept: DataFrame, rows: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def ingest(ledger: Ledger, batch: DataFrame, aliases: DataFrame, ignored: DataFr
     past = ledger.read("folds", FOLD, state, _around(days)).filter(F.col("occurred_at").between(F.lit(span["low"] - margin), F.lit(span["high"] + margin)))
     keys = ["_person", "_dom", "occurred_at"]
     context = _with_person(past.unionByName(own), aliases).join(near, keys, "left_semi").drop("_person", "_dom", "seq", "event_date")
-    kept, all_rows = published(cut_lineage(merged_folds(context)), aliases, ignored)
+    kept, all_rows = published(merged_folds(context), aliases, ignored)
     delta = _delta(kept, all_rows)
     # Only rows near a change may differ from what is published; the rest of the context had to be seen, not written.
     marks = touched.select(F.col("_person").alias("p"), F.col("_dom").alias("d"), F.col("occurred_at").alias("t"))
@@ -176,7 +176,7 @@ def refold_days(ledger: Ledger, days: set[dt.date], aliases: DataFrame, ignored:
     state = ledger.snapshot()
     tx, seq = uuid.uuid4().hex, state.version + 1
     folds = merged_folds(ledger.read("folds", FOLD, state, _around(days)).drop("seq", "event_date"))
-    kept, rows = published(cut_lineage(folds), aliases, ignored)
+    kept, rows = published(folds, aliases, ignored)
     others = ledger.read("visits", canonical_ddl(), state, days).filter("category <> 'WEB'")
     others = I.append_events(named(to_canonical(others), aliases), ledger.spark.createDataFrame([], CANONICAL), ignored)
     new = to_canonical(kept).unionByName(to_canonical(others)).filter(F.col("occurred_at").cast("date").isin(list(days))).withColumn("gone", F.lit(False))
