@@ -150,3 +150,43 @@ def test_pairs_within_the_period_only(make):
     archives, renames = J.archive_pairs(pairs).collect(), J.rename_pairs(pairs).collect()
     assert [(r["employee_id"], str(r["day"]), r["n_sends"]) for r in archives] == [("p1", "2024-03-01", 1)]
     assert [(r["new"], str(r["window_start"])[:16]) for r in renames] == [("ab.x", "2024-03-01 12:00")]
+
+
+def test_a_key_has_one_timer(spark):
+    """Changes of one key that come in many deliveries wake it once, for the earliest of them; an alert without rows wakes when it is stale."""
+    from tidewatch.streaming.keyed import alert_processor
+
+    class Value:
+        row = None
+        def get(self): return self.row
+        def update(self, row): self.row = row
+        def clear(self): self.row = None
+
+    class Rows(list):
+        def get(self): return iter(list(self))
+        def appendList(self, new): self.extend(new)
+        def put(self, new): self[:] = new
+
+    class Handle:
+        def __init__(self): self.timers = []
+        def getValueState(self, name, schema): return Value()
+        def getListState(self, name, schema): return Rows()
+        def registerTimer(self, at): self.timers.append(at)
+        def deleteTimer(self, at): self.timers.remove(at)
+
+    class Now:
+        def __init__(self, ms): self.ms = ms
+        def getCurrentWatermarkInMs(self): return self.ms
+
+    handle, alerts = Handle(), alert_processor(3_000_000)
+    alerts.init(handle)
+    row = lambda at, id_: {"kind": "verdict", "at": at * 1_000_000, "id": id_, "score": 55, "text": "t", "start": at, "expires": -1}
+    for at in (5, 3, 7, 4):
+        alerts.handleInputRows(("p|baseline_deviation",), iter([row(at, f"v{at}")]), None)
+    assert handle.timers == [3001]
+    handle.timers.clear()
+    out = list(alerts.handleExpiredTimer(("p|baseline_deviation",), Now(4500), None))
+    assert [(r["change"], r["verdict_id"], r["status"]) for r in out] == [(1, "v3", "NEW"), (2, "v4", "NEW")] and handle.timers == [5001]
+    handle.timers.clear()
+    out = list(alerts.handleExpiredTimer(("p|baseline_deviation",), Now(9000), None))
+    assert [(r["verdict_id"], r["status"]) for r in out] == [("v5", "NEW"), ("v7", "CLOSED")] and handle.timers == []

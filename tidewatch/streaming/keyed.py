@@ -139,31 +139,40 @@ def alert_processor(stale_us: int, low: int = 50, high: int = 65):
         def init(self, handle):
             self._handle = handle
             self._waiting = handle.getListState("waiting", CHANGES_DDL)
-            self._alert = handle.getValueState("alert", "score int, id string, text string, start bigint, status string, since bigint, created bigint, changed bigint, change bigint")
-            self._exempt = handle.getListState("exempt", "at bigint, expires bigint")
+            # Alert and exemptions are one state row: most of a key's time goes into calls to the state.
+            self._kept = handle.getValueState("kept", "score int, id string, text string, start bigint, status string, since bigint, created bigint, changed bigint, change bigint, "
+                                                      "exempt_at array<bigint>, exempt_until array<bigint>")
+            self._timer = handle.getValueState("timer", "at bigint")
+
+        def wake(self, us):
+            """A key has one timer, the earliest it needs."""
+            at, old = us // 1000 + 1, self._timer.get()
+            if old is not None and old[0] <= at:
+                return
+            if old is not None:
+                self._handle.deleteTimer(old[0])
+            self._handle.registerTimer(at)
+            self._timer.update((at,))
 
         def handleInputRows(self, key, rows, timerValues):
-            earliest = None
-            for pdf in rows:
-                new = [(k, int(a), i if isinstance(i, str) else None, int(s), t if isinstance(t, str) else None, int(b), int(e))
-                       for k, a, i, s, t, b, e in zip(pdf["kind"], pdf["at"], pdf["id"], pdf["score"], pdf["text"], pdf["start"], pdf["expires"])]
+            new = [(r["kind"], r["at"], r["id"], r["score"], r["text"], r["start"], r["expires"]) for r in rows]
+            if new:
                 self._waiting.appendList(new)
-                first = min(n[1] for n in new)
-                earliest = first if earliest is None else min(earliest, first)
-            if earliest is not None:
-                self._handle.registerTimer(earliest // 1000 + 1)
+                self.wake(min(n[1] for n in new))
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            import pandas as pd
+            from pyspark.sql import Row
             limit = timerValues.getCurrentWatermarkInMs() * 1000
+            self._timer.clear()
             waiting = [tuple(r) for r in self._waiting.get()]
             rank = {"exempt": 0, "verdict": 1, "feedback": 2}
             ready = sorted((r for r in waiting if r[1] < limit), key=lambda r: (r[1], rank[r[0]], r[5], r[2] or ""))
             rest = [r for r in waiting if r[1] >= limit]
-            alert = tuple(self._alert.get()) if self._alert.exists() else None
-            exempt = [tuple(r) for r in self._exempt.get()]
-            out = []
+            kept = self._kept.get()
+            alert = tuple(kept[:9]) if kept is not None and kept[8] is not None else None
+            exempt = list(zip(kept[9], kept[10])) if kept is not None else []
+            out, wakes = [], [r[1] for r in rest]
 
             def closed(now):
                 """The alert after the rule that closes deviations: low scores at once, middle ones when stale."""
@@ -199,21 +208,23 @@ def alert_processor(stale_us: int, low: int = 50, high: int = 65):
                 if done[4] != alert[4]:
                     alert = (*done[:8], alert[8] + 1)
                     out.append(alert)
-                self._alert.update(alert)
                 due = alert[6] + stale_us
                 if alert[4] == "NEW" and key[0].endswith("|baseline_deviation") and low <= alert[0] <= high and due >= limit:
-                    self._handle.registerTimer(due // 1000 + 1)
-            self._exempt.put(exempt) if exempt else self._exempt.clear()
+                    wakes.append(due)
+            if alert is not None or exempt:
+                self._kept.update((*(alert or [None] * 9), [e[0] for e in exempt], [e[1] for e in exempt]))
+            elif kept is not None:
+                self._kept.clear()
             if rest:
                 self._waiting.put(rest)
-                self._handle.registerTimer(min(r[1] for r in rest) // 1000 + 1)
-            else:
+            elif waiting:
                 self._waiting.clear()
-            if out:
-                person, _, scenario = key[0].rpartition("|")
-                yield pd.DataFrame({"dedup_key": key[0], "change": [a[8] for a in out], "employee_id": person, "scenario": scenario,
-                                    "risk_score": pd.Series([a[0] for a in out], dtype="int32"), "verdict_id": [a[1] for a in out], "summary": pd.Series([a[2] for a in out], dtype=object),
-                                    "status": [a[4] for a in out], "window_us": [a[3] for a in out], "created_us": [a[6] for a in out], "changed_us": [a[7] for a in out]})
+            if wakes:
+                self.wake(min(wakes))
+            person, _, scenario = key[0].rpartition("|")
+            for score, id_, text, start, status, _, created, changed, change in out:
+                yield Row(dedup_key=key[0], change=change, employee_id=person, scenario=scenario, risk_score=score, verdict_id=id_, summary=text, status=status,
+                          window_us=start, created_us=created, changed_us=changed)
 
         def close(self):
             pass
@@ -251,7 +262,7 @@ def exemption_changes(exemptions: DataFrame) -> DataFrame:
 def stream_alerts(changes: DataFrame, stale_days: int = 3, late: str = "1 hour") -> DataFrame:
     """Versions of alerts as changes reach them."""
     rows = changes.withWatermark("occurred_at", late)
-    return rows.groupBy("dedup_key").transformWithStateInPandas(alert_processor(stale_days * 86_400_000_000), ALERT_CHANGE, "append", "EventTime")
+    return rows.groupBy("dedup_key").transformWithState(alert_processor(stale_days * 86_400_000_000), ALERT_CHANGE, "append", "EventTime")
 
 
 def alert_snapshot(changes: DataFrame) -> DataFrame:
