@@ -346,7 +346,7 @@ def t06_nightly(spark, sf):
 
     from ..operators.alerts import no_alerts
     from ..plans.pipeline import nightly_job
-    store, events, alerts = job_store(spark), ev(spark, sf), no_alerts(spark)
+    store, events, alerts = job_store(spark), stored_ev(spark, sf), no_alerts(spark)
     for day in (29, 30):
         nightly_job(store, events, alerts, exemptions(spark), dt.date(2024, 1, day), str(day), suppress=False)
         alerts = spark.read.parquet(store.path(f"alerts/version={day}"))

@@ -9,6 +9,7 @@ from ..functions import domains as D
 from ..functions import events as E
 from ..functions.base import text
 from ..schema import SCORE_TIERS
+from ..session import cut_lineage
 from .classify import classify_events
 from .windows import has_flag
 
@@ -70,6 +71,7 @@ def audit(verdicts: DataFrame, alerts: DataFrame, sigs: DataFrame, exemptions: D
     snap = F.when(F.col("risk_score") >= 50, _legal_tier("intent", "risk_score")).otherwise(F.col("risk_score"))
     v = (v.withColumn("snapped", snap.cast("int")).withColumn("fix_i6", F.col("snapped") != F.col("risk_score"))
          .withColumn("risk_score", F.col("snapped")))
+    v = cut_lineage(v)  # read by the result, the best verdicts and three logs
 
     best = (v.filter(_evidence("intent")).groupBy("employee_id", F.col("intent").alias("scenario"))
             .agg(F.max_by(F.struct("verdict_id", "risk_score", "explanation"),
@@ -80,7 +82,7 @@ def audit(verdicts: DataFrame, alerts: DataFrame, sigs: DataFrame, exemptions: D
             .groupBy("employee_id").agg(*[F.sum(F.when(F.col("risk_class") == c, F.col("count")).otherwise(0)).alias(f"sig_{c}")
                                          for c in CLASSES]).withColumn("sig_doc", F.lit(False)))
 
-    kept = alerts.join(ex.withColumnRenamed("intent", "scenario"), ["employee_id", "scenario"], "left")
+    kept = cut_lineage(alerts.join(ex.withColumnRenamed("intent", "scenario"), ["employee_id", "scenario"], "left"))
     removed = kept.filter(exempt)
     a = (kept.filter(~exempt).drop("ex_reason").join(best, ["employee_id", "scenario"], "left")
          .join(week, "employee_id", "left"))
@@ -106,6 +108,7 @@ def audit(verdicts: DataFrame, alerts: DataFrame, sigs: DataFrame, exemptions: D
     a = (a.withColumn("snapped", snapped.cast("int")).withColumn("fix_i6", F.col("snapped") != F.col("risk_score"))
          .withColumn("risk_score", F.col("snapped")).withColumn("severity", F.when(
              F.col("fix_i1") | F.col("fix_i6"), E.severity("risk_score")).otherwise(F.col("severity"))))
+    a = cut_lineage(a)  # read by the result and four logs
 
     def log(df: DataFrame, flag: Column, code: str, what: str, key: str) -> DataFrame:
         return df.filter(flag).select(F.lit(code).alias("rule"), F.lit(what).alias("fix"), "employee_id",

@@ -10,6 +10,7 @@ from ..functions import events as E
 from ..functions import parsing as P
 from ..functions.base import blank_to_null, int_div, text
 from ..schema import OUTBOUND_ACTIONS, Rules
+from ..session import cut_lineage
 from ..vocab import DEFAULT, Vocabulary
 
 TOP = {"hour": 8, "domain": 20, "ext": 8, "code": 8, "send": 6, "send_day": 14, "topic": 10}
@@ -105,7 +106,7 @@ def profiles(events: DataFrame, as_of: str | None = None, lookback_days: int = 3
     """
     if as_of is not None:
         events = E.since(events, as_of, days=lookback_days)
-    counts = observation_counts(events, v)
+    counts = cut_lineage(observation_counts(events, v))  # top lists and whole lists read it
 
     slots = hour_slots(events)
     base = _rhythm(slots)
