@@ -165,13 +165,14 @@ def segments(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (a, b, na, nb) whose similarity is at least `percent`/100, with the overlap; `parts` are segments."""
 
-    def overlap(left: list[bytes], right: list[bytes]) -> int:
-        """Partial overlaps, fragment by fragment, summed."""
+    def overlap(left: pa.Scalar, right: pa.Scalar) -> int:
+        """Partial overlaps, fragment by fragment, summed; only this pair's n-grams leave the batch."""
+        left, right = left.as_py(), right.as_py()
         return sum(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(left, right))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            both = [overlap(x, y) for x, y in zip(part.column(4).to_pylist(), part.column(5).to_pylist())]
+            both = [overlap(x, y) for x, y in zip(part.column(4), part.column(5))]
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
 
     one = parts.select(F.col("doc_id").alias("a"), F.col("grams").alias("left"))
