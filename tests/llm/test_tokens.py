@@ -39,6 +39,19 @@ def test_words_match_the_library():
     assert 0 < own.exact < own.total
 
 
+def test_memory_of_pieces_is_bounded_within_a_batch():
+    """One batch of far more pieces than are remembered: no generation outgrows its size by more than one step."""
+    own = bpe.Encoder(bpe.tokenizer_text(WORD), remember=1000)
+    texts = [" ".join(f"w{k}x" for k in range(at, at + 500)) for at in range(0, 40_000, 500)]
+    ids, ends, decoded = own.texts(pa.array(texts))
+    assert max(len(own.seen), len(own.old)) <= 1000 + own.step
+    library = tokenizers.Tokenizer.from_file(WORD)
+    for k in (0, 40, 79):
+        want = library.encode(texts[k], add_special_tokens=False).ids
+        assert ids[ends[k]:ends[k + 1]].tolist() == want
+        assert decoded[k].as_py() == library.decode(want, skip_special_tokens=False)
+
+
 def test_the_library_holds_no_model():
     """It normalises and pre-tokenises as the whole tokenizer does, without vocabulary and merges in every worker."""
     library, own = tokenizers.Tokenizer.from_file(WORD), bpe.Encoder(bpe.tokenizer_text(WORD))

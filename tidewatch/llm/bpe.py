@@ -29,13 +29,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import give_back, pick
 
 #: White space of the tokenizer's patterns (Unicode's, without the information separators that Python adds).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = re.compile(f"[^{SPACE}]+")
 ODD = "[\\x1c-\\x1f]"  # white space to Arrow but not to the tokenizer
 LAST = np.int64(1) << 40
+BATCH_BYTES = 4_000_000  # texts encoded at once
 
 
 class Merges:
@@ -198,12 +199,13 @@ class Merges:
 class Encoder:
     """Encodes texts piece by piece with a bounded memory of pieces seen.
 
-    The memory has two generations: a full one becomes the old one, from which pieces in use move back.
+    The memory has two generations: a full one becomes the old one, from which pieces in use move back.  Pieces are looked
+    up and learnt `step` at a time, so neither generation outgrows its size by more, however many a batch holds.
     """
 
-    def __init__(self, text: str, remember: int = 100_000):
+    def __init__(self, text: str, remember: int = 200_000, step: int = 16_384):
         from tokenizers import Tokenizer
-        self.merges, self.remember = Merges(text), remember
+        self.merges, self.remember, self.step = Merges(text), remember, step
         # The library only normalises and pre-tokenises here: without its model it takes 40 MB less in every worker.
         spec = json.loads(text)
         self.library = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {**spec["model"], "vocab": {}, "merges": []}}))
@@ -212,9 +214,9 @@ class Encoder:
         # Byte-level alphabet: printable bytes stand for themselves, the others follow at 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-        self.names = [self.merges.names.get(i, "") for i in range(self.merges.size)]
+        self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.names = pa.array([self.merges.names.get(i, "") for i in range(self.merges.size)], pa.string())
         self.exact = self.total = 0
 
     def pre_tokens(self, chunk: str) -> list[str]:
@@ -243,25 +245,29 @@ class Encoder:
         ids, exact = self.merges.encode(list(words))
         self.exact += exact
         self.total += len(words)
-        names, seen = self.names, self.seen
+        seen = self.seen
         for chunk, plan in zip(chunks, plans):
             if len(plan) == 1 and not plan[0][0]:
                 own = ids[plan[0][1]]
             else:
                 own = [i for special, k in plan for i in ([k] if special else ids[k])]
-            seen[chunk] = array("I", own).tobytes(), " ".join([names[i] for i in own])
-
-    def entries(self, chunks: list[str]) -> list[tuple[bytes, str]]:
-        """(ids, decoded text) of distinct pieces."""
-        if len(self.seen) > self.remember:
-            self.old, self.seen = self.seen, {}
-        seen, old = self.seen, self.old
-        new = [c for c in chunks if c not in seen]
-        if new:
-            seen.update((c, old[c]) for c in new if c in old)
-            if (new := [c for c in new if c not in seen]):
-                self.learn(new)
-        return [seen[c] for c in chunks]
+            seen[chunk] = array("I", own).tobytes()
+
+    def entries(self, chunks: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), self.step):
+            part = chunks.slice(at, self.step).to_pylist()
+            if len(self.seen) > self.remember:
+                self.old, self.seen = self.seen, {}
+            seen, old = self.seen, self.old
+            new = [c for c in part if c not in seen]
+            if new:
+                seen.update((c, old[c]) for c in new if c in old)
+                if (new := [c for c in new if c not in seen]):
+                    self.learn(new)
+            out += [seen[c] for c in part]
+        return out
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(ids of all texts, where each text's ids start and end, decoded texts)."""
@@ -275,11 +281,10 @@ class Encoder:
         held = empty.to_numpy(zero_copy_only=False).astype(bool)
         starts = np.concatenate([[0], np.cumsum(held)])[starts]
         coded = pieces.filter(empty).dictionary_encode()
-        found = self.entries(coded.dictionary.to_pylist())
-        ids, sizes = gather([f[0] for f in found], coded.indices.to_numpy(zero_copy_only=False))
+        del cut, pieces
+        ids, sizes = gather(self.entries(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
         ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
-        words = pa.array([f[1] for f in found], pa.string()).take(coded.indices)
-        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), " ")
+        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.names.take(pa.array(ids))), " ")
         return ids, ends, decoded
 
 
@@ -294,15 +299,21 @@ def gather(values: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def joined(parts: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Record batches put together up to about so many bytes, so that frequent pieces are looked up once."""
+    give_back()
     held, size = [], 0
     for part in parts:
         held.append(part)
         size += part.nbytes
         if size >= chars:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size, part = [], 0, None
+            while whole:
+                yield whole.pop(0)
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        whole, held, part = pa.Table.from_batches(held).combine_chunks().to_batches(), [], None
+        while whole:
+            yield whole.pop(0)
+    give_back()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -327,7 +338,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for part in joined(parts):
+        for part in joined(parts, BATCH_BYTES):
             ids, ends, decoded = own.texts(part.column(1).fill_null(""))
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), decoded],
@@ -343,7 +354,7 @@ def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for part in joined(parts):
+        for part in joined(parts, BATCH_BYTES):
             ids, ends, decoded = own.texts(part.column(1).fill_null(""))
             columns = [
                 part.column(0), pa.array(np.diff(ends), pa.int64()),

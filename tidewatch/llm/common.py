@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,7 @@ from tidewatch.session import checkpoint_dir, cut_lineage, prepare, ship_package
 
 # Rows of an Arrow batch: texts can be long, and a batch is held as a whole.
 BATCH_ROWS = 256
+BATCH_BYTES = 4_000_000  # of a batch on its way to Python: it lies outside the executor's heap
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -20,6 +24,7 @@ def ready(spark: SparkSession) -> SparkSession:
     prepare(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -62,6 +67,13 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on through later tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library keeps and trims
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(items: Iterable, size: int) -> Iterator[list]:
     """Lists of at most `size` items."""
     part: list = []
