@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import joined
-from .common import held_out, pick, stored
+from .common import batches, held_out, pick, stored
 
 BATCH_BYTES = 3_000_000          # texts worked on at once
 BASE = 0x9E3779B97F4A7C15        # of the polynomial that names contexts; the nearest word has power 0
@@ -166,40 +166,44 @@ def pair_counts(texts: DataFrame, first: int, last: int, frequent: np.ndarray, f
     """
     shared = texts.sparkSession.sparkContext.broadcast((frequent, followers, bigrams, states))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batch: pa.Array) -> Iterator[list[tuple]]:
+        """The rows of each depth."""
         often, after_any, pairs, grown_from = shared.value
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        for part in joined(parts, BATCH_BYTES):
+        s, borders = symbols(batch)
+        place = places(borders)
+        at = np.flatnonzero(place >= 1)
+        at = at[has(often, s[at - 1]) & has(after_any, s[at])]
+        place, context = place[at], s[at - 1]
+        for d in range(1, last + 1):
             with np.errstate(over="ignore"):
-                s, borders = symbols(part.column(0))
-                place = places(borders)
-                at = np.flatnonzero(place >= 1)
-                at = at[has(often, s[at - 1]) & has(after_any, s[at])]
-                place, context = place[at], s[at - 1]
+                if d > 1:
+                    keep = place >= d
+                    at, place, context = at[keep], place[keep], context[keep]
+                    keep = has(pairs, s[at - d + 1] + s[at - d] * np.uint64(BASE))
+                    if d == first:
+                        keep &= has(grown_from, context)
+                    at, place = at[keep], place[keep]
+                    context = longer(context[keep], s[at - d], d)
+                if d < first or not len(at):
+                    continue
                 out = []
-                for d in range(1, last + 1):
-                    if d > 1:
-                        keep = place >= d
-                        at, place, context = at[keep], place[keep], context[keep]
-                        keep = has(pairs, s[at - d + 1] + s[at - d] * np.uint64(BASE))
-                        if d == first:
-                            keep &= has(grown_from, context)
-                        at, place = at[keep], place[keep]
-                        context = longer(context[keep], s[at - d], d)
-                    if d < first or not len(at):
-                        continue
-                    name = pair_name(context, s[at])
-                    one, n = add_up(name, np.ones(len(at), np.int64))
-                    own, after, name = context[one], s[at[one]], name[one]
-                    # Names are in order, so each bucket is a stretch of them.
-                    bucket = ((name >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-                    cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                    for b in np.flatnonzero(np.diff(cuts)):
-                        order = cuts[b] + np.argsort(own[cuts[b]:cuts[b + 1]])
-                        c = own[order]
-                        head = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
-                        out.append((int(b), d, c[head].tobytes(), small(np.diff(np.append(head, len(c)))), after[order].tobytes(), small(n[order])))
-            if out:
+                name = pair_name(context, s[at])
+                one, n = add_up(name, np.ones(len(at), np.int64))
+                own, after, name = context[one], s[at[one]], name[one]
+                # Names are in order, so each bucket is a stretch of them.
+                bucket = ((name >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                for b in np.flatnonzero(np.diff(cuts)):
+                    order = cuts[b] + np.argsort(own[cuts[b]:cuts[b + 1]])
+                    c = own[order]
+                    head = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
+                    out.append((int(b), d, c[head].tobytes(), small(np.diff(np.append(head, len(c)))), after[order].tobytes(), small(n[order])))
+            yield out
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        for part in joined(parts, BATCH_BYTES):
+            for out in packed(part.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in PACKED.split(", ")])
 
     def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,6 +398,7 @@ def walk(s: np.ndarray, borders: np.ndarray, t: Tables) -> tuple[np.ndarray, np.
 ASKED = ("kind int, what int, bucket int, batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gained double, "
          "places binary, first binary, second binary")
 STATE, PAIR, WORD = 0, 1, 2
+ROWS_ASKED = 64  # packed rows of an Arrow batch
 
 
 def bucket_of(names: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -564,7 +569,7 @@ def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: in
                        "n_known": np.bincount(owner, known, n).astype(np.int64), "base": np.bincount(owner, logs, n) + np.diff(borders) * floor, "gained": np.bincount(owner, gained, n)}
             yield pa.RecordBatch.from_arrays([pa.array(columns[f]) if f in columns else pa.nulls(n, kinds[kind]) for f, kind in fields], [f for f, _ in fields])
             asked = packed_by_bucket(WORD, owner[rare], s[rare], empty, n_buckets) + packed_by_bucket(STATE, owner[far_at], far, s[far_at], n_buckets)
-            if asked:
+            for asked in batches(asked, ROWS_ASKED):
                 m = len(asked)
                 columns = {"kind": pa.array(np.ones(m, np.int32)), "batch": pa.array(np.full(m, batch))}
                 columns |= {f: pa.array([q[i] for q in asked], kinds[kind]) for i, (f, kind) in enumerate((("what", "int"), ("bucket", "int"), ("places", "binary"), ("first", "binary"), ("second", "binary")))}
