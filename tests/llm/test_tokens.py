@@ -106,6 +106,21 @@ def test_pieces_match_the_library():
             assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_marks_and_line_ends_make_no_new_words():
+    """Letters, marks and line ends are remembered apart, with the library's ids."""
+    heads = ["Anblewh", "\u00e9ai\u0153", "x", "and"]
+    texts = [" ".join(f"{a}{m}{c}" for a in heads for m in (".", ",", ".)", "?!", "-") for c in ("", *(f"\n{b}{n}" for b in heads for n in ("", ".", "'s", "\nx"))))]
+    texts += ["don't, we'll. a.\n\nb c\n d\u00b7e. f\u00aa. <|endoftext|>. x.\n<|endoftext|>y", "a\u0300. \u0130. \u017f. 7. seven7.\nx a_b."]
+    library = tokenizers.Tokenizer.from_file(BYTE)
+    own = token_files.PieceIds(bpe.tokenizer_text(BYTE))
+    ids, ends = own.texts(pa.array(texts))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    own.forget()
+    own.texts(pa.array(["a " + " ".join(f"{a}.\n{b}," for a in heads for b in heads)]))
+    assert len(own.known) <= 2 * len(heads) + 4  # the marks, the line end and "a", not one for each pair
+
+
 def test_token_files(spark):
     ready(spark)
     texts = [None, *CASES, *random_texts(120)]

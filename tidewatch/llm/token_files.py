@@ -20,6 +20,7 @@ follow each other in the order of a hash of their texts, and may spread over sev
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -43,6 +44,20 @@ RUN = "[\\t-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{2
 BY_RUN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
+#: Letters, marks behind them, a line end, letters, marks.  The apostrophe is no mark: a byte-level tokenizer keeps it with some letters.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+MARKS = '.,;:!?"()\\-'
+CUT = f"^(?P<a> [{LETTERS}]+)(?P<b>[{MARKS}]*)(?:(?P<c>\\n)(?P<d>[{LETTERS}]+)(?P<e>[{MARKS}]*))?$"
+
+
+def cuts_at_letters(text: str) -> bool:
+    """Whether a tokenizer is the plain byte-level one, and none of its added tokens can lie in what `CUT` takes apart."""
+    spec = json.loads(text)
+    how = spec.get("pre_tokenizer") or {}
+    return (how.get("type") == "ByteLevel" and bool(how.get("use_regex", True)) and not how.get("add_prefix_space", True) and spec.get("normalizer") is None
+            and spec["model"]["type"] == "BPE" and all(re.search(f"[^{LETTERS}{MARKS}\\s]", t["content"]) for t in spec["added_tokens"]))
+
+
 def runs_at(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Id runs number `at` end to end, and the length of each; run k lies in `flat` from `first[k]` on."""
     own = sizes[at]
@@ -53,7 +68,9 @@ def runs_at(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, at: np.ndarr
 class PieceIds:
     """The library's ids of pieces, with a memory of about `remember` bytes.
 
-    Words are encoded many at a time, joined by spaces: a token that starts with a space starts a word there.
+    Most pieces are letters with marks behind them, and perhaps a line end and more of the same: a byte-level tokenizer cuts
+    at these borders itself, so letters, marks and line ends are remembered as atoms, each with the space before it.
+    Atoms are encoded many at a time: a token that starts with a space starts an atom there.
     """
 
     def __init__(self, text: str, remember: int = 16_000_000, together: int = 500):
@@ -64,6 +81,9 @@ class PieceIds:
         vocab = self.library.get_vocab()
         self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.starts[[k for word, k in vocab.items() if word.startswith("\u0120")]] = True
+        self.cuts, self.line_end = cuts_at_letters(text), None
+        if self.cuts and len(end := self.library.encode("\n", add_special_tokens=False).ids) == 1:
+            self.line_end = np.arange(len(self.starts)) == end[0]
         self.forget()
 
     def forget(self) -> None:
@@ -75,30 +95,40 @@ class PieceIds:
         found = [np.array(f.ids, "<u4") for f in self.library.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
         return (np.concatenate(found) if found else np.zeros(0, "<u4")), np.fromiter(map(len, found), np.int64, len(found))
 
-    def new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words with a space before each."""
-        trimmed = pc.utf8_trim_whitespace(words)
-        odd = pc.or_(pc.equal(words, ""), pc.not_equal(trimmed, words)).to_numpy(zero_copy_only=False).astype(bool)
-        plain = words.filter(pa.array(~odd)).to_pylist()
-        groups = [plain[k:k + self.together] for k in range(0, len(plain), self.together)]
-        ids, sizes = self.alone([" " + " ".join(g) for g in groups])
-        heads = np.flatnonzero(self.starts[ids])
-        count = np.add.reduceat(self.starts[ids], np.cumsum(sizes) - sizes) if len(sizes) else sizes
-        if len(heads) != len(plain) or any(c != len(g) for c, g in zip(count, groups)):
-            return self.alone([" " + w for w in words.to_pylist()])  # some word holds a space of its own
-        lengths = np.diff(np.append(heads, len(ids)))
-        if not odd.any():
-            return ids, lengths
-        more, more_lengths = self.alone([" " + w for w in words.filter(pa.array(odd)).to_pylist()])
-        order = np.argsort(np.argsort(odd, kind="stable"), kind="stable")  # of each word among plain ones, then odd ones
-        flat, all_lengths = np.concatenate([ids, more]), np.concatenate([lengths, more_lengths])
-        return runs_at(flat, np.cumsum(all_lengths) - all_lengths, all_lengths, order)
-
-    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words with a space before each, from memory where they are known."""
-        at = pc.index_in(words, value_set=self.known) if len(self.known) else pa.nulls(len(words), pa.int32())
-        missing = words.filter(pc.is_null(at))
-        ids, sizes = self.new_words(missing)
+    def many(self, words: list[str], lead: str, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words encoded many at a time with `lead` before each; a token of `head` tells where a word starts."""
+        groups = [words[k:k + self.together] for k in range(0, len(words), self.together)]
+        ids, sizes = self.alone([lead + lead.join(g) for g in groups])
+        heads = np.flatnonzero(head[ids])
+        count = np.add.reduceat(head[ids], np.cumsum(sizes) - sizes) if len(sizes) else sizes
+        if len(heads) != len(words) or any(c != len(g) for c, g in zip(count, groups)):
+            ids, lengths = self.alone([lead + w for w in words])  # no token of this vocabulary tells where a word starts
+        else:
+            lengths = np.diff(np.append(heads, len(ids)))
+        return ids, lengths
+
+    def new_atoms(self, atoms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of atoms; those of letters are encoded many at a time, by spaces or line ends between them."""
+        spaced, bare = (pc.match_substring_regex(atoms, f"^{lead}[{LETTERS}]+$").to_numpy(zero_copy_only=False).astype(bool) for lead in (" ", ""))
+        if self.line_end is None:
+            bare[:] = False
+        kind = np.where(spaced, 0, np.where(bare, 1, 2))
+        of = [atoms.filter(pa.array(kind == k)).to_pylist() for k in range(3)]
+        found = [self.many(of[0], "", self.starts), (np.zeros(0, "<u4"), np.zeros(0, np.int64)), self.alone(of[2])]
+        if of[1]:
+            ids, lengths = self.many(of[1], "\n", self.line_end)
+            found[1] = ids[~self.line_end[ids]], lengths - 1
+        if not spaced.all():
+            order = np.argsort(np.argsort(kind, kind="stable"), kind="stable")  # of each atom among those of its kind, kind after kind
+            ids, lengths = (np.concatenate(x) for x in zip(*found))
+            return runs_at(ids, np.cumsum(lengths) - lengths, lengths, order)
+        return found[0]
+
+    def atoms(self, atoms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct atoms, from memory where they are known."""
+        at = pc.index_in(atoms, value_set=self.known) if len(self.known) else pa.nulls(len(atoms), pa.int32())
+        missing = atoms.filter(pc.is_null(at))
+        ids, sizes = self.new_atoms(missing)
         known = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         new = pc.is_null(at).to_numpy(zero_copy_only=False).astype(bool)
         known[new] = len(self.known) + np.arange(len(missing))
@@ -107,10 +137,28 @@ class PieceIds:
         out = runs_at(self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, known)
         if self.known.nbytes + self.ids.nbytes + self.sizes.nbytes > self.remember:
             self.forget()
-            if words.nbytes + out[0].nbytes + out[1].nbytes <= self.remember:
-                self.known, (self.ids, self.sizes) = words, out
+            if atoms.nbytes + out[0].nbytes + out[1].nbytes <= self.remember:
+                self.known, (self.ids, self.sizes) = atoms, out
         return out
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words with a space before each, put together from those of their atoms."""
+        spaced = pc.binary_join_element_wise("", words, " ")
+        if not self.cuts:
+            return self.atoms(spaced)
+        cut = pc.extract_regex(spaced, CUT)
+        whole = pc.is_null(cut)
+        parts = [pc.if_else(whole, spaced, cut.field(0)), *[pc.fill_null(cut.field(k), "") for k in range(1, 5)]]
+        held = [np.ones(len(words), bool), *[pc.not_equal(x, "").to_numpy(zero_copy_only=False).astype(bool) for x in parts[1:]]]
+        coded = pa.concat_arrays([x.filter(pa.array(h)) for x, h in zip(parts, held)]).dictionary_encode()
+        ids, sizes = self.atoms(coded.dictionary)
+        which = np.full((len(words), 5), -1)
+        which.T[np.array(held)] = coded.indices.to_numpy(zero_copy_only=False)
+        there = which >= 0
+        flat, own = runs_at(ids, np.cumsum(sizes) - sizes, sizes, which[there])
+        ends = np.concatenate([[0], np.cumsum(own)])
+        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(there.sum(axis=1))])])
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, borders between texts)."""
         n = len(texts)
@@ -236,7 +284,6 @@ def write(docs: DataFrame, path: str, end_id: int = 2, sample_docs: int = 1000,
     A bucket holds about `bucket_bytes` of text; beyond `max_buckets` of them they grow (a bucket is sorted by Spark,
     which spills, and written segment by segment, so its size bounds no memory).
     """
-    import json
     spark = docs.sparkSession
     text = tokenizer_text(path)
     spec = json.loads(text)
