@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import language, suffix_tree, toxicity
 from tidewatch.llm.common import ready
@@ -229,5 +230,41 @@ def test_nothing_to_score(spark):
     assert (one["n_tokens"], one["n_known"], one["train_tokens"], one["base_score"]) == (3, 0, 0, 0.0)
 
 
+def test_word_names():
+    """Words get names of their own, wherever they stand in an array."""
+    words = ["a", "b", "ab", "ba", "abcdefgh", "abcdefghi", "a\x00", "a\x00\x00", "\u00e9", "x" * 64, "x" * 65, "x" * 64 + "y", "y" * 500, "z" * 16, "z" * 17]
+    one = suffix_tree.word_names(pa.array(words))
+    assert len(set(one.tolist())) == len(words)
+    assert suffix_tree.word_names(pa.array(["pad", *words[::-1]]).slice(1)).tolist() == one[::-1].tolist()
+    assert not len(suffix_tree.word_names(pa.array([], pa.string())))
+
+
+def test_a_context_has_one_bucket(spark):
+    """A batch names a context once, so contexts are not spread over buckets; those of hot words alone are."""
+    ready(spark)
+    texts = spark.createDataFrame([(" ".join(f"{a} {b}{k}" for k in range(40) for a in ("one", "hot") for b in ("x", "y")),)], "text string").coalesce(1)
+    every = np.full(2**(suffix_tree.MARK_BITS - 6), -1, np.int64)
+    one, hot = suffix_tree.word_names(pa.array(["one", "hot"]))
+    got = suffix_tree.pair_counts(texts, 1, 2, every, every, every, every, 7, 1, np.array([hot]))
+    rows = got.withColumn("bucket", F.spark_partition_id()).collect()
+    assert len({r["bucket"] for r in rows if r["context"] == int(one.view(np.int64))}) == 1
+    assert len({r["bucket"] for r in rows if r["context"] == int(hot.view(np.int64))}) == 7
+    assert Counter(r["depth"] for r in rows) == {1: 320, 2: 319}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 50])
+def test_questions_are_dealt_by_the_tables(spark, sf, monkeypatch, rows_per_bucket):
+    """More training words make no more buckets where few rows are asked for: each bucket costs a sum per document."""
+    ready(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(30)
+    seen = []
+    monkeypatch.setattr(suffix_tree, "answered", lambda *a, f=suffix_tree.answered: (seen.append(a[1:]), f(*a))[1])
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, 3.0, 8, 2, 40, 10, 300, rows_per_bucket).collect()}
+    *tables, n_buckets = seen[0]
+    assert n_buckets == max(1, -(-sum(t.count() for t in tables) // rows_per_bucket))
+    want, _ = brute_tree([tuple(r) for r in docs.collect()], 3.0, 8, 2)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_words_are_kept_apart():
     assert suffix_tree.words_of(pa.array([" A  b\x0bÇ ", None])).to_pylist()[0] == ["", "a", "b", "Ç", ""]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import joined
-from .common import batches, held_out, pick, stored
+from .common import held_out, pick, stored
 
 BATCH_BYTES = 3_000_000          # texts worked on at once
 BASE = 0x9E3779B97F4A7C15        # of the polynomial that names contexts; the nearest word has power 0
@@ -42,6 +42,7 @@ MARK_BITS = 25
 GRID = (1.0, 8.0, 64.0, 512.0, 4096.0)
 BLOCK = 8                        # depths counted in one pass over the texts
 ROWS = 65_536
+LONG = 64                        # bytes of words hashed together
 
 
 def words_of(texts: pa.Array) -> pa.ListArray:
@@ -49,23 +50,55 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_names(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time for all of them at once; very long words one by one."""
+    from xxhash import xxh64_intdigest
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, borders, data = words.buffers()
+    borders = np.frombuffer(borders, np.int32 if pa.types.is_string(words.type) else np.int64)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    at, size = borders[:-1], np.diff(borders)
+    bytes_ = np.zeros(borders[-1] - borders[0] + 8, np.uint8)
+    bytes_[:-8] = np.frombuffer(data or b"", np.uint8)[borders[0]:borders[-1]]
+    eights = np.ndarray(len(bytes_) - 7, "<u8", bytes_, strides=(1,))
+    at = at - borders[0]
+    with np.errstate(over="ignore"):
+        out = size.astype(np.uint64) * np.uint64(BASE)
+        left, own, place, name = size, np.arange(len(size)), at, out
+        for _ in range(LONG // 8):
+            if not len(own):
+                break
+            part = eights[place] & (np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+            name = mixed(name ^ part)
+            out[own] = name
+            more = left > 8
+            left, own, place, name = left[more] - 8, own[more], place[more] + 8, name[more]
+    for k in np.flatnonzero(size > LONG):
+        out[k] = xxh64_intdigest(bytes_[at[k]:at[k] + size[k]])
+    return out
+
+
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of each text and its end mark, end to end; borders between texts)."""
-    from xxhash import xxh64_intdigest
     cut = words_of(texts)
     sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
     words = cut.flatten()
     held = pc.not_equal(words, "").to_numpy(zero_copy_only=False).astype(bool)
     before = np.concatenate([[0], np.cumsum(held)])
     n = np.diff(before[np.concatenate([[0], np.cumsum(sizes)])])
-    coded = words.filter(pa.array(held)).dictionary_encode()
-    names = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    names = word_names(words.filter(pa.array(held)))
     borders = np.concatenate([[0], np.cumsum(n + 1)])
     out = np.full(borders[-1], END)
     real = np.ones(len(out), bool)
     real[borders[1:] - 1] = False
     if len(names):
-        out[real] = names[coded.indices.to_numpy(zero_copy_only=False)]
+        out[real] = names
     return out, borders
 
 
@@ -158,43 +191,47 @@ def unsmall(data: bytes) -> np.ndarray:
 
 
 def pair_counts(texts: DataFrame, first: int, last: int, frequent: np.ndarray, followers: np.ndarray, bigrams: np.ndarray | None, states: np.ndarray | None,
-                n_buckets: int, min_pair: int) -> DataFrame:
+                n_buckets: int, min_pair: int, hot: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
     """Contexts of `first`..`last` words and the words after them, seen `min_pair` times or more.
 
     Contexts with a rare word (not in `frequent`) or pair of neighbours (`bigrams`), and those that do not grow out of
     `states` of `first` - 1 words, cannot become states and are left out, as are next words too rare for a pair.
+    A context goes to one bucket, so that a batch names it once; contexts of `hot` (sorted) words alone are spread over
+    all buckets by their next words, since their rows may be more than a bucket should hold.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, followers, bigrams, states))
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, followers, bigrams, states, hot))
 
     def packed(batch: pa.Array) -> Iterator[list[tuple]]:
         """The rows of each depth."""
-        often, after_any, pairs, grown_from = shared.value
+        often, after_any, pairs, grown_from, everywhere = shared.value
         s, borders = symbols(batch)
         place = places(borders)
         at = np.flatnonzero(place >= 1)
         at = at[has(often, s[at - 1]) & has(after_any, s[at])]
         place, context = place[at], s[at - 1]
+        is_hot = find(everywhere, s)[1]
+        spread = is_hot[at - 1]
         for d in range(1, last + 1):
             with np.errstate(over="ignore"):
                 if d > 1:
                     keep = place >= d
-                    at, place, context = at[keep], place[keep], context[keep]
+                    at, place, context, spread = at[keep], place[keep], context[keep], spread[keep]
                     keep = has(pairs, s[at - d + 1] + s[at - d] * np.uint64(BASE))
                     if d == first:
                         keep &= has(grown_from, context)
                     at, place = at[keep], place[keep]
-                    context = longer(context[keep], s[at - d], d)
+                    context, spread = longer(context[keep], s[at - d], d), spread[keep] & is_hot[at - d]
                 if d < first or not len(at):
                     continue
                 out = []
                 name = pair_name(context, s[at])
                 one, n = add_up(name, np.ones(len(at), np.int64))
-                own, after, name = context[one], s[at[one]], name[one]
-                # Names are in order, so each bucket is a stretch of them.
-                bucket = ((name >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                own, after = context[one], s[at[one]]
+                bucket = bucket_of(np.where(spread[one], name[one], mixed(own)), n_buckets)
+                by = np.lexsort((own, bucket))
+                cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
-                    order = cuts[b] + np.argsort(own[cuts[b]:cuts[b + 1]])
+                    order = by[cuts[b]:cuts[b + 1]]
                     c = own[order]
                     head = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
                     out.append((int(b), d, c[head].tobytes(), small(np.diff(np.append(head, len(c)))), after[order].tobytes(), small(n[order])))
@@ -276,11 +313,12 @@ def tested(pairs: DataFrame, gain: float, min_pair: int) -> tuple[DataFrame, Dat
     return states.select("context", "total", "back"), stored(probs)
 
 
-def learn(texts: DataFrame, words: DataFrame, n_all: int, v_all: int, gain: float, min_count: int, min_pair: int, n_buckets: int) -> tuple[DataFrame, DataFrame, int]:
+def learn(texts: DataFrame, words: DataFrame, n_all: int, v_all: int, gain: float, min_count: int, min_pair: int, n_buckets: int,
+          hot: np.ndarray) -> tuple[DataFrame, DataFrame, int]:
     """(states, pairs, depth of the tree) from the training texts and their word counts."""
     common = stored(words.where(F.col("n") >= min(min_pair, min_count)))
     frequent, followers = marked(common.where(F.col("n") >= min_count).select("word")), marked(common.where(F.col("n") >= min_pair).select("word"))
-    counts = stored(pair_counts(texts, 1, 1, frequent, followers, None, None, n_buckets, min_pair))
+    counts = stored(pair_counts(texts, 1, 1, frequent, followers, None, None, n_buckets, min_pair, hot))
     seen = common.where(F.col("n") >= min_count).select(F.col("word").alias("context"), F.lit(0).cast("long").alias("parent"), F.col("n").alias("total"))
     above = common.select(F.col("word").alias("next"), ((F.col("n") + 1) / F.lit(float(n_all + v_all + 1))).alias("above"))
     before = counts.join(seen.select("context", "parent", "total"), "context")
@@ -298,7 +336,7 @@ def learn(texts: DataFrame, words: DataFrame, n_all: int, v_all: int, gain: floa
         if depth == 1:
             bigrams = marked(seen.select("context"))
         if depth == counted:
-            counts = stored(pair_counts(texts, depth + 1, depth + BLOCK, frequent, followers, bigrams, marked(states.select("context")), n_buckets, min_pair))
+            counts = stored(pair_counts(texts, depth + 1, depth + BLOCK, frequent, followers, bigrams, marked(states.select("context")), n_buckets, min_pair, hot))
             counted = depth + BLOCK
         above = pairs.select(F.col("context").alias("parent"), "next", F.col("p").alias("above"))
         before = stored(counts.where(F.col("depth") == depth + 1).select("context", "next", "n").join(seen, "context"))
@@ -312,8 +350,8 @@ def learn(texts: DataFrame, words: DataFrame, n_all: int, v_all: int, gain: floa
     return all_states[0], all_pairs[0].select("context", "next", "total", "ratio"), depth
 
 
-def cut_at(table: DataFrame, value: str, limit: int) -> float:
-    """The least `value` such that at most `limit` rows have it or more, on a scale of 64 steps an octave."""
+def cut_at(table: DataFrame, value: str, limit: int) -> tuple[float, int]:
+    """The least `value` such that at most `limit` rows have it or more, on a scale of 64 steps an octave; how many have less."""
     step = F.floor(F.log2(F.col(value)) * 64)
     bars = table.where(F.col(value) > 0).groupBy(step.alias("step")).count().collect()  # one row per 1/64 octave
     cut, total = float("inf"), 0
@@ -322,7 +360,7 @@ def cut_at(table: DataFrame, value: str, limit: int) -> float:
         if total > limit:
             break
         cut = bar["step"]
-    return cut
+    return cut, sum(b["count"] for b in bars if b["step"] < cut)
 
 
 def above_cut(value: str, cut: float):
@@ -399,6 +437,8 @@ ASKED = ("kind int, what int, bucket int, batch long, place int, doc_id long, he
          "places binary, first binary, second binary")
 STATE, PAIR, WORD = 0, 1, 2
 ROWS_ASKED = 64  # packed rows of an Arrow batch
+QUESTIONS = 32_768  # of a packed row
+BYTES_ASKED = 2_000_000  # of an Arrow batch
 
 
 def bucket_of(names: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -406,17 +446,31 @@ def bucket_of(names: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def packed_by_bucket(what: int, owner: np.ndarray, first: np.ndarray, second: np.ndarray, n_buckets: int) -> list[tuple]:
-    """(what, bucket, places, first, second): questions about hashes, one entry per bucket of `first`."""
+    """(what, bucket, places, first, second): questions about hashes, entries of bounded size per bucket of `first`."""
     bucket = bucket_of(first, n_buckets)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     out = []
     for b in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[b]:cuts[b + 1]]
-        out.append((what, int(b), small(owner[own]), first[own].tobytes(), second[own].tobytes() if len(second) else b""))
+        for at in range(cuts[b], cuts[b + 1], QUESTIONS):
+            own = order[at:min(at + QUESTIONS, cuts[b + 1])]
+            out.append((what, int(b), small(owner[own]), first[own].tobytes(), second[own].tobytes() if len(second) else b""))
     return out
 
 
+def by_bytes(packed: list[tuple]) -> Iterator[list[tuple]]:
+    """Packed questions in lists of bounded bytes and length."""
+    held, size = [], 0
+    for entry in packed:
+        held.append(entry)
+        size += sum(map(len, entry[2:]))
+        if size >= BYTES_ASKED or len(held) == ROWS_ASKED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def answered(asked: DataFrame, states: DataFrame, pairs: DataFrame, words: DataFrame, n_buckets: int) -> DataFrame:
     """(batch, places, base, known, gained) of the packed questions, summed per place.
 
@@ -458,19 +512,19 @@ def answered(asked: DataFrame, states: DataFrame, pairs: DataFrame, words: DataF
             out = []
             for what, batch, places_, first, second in zip(*[part.column(c).slice(n).to_pylist() for c in (2, 6, 7, 8, 9)]):
                 owner, key = unsmall(places_), np.frombuffer(first, np.uint64)
+                # Nothing is sent about what a question does not ask.
                 if what == WORD:
                     at, there = find(found[WORD][0], key)
-                    base, known, gained = np.where(there, found[WORD][1][at] if len(found[WORD][1]) else 0.0, 0.0), there, np.zeros(len(key))
+                    owner, base = owner[there], found[WORD][1][at[there]]
                 else:
                     at, there = find(found[STATE][0], key)
                     owner, key, after, back = owner[there], key[there], np.frombuffer(second, np.uint64)[there], found[STATE][1][at[there]]
                     with np.errstate(over="ignore"):
                         at, seen = find(found[PAIR][0], pair_name(key, after))
                     gained = np.where(seen, found[PAIR][1][at] if len(found[PAIR][1]) else 0.0, back)
-                    base, known = np.zeros(len(key)), np.zeros(len(key), bool)
                 if len(owner):
                     own, codes = np.unique(owner, return_inverse=True)
-                    out.append((batch, small(own), np.bincount(codes, base).tobytes(), small(np.bincount(codes, known).astype(np.int64)), np.bincount(codes, gained).tobytes()))
+                    out.append((batch, small(own), *((np.bincount(codes, base).tobytes(), small(np.bincount(codes)), b"") if what == WORD else (b"", b"", np.bincount(codes, gained).tobytes()))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i == 0 else pa.binary()) for i in range(5)], ["batch", "places", "base", "known", "gained"])
 
@@ -519,14 +573,15 @@ def put_together(scored: DataFrame, more: DataFrame) -> DataFrame:
                 for places_, base, known, gained in zip(*[piece.column(c).slice(n).to_pylist() for c in ("places", "m_base", "m_known", "m_gained")]):
                     own = unsmall(places_)
                     for x, value in zip(add, (np.frombuffer(base), unsmall(known), np.frombuffer(gained))):
-                        x[own] += value
+                        if len(value):
+                            x[own] += value
         yield from flush()
 
     return docs.unionByName(extra).repartition("batch").sortWithinPartitions("batch", "kind", "place").mapInArrow(run, RESULT)
 
 
 def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: int = 4, max_pairs: int = 2_500_000, head: int = 1_000_000,
-          words_per_bucket: int = 1_000_000) -> DataFrame:
+          words_per_bucket: int = 1_000_000, rows_per_bucket: int = 500_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs`."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
@@ -536,15 +591,20 @@ def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: in
     n_all, v_all = int(told["n"]), int(told["v"])
     floor = float(np.log10(1 / (n_all + v_all + 1)))
     n_buckets = max(1, -(-n_all // words_per_bucket))
-    states, pairs, depth = learn(texts, words, n_all, v_all, gain, min_count, min_pair, n_buckets)
+    # At most 10 words a bucket.
+    hot = np.sort(words.where(F.col("n") > words_per_bucket // 10).select("word").toArrow().column("word").to_numpy().view(np.uint64))
+    states, pairs, depth = learn(texts, words, n_all, v_all, gain, min_count, min_pair, n_buckets, hot)
 
-    often, cut = cut_at(words, "n", head), cut_at(pairs, "total", max_pairs)
+    (often, rare_words), (cut, rare_pairs) = cut_at(words, "n", head), cut_at(pairs, "total", max_pairs)
     other_states, other_pairs = states.where(~above_cut("total", cut)), pairs.where(~above_cut("total", cut))
+    n_other = other_states.count()
+    # Questions are dealt by the tables they are put to, not by how many they are: a batch's answers are summed per document and bucket.
+    n_buckets = max(1, -(-(rare_words + rare_pairs + n_other) // rows_per_bucket))
     shared = spark.sparkContext.broadcast(Tables(
         *collected(words.where(above_cut("n", often)).select("word", F.lit(0).cast("long").alias("next"), F.log10(F.col("n") + 1.0).alias("x"))),   # bounded by head
         *collected(states.where(above_cut("total", cut)).select("context", F.lit(0).cast("long").alias("next"), F.col("back").alias("x"))),         # each has a pair
         *collected(pairs.where(above_cut("total", cut)).select("context", "next", F.col("ratio").alias("x")), True),                                # bounded by max_pairs
-        None if other_states.isEmpty() else marked(other_states.select("context")), depth))
+        marked(other_states.select("context")) if n_other else None, depth))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -569,7 +629,7 @@ def score(docs: DataFrame, gain: float = 5.0, min_count: int = 100, min_pair: in
                        "n_known": np.bincount(owner, known, n).astype(np.int64), "base": np.bincount(owner, logs, n) + np.diff(borders) * floor, "gained": np.bincount(owner, gained, n)}
             yield pa.RecordBatch.from_arrays([pa.array(columns[f]) if f in columns else pa.nulls(n, kinds[kind]) for f, kind in fields], [f for f, _ in fields])
             asked = packed_by_bucket(WORD, owner[rare], s[rare], empty, n_buckets) + packed_by_bucket(STATE, owner[far_at], far, s[far_at], n_buckets)
-            for asked in batches(asked, ROWS_ASKED):
+            for asked in by_bytes(asked):
                 m = len(asked)
                 columns = {"kind": pa.array(np.ones(m, np.int32)), "batch": pa.array(np.full(m, batch))}
                 columns |= {f: pa.array([q[i] for q in asked], kinds[kind]) for i, (f, kind) in enumerate((("what", "int"), ("bucket", "int"), ("places", "binary"), ("first", "binary"), ("second", "binary")))}
